@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relspark.llm import chat, decontam, licenses, packing, quality, token_counts
+from relspark.llm import chat, decontam, licenses, line_dedup, packing, quality, secrets, token_counts
 from relspark.llm.common import table
 
 MAX_TOKENS = 1024
@@ -57,6 +57,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -64,5 +72,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
