@@ -5,8 +5,8 @@ are its pre-tokens (or a few of them together). Each distinct part is tokenized
 its piece count is joined to the parts' frequencies in each document and summed.
 
 The most frequent parts hold most places in any text, and would be hot join keys. So
-the counts of a bounded head table, the ``head_size`` most frequent parts of a bounded
-sample, are looked up in the tasks; all others, whatever their number, go through the
+the counts of a bounded head table, the ``head_size`` most frequent parts of a few
+documents of each task, are looked up in the tasks; all others, whatever their number, go through the
 join. The sample decides only which way a part takes, not the counts.
 """
 
@@ -29,7 +29,7 @@ PART = re.compile(
     r"|[ \n\t\r]*[^ \n\t\r]+(?:(?<=\s)[ \n\t\r]+[^ \n\t\r]*)*"
     r"|[ \n\t\r]+"
 )
-HEAD_SIZE, SAMPLE_DOCS = 200_000, 10_000
+HEAD_SIZE, SAMPLE_DOCS = 200_000, 256  # documents of each task
 
 _tokenizers: dict = {}
 
@@ -58,17 +58,21 @@ def parts_of(text: str) -> list[str]:
 
 
 def head_table(docs: DataFrame, text: str, path: str, head_size: int, sample_docs: int) -> dict[str, int]:
-    """Counts of at most head_size parts, the most frequent of sample_docs documents."""
+    """Counts of at most head_size parts, the most frequent in the first sample_docs documents of each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        left = sample_docs
         for batch in batches:
-            for value in batch.column(0).to_pylist():
+            for value in batch.column(0).slice(0, left).to_pylist():
                 seen.update(parts_of(value))
+            left -= min(left, batch.num_rows)
+            if not left:
+                break
         top = seen.most_common(head_size)
         yield pa.RecordBatch.from_pydict({"part": [p for p, _ in top], "n": [n for _, n in top]})
 
-    sample = docs.select(text).where(F.col(text).isNotNull() & (F.octet_length(text) < 20_000)).limit(sample_docs)
+    sample = docs.select(text).where(F.octet_length(text) < 20_000)
     rows = (
         sample.mapInArrow(count, "part string, n long")
         .groupBy("part").agg(F.sum("n").alias("n"))
