@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relspark.llm import chat, decontam, licenses, line_dedup, packing, quality, secrets, token_counts
+from relspark.llm import ann, chat, decontam, licenses, line_dedup, ngram_join, packing, quality, secrets, token_counts
 from relspark.llm.common import table
 
 MAX_TOKENS = 1024
@@ -21,6 +21,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +75,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
