@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from relspark.plans import taxonomy_queries, text_queries
+
+QUERIES = taxonomy_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL = taxonomy_queries.ORACLE_SQL | text_queries.ORACLE_SQL
