@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from relspark.llm.common import materialize
+
 RATIO, MIN_PAGES = 0.1, 10
 
 
@@ -44,9 +46,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     A line that stands twice in a page counts once there, and both go. Rows alike are pages of
     their own. All columns of docs stay; existing columns n_lines or n_dropped are replaced.
     """
-    keys = boilerplate(docs, host, text, ratio, min_pages)
-    # Not forced to be a broadcast: Spark broadcasts the lists below its size limit and else
-    # sorts and merges, where it splits the hot hosts.
+    # Written first, so that Spark plans the join by the lists' real size: it broadcasts them below
+    # its limit, and no text is shuffled; else it sorts and merges, and splits the hot hosts.
+    keys = materialize(boilerplate(docs, host, text, ratio, min_pages))
     joined = docs.drop("n_lines", "n_dropped").join(keys, docs[host] == F.col("_host"), "left")
     lines = F.split(text, "\n", -1)
     kept = F.when(F.col("_keys").isNull(), lines).otherwise(
