@@ -23,10 +23,13 @@ class Lexicon:
     sense: DataFrame
     edge: DataFrame
     height: int | None = None
+    taxonomy: DataFrame | None = None
 
     @property
     def isa(self) -> DataFrame:
-        """(pos, child, parent) of the taxonomy. A concept is not its own parent."""
+        """(pos, child, parent) of the taxonomy; written already if the lexicon brings it. A concept is not its own parent."""
+        if self.taxonomy is not None:
+            return self.taxonomy
         return self.edge.where("rel = 'hype' and src_pos = dst_pos and src <> dst").select(
             F.col("src_pos").alias("pos"), F.col("src").alias("child"), F.col("dst").alias("parent")
         )

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from relspark.lexicon import Lexicon
+from relspark.lexicon import Lexicon, materialize
 
 HEIGHT = 3
 REGION, NATION, SEGMENT, TYPE, BRAND, PRIORITY, EVENT = 1_000, 2_000, 3_000, 4_000, 5_000, 6_000, 7_000
@@ -108,7 +108,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     named = found.where(~part).select(F.translate(F.lower("name"), " #", "_").alias("word"), "pos", "id")
     sense = models.unionByName(named).select("word", "pos", F.row_number().over(Window.partitionBy("word", "pos").orderBy("id")).alias("sense"), "id", F.lit(1).alias("word_no"))
     edge = relations(spark, sf_dir).withColumn("src_word", F.lit(None).cast("string")).withColumn("dst_word", F.lit(None).cast("string"))
-    return Lexicon(synset, sense, edge, HEIGHT)
+    return Lexicon(synset, sense, edge, HEIGHT, materialize(isa(spark, sf_dir)))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relspark.functions import text as tx
 from relspark.functions.overlap import overlap_score
-from relspark.lexicon import UNRELATED, Lexicon
+from relspark.lexicon import UNRELATED, Lexicon, materialize
 from relspark.operators import information as info, paths as pt, relations as rel, senses as sn, vectors as vec, walks
 
 Relation = tuple[list[str], list[str], float]
@@ -86,7 +86,8 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
 
 
 def same_pos(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("pos_a").alias("pos"), "a", "b").distinct()
+    """The distinct pairs, written: every step below reads them."""
+    return materialize(pairs.select(F.col("pos_a").alias("pos"), "a", "b").distinct())
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def both_pos(df: DataFrame, value: Column) -> DataFrame:
 
 
 def member_paths(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
-    return pt.root_paths(lexicon.isa, ends(pairs), config.root_node, lexicon.height)
+    """Written, as both sides of the pairs and the subsumers read them."""
+    return materialize(pt.root_paths(lexicon.isa, ends(pairs), config.root_node, lexicon.height))
 
 
 @measure("path", sn.NOUN_VERB)
@@ -112,7 +114,7 @@ def path(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
 def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """ln(2 x depth of the taxonomy / nodes on the shortest way); the deepest taxonomy of all subsumers on shortest ways."""
     p = same_pos(pairs)
-    found = pt.lcs_by_path(p, member_paths(lexicon, p, config))
+    found = materialize(pt.lcs_by_path(p, member_paths(lexicon, p, config)))
     subsumers = found.select("pos", F.col("subsumer").alias("id")).distinct()
     if config.root_node:  # every subsumer is below the virtual root
         roots = subsumers.withColumn("root", F.lit(0).cast("long"))
@@ -130,17 +132,17 @@ def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     from the concepts to it. Of several deepest subsumers the one of the highest score counts."""
     p = same_pos(pairs)
     paths = member_paths(lexicon, p, config)
-    candidates = pt.path_pairs(p, paths).select("pos", F.col("subsumer").alias("id")).distinct()
+    candidates = materialize(pt.path_pairs(p, paths).select("pos", F.col("subsumer").alias("id")).distinct())
     virtual = candidates.where("id = 0").select("pos", "id", F.array("id").alias("path"))
     # A subsumer's own paths give its depth, and its distance to the concepts.
     own = pt.root_paths(lexicon.isa, candidates.where("id <> 0"), config.root_node, lexicon.height)
-    own = own.unionByName(virtual)
+    own = materialize(own.unionByName(virtual))
     depth = pt.synset_depth(own.where("id <> 0"), config.depth_order, config.root_node)
     depth = depth.unionByName(candidates.where("id = 0").select("pos", "id", F.lit(1).alias("depth"), F.col("id").alias("root")))
-    deepest = pt.lcs_by_depth(p, paths, depth)
-    every = own.unionByName(paths).distinct()
+    deepest = materialize(pt.lcs_by_depth(p, paths, depth))
+    every = materialize(own.unionByName(paths).distinct())
     down = deepest.select("pos", "a", F.col("subsumer").alias("b")).unionByName(deepest.select("pos", F.col("b").alias("a"), F.col("subsumer").alias("b"))).distinct()
-    far = pt.path_lengths(down, every)
+    far = materialize(pt.path_lengths(down, every))
     one = far.select("pos", "a", F.col("b").alias("subsumer"), F.col("len").alias("la"))
     two = far.select("pos", F.col("a").alias("b"), F.col("b").alias("subsumer"), F.col("len").alias("lb"))
     rows = deepest.join(one, ["pos", "a", "subsumer"]).join(two, ["pos", "b", "subsumer"])
@@ -153,7 +155,8 @@ def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     if config.counts is None:
         raise ValueError("the measure needs config.counts")
     p = same_pos(pairs)
-    known = info.information(config.counts)
+    counts = materialize(config.counts)
+    known = materialize(info.information(counts))
     best = pt.lcs_by_ic(p, member_paths(lexicon, p, config), known)
     top = best.groupBy("pos", "a", "b").agg(F.max("ic").alias("ic_l"), F.min("subsumer").alias("subsumer"))
     out = top
@@ -161,7 +164,7 @@ def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
         side = known.select("pos", F.col("id").alias(key), F.col("freq").alias(f"freq_{name}"), *([F.col("ic").alias(f"ic_{name}")] if name != "l" else []))
         out = out.join(side, ["pos", key], "left")
     zero = {f"freq_{n}": 0.0 for n in "lab"} | {"ic_a": 0.0, "ic_b": 0.0}
-    return out.join(F.broadcast(info.root_frequency(config.counts)), "pos", "left").fillna(zero | {"root_freq": 0.0})  # a row for each part of speech
+    return out.join(F.broadcast(info.root_frequency(counts)), "pos", "left").fillna(zero | {"root_freq": 0.0})  # a row for each part of speech
 
 
 @measure("res", sn.NOUN_VERB)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from relspark.lexicon import materialize
 from relspark.operators import information as info, paths as pt, relations as rel, walks
 from relspark.plans import driver_lexicon as dl, measures as ms
 from relspark.plans.driver_lexicon import SQL_COUNTS, SQL_ISA, SQL_NODES, SQL_OWN, SQL_PAIRS, SQL_PATHS, sql_met
@@ -19,10 +20,10 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def known_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts that some is-a link names."""
-    e = dl.isa(spark, d)
-    return e.select("pos", F.col("child").alias("id")).unionByName(e.select("pos", F.col("parent").alias("id"))).distinct()
+def taxonomy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The is-a links, written, and the concepts (pos, id) that they name."""
+    e = materialize(dl.isa(spark, d))
+    return e, e.select("pos", F.col("child").alias("id")).unionByName(e.select("pos", F.col("parent").alias("id"))).distinct()
 
 
 def n_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +31,8 @@ def n_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_paths_of(spark: SparkSession, d: str, root_node: bool = True) -> DataFrame:
-    return pt.root_paths(dl.isa(spark, d), known_nodes(spark, d), root_node, HEIGHT)
+    isa, nodes = taxonomy(spark, d)
+    return pt.root_paths(isa, nodes, root_node, HEIGHT)
 
 
 def isa_closure(spark, d):
@@ -54,52 +56,58 @@ def first_depths(order: str):
 
 
 def taxonomy_depth(spark, d):
-    out = pt.taxonomy_depths(known_nodes(spark, d), dl.isa(spark, d), True, HEIGHT)
+    isa, nodes = taxonomy(spark, d)
+    out = pt.taxonomy_depths(nodes, isa, True, HEIGHT)
     return out.select("pos", "root", F.col("depth").cast("long").alias("depth"))
 
 
 def top_nodes(spark, d):
-    return pt.top_nodes(known_nodes(spark, d), dl.isa(spark, d))
+    isa, nodes = taxonomy(spark, d)
+    return pt.top_nodes(nodes, isa)
 
 
 def leaf_nodes(spark, d):
-    return pt.leaf_nodes(known_nodes(spark, d), dl.isa(spark, d))
+    isa, nodes = taxonomy(spark, d)
+    return pt.leaf_nodes(nodes, isa)
 
 
 def taxonomies(spark, d):
     return pt.taxonomies(all_paths_of(spark, d, False))
 
 
-def member_paths(spark, d, root_node=True):
-    return pt.root_paths(dl.isa(spark, d), ms.ends(n_pairs(spark, d)), root_node, HEIGHT)
+def pairs_and_paths(spark, d, root_node=True):
+    """The noun pairs and the paths of their concepts, both written."""
+    p = materialize(n_pairs(spark, d))
+    return p, materialize(pt.root_paths(taxonomy(spark, d)[0], ms.ends(p), root_node, HEIGHT))
 
 
 def shortest_path_pairs(spark, d):
-    return pt.path_lengths(n_pairs(spark, d), member_paths(spark, d)).select("a", "b", F.col("len").cast("long").alias("len"))
+    return pt.path_lengths(*pairs_and_paths(spark, d)).select("a", "b", F.col("len").cast("long").alias("len"))
 
 
 def all_paths_pairs(spark, d):
-    return pt.all_paths(n_pairs(spark, d), member_paths(spark, d)).select("a", "b", "subsumer", F.col("len").cast("long").alias("len"), text_path("nodes").alias("nodes"))
+    return pt.all_paths(*pairs_and_paths(spark, d)).select("a", "b", "subsumer", F.col("len").cast("long").alias("len"), text_path("nodes").alias("nodes"))
 
 
 def lcs_by_path(spark, d):
-    return pt.lcs_by_path(n_pairs(spark, d), member_paths(spark, d)).select("a", "b", "subsumer", F.col("len").cast("long").alias("len"))
+    return pt.lcs_by_path(*pairs_and_paths(spark, d)).select("a", "b", "subsumer", F.col("len").cast("long").alias("len"))
 
 
 def lcs_by_depth(spark, d):
-    paths = member_paths(spark, d)
-    found = pt.path_pairs(n_pairs(spark, d), paths).select("pos", F.col("subsumer").alias("id")).distinct()
-    depth = pt.synset_depth(pt.root_paths(dl.isa(spark, d), found.where("id <> 0"), True, HEIGHT), "numeric", True)
+    pairs, paths = pairs_and_paths(spark, d)
+    found = materialize(pt.path_pairs(pairs, paths).select("pos", F.col("subsumer").alias("id")).distinct())
+    depth = pt.synset_depth(pt.root_paths(taxonomy(spark, d)[0], found.where("id <> 0"), True, HEIGHT), "numeric", True)
     virtual = found.where("id = 0").select("pos", "id", F.lit(1).alias("depth"), F.col("id").alias("root"))
-    return pt.lcs_by_depth(n_pairs(spark, d), paths, depth.unionByName(virtual)).select("a", "b", "subsumer", F.col("depth").cast("long").alias("depth"))
+    return pt.lcs_by_depth(pairs, paths, depth.unionByName(virtual)).select("a", "b", "subsumer", F.col("depth").cast("long").alias("depth"))
 
 
 def counts(spark, d):
-    return info.propagate(dl.own_frequencies(spark, d), known_nodes(spark, d), dl.isa(spark, d), HEIGHT)
+    isa, nodes = taxonomy(spark, d)
+    return materialize(info.propagate(dl.own_frequencies(spark, d), nodes, isa, HEIGHT))
 
 
 def lcs_by_ic(spark, d):
-    out = pt.lcs_by_ic(n_pairs(spark, d), member_paths(spark, d), info.information(counts(spark, d)))
+    out = pt.lcs_by_ic(*pairs_and_paths(spark, d), info.information(counts(spark, d)))
     return out.select("a", "b", "subsumer", rounded(F.col("ic")).alias("ic"))
 
 
@@ -108,8 +116,8 @@ def freq_propagate(spark, d):
 
 
 def freq_add1(spark, d):
-    more = info.add_one(dl.own_frequencies(spark, d), known_nodes(spark, d))
-    return info.propagate(more, known_nodes(spark, d), dl.isa(spark, d), HEIGHT)
+    isa, nodes = taxonomy(spark, d)
+    return info.propagate(info.add_one(dl.own_frequencies(spark, d), nodes), nodes, isa, HEIGHT)
 
 
 def root_freq(spark, d):

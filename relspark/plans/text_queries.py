@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from relspark.functions import compounds as cp, text as tx
 from relspark.operators import information as info, relations as rel, senses as sn, vectors as vec
 from relspark.plans import driver_lexicon as dl, measures as ms
-from relspark.plans.taxonomy_queries import rounded
+from relspark.plans.taxonomy_queries import counts, rounded
 from relspark.sources import lists
 
 #: Own short stop list.
@@ -205,8 +205,7 @@ def pair_file_parse(spark, d):
 
 def ic_lines(spark, d):
     """Lines of an information content file."""
-    counts = info.propagate(dl.own_frequencies(spark, d), dl.nodes(spark, d).select("pos", "id"), dl.isa(spark, d), dl.HEIGHT)
-    return counts.select("pos", "id", F.concat(tx.offset_pos(F.col("id"), F.col("pos")), F.lit(" "), F.col("freq").cast("long").cast("string"), F.when(F.col("is_root"), " ROOT").otherwise("")).alias("line"))
+    return counts(spark, d).select("pos", "id", F.concat(tx.offset_pos(F.col("id"), F.col("pos")), F.lit(" "), F.col("freq").cast("long").cast("string"), F.when(F.col("is_root"), " ROOT").otherwise("")).alias("line"))
 
 
 def ranking_lines(spark, d):
