@@ -127,10 +127,11 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(sizes, "bucket")
 
 
-def buckets(entries: DataFrame, small: int) -> DataFrame:
-    """(bucket, entry) of all buckets to be compared."""
+def buckets(sets: DataFrame, small: int) -> DataFrame:
+    """(bucket, entry) of all buckets to be compared. Copies fall together when the taken tokens are
+    made distinct, which tasks begin before anything is shuffled."""
     path = lambda before: F.xxhash64(*before, "t.token")
-    level = entries.select("entry", F.explode("level1").alias("t")).select("entry", F.col("t.run").alias("run"), path([F.col("t.run")]).alias("bucket")).distinct()
+    level = sets.select("entry", F.explode("level1").alias("t")).select("entry", F.col("t.run").alias("run"), path([F.col("t.run")]).alias("bucket")).distinct()
     out = None
     for depth, column in enumerate(("level2", "level3", None)):
         level = materialize(crowded(level))
@@ -139,7 +140,8 @@ def buckets(entries: DataFrame, small: int) -> DataFrame:
         out = done if out is None else out.unionByName(done)
         if column:
             open_ = level.where(F.col("many") > small).select("bucket", "entry", "run")
-            deeper = open_.join(entries.select("entry", column), "entry").select("entry", "run", "bucket", F.explode(column).alias("t")).where("t.run = run")
+            taken = sets.join(open_.select("entry").distinct(), "entry", "left_semi").select("entry", F.explode(column).alias("t")).distinct()
+            deeper = open_.join(taken.select("entry", F.col("t.run").alias("run"), "t"), ["entry", "run"])
             level = deeper.select("entry", "run", path([F.col("bucket"), F.lit(depth)]).alias("bucket")).distinct()
     return out
 
@@ -285,9 +287,7 @@ def near_duplicates(
     sets = materialize(table_of_sets(rows, n, runs_for(target_recall), similarity))
     some = sets.where(F.col("entry").isNotNull())
     entries = materialize(some.groupBy("entry").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
-    first = entries.select("row", F.col("entry").alias("_e"))
-    unique = sets.select("row", "entry", "level1", "level2", "level3").join(first.select("row"), "row", "left_semi").drop("row")
-    members = materialize(buckets(materialize(unique), small))
+    members = materialize(buckets(some, small))
     named = members.groupBy("bucket").agg(F.min("entry").alias("group"))
     groups = materialize(members.join(named, "bucket").select("group", "entry").distinct())
     mine = groups.groupBy("entry").agg(F.sort_array(F.collect_list("group")).alias("groups"))
