@@ -28,9 +28,10 @@ from relspark.llm.words import grams, words
 
 N, SIMILARITY = 5, 0.8
 #: Expected number of tokens that two sets at the threshold share and take, at each level of a path.
-TAKEN = (1.0, 2.0, 2.0)
+TAKEN = (1.0, 1.5, 1.5)
 TARGET_RECALL = 0.99
-SMALL = 256  # a bucket of more entries is split, as long as paths may grow
+SMALL = 1_024  # a bucket of more entries is split, as long as paths may grow
+DENSE = 0.5  # not if this share of them has one token of least rank: most pairs are links, and splitting would keep them together
 BLOCK_SETS, BLOCK_TOKENS = 1_024, 1 << 20
 RARE = 16  # tokens that fewer sets share are counted pair by pair, others by products
 
@@ -84,7 +85,7 @@ def take_tokens(doc: np.ndarray, code: np.ndarray, size: np.ndarray, runs: int,
     return [tuple(np.concatenate(c) for c in zip(*t)) for t in taken]
 
 
-FIELDS = "entry long, size int, tokens binary, level1 array<struct<run:int,token:long>>, level2 array<struct<run:int,token:long>>, level3 array<struct<run:int,token:long>>"
+FIELDS = "entry long, size int, tokens binary, level1 array<struct<run:int,token:long>>, level2 array<struct<run:int,token:long>>, level3 array<struct<run:int,token:long>>, least long"
 
 
 def table_of_sets(rows: DataFrame, n: int, runs: int, similarity: float) -> DataFrame:
@@ -112,8 +113,11 @@ def table_of_sets(rows: DataFrame, n: int, runs: int, similarity: float) -> Data
                     ends = np.searchsorted(doc[at], np.arange(n_docs + 1)).astype(np.int32)
                     values = pa.StructArray.from_arrays([pa.array(which.astype(np.int32)), pa.array(code[at].view(np.int64))], fields=list(pair))
                     levels.append(pa.ListArray.from_arrays(pa.array(ends), values))
+                least = np.zeros(n_docs, np.int64)
+                full = size > 0
+                least[full] = np.minimum.reduceat(mix64(code ^ np.uint64(0x2545F4914F6CDD1D)), first[:-1][full]).view(np.int64) if full.any() else 0
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("row"), some.column("id"), pa.array(entry, mask=size == 0), pa.array(size.astype(np.int32)), pa.array(tokens, pa.binary()), *levels],
+                    [some.column("row"), some.column("id"), pa.array(entry, mask=~full), pa.array(size.astype(np.int32)), pa.array(tokens, pa.binary()), *levels, pa.array(least)],
                     [f.name for f in schema.fields],
                 )
 
@@ -139,7 +143,11 @@ def buckets(sets: DataFrame, small: int) -> DataFrame:
         done = done.select("bucket", "entry")
         out = done if out is None else out.unionByName(done)
         if column:
-            open_ = level.where(F.col("many") > small).select("bucket", "entry", "run")
+            large = level.where(F.col("many") > small)
+            alike = large.join(sets.select("entry", "least").distinct(), "entry").groupBy("bucket", "least").agg(F.count("*").alias("n"), F.max("many").alias("many"))
+            dense = alike.where(F.col("n") >= DENSE * F.col("many")).select("bucket").distinct()
+            out = out.unionByName(large.join(dense, "bucket", "left_semi").select("bucket", "entry"))
+            open_ = large.join(dense, "bucket", "left_anti").select("bucket", "entry", "run")
             taken = sets.join(open_.select("entry").distinct(), "entry", "left_semi").select("entry", F.explode(column).alias("t")).distinct()
             deeper = open_.join(taken.select("entry", F.col("t.run").alias("run"), "t"), ["entry", "run"])
             level = deeper.select("entry", "run", path([F.col("bucket"), F.lit(depth)]).alias("bucket")).distinct()
