@@ -196,18 +196,20 @@ def shared(a_sets: list[np.ndarray], b_sets: list[np.ndarray] | None) -> np.ndar
 def earlier(a: list[list[int]], b: list[list[int]] | None, group: int) -> np.ndarray | bool:
     """Which pairs are together in a group before this one, too."""
     lists = a if b is None else a + b
-    known = {g: i for i, g in enumerate(sorted({g for gs in lists for g in gs if g < group}))}
-    if not known:
+    member = np.repeat(np.arange(len(lists)), [len(gs) for gs in lists])
+    of = np.fromiter((g for gs in lists for g in gs), np.int64, len(member))
+    member, of = member[of < group], of[of < group]
+    _, column, many = np.unique(of, return_inverse=True, return_counts=True)
+    common = many >= 2
+    member, column = member[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    if not len(member):
         return False
-    matrix = np.zeros((len(lists), len(known)), np.float32)
-    for i, gs in enumerate(lists):
-        for g in gs:
-            if g < group:
-                matrix[i, known[g]] = 1
-    left, right = matrix[: len(a)], matrix if b is None else matrix[len(a) :]
-    out = np.zeros((len(left), len(right)), bool)
-    for lo in range(0, matrix.shape[1], 4_096):
-        out |= left[:, lo : lo + 4_096] @ right[:, lo : lo + 4_096].T > 0
+    out = np.zeros((len(a), len(lists) if b is None else len(b)), bool)
+    for lo in range(0, int(column.max()) + 1, 2_048):
+        here = (column >= lo) & (column < lo + 2_048)
+        matrix = np.zeros((len(lists), 2_048), np.float32)
+        matrix[member[here], column[here] - lo] = 1
+        out |= matrix[: len(a)] @ (matrix if b is None else matrix[len(a) :]).T > 0
     return out
 
 
