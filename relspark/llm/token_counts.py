@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from relspark.llm.common import passes
+
 #: Parts, in this order: letters with one blank before them, up to punctuation or white
 #: space; punctuation up to white space; else white space and all up to the next. A part
 #: ends only before white space of every Unicode version (or before punctuation after
@@ -100,7 +102,7 @@ def count_tokens(
 
     def rare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
-        for batch in batches:
+        for batch in (some for whole in batches for some in passes(whole, "_text")):
             found: set[str] = set()
             for text in batch.column(0).to_pylist():
                 found.update(parts_of(text or ""))
@@ -109,7 +111,7 @@ def count_tokens(
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document a row without a part: what the head table gives; and a row for each other part."""
         known = head.value
-        for batch in batches:
+        for batch in (some for whole in batches for some in passes(whole, "_text")):
             rows, own, parts, freqs = [], [], [], []
             for i, text in enumerate(batch.column("_text").to_pylist()):
                 total = 0
