@@ -16,7 +16,8 @@ FILES = {"n": "noun", "v": "verb", "a": "adj", "r": "adv"}
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without those of the licence, which begin with a blank."""
+    """Lines without those of the licence, which begin with a blank. Spark may look into a line's
+    fields before it drops the line, so the readers below ask for fields that need not be there."""
     return spark.read.text(path).where("value <> '' and not startswith(value, ' ')")
 
 
@@ -27,21 +28,21 @@ def plain_pos(pos):
 def read_data(spark: SparkSession, folder: str, pos: str) -> DataFrame:
     """(pos, id, words, pointers array<struct<rel, dst, dst_pos, src_no, dst_no>>, gloss) of data.POS."""
     parts = F.split("value", r" \| ?", 2)
-    f = F.split(F.trim(F.element_at(parts, 1)), " ")
+    f = F.split(F.trim(F.get(parts, F.lit(0))), " ")
     rows = lines(spark, f"{folder}/data.{FILES[pos]}").select(f.alias("f"), F.coalesce(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("gloss"))
-    n = F.conv(F.col("f")[3], 16, 10).cast("int")
-    rows = rows.withColumn("n", n).withColumn("p", F.element_at("f", F.col("n") * 2 + 5).cast("int"))
-    word = lambda i: F.regexp_replace(F.element_at("f", i * 2 + 5), r"\((?:a|p|ip)\)$", "")
+    n = F.conv(F.get("f", F.lit(3)), 16, 10).cast("int")
+    rows = rows.withColumn("n", n).withColumn("p", F.try_element_at("f", F.col("n") * 2 + 5).try_cast("int"))
+    word = lambda i: F.regexp_replace(F.try_element_at("f", i * 2 + 5), r"\((?:a|p|ip)\)$", "")
     none = F.array().cast("array<int>")
     counted = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(none)
     names = F.create_map(*(F.lit(x) for kv in POINTERS.items() for x in kv))
-    at = lambda i, k: F.element_at("f", F.col("n") * 2 + 6 + i * 4 + k)
+    at = lambda i, k: F.try_element_at("f", F.col("n") * 2 + 6 + i * 4 + k)
     pointer = lambda i: F.struct(
-        F.try_element_at(names, at(i, 0)).alias("rel"), at(i, 1).cast("long").alias("dst"), plain_pos(at(i, 2)).alias("dst_pos"),
+        F.try_element_at(names, at(i, 0)).alias("rel"), at(i, 1).try_cast("long").alias("dst"), plain_pos(at(i, 2)).alias("dst_pos"),
         F.conv(F.substring(at(i, 3), 1, 2), 16, 10).cast("int").alias("src_no"), F.conv(F.substring(at(i, 3), 3, 2), 16, 10).cast("int").alias("dst_no"),
     )
     return rows.select(
-        F.lit(pos).alias("pos"), F.col("f")[0].cast("long").alias("id"), F.transform(counted(F.col("n")), word).alias("words"), F.transform(counted(F.col("p")), pointer).alias("pointers"), "gloss",
+        F.lit(pos).alias("pos"), F.get("f", F.lit(0)).try_cast("long").alias("id"), F.transform(counted(F.col("n")), word).alias("words"), F.transform(counted(F.col("p")), pointer).alias("pointers"), "gloss",
     )
 
 
@@ -49,7 +50,7 @@ def read_index(spark: SparkSession, folder: str, pos: str) -> DataFrame:
     """(word, pos, ids): all words of index.POS, with their concepts in the order of their senses."""
     f = F.split(F.trim("value"), " +")
     rows = lines(spark, f"{folder}/index.{FILES[pos]}").select(f.alias("f"))
-    return rows.select(F.col("f")[0].alias("word"), F.lit(pos).alias("pos"), F.transform(F.slice("f", F.size("f") - F.col("f")[2].cast("int") + 1, F.col("f")[2].cast("int")), lambda x: x.cast("long")).alias("ids"))
+    return rows.select(F.get("f", F.lit(0)).alias("word"), F.lit(pos).alias("pos"), F.transform(F.slice("f", F.size("f") - F.get("f", F.lit(2)).try_cast("int") + 1, F.get("f", F.lit(2)).try_cast("int")), lambda x: x.try_cast("long")).alias("ids"))
 
 
 def compounds(words: DataFrame) -> DataFrame:
