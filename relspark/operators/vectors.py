@@ -11,10 +11,8 @@ def term_frequencies(tokens: DataFrame) -> DataFrame:
     return per_doc.groupBy("word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
-def tf_idf(terms: DataFrame, n_docs: int | DataFrame) -> DataFrame:
+def tf_idf(terms: DataFrame, n_docs: float) -> DataFrame:
     """terms with tfidf: tf x ln(documents / df)."""
-    if isinstance(n_docs, DataFrame):
-        return terms.crossJoin(F.broadcast(n_docs.select(F.col(n_docs.columns[0]).alias("_n")))).withColumn("tfidf", F.col("tf") * F.ln(F.col("_n") / F.col("df"))).drop("_n")  # one row
     return terms.withColumn("tfidf", F.col("tf") * F.ln(F.lit(float(n_docs)) / F.col("df")))
 
 
@@ -28,7 +26,7 @@ def cooccurrence(tokens: DataFrame) -> DataFrame:
 
 
 def build_vectors(
-    tokens: DataFrame, n_docs: int | DataFrame, stop: DataFrame | None = None, chigh: int | None = None, clow: int | None = None,
+    tokens: DataFrame, n_docs: int, stop: DataFrame | None = None, chigh: int | None = None, clow: int | None = None,
     rhigh: int | None = None, rlow: int | None = None, cutoff: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """dims (word, tf, df) and vectors (word, dim, cnt); a dimension is named by its word.

@@ -18,6 +18,8 @@ from relspark.lexicon import UNRELATED, Lexicon, materialize
 from relspark.operators import information as info, paths as pt, relations as rel, senses as sn, vectors as vec, walks
 
 Relation = tuple[list[str], list[str], float]
+#: A stop list goes to every task, so it must be a list and not a table.
+MAX_STOP_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class Config:
     text_size: int | None = None  # vector keeps one word more
     fold_case: bool = True
     max_random: float = 1.0
-    trace: int = 0
+    trace: bool = False  # a column of all ways between the concepts, for measures on the taxonomy
 
 
 @dataclass(frozen=True)
@@ -78,13 +80,24 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
     made = m.run(lexicon, fit.select(*KEYS, *words).distinct(), config)
     joined = pairs.join(made, [*KEYS, *(words if name == "hso" else [])], "left").withColumn("_f", fixed).withColumn("_l", level).withColumn("_m", message)
     lost = by_path & F.col("score").isNull() & (F.col("_l") == 0) if by_path else F.lit(False)
+    traced = []
+    if config.trace and by_path:
+        joined, traced = joined.join(traces(lexicon, fit, config), KEYS, "left"), [F.col("trace")]
     return joined.select(
         *pairs.columns,
         F.when(F.col("_l") > 0, F.col("_f")).when(lost, UNRELATED).otherwise(F.col("score")).alias("score"),
-        F.when(lost, 1).otherwise(F.col("_l")).alias("err_level"), F.when(lost, F.lit("No path between the concepts.")).otherwise(F.col("_m")).alias("err_msg"),
+        F.when(lost, 1).otherwise(F.col("_l")).alias("err_level"), F.when(lost, F.lit("No path between the concepts.")).otherwise(F.col("_m")).alias("err_msg"), *traced,
     )
 
 
+def traces(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
+    """pos_a, a, pos_b, b, trace: every way from a to b as `nodes (len)`, shortest first."""
+    p = same_pos(pairs)
+    way = F.format_string("%s (%d)", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"), "len")
+    ways = pt.all_paths(p, member_paths(lexicon, p, config)).groupBy("pos", "a", "b").agg(F.array_sort(F.collect_set(F.struct("len", way.alias("w")))).alias("ws"))
+    return ways.select(F.col("pos").alias("pos_a"), "a", F.col("pos").alias("pos_b"), "b", F.array_join(F.transform("ws", lambda x: x["w"]), "; ").alias("trace"))
+
+
 def same_pos(pairs: DataFrame) -> DataFrame:
     """The distinct pairs, written: every step below reads them."""
     return materialize(pairs.select(F.col("pos_a").alias("pos"), "a", "b").distinct())
@@ -211,7 +224,12 @@ def joined_texts(lexicon: Lexicon, relations: list[Relation], pairs: DataFrame)
 @measure("lesk", sn.ALL_POS)
 def lesk(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Weighted sum over the relations of the squared lengths of shared phrases."""
-    stop = [r["word"] for r in config.stop.limit(100_000).collect()] if config.stop is not None else []  # a word list
+    stop: list[str] = []
+    if config.stop is not None:
+        for row in config.stop.select("word").distinct().toLocalIterator():
+            stop.append(row["word"])
+            if len(stop) > MAX_STOP_WORDS:
+                raise ValueError(f"a stop list of over {MAX_STOP_WORDS} words")
     both = joined_texts(lexicon, config.relations, pairs)
     once = both.select("text_a", "text_b").distinct().withColumn("f", overlap_score(F.col("text_a"), F.col("text_b"), stop, config.normalize))
     return both.join(once, ["text_a", "text_b"]).groupBy(*KEYS).agg(F.sum(F.col("weight") * F.col("f")).alias("score"))

@@ -52,7 +52,7 @@ def term_frequency(spark, d):
 
 
 def tfidf(spark, d):
-    n = table(spark, d, "documents").agg(F.count("*").cast("double").alias("n"))
+    n = table(spark, d, "documents").count()
     return vec.tf_idf(vec.term_frequencies(corpus_tokens(spark, d)), n).select("word", rounded(F.col("tfidf"), 4).alias("tfidf"))
 
 

@@ -98,6 +98,11 @@ def test_cycles(spark):
         make(spark, [(1, 2), (2, 1)], {1: 1})
 
 
+def test_trace(spark):
+    lexicon, _ = make(spark, MF0)
+    assert scores(spark, lexicon, [(7, 6)], "path", ms.Config(trace=True))[7, 6]["trace"] == "7>6 (2); 7>4>2>1>3>6 (6)"
+
+
 def test_parts_of_speech(spark):
     lexicon, _ = make(spark, MF0)
     frame = spark.createDataFrame([("n", 4, "v", 4), ("a", 1, "a", 1), ("a", 1, "n", 1)], "pos_a string, a long, pos_b string, b long")
