@@ -122,10 +122,11 @@ def stop_filter(spark, d):
 
 
 def stop_filter_compound(spark, d):
-    """Words of document lines' beginnings joined by pairs; those of stop words only go."""
-    pairs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
-    two = pairs.select(F.regexp_replace(F.lower(F.regexp_extract("line", r"^([A-Za-z]+ [A-Za-z]+)", 1)), " ", "_").alias("word")).where("word <> ''").distinct()
-    return sn.drop_stop_compounds(two.withColumn("key", F.col("word")), stop_words(spark), "key").select("word")
+    """Neighbouring words of all documents as compounds; those of stop words only go."""
+    ws = table(spark, d, "documents").select(tx.words(tx.corpus_words(F.col("text"))).alias("ws"))
+    two = ws.select(F.explode(F.arrays_zip(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", F.lit(2), F.size("ws")).alias("b"))).alias("p"))
+    joined = two.select(F.concat_ws("_", "p.a", "p.b").alias("word")).distinct()
+    return sn.drop_stop_compounds(joined.withColumn("key", F.col("word")), stop_words(spark), "key").select("word")
 
 
 def freq_count(resnik: bool):
@@ -261,7 +262,7 @@ ORACLE_SQL = {
     "sim_vector": _COS, "sim_vector_pairs": _COS,
     "embedding_cosine": "SELECT x.vec_id, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]) * list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 6) + 0.0 AS score FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",
     "stop_filter": f"WITH {_TOKENS} SELECT word, count(*)::BIGINT AS n FROM tokens WHERE word NOT IN ({_STOP}) GROUP BY word",
-    "stop_filter_compound": f"SELECT DISTINCT word FROM (SELECT replace(lower(regexp_extract(line, '^([A-Za-z]+ [A-Za-z]+)', 1)), ' ', '_') AS word FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE word <> '' AND NOT (split_part(word, '_', 1) IN ({_STOP}) AND split_part(word, '_', 2) IN ({_STOP}))",
+    "stop_filter_compound": f"WITH w AS (SELECT {_split(_numbers('text'))} AS ws FROM documents) SELECT DISTINCT a || '_' || b AS word FROM (SELECT unnest(ws[1:len(ws) - 1]) AS a, unnest(ws[2:len(ws)]) AS b FROM w WHERE len(ws) > 1) WHERE NOT (a IN ({_STOP}) AND b IN ({_STOP}))",
     "freq_count": f"WITH {_SENSES}, {_COUNTED} SELECT 'n' AS pos, id, round(sum(n)::DOUBLE, 6) + 0.0 AS freq FROM c JOIN senses USING (word) GROUP BY id",
     "freq_resnik": f"WITH {_SENSES}, {_COUNTED} SELECT 'n' AS pos, id, round(sum(n::DOUBLE / m), 6) + 0.0 AS freq FROM c JOIN senses USING (word) JOIN k USING (word) GROUP BY id",
     "all_senses": f"{_SCORED} SELECT * FROM scored",
