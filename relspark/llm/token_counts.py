@@ -12,9 +12,10 @@ join. The sample decides only which way a part takes, not the counts.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -55,11 +56,20 @@ def piece_counts(path: str, parts: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer(path).encode_batch(parts, add_special_tokens=False)]
 
 
-def parts_of(text: str) -> list[str]:
-    return PART.findall(text)
+def cuts(path: str) -> Callable[[str], list[str]]:
+    """How texts are cut for a tokenizer: at PART for byte-level ones that change nothing before
+    they split and whose special strings hold no white space; else a text is a single part."""
+    if path.endswith(".json"):
+        with open(path) as f:
+            j = json.load(f)
+        split, added = j.get("pre_tokenizer") or {}, j.get("added_tokens") or []
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not j.get("normalizer")
+        if plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in added):
+            return PART.findall
+    return lambda text: [text] if text else []
 
 
-def head_table(docs: DataFrame, text: str, path: str, head_size: int, sample_docs: int) -> dict[str, int]:
+def head_table(docs: DataFrame, text: str, path: str, parts_of: Callable[[str], list[str]], head_size: int, sample_docs: int) -> dict[str, int]:
     """Counts of at most head_size parts, the most frequent in the first sample_docs documents of each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +106,8 @@ def count_tokens(
     """
     spark = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"), F.col(text_col).alias("_text"))
-    if path.endswith(".model"):
-        raise ValueError("a sentencepiece model marks the start of a text and has no such parts; count whole texts with piece_counts")
-    head = spark.sparkContext.broadcast(head_table(base, "_text", path, head_size, sample_docs))
+    parts_of = cuts(path)
+    head = spark.sparkContext.broadcast(head_table(base, "_text", path, parts_of, head_size, sample_docs))
 
     def rare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value

@@ -51,6 +51,15 @@ def test_token_counts(docs, rows, ids):
     same(got.collect(), [(d, len((t or "").encode()), len(i)) for (d, t), i in zip(rows, ids)])
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_other_tokenizers(docs, rows, name):
+    some = docs.where("doc_id < 40 or doc_id is null")
+    path = queries.tokenizer_path(name)
+    counts = token_counts.piece_counts(path, [r["text"] or "" for r in some.collect()])
+    got = token_counts.count_tokens(some, path, head_size=50, sample_docs=5)
+    same([(r["doc_id"], r["n_tokens"]) for r in got.collect()], list(zip([r["doc_id"] for r in some.collect()], counts)))
+
+
 def test_packing(docs, rows, ids):
     got = queries.pack_documents(docs).collect()
     expected = []
