@@ -251,7 +251,12 @@ _COUNTED = f"c AS (SELECT {dl.SQL_MODEL} AS word, count(*) AS n FROM lineitem JO
 _WPS = "wps AS (SELECT DISTINCT unnest([w, w || '#n', w || '#n#1', w || '#x#1', w || '#n#one', w || '#n#999999', '', w || '#n#1#2']) AS wps FROM (SELECT " + dl.SQL_MODEL + " AS w FROM part))"
 _LINES = "lines AS (SELECT p_partkey, unnest([p_name, p_name || ' // note', '# ' || p_name, p_name || ' more', '//']) AS value FROM part), bare AS (SELECT p_partkey, value, trim(regexp_replace(regexp_replace(value, '^\\s*#.*$', ''), '//.*$', '')) AS t FROM lines)"
 
+_MARKS = tx.MARKS.replace("'", "''")
+# Look-arounds by captures: of a run of apostrophes only the first can stay, and only between word characters.
+_CLEAN = f"lower(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '{_MARKS}', '{' ' * len(tx.MARKS)}'), '(^|[^\\w''])''+', '\\1', 'g'), '(\\w'')''+', '\\1', 'g'), '''([^\\w]|$)', '\\1', 'g'), '--', ' '), '\\s+', ' ', 'g')))"
+
 ORACLE_SQL = {
+    "gloss_clean": f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents",
     "corpus_normalise": f"SELECT conv_id, turn, {_numbers('text')} AS words FROM conversations",
     "gloss_examples": "SELECT page_id, len(x)::BIGINT AS n, md5(array_to_string(x, '|')) AS examples, md5(split_part(html, '\"', 1)) AS definition FROM (SELECT page_id, html, regexp_extract_all(html, '\"([^\"]*)\"', 1) AS x FROM pages)",
     "term_frequency": f"WITH {_TOKENS} SELECT word, count(*)::BIGINT AS tf, count(DISTINCT doc)::BIGINT AS df FROM tokens GROUP BY word",
