@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from relspark.llm.common import materialize, mix64, passes, text_buffer
+from relspark.llm.common import materialize, mix64, passes, release, text_buffer
 from relspark.llm.words import grams, words
 
 N, SIMILARITY = 5, 0.8
@@ -85,6 +85,18 @@ def take_tokens(doc: np.ndarray, code: np.ndarray, size: np.ndarray, runs: int,
     return [tuple(np.concatenate(c) for c in zip(*t)) for t in taken]
 
 
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as their differences, byte by byte: all lowest bytes first. The
+    differences of a set of some hundred numbers leave most of the highest bytes zero, which compresses."""
+    steps = np.diff(tokens.astype("<u4"), prepend=np.zeros(1, "<u4"))
+    return np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_tokens(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 FIELDS = "entry long, size int, tokens binary, level1 array<struct<run:int,token:long>>, level2 array<struct<run:int,token:long>>, level3 array<struct<run:int,token:long>>, least long"
 
 
@@ -105,7 +117,7 @@ def table_of_sets(rows: DataFrame, n: int, runs: int, similarity: float) -> Data
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(code), dtype=np.uint64)])
                 entry = mix64(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64)
                 low = (code >> np.uint64(32)).astype("<u4")
-                tokens = [low[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                tokens = [pack_tokens(low[a:b]) for a, b in zip(first[:-1], first[1:])]
                 levels = []
                 for at, which in take_tokens(doc, code, size, runs, similarity):
                     order = np.argsort(doc[at], kind="stable")
@@ -244,7 +256,7 @@ def compare(similarity: float):
         parts = [np.flatnonzero(block == i)] if i == j else [np.flatnonzero(block == b) for b in (i, j)]
         entry, copies = members.column("entry").to_numpy(), members.column("copies").to_numpy()
         tokens, groups = members.column("tokens").to_pylist(), members.column("groups").to_pylist()
-        sets = [[np.frombuffer(tokens[k], "<u4") for k in p] for p in parts]
+        sets = [[unpack_tokens(tokens[k]) for k in p] for p in parts]
         size = [np.array([len(s) for s in part], np.float64) for part in sets]
         lists = [[groups[k] for k in p] for p in parts]
         a, b = parts[0], parts[-1]
@@ -321,9 +333,12 @@ def near_duplicates(
     result = materialize(known.join(classes, "root").select("entry", "class_row", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     # Rows without an entry meet nothing; the salt keeps them from one task.
     own = sets.select("row", "id", "entry", F.when(F.col("entry").isNull(), F.col("row") % 4096).otherwise(0).alias("salt"))
-    return own.join(result.withColumn("salt", F.lit(0).cast("long")), ["entry", "salt"], "left").select(
+    found_rows = materialize(own.join(result.withColumn("salt", F.lit(0).cast("long")), ["entry", "salt"], "left").select(
         "row", "id", F.coalesce("class_row", "row").alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    ))
+    for done in (sets, entries, members, groups, found, result):  # their rows are in the result now
+        release(done)
+    return found_rows
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -331,7 +346,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     null if none has one. Null and repeated ids are kept; repeated rows are copies, linked like any
     others. Other columns are not read. An empty table gives an empty result."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = materialize(near_duplicates(rows, **options))
+    found = near_duplicates(rows, **options)
     least = found.groupBy("class_row").agg(F.min("id").alias("class_id"))
     return found.join(least, "class_row").select(F.col("id").alias(id_col), "class_id", "n_links")
 
