@@ -357,4 +357,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
     keep = near_duplicates(rows, **options).groupBy("class_row").agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row"))
-    return numbered.join(keep, "_row", "left_semi").select(*docs.columns)
+    # Both sides grow with the documents: a sort-merge join at every size, so that what is moved grows alike.
+    return numbered.join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
