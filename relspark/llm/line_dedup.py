@@ -49,15 +49,19 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     # Written first, so that Spark plans the join by the lists' real size: it broadcasts them below
     # its limit, and no text is shuffled; else it sorts and merges, and splits the hot hosts.
     keys = materialize(boilerplate(docs, host, text, ratio, min_pages))
-    joined = docs.drop("n_lines", "n_dropped").join(keys, docs[host] == F.col("_host"), "left")
-    lines = F.split(text, "\n", -1)
+    # The row travels as one struct, so that no column of docs meets a name used here.
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), docs[host].alias("_site"), docs[text].alias("_text"))
+    joined = rows.join(keys, F.col("_site") == F.col("_host"), "left")
+    lines = F.split("_text", "\n", -1)
     kept = F.when(F.col("_keys").isNull(), lines).otherwise(
         F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_keys"), line_key(x)))
     )
     whole = joined.withColumn("_lines", F.size(lines)).withColumn("_kept", kept)
-    count = lambda c: F.coalesce(F.when(F.col(text).isNotNull(), c), F.lit(0)).cast("long")
+    count = lambda c: F.coalesce(F.when(F.col("_text").isNotNull(), c), F.lit(0)).cast("long")
+    cut = F.when(F.col("_keys").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
     return whole.select(
-        *(F.when(F.col("_keys").isNull(), F.col(c)).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
+        *((cut if c == text else F.col("_doc")[c]).alias(c) for c in names),
         count(F.col("_lines")).alias("n_lines"), count(F.col("_lines") - F.size("_kept")).alias("n_dropped"),
     )
 

@@ -353,9 +353,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of near duplicates, with all its columns: the one with the smallest id, nulls last."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers hold
-    rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")  # so that no column of docs meets a name used here
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole))  # written, so that the numbers hold
+    rows = numbered.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
-    keep = near_duplicates(rows, **options).groupBy("class_row").agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row"))
+    keep = near_duplicates(rows, **options).groupBy("class_row").agg(F.min(order).alias("first")).select(F.col("first.c").alias("row"))
     # Both sides grow with the documents: a sort-merge join at every size, so that what is moved grows alike.
-    return numbered.join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return numbered.join(keep.hint("merge"), "row", "left_semi").select("doc.*")

@@ -245,6 +245,9 @@ def test_line_dedup(spark, docs):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     out = {(r["doc_id"], r["source"]): r for r in got.collect()}
     assert got.columns == ["doc_id", "text", "source", "key", "n_lines", "n_dropped"] and len(out) == len(rows)
+    clash = frame.withColumnsRenamed({"key": "_host", "n_lines": "_keys"}).withColumn("_kept", frame.text).withColumn("_doc", frame.doc_id)
+    again = line_dedup.drop_boilerplate(clash)
+    assert again.columns == [*clash.columns, "n_lines", "n_dropped"] and sorted(map(str, again.select("doc_id", "text").collect())) == sorted(map(str, got.select("doc_id", "text").collect()))
     assert out[1, "a.org"]["text"] == "body 1\n" and out[1, "a.org"]["n_dropped"] == 2
     assert out[100, "b.org"]["text"] == "Cookie notice\nrest" and out[None, None]["text"] == "Cookie notice"
     assert out[207, "a.org"]["text"] is None and out[207, "a.org"]["n_lines"] == 0 and out[208, "a.org"]["text"] == ""
