@@ -54,14 +54,15 @@ def walk(starts: DataFrame, steps: DataFrame, kinds: tuple[str, ...], back: bool
     zero = F.lit(0)
     level = starts.select(F.col("pos").alias("start_pos"), F.col("id").alias("start"), "pos", "id", zero.alias("n0"), zero.alias("n1")).distinct()
     out = level
-    for _ in range(MAX_LINKS):
+    for n in range(1, MAX_LINKS + 1):
         met = level.join(step, (F.col("pos") == F.col("_pos")) & (F.col("id") == F.col("_id")))
         may = ((F.col("dir") == kinds[0]) & (F.col("n1") == 0)) | (F.col("dir") == kinds[1])
         level = met.where(may).select(
             "start_pos", "start", F.col("_to_pos").alias("pos"), F.col("_to").alias("id"),
             (F.col("n0") + F.when(F.col("dir") == kinds[0], 1).otherwise(0)).alias("n0"), (F.col("n1") + F.when(F.col("dir") == kinds[1], 1).otherwise(0)).alias("n1"),
         ).distinct()
-        level = materialize(level)  # read twice, by the next step and the result
+        if n < MAX_LINKS:
+            level = materialize(level)  # read twice, by the next step and the result
         out = out.unionByName(level)
     return out
 
@@ -72,13 +73,13 @@ def medium_strong(pairs: DataFrame, steps: DataFrame) -> DataFrame:
     ahead = walk(own.select(F.col("pos_a").alias("pos"), F.col("a").alias("id")), steps, ("U", "H"))
     ahead = ahead.select(F.col("start_pos").alias("pos_a"), F.col("start").alias("a"), F.col("pos").alias("m_pos"), F.col("id").alias("m"), F.col("n0").alias("up"), F.col("n1").alias("along"))
     ends = own.select(F.col("pos_b").alias("pos"), F.col("b").alias("id"))
-    back = walk(ends, steps, ("D", "D"), back=True)
-    back = back.select(F.col("start_pos").alias("pos_b"), F.col("start").alias("b"), F.col("pos").alias("m_pos"), F.col("id").alias("m"), F.greatest("n0", "n1").alias("down"))
-    met = own.join(ahead, ["pos_a", "a"]).join(back, ["pos_b", "b", "m_pos", "m"]).select("pos_a", "a", "pos_b", "b", "up", "along", "down", F.lit(False).alias("last"))
-    # Down, then along: backwards that is along, then down to the first concept itself.
-    round_ = walk(ends, steps, ("H", "D"), back=True)
-    round_ = round_.select(F.col("start_pos").alias("pos_b"), F.col("start").alias("b"), F.col("pos").alias("pos_a"), F.col("id").alias("a"), F.col("n0").alias("along"), F.col("n1").alias("down"))
-    turned = own.join(round_.where("along > 0 and down > 0"), ["pos_a", "a", "pos_b", "b"])
+    # Backwards from the second concept: along, then down. What went down only meets the walks from the first.
+    back = walk(ends, steps, ("H", "D"), back=True)
+    back = back.select(F.col("start_pos").alias("pos_b"), F.col("start").alias("b"), F.col("pos").alias("m_pos"), F.col("id").alias("m"), F.col("n0").alias("h"), F.col("n1").alias("down"))
+    met = own.join(ahead, ["pos_a", "a"]).join(back.where("h = 0").drop("h"), ["pos_b", "b", "m_pos", "m"]).select("pos_a", "a", "pos_b", "b", "up", "along", "down", F.lit(False).alias("last"))
+    # Down, then along: backwards that reaches the first concept itself.
+    round_ = back.where("h > 0 and down > 0").select(F.col("m_pos").alias("pos_a"), F.col("m").alias("a"), "pos_b", "b", F.col("h").alias("along"), "down")
+    turned = own.join(round_, ["pos_a", "a", "pos_b", "b"])
     every = met.unionByName(turned.select("pos_a", "a", "pos_b", "b", F.lit(0).alias("up"), "along", "down", F.lit(True).alias("last")))
     legal = every.where(f"up + along + down between 2 and {MAX_LINKS}")
     return legal.groupBy("pos_a", "a", "pos_b", "b").agg(F.max(score(F.col("up"), F.col("along"), F.col("down"), F.col("last"))).cast("double").alias("score"))

@@ -131,7 +131,7 @@ def ic_table(spark, d):
 def sim(name: str, root_node: bool = True):
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = ms.Config(root_node=root_node, counts=counts(spark, d) if name in ("res", "lin", "jcn") else None)
-        out = ms.score(dl.lexicon(spark, d), dl.pairs(spark, d), name, config)
+        out = ms.score(dl.lexicon(spark, d), materialize(dl.pairs(spark, d)), name, config)
         return out.select("a", "b", rounded(F.col("score")).alias("score"), F.col("err_level").cast("long").alias("err_level"))
 
     return run
@@ -177,7 +177,7 @@ def hso_pairs(spark, d):
 
 
 def sim_hso(spark, d):
-    return ms.score(dl.lexicon(spark, d), hso_pairs(spark, d), "hso").select("pos_a", "a", "pos_b", "b", "score")
+    return ms.score(dl.lexicon(spark, d), materialize(hso_pairs(spark, d)), "hso").select("pos_a", "a", "pos_b", "b", "score")
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relspark.functions import compounds as cp, text as tx
+from relspark.lexicon import materialize
 from relspark.operators import information as info, relations as rel, senses as sn, vectors as vec
 from relspark.plans import driver_lexicon as dl, measures as ms
 from relspark.plans.taxonomy_queries import counts, rounded
@@ -82,7 +83,7 @@ def sim_gloss(name: str, config=None):
     def run(spark, d):
         base = ms.Config(vectors=part_vectors(spark, d) if name.startswith("vector") else None)
         given = (config or (lambda c: c))(base)
-        return ms.score(dl.lexicon(spark, d), part_pairs(spark, d), name, given).select("a", "b", rounded(F.col("score"), 6).alias("score"))
+        return ms.score(dl.lexicon(spark, d), materialize(part_pairs(spark, d)), name, given).select("a", "b", rounded(F.col("score"), 6).alias("score"))
 
     return run
 
