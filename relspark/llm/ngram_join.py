@@ -32,7 +32,7 @@ TAKEN = (1.0, 1.5, 1.5)
 TARGET_RECALL = 0.99
 SMALL = 1_024  # a bucket of more entries is split, as long as paths may grow
 DENSE = 0.5  # not if this share of them has one token of least rank: most pairs are links, and splitting would keep them together
-BLOCK_SETS, BLOCK_TOKENS = 1_024, 1 << 20
+BLOCK_SETS, BLOCK_TOKENS = 1_024, 1 << 19
 RARE = 16  # tokens that fewer sets share are counted pair by pair, others by products
 
 
@@ -251,7 +251,7 @@ def compare(similarity: float):
 
     def run(key: tuple, members: pa.Table) -> pa.Table:
         group, i, j = (k.as_py() for k in key)
-        members = members.sort_by("entry")
+        members = members.sort_by("entry")  # the rest of a group's memory: two blocks' tokens, and one number for each of their pairs
         block = members.column("block").to_numpy()
         parts = [np.flatnonzero(block == i)] if i == j else [np.flatnonzero(block == b) for b in (i, j)]
         entry, copies = members.column("entry").to_numpy(), members.column("copies").to_numpy()

@@ -26,7 +26,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept for later calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
