@@ -6,6 +6,10 @@ own rotations; a bucket is the axes of ``hashes`` of them. A query looks into th
 buckets of the ``probes`` axes nearest to it in each table, and all vectors found are
 ranked by their exact cosine.
 
+The probes give each query a score to beat. The cells of the first table's first axes
+part all vectors; a cell whose centre and angle show that it holds nothing as near is
+left, and the query looks into all others, so that results are exact and complete.
+
 Copies of a vector are one entry of the index, with as many of its smallest ids as a
 result can hold. Buckets are cut into blocks of bounded size, so a crowded bucket is
 many groups, and no group holds more than a block of vectors and a block of queries.
@@ -13,6 +17,7 @@ many groups, and no group holds more than a block of vectors and a block of quer
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +28,8 @@ from relspark.llm.common import materialize
 
 TABLES, HASHES, PROBES = 8, 1, 12
 BLOCK = 4_096
+#: Components that a ranking multiplies at once, and the slack of its products and of angles.
+PART, SLACK = 1 << 22, 1e-6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -73,6 +80,55 @@ def probed(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     return code
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def cells(x: np.ndarray) -> np.ndarray:
+    """The first table's first axis of each row: at most twice as many as (padded) components."""
+    return buckets(x, 0, 1)
+
+
+def cell_bounds(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells that hold vectors, a centre of each, and the largest angle of its vectors to it.
+    Tasks add up their rows; the driver gets one row for each cell."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = units(unpack(batch.column(0))) if batch.num_rows else np.zeros((0, 1))
+            code = cells(x) if len(x) else np.zeros(0, np.int64)
+            for c in np.unique(code).tolist():
+                sums[c] = sums.get(c, 0.0) + x[code == c].sum(0)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(list(sums), pa.int64()), "total": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    def merge(part: pa.Table) -> pa.Table:
+        return pa.table({"cell": part.column("cell").slice(0, 1), "total": pa.array([unpack(part.column("total")).sum(0).tobytes()], pa.binary())})
+
+    schema = "cell long, total binary"
+    rows = known.select("vector").mapInArrow(add, schema).groupBy("cell").applyInArrow(merge, schema).collect()
+    code = np.array([r["cell"] for r in rows], np.int64)
+    centre = np.vstack([np.frombuffer(r["total"], "<f8") for r in rows]) if rows else np.zeros((0, 1))
+    length = np.sqrt((centre * centre).sum(1, keepdims=True))
+    # Vectors that cancel out have no middle; any direction is a valid centre.
+    centre = np.where(length > 1e-9, centre / np.where(length > 1e-9, length, 1.0), np.eye(1, centre.shape[1]))
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far: dict[int, float] = {}
+        for batch in batches:
+            x = units(unpack(batch.column(0))) if batch.num_rows else np.zeros((0, 1))
+            own = cells(x) if len(x) else np.zeros(0, np.int64)
+            for at, c in enumerate(code.tolist()):
+                if (own == c).any():
+                    angle = float(np.arccos(np.clip(x[own == c] @ centre[at], -1, 1)).max())
+                    far[c] = max(far.get(c, 0.0), angle)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(list(far), pa.int64()), "angle": pa.array(list(far.values()), pa.float64())})
+
+    found = known.select("vector").mapInArrow(widest, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect()
+    angle = {r["cell"]: r["angle"] for r in found}
+    return code, centre, np.array([angle[c] for c in code.tolist()])
+
+
 def unpack(vectors: pa.Array) -> np.ndarray:
     """Rows of doubles from a binary column."""
     rows = [np.frombuffer(v, "<f8") for v in vectors.to_pylist()]
@@ -115,12 +171,12 @@ def search(
     id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row for which is_query holds, the k
-    nearest other rows found, nearest first, ties to the smaller id.
+    nearest other rows, nearest first, ties to the smaller id.
 
     Rows take no part whose id is null, or whose vector is null, empty, zero, or holds a null
     or non-finite component, or has another length than most. Rows that repeat an id and its
     vector count once; a row is never found for a query of its own id. Fewer than k rows are
-    returned only if fewer are found. Other columns are not read. An empty table: no rows.
+    returned only if there are fewer other rows. Other columns are not read. An empty table: no rows.
     """
     fine = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     lengths = fine.groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -145,8 +201,7 @@ def search(
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1_024):
                     some = batch.slice(lo, 1_024)
-                    x = unpack(some.column("vector"))
-                    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                    x = units(unpack(some.column("vector")))
                     for t in range(tables):
                         code = probed(x, t, hashes, probes) if probing else buckets(x, t, hashes)[:, None]
                         each = pa.array(np.repeat(np.arange(len(x)), code.shape[1]))
@@ -158,49 +213,89 @@ def search(
         return run
 
     schema = "table int, bucket long, entry long, vector binary, ids array<long>"
+    keys = ["table", "bucket", "i", "j"]
     chosen = known.select("entry", "vector", "ids")
-    index = chosen.mapInArrow(spread(False), schema)
-    probe = chosen.join(asked.select("entry").distinct(), "entry", "left_semi").mapInArrow(spread(True), schema).drop("ids")
-    # Blocks of each bucket: as many as its size asks for. At most tables x buckets rows.
-    sizes = index.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asks = probe.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks"))
-    plan = sizes.join(asks, ["table", "bucket"])
-
-    def dealt(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
-        """Each row goes to one block of its kind, and there to every block of the other kind."""
-        return (
-            df.join(plan, ["table", "bucket"])
-            .withColumn(own_block, F.pmod(F.xxhash64("entry"), F.col(own)).cast("int"))
-            .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("blocks", "q_blocks")
-        )
-
-    left = dealt(index, "blocks", "q_blocks", "i", "j")
-    right = dealt(probe, "q_blocks", "blocks", "j", "i")
 
     def rank(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         """The k + 1 best of a block for each query of a block."""
         found: list = []
         if mine.num_rows and theirs.num_rows:
             x, q = unpack(mine.column("vector")), unpack(theirs.column("vector"))
-            unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+            unit = units(x)
             ids = mine.column("ids").to_pylist()
-            entry = mine.column("entry").to_numpy()
-            take = min(len(x), k + 1 + 8)  # some more than asked, as the product rounds otherwise
+            take = min(len(x), k + 1)
             for lo in range(0, len(q), 256):
                 part = q[lo : lo + 256]
-                product = (part / np.sqrt((part * part).sum(1, keepdims=True))) @ unit.T
-                top = np.argpartition(-product, take - 1, axis=1)[:, :take]
-                score = cosines(np.repeat(part, take, 0), x[top.ravel()]).reshape(top.shape)
-                for t, s in zip(top, score):
-                    best = sorted((-v, i) for v, e in zip(s.tolist(), t.tolist()) for i in ids[e])[: k + 1]
+                product = units(part) @ unit.T
+                # All that the product, which rounds otherwise, does not tell from the last of the best.
+                last = np.partition(product, len(x) - take, axis=1)[:, len(x) - take]
+                at, near = np.nonzero(product >= last[:, None] - SLACK)
+                step = max(1, PART // x.shape[1])
+                score = np.concatenate([cosines(part[at[i : i + step]], x[near[i : i + step]]) for i in range(0, len(at), step)])
+                ends = np.searchsorted(at, np.arange(len(part) + 1))
+                for t, s in ((near[i:j], score[i:j]) for i, j in zip(ends[:-1], ends[1:])):
+                    best = heapq.nsmallest(k + 1, ((-v, i) for v, e in zip(s.tolist(), t.tolist()) for i in ids[e]))
                     found.append([{"far": v, "id": i} for v, i in best])
         queries = theirs.column("entry") if found else pa.array([], pa.int64())
         return pa.table({"entry": queries, "found": pa.array(found, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))})
 
-    keys = ["table", "bucket", "i", "j"]
-    ranked = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "entry long, found array<struct<far:double,id:long>>")
-    best = ranked.groupBy("entry").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
+    def meet(index: DataFrame, probe: DataFrame) -> DataFrame:
+        """entry, found: for each query of probe the best of each block of its buckets."""
+        # Blocks of each bucket: as many as its size asks for. At most tables x buckets rows.
+        sizes = index.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        asks = probe.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks"))
+        plan = sizes.join(asks, ["table", "bucket"])
+
+        def dealt(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
+            """Each row goes to one block of its kind, and there to every block of the other kind."""
+            return (
+                df.join(plan, ["table", "bucket"])
+                .withColumn(own_block, F.pmod(F.xxhash64("entry"), F.col(own)).cast("int"))
+                .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                .drop("blocks", "q_blocks")
+            )
+
+        left = dealt(index, "blocks", "q_blocks", "i", "j")
+        right = dealt(probe, "q_blocks", "blocks", "j", "i")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "entry long, found array<struct<far:double,id:long>>")
+
+    def nearest(ranked: DataFrame) -> DataFrame:
+        return ranked.groupBy("entry").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
+
+    queries = chosen.join(asked.select("entry").distinct(), "entry", "left_semi")
+    first = materialize(nearest(meet(chosen.mapInArrow(spread(False), schema), queries.mapInArrow(spread(True), schema).drop("ids"))))
+    code, centre, angle = cell_bounds(known)
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with the cells that may hold one of its k + 1 best (itself among them)."""
+        step = max(1, PART // max(1, centre.size))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                x = units(unpack(some.column("vector")))
+                least = np.arccos(np.clip(x @ centre.T, -1, 1)) - angle
+                beat = np.arccos(np.clip(some.column("beat").to_numpy(zero_copy_only=False), -1, 1))
+                open_ = least <= beat[:, None] + SLACK
+                if hashes == 1:
+                    seen = np.zeros((len(x), 1 + max(code.max(), (p := probed(x, 0, 1, probes)).max())), bool)
+                    np.put_along_axis(seen, p, True, 1)
+                    open_ &= ~seen[:, code]
+                at, cell = np.nonzero(open_)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(at), np.int32)), pa.array(code[cell]), *(some.column(c).take(pa.array(at)) for c in ("entry", "vector"))],
+                    ["table", "bucket", "entry", "vector"],
+                )
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = cells(units(unpack(batch.column("vector")))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), pa.array(own), *(batch.column(c) for c in ("entry", "vector", "ids"))], ["table", "bucket", "entry", "vector", "ids"])
+
+    # A query of which fewer than k + 1 are found has nothing to beat.
+    beat = F.when(F.size("found") > k, -F.col("found")[k]["far"]).otherwise(F.lit(-1.0)).alias("beat")
+    rest = queries.select("entry", "vector").join(first.select("entry", beat), "entry", "left").withColumn("beat", F.coalesce("beat", F.lit(-1.0)))
+    more = meet(chosen.mapInArrow(celled, schema), rest.mapInArrow(remaining, "table int, bucket long, entry long, vector binary"))
+    best = nearest(first.unionByName(more))
     mine = asked.join(best, "entry").select("query_id", F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k).alias("found"))
     return mine.select("query_id", F.posexplode("found").alias("at", "f")).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.far")).alias("score")

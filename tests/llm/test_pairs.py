@@ -67,6 +67,32 @@ def test_neighbours_edges(spark):
     assert {r["vec_id"] for r in ann.search(frame.where("vec_id in (0, 3)"), F.col("vec_id") == 0, probes=4).collect()} == {3}
 
 
+def test_neighbours_are_complete(spark):
+    rng = np.random.default_rng(1)
+
+    def check(x, asked):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(asked)).toPandas()
+        expected = brute_neighbours(rows, [rows[q] for q in asked])
+        found = {q: part.sort_values("rank").vec_id.tolist() for q, part in got.groupby("query_id")}
+        assert found == {q: [i for _, i in best] for q, best in expected.items()}
+
+    # Tables of hardly more rows than a result.
+    for n in (3, 6, 10):
+        check(rng.normal(size=(n, 64)), list(range(n)))
+    # Tight clusters, and queries far from them.
+    for n_clusters in (3, 30):
+        tight = rng.normal(size=(n_clusters, 64))[rng.integers(0, n_clusters, 3_000)] + 0.05 * rng.normal(size=(3_000, 64))
+        check(np.vstack([tight, rng.normal(size=(40, 64))]), list(range(3_000, 3_040)))
+
+
+def test_neighbours_keep_ties(spark):
+    # Vectors of one direction but other lengths are entries of their own, all equally near.
+    rows = [(i, [2.0 ** (40 - i), 0.0]) for i in range(40)] + [(100, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
 def shingle_set(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
