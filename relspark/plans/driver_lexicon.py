@@ -17,22 +17,45 @@ from relspark.lexicon import Lexicon, materialize
 HEIGHT = 3
 REGION, NATION, SEGMENT, TYPE, BRAND, PRIORITY, EVENT = 1_000, 2_000, 3_000, 4_000, 5_000, 6_000, 7_000
 CUSTOMER, SUPPLIER, PART, ORDER, USER, USERS = 1_000_000, 2_000_000, 3_000_000, 10_000_000, 50_000_000, 1_000_000
+#: How many keys from 0 on have their ids at the base of their kind, where the SQL has all ids.
+ROOM = {REGION: 1_000, NATION: 1_000, SEGMENT: 1_000, TYPE: 1_000, BRAND: 1_000, PRIORITY: 1_000, EVENT: USER - EVENT, CUSTOMER: SUPPLIER - CUSTOMER, SUPPLIER: PART - SUPPLIER, PART: ORDER - PART, ORDER: 1 << 40}
+#: All other keys have theirs in a range of their kind (users: of their event type) of SPAN ids, so no two meet.
+SPAN, KIND = 1 << 48, {base: i + 1 for i, base in enumerate(ROOM)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def concept(base: int, key: Column) -> Column:
+    """The id of a key of a kind; keys are below SPAN / 2. Ids of a kind have the order of their keys from 0 on."""
+    key = key.cast("long")
+    return F.when((key >= 0) & (key < ROOM[base]), key + base).otherwise(key + F.lit(KIND[base] * SPAN))
+
+
+def user(event: Column, key: Column) -> Column:
+    """The id of a user of an event type, which is given by its rank."""
+    event, key = event.cast("long"), key.cast("long")
+    return F.when((key >= 0) & (key < USERS), event * USERS + key + USER).otherwise((event + len(KIND)) * F.lit(SPAN) + key)
+
+
+def is_part(concept_id: Column) -> Column:
+    """For nouns."""
+    far = KIND[PART] * SPAN
+    return concept_id.between(PART, PART + ROOM[PART] - 1) | concept_id.between(far - SPAN // 2, far + SPAN // 2 - 1)
+
+
 def ranked(df: DataFrame, column: str, base: int) -> DataFrame:
     """(value, id): the distinct values of a column of few values, numbered in their order."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) + base).cast("long").alias("id"))
+    rank = F.row_number().over(Window.orderBy("value"))
+    return values.select("value", (concept(base, rank) if base else rank.cast("long")).alias("id"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, id, name, gloss): all concepts."""
     t = lambda name: table(spark, sf_dir, name)
-    plain = lambda df, key, base, name, gloss=None: df.select(F.lit("n").alias("pos"), (F.col(key) + base).cast("long").alias("id"), F.col(name).alias("name"), (gloss if gloss is not None else F.col(name)).alias("gloss"))
+    plain = lambda df, key, base, name, gloss=None: df.select(F.lit("n").alias("pos"), concept(base, F.col(key)).alias("id"), F.col(name).alias("name"), (gloss if gloss is not None else F.col(name)).alias("gloss"))
     named = lambda df, column, base, pos="n": ranked(df, column, base).select(F.lit(pos).alias("pos"), "id", F.col("value").alias("name"), F.col("value").alias("gloss"))
     users = t("events").select("event_type", "user_id").distinct().join(ranked(t("events"), "event_type", 0).withColumnRenamed("value", "event_type"), "event_type")
     parts = [
@@ -40,9 +63,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         named(t("customer"), "c_mktsegment", SEGMENT), named(t("part"), "p_type", TYPE), named(t("part"), "p_brand", BRAND), named(t("orders"), "o_orderpriority", PRIORITY),
         plain(t("customer"), "c_custkey", CUSTOMER, "c_name"), plain(t("supplier"), "s_suppkey", SUPPLIER, "s_name"),
         plain(t("part"), "p_partkey", PART, "p_name", F.concat_ws(" ", "p_name", "p_brand", "p_type")),
-        t("orders").select(F.lit("n").alias("pos"), (F.col("o_orderkey") + ORDER).cast("long").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), F.concat_ws(" ", F.lit("order"), "o_orderpriority").alias("gloss")),
+        t("orders").select(F.lit("n").alias("pos"), concept(ORDER, F.col("o_orderkey")).alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), F.concat_ws(" ", F.lit("order"), "o_orderpriority").alias("gloss")),
         named(t("events"), "event_type", EVENT, "v"),
-        users.select(F.lit("v").alias("pos"), (F.lit(USER) + F.col("id") * USERS + F.col("user_id")).cast("long").alias("id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("gloss")),
+        users.select(F.lit("v").alias("pos"), user(F.col("id"), F.col("user_id")).alias("id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("gloss")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -55,12 +78,12 @@ def isa(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = t("events").select("event_type", "user_id").distinct().join(ranked(t("events"), "event_type", 0), F.col("event_type") == F.col("value"))
     c = F.col
     parts = [
-        link(t("nation"), c("n_nationkey") + NATION, c("n_regionkey") + REGION),
-        link(t("customer"), c("c_custkey") + CUSTOMER, c("c_nationkey") + NATION), link(to("customer", "c_mktsegment", SEGMENT), c("c_custkey") + CUSTOMER, c("id")),
-        link(t("supplier"), c("s_suppkey") + SUPPLIER, c("s_nationkey") + NATION),
-        link(to("part", "p_type", TYPE), c("p_partkey") + PART, c("id")), link(to("part", "p_brand", BRAND), c("p_partkey") + PART, c("id")),
-        link(t("orders"), c("o_orderkey") + ORDER, c("o_custkey") + CUSTOMER), link(to("orders", "o_orderpriority", PRIORITY), c("o_orderkey") + ORDER, c("id")),
-        link(users, F.lit(USER) + c("id") * USERS + c("user_id"), c("id") + EVENT, "v"),
+        link(t("nation"), concept(NATION, c("n_nationkey")), concept(REGION, c("n_regionkey"))),
+        link(t("customer"), concept(CUSTOMER, c("c_custkey")), concept(NATION, c("c_nationkey"))), link(to("customer", "c_mktsegment", SEGMENT), concept(CUSTOMER, c("c_custkey")), c("id")),
+        link(t("supplier"), concept(SUPPLIER, c("s_suppkey")), concept(NATION, c("s_nationkey"))),
+        link(to("part", "p_type", TYPE), concept(PART, c("p_partkey")), c("id")), link(to("part", "p_brand", BRAND), concept(PART, c("p_partkey")), c("id")),
+        link(t("orders"), concept(ORDER, c("o_orderkey")), concept(CUSTOMER, c("o_custkey"))), link(to("orders", "o_orderpriority", PRIORITY), concept(ORDER, c("o_orderkey")), c("id")),
+        link(users, user(c("id"), c("user_id")), concept(EVENT, c("id")), "v"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -68,9 +91,9 @@ def isa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def own_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, id, freq): line items of suppliers, parts and orders, events of types' users."""
     items = table(spark, sf_dir, "lineitem")
-    count = lambda key, base: items.groupBy((F.col(key) + base).cast("long").alias("id")).agg(F.count("*").cast("double").alias("freq")).withColumn("pos", F.lit("n"))
+    count = lambda key, base: items.groupBy(concept(base, F.col(key)).alias("id")).agg(F.count("*").cast("double").alias("freq")).withColumn("pos", F.lit("n"))
     events = table(spark, sf_dir, "events").select("event_type", "user_id")
-    users = events.join(ranked(events, "event_type", 0), F.col("event_type") == F.col("value")).groupBy((F.lit(USER) + F.col("id") * USERS + F.col("user_id")).cast("long").alias("id")).agg(F.count("*").cast("double").alias("freq")).withColumn("pos", F.lit("v"))
+    users = events.join(ranked(events, "event_type", 0), F.col("event_type") == F.col("value")).groupBy(user(F.col("id"), F.col("user_id")).alias("id")).agg(F.count("*").cast("double").alias("freq")).withColumn("pos", F.lit("v"))
     return reduce(DataFrame.unionByName, [count("l_suppkey", SUPPLIER), count("l_partkey", PART), count("l_orderkey", ORDER), users]).select("pos", "id", "freq")
 
 
@@ -80,10 +103,10 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     mero, holo: an order and the parts in it. sim: parts next to each other within their brand
     and type. attr: a part and its type. enta: an event type and the next. caus: back."""
     up = isa(spark, sf_dir)
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + ORDER).cast("long").alias("o"), (F.col("l_partkey") + PART).cast("long").alias("p")).distinct()
+    items = table(spark, sf_dir, "lineitem").select(concept(ORDER, F.col("l_orderkey")).alias("o"), concept(PART, F.col("l_partkey")).alias("p")).distinct()
     part = table(spark, sf_dir, "part")
-    after = part.select((F.col("p_partkey") + PART).cast("long").alias("a"), (F.lead("p_partkey").over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")) + PART).cast("long").alias("b")).where("b is not null")
-    kinds = part.join(ranked(part, "p_type", TYPE), F.col("p_type") == F.col("value")).select((F.col("p_partkey") + PART).cast("long").alias("p"), "id")
+    after = part.select(concept(PART, F.col("p_partkey")).alias("a"), concept(PART, F.lead("p_partkey").over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))).alias("b")).where("b is not null")
+    kinds = part.join(ranked(part, "p_type", TYPE), F.col("p_type") == F.col("value")).select(concept(PART, F.col("p_partkey")).alias("p"), "id")
     events = ranked(table(spark, sf_dir, "events"), "event_type", EVENT)
     following = events.select("id", (F.col("id") + 1).alias("next")).join(events.select(F.col("id").alias("next")), "next").select("id", "next")
     one = lambda df, rel, a, b, pa=None, pb=None: df.select(F.lit(rel).alias("rel"), (pa if pa is not None else F.lit("n")).alias("src_pos"), F.col(a).alias("src"), (pb if pb is not None else F.lit("n")).alias("dst_pos"), F.col(b).alias("dst"))
@@ -103,8 +126,8 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     found = nodes(spark, sf_dir)
     synset = found.select("pos", "id", "gloss", F.array("name").alias("words"))
     # A part is a sense of its model, brand, type and size, which few parts share; all else is a sense of its name.
-    part = F.col("id").between(PART, PART + 6_999_999) & (F.col("pos") == "n")
-    models = table(spark, sf_dir, "part").select(model_word().alias("word"), F.lit("n").alias("pos"), (F.col("p_partkey") + PART).cast("long").alias("id"))
+    part = is_part(F.col("id")) & (F.col("pos") == "n")
+    models = table(spark, sf_dir, "part").select(model_word().alias("word"), F.lit("n").alias("pos"), concept(PART, F.col("p_partkey")).alias("id"))
     named = found.where(~part).select(F.translate(F.lower("name"), " #", "_").alias("word"), "pos", "id")
     sense = models.unionByName(named).select("word", "pos", F.row_number().over(Window.partitionBy("word", "pos").orderBy("id")).alias("sense"), "id", F.lit(1).alias("word_no"))
     edge = relations(spark, sf_dir).withColumn("src_word", F.lit(None).cast("string")).withColumn("dst_word", F.lit(None).cast("string"))
@@ -116,11 +139,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     and line items: neighbours by key, parts in lines next to each other, and each line's
     customer and supplier."""
     t = lambda name: table(spark, sf_dir, name)
-    near = lambda name, key, base: t(name).select((F.col(key) + base).cast("long").alias("a"), (F.col(key) + base + 1).cast("long").alias("b")).join(t(name).select((F.col(key) + base).cast("long").alias("b")), "b").select("a", "b")
+    near = lambda name, key, base: t(name).select(concept(base, F.col(key)).alias("a"), (F.col(key) + 1).cast("long").alias("_k")).join(t(name).select(F.col(key).cast("long").alias("_k"), concept(base, F.col(key)).alias("b")), "_k").select("a", "b")
     items = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     after = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("_b"))
-    lines = items.join(after, ["l_orderkey", "l_linenumber"]).select((F.col("l_partkey") + PART).cast("long").alias("a"), (F.col("_b") + PART).cast("long").alias("b"))
-    buyers = items.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") + CUSTOMER).cast("long").alias("a"), (F.col("l_suppkey") + SUPPLIER).cast("long").alias("b"))
+    lines = items.join(after, ["l_orderkey", "l_linenumber"]).select(concept(PART, F.col("l_partkey")).alias("a"), concept(PART, F.col("_b")).alias("b"))
+    buyers = items.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(concept(CUSTOMER, F.col("o_custkey")).alias("a"), concept(SUPPLIER, F.col("l_suppkey")).alias("b"))
     every = [near("customer", "c_custkey", CUSTOMER), near("supplier", "s_suppkey", SUPPLIER), near("part", "p_partkey", PART), near("orders", "o_orderkey", ORDER), lines, buyers]
     return reduce(DataFrame.unionByName, every).distinct().select(F.lit("n").alias("pos_a"), "a", F.lit("n").alias("pos_b"), "b")
 
@@ -130,7 +153,7 @@ def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type", "user_id").distinct()
     known = events.join(ranked(table(spark, sf_dir, "events"), "event_type", 0), F.col("event_type") == F.col("value"))
     met = known.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("user_id") == F.col("c_custkey"))
-    return met.select(F.lit("n").alias("pos_a"), (F.col("c_custkey") + CUSTOMER).cast("long").alias("a"), F.lit("v").alias("pos_b"), (F.lit(USER) + F.col("id") * USERS + F.col("user_id")).cast("long").alias("b"))
+    return met.select(F.lit("n").alias("pos_a"), concept(CUSTOMER, F.col("c_custkey")).alias("a"), F.lit("v").alias("pos_b"), user(F.col("id"), F.col("user_id")).alias("b"))
 
 
 # --- the same in DuckDB -----------------------------------------------------------

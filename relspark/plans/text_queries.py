@@ -76,7 +76,7 @@ def gloss_vector_norm(spark, d):
 
 
 def part_pairs(spark, d):
-    return dl.pairs(spark, d).where(f"a between {dl.PART} and {dl.PART + 6_999_999} and b between {dl.PART} and {dl.PART + 6_999_999}")
+    return dl.pairs(spark, d).where(dl.is_part(F.col("a")) & dl.is_part(F.col("b")))
 
 
 def sim_gloss(name: str, config=None):
