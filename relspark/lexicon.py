@@ -36,13 +36,40 @@ class Lexicon:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, where lineage is cut."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    return (given or f"{spark.conf.get('spark.sql.warehouse.dir')}/../checkpoints").rstrip("/")
+    """The folder that driver and executors share, where lineage is cut. On one machine a session
+    without one gets its own beside the warehouse; a cluster must name it."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
+
+
+#: Folders that materialize has written and nothing has deleted yet, oldest first.
+_written: list[str] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that a loop's plan does not grow."""
-    path = f"{shared_dir(df.sparkSession)}/relspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written once to the shared folder and read back: cuts the lineage, survives the loss of
+    executors, and all readers see the same rows. `release_since` deletes what is no longer read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/relspark-{uuid.uuid4().hex}"
+    _written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """A mark for release_since."""
+    return len(_written)
+
+
+def release_since(spark: SparkSession, mark: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the folders written since the mark, except those of the tables `but`. For callers who
+    have read (or written elsewhere) every result that was made from them."""
+    keep = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in but for f in df.inputFiles()}
+    for path in [p for p in _written[mark:] if p.rsplit("/", 1)[1] not in keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _written.remove(path)

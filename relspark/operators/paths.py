@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from relspark.functions.text import pad_id
 from relspark.lexicon import ROOT, materialize
 
 MAX_HEIGHT = 64
@@ -119,7 +120,7 @@ def synset_depth(paths: DataFrame, order: str = "numeric", root_node: bool = Tru
         raise ValueError(order)
     own = F.element_at("path", -2 if root_node else -1)  # the root below the virtual one
     rows = paths.where(F.size("path") > (1 if root_node else 0)).select("pos", "id", F.size("path").alias("depth"), F.element_at("path", -1).alias("root"), own.alias("_own"))
-    written = F.concat((F.col("depth") - (1 if root_node else 0)).cast("string"), F.lit(":"), F.lpad(F.col("_own").cast("string"), 8, "0"))
+    written = F.concat((F.col("depth") - (1 if root_node else 0)).cast("string"), F.lit(":"), pad_id(F.col("_own")))
     key = F.struct("depth", "_own") if order == "numeric" else F.struct(written, F.col("_own"))
     return rows.groupBy("pos", "id").agg(F.min_by(F.struct("depth", "root"), key).alias("d")).select("pos", "id", "d.depth", "d.root")
 

@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from relspark.lexicon import Lexicon, materialize
 
 HEIGHT = 3
-REGION, NATION, SEGMENT, TYPE, BRAND, PRIORITY, EVENT = 1_000, 2_000, 3_000, 4_000, 5_000, 6_000, 7_000
-CUSTOMER, SUPPLIER, PART, ORDER, USER, USERS = 1_000_000, 2_000_000, 3_000_000, 10_000_000, 50_000_000, 1_000_000
-#: How many keys from 0 on have their ids at the base of their kind, where the SQL has all ids.
-ROOM = {REGION: 1_000, NATION: 1_000, SEGMENT: 1_000, TYPE: 1_000, BRAND: 1_000, PRIORITY: 1_000, EVENT: USER - EVENT, CUSTOMER: SUPPLIER - CUSTOMER, SUPPLIER: PART - SUPPLIER, PART: ORDER - PART, ORDER: 1 << 40}
-#: All other keys have theirs in a range of their kind (users: of their event type) of SPAN ids, so no two meet.
-SPAN, KIND = 1 << 48, {base: i + 1 for i, base in enumerate(ROOM)}
+#: Each kind of concepts has a range of SPAN ids, and so has each event type's users, the last kind; no two ranges meet.
+SPAN = 1 << 40
+REGION, NATION, SEGMENT, TYPE, BRAND, PRIORITY, EVENT, CUSTOMER, SUPPLIER, PART, ORDER, USER = (kind * SPAN for kind in range(1, 13))
+USERS = SPAN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,21 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def concept(base: int, key: Column) -> Column:
-    """The id of a key of a kind; keys are below SPAN / 2. Ids of a kind have the order of their keys from 0 on."""
-    key = key.cast("long")
-    return F.when((key >= 0) & (key < ROOM[base]), key + base).otherwise(key + F.lit(KIND[base] * SPAN))
+    """The id of a key of a kind; keys are from 0 on and below SPAN. Ids of a kind have the order of their keys."""
+    return key.cast("long") + F.lit(base)
 
 
 def user(event: Column, key: Column) -> Column:
     """The id of a user of an event type, which is given by its rank."""
-    event, key = event.cast("long"), key.cast("long")
-    return F.when((key >= 0) & (key < USERS), event * USERS + key + USER).otherwise((event + len(KIND)) * F.lit(SPAN) + key)
+    return event.cast("long") * F.lit(USERS) + key.cast("long") + F.lit(USER)
 
 
 def is_part(concept_id: Column) -> Column:
     """For nouns."""
-    far = KIND[PART] * SPAN
-    return concept_id.between(PART, PART + ROOM[PART] - 1) | concept_id.between(far - SPAN // 2, far + SPAN // 2 - 1)
+    return concept_id.between(PART, PART + SPAN - 1)
 
 
 def ranked(df: DataFrame, column: str, base: int) -> DataFrame:

@@ -249,7 +249,7 @@ ORACLE_SQL = {
     "root_paths": f"{_BASE} SELECT pos, id, {_JOIN.format('path')} AS path FROM rooted WHERE id <> 0",
     "synset_depths": f"{_BASE} SELECT DISTINCT pos, id, len(path)::BIGINT AS depth, path[-1] AS root FROM bare",
     "first_depth_numeric": f"{_BASE} SELECT pos, id, min(len(path))::BIGINT AS depth FROM rooted WHERE id <> 0 GROUP BY pos, id",
-    "first_depth_lexical": f"{_BASE} SELECT pos, id, (split_part(min((len(path))::VARCHAR || ':' || lpad(path[-1]::VARCHAR, 8, '0')), ':', 1)::BIGINT + 1) AS depth FROM bare GROUP BY pos, id",
+    "first_depth_lexical": f"{_BASE} SELECT pos, id, (split_part(min((len(path))::VARCHAR || ':' || lpad(path[-1]::VARCHAR, greatest(8, length(path[-1]::VARCHAR))::INTEGER, '0')), ':', 1)::BIGINT + 1) AS depth FROM bare GROUP BY pos, id",
     "taxonomy_depth": f"{_BASE}, tops(pos, root, depth) AS (SELECT pos, root, max(depth) FROM (SELECT pos, id, arg_min(path[-1], (len(path), path[-1])) AS root, min(len(path)) AS depth FROM bare b WHERE NOT EXISTS (SELECT 1 FROM isa WHERE isa.pos = b.pos AND isa.parent = b.id) GROUP BY pos, id) GROUP BY pos, root) SELECT pos, root, depth::BIGINT AS depth FROM tops UNION ALL SELECT pos, 0, max(depth)::BIGINT + 1 FROM tops GROUP BY pos",
     "top_nodes": f"{_BASE} SELECT pos, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM isa WHERE isa.pos = n.pos AND isa.child = n.id)",
     "leaf_nodes": f"{_BASE} SELECT pos, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM isa WHERE isa.pos = n.pos AND isa.parent = n.id)",

@@ -239,7 +239,7 @@ _TOKENS = f"tokens(doc, word) AS MATERIALIZED (SELECT doc_id, unnest({_split(_nu
 _PART = "trim(regexp_replace(replace(lower(concat_ws(' ', p_name, p_brand, p_type)), '''', ''), '[^a-z0-9]+', ' ', 'g'))"
 _PARTS = f"toks(doc, word) AS MATERIALIZED (SELECT p_partkey, unnest({_split(_PART)}) FROM part), per AS (SELECT doc, word, count(*) AS n FROM toks GROUP BY doc, word), co(w1, w2, cnt) AS MATERIALIZED (SELECT x.word, y.word, sum(x.n * y.n)::BIGINT FROM per x JOIN per y USING (doc) GROUP BY x.word, y.word)"
 _CTX = "ctx(key, dim, v) AS MATERIALIZED (SELECT t.doc, co.w2, sum(co.cnt)::DOUBLE FROM (SELECT DISTINCT doc, word FROM toks) t JOIN co ON co.w1 = t.word GROUP BY t.doc, co.w2)"
-_PPAIRS = f"pp AS (SELECT a, b FROM pairs WHERE a BETWEEN {dl.PART} AND {dl.PART + 6_999_999} AND b BETWEEN {dl.PART} AND {dl.PART + 6_999_999})"
+_PPAIRS = f"pp AS (SELECT a, b FROM pairs WHERE a BETWEEN {dl.PART} AND {dl.PART + dl.SPAN - 1} AND b BETWEEN {dl.PART} AND {dl.PART + dl.SPAN - 1})"
 _COS = f"WITH {dl.SQL_PAIRS}, {_PPAIRS}, {_PARTS}, {_CTX}, nrm AS (SELECT key, sqrt(sum(v * v)) AS m FROM ctx GROUP BY key) SELECT pp.a, pp.b, round(sum(x.v * y.v) / (max(n.m) * max(o.m)), 6) + 0.0 AS score FROM pp JOIN ctx x ON x.key = pp.a - {dl.PART} JOIN ctx y ON y.key = pp.b - {dl.PART} AND y.dim = x.dim JOIN nrm n ON n.key = x.key JOIN nrm o ON o.key = y.key GROUP BY pp.a, pp.b"
 _RANKED = "ranked AS (SELECT w1, w2, score, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT l_orderkey::VARCHAR AS w1, l_linenumber::VARCHAR AS w2, round(l_discount * l_quantity, 2) AS score FROM lineitem))"
 _SENSES = dl.SQL_SENSES

@@ -1,4 +1,4 @@
-"""Concepts of the derived lexicon whose keys are beyond the room at the base of their kind."""
+"""Concepts of the derived lexicon with keys as large as those of tables of sf100 and more."""
 
 import pytest
 
@@ -30,7 +30,6 @@ def test_concepts_never_meet(spark, far):
     ids = {(r["pos"], r["id"]) for r in nodes}
     at = {r["name"]: r["id"] for r in nodes}
     assert len(ids) == len(nodes) == 25
-    # Where keys have room, ids are those of the SQL.
     assert (at["Customer 1"], at["Supplier 1"], at["part 2"], at["order 2"], at["view 1"]) == (dl.CUSTOMER + 1, dl.SUPPLIER + 1, dl.PART + 2, dl.ORDER + 2, dl.USER + 2 * dl.USERS + 1)
     parents = {}
     for r in dl.isa(spark, far).collect():

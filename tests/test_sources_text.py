@@ -162,7 +162,7 @@ def test_bad_options(line):
 
 
 def test_options():
-    got = lists.parse_config("WordNet::Similarity::lesk\n# note\nnormalize :: 1\nmaxCacheSize::unlimited\nrelation::a/b # c\n", "lesk")
+    got = lists.parse_config("Some::Package::lesk\n# note\nnormalize :: 1\nmaxCacheSize::unlimited\nrelation::a/b # c\n", "lesk")
     assert (got.err_level, got.values["normalize"], got.values["maxCacheSize"], got.values["relation"], got.values["stem"]) == (0, 1, "unlimited", "a/b", 0)
     assert lists.parse_config("vector_pairs\n", "vector").err_level == 2 and lists.parse_config("", "path").err_level == 2
 
