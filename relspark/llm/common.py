@@ -1,8 +1,7 @@
-"""Helpers that several operators share: tables, shared folder, Arrow batches."""
+"""Helpers that several operators share: tables, Arrow batches, hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from relspark.lexicon import materialize as materialize
+
 #: Texts that one numpy pass takes together; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
 
@@ -18,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none
-    (as in tests on one machine) it is set here."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, survives the
-    loss of executors, and later readers see the same rows in the same order."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relspark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

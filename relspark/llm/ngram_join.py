@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from relspark.llm.common import materialize, mix64, passes, release, text_buffer
-from relspark.llm.words import grams, words
+from relspark.llm.words import STEP, grams, words
 
 N, SIMILARITY = 5, 0.8
 #: Expected number of tokens that two sets at the threshold share and take, at each level of a path.
@@ -49,39 +49,46 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     found = words(data, offsets)
     code, place = grams(found, n)
     doc = found.doc[place]
+    del place
     for d in np.flatnonzero((np.diff(found.first) < n) & (np.diff(found.first) > 0)):
         part = found.hash[found.first[d] : found.first[d + 1]]
         short = np.zeros(1, np.uint64)
         for h in part:
             short = mix64(short * np.uint64(0x9E3779B97F4A7C15) + h)
         code, doc = np.append(code, short), np.append(doc, d)
-    order = np.lexsort((code, doc))
-    code, doc = code[order], doc[order]
+    del found
+    if len(offsets) == 2:  # one text, which may be long
+        code.sort()
+    else:
+        order = np.lexsort((code, doc))
+        code, doc = code[order], doc[order]
     fresh = np.ones(len(code), bool)
     fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
     return doc[fresh], code[fresh]
 
 
-def take_tokens(doc: np.ndarray, code: np.ndarray, size: np.ndarray, runs: int, similarity: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def take_tokens(doc: np.ndarray, code: np.ndarray, size: np.ndarray, runs: int, similarity: float, step: int = STEP) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each level (index into the tokens, run) of those taken. Run and level together have
     one of `slots` equal parts of the ranks' range; a token is taken if its rank falls into the
     beginning of the part, whose share is TAKEN over similarity x size."""
     slots = runs * len(TAKEN)
-    rank = mix64(code ^ np.uint64(0x5851F42D4C957F2D)).astype(np.float64) / 2.0**64
-    taken: list[list] = [[] for _ in TAKEN]
-    own = np.minimum((rank * slots).astype(np.int64), slots - 1)
-    share = np.array(TAKEN)[own % len(TAKEN)] / (similarity * size[doc])
+    taken: list[list] = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in TAKEN]
     # Sets so small that a share exceeds its part need every part to be looked at.
     small = max(TAKEN) / (similarity * np.maximum(size, 1)) > 1 / slots
-    hit = np.flatnonzero(~small[doc] & (rank - own / slots < share))
-    for level in range(len(TAKEN)):
-        at = hit[own[hit] % len(TAKEN) == level]
-        taken[level].append((at, own[at] // len(TAKEN)))
-    few = np.flatnonzero(small[doc])
-    for slot in range(slots if len(few) else 0):
-        run, level = divmod(slot, len(TAKEN))
-        at = few[np.mod(rank[few] - slot / slots, 1.0) < TAKEN[level] / (similarity * size[doc[few]])]
-        taken[level].append((at, np.full(len(at), run)))
+    for lo in range(0, len(code), step):
+        of, some = doc[lo : lo + step], code[lo : lo + step]
+        rank = mix64(some ^ np.uint64(0x5851F42D4C957F2D)).astype(np.float64) / 2.0**64
+        own = np.minimum((rank * slots).astype(np.int64), slots - 1)
+        share = np.array(TAKEN)[own % len(TAKEN)] / (similarity * size[of])
+        hit = np.flatnonzero(~small[of] & (rank - own / slots < share))
+        for level in range(len(TAKEN)):
+            at = hit[own[hit] % len(TAKEN) == level]
+            taken[level].append((at + lo, own[at] // len(TAKEN)))
+        few = np.flatnonzero(small[of])
+        for slot in range(slots if len(few) else 0):
+            run, level = divmod(slot, len(TAKEN))
+            at = few[np.mod(rank[few] - slot / slots, 1.0) < TAKEN[level] / (similarity * size[of[few]])]
+            taken[level].append((at + lo, np.full(len(at), run)))
     return [tuple(np.concatenate(c) for c in zip(*t)) for t in taken]
 
 
