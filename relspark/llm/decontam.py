@@ -1,9 +1,14 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each task builds suffix arrays of its documents, a few megabytes of text at a time, on
+Each task builds suffix arrays of its documents, a shard of bounded size at a time, on
 words. They are sparse: only suffixes that begin as some benchmark suffix does can match
-one, so only those are sorted. Every benchmark suffix is then looked up by binary search.
-Nothing is shuffled; the benchmark is dealt to the tasks in blocks of bounded size.
+one, so only those are sorted. Every benchmark suffix whose beginning occurs in a shard is
+then looked up there by binary search, and every suffix of the shard among those of the
+benchmark, which gives its longest verbatim match.
+
+The benchmark is dealt into blocks of bounded size. Where one holds all, a single pass
+over the documents gives the result, and nothing is shuffled. A larger benchmark is one
+pass for each block; a task never holds more than one, and only hits are merged by row.
 """
 
 from __future__ import annotations
@@ -16,117 +21,224 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from relspark.llm.common import passes, text_buffer
+from relspark.llm.common import materialize, passes, text_buffer
 from relspark.llm.words import Words, grams, hash_words, words
 
 WINDOW = 13
-LEAD = 4  # words by which a suffix is chosen for the array, at most
-BLOCK_WORDS = 1 << 20  # of benchmark items held in memory at once
+LEAD = 4  # words by which a suffix is chosen for the array, and of the shortest match that is reported
+BLOCK_WORDS = 1 << 20  # of benchmark items in a block, at about eight bytes a word
+SHARD = 1 << 17  # suffixes of an array
 
 
 class Block(NamedTuple):
-    """Benchmark items of bounded total length."""
+    """Benchmark items of bounded total length. Suffixes are those of at least `lead` words, in the order of their keys."""
 
     names: list[str]  # item ids as strings
-    code: np.ndarray  # hashes of all words, item after item
-    item: np.ndarray  # of each word
-    pos: np.ndarray  # of each word in its item
-    rest: np.ndarray  # words from it to the end of its item
-    lead: int  # words by which document suffixes are chosen
-    leads: np.ndarray  # their hashes, sorted
+    lead: int
+    leads: np.ndarray  # hashes of the first words of suffixes, sorted
+    low: np.ndarray  # the first suffix of each lead
+    high: np.ndarray  # and the one after its last
+    keys: np.ndarray  # of the suffixes
+    item: np.ndarray
+    pos: np.ndarray  # word of the item where the suffix begins
+    rest: np.ndarray  # words from there to its end
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of items of fewer words than a lead, by their length: hashes, sorted, and items
 
 
-def make_block(items: list[tuple[str, str]], window: int) -> Block:
-    codes = [hash_words(text) for _, text in items]
+def make_block(rows: list[tuple[str, str]], window: int) -> Block:
+    codes = [hash_words(text) for _, text in rows]
     sizes = np.array([len(c) for c in codes], np.int64)
-    item = np.repeat(np.arange(len(items)), sizes)
-    pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-    lead = int(min([LEAD, window, *sizes[sizes > 0]])) if code.size else 1
-    found = Words(item, pos, pos, code, np.concatenate([[0], np.cumsum(sizes)]))
-    return Block([name for name, _ in items], code, item, pos, sizes[item] - pos, lead, np.unique(grams(found, lead)[0]))
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[Block]:
-    """The items come to the driver one partition at a time and leave it block by block."""
-    held, n = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    for name, text in rows.toLocalIterator():
-        held.append((name, text))
-        n += len(text) // 2
-        if n >= max_words:
-            yield make_block(held, window)
-            held, n = [], 0
-    if held:
-        yield make_block(held, window)
+    code, first = np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    lead = min(LEAD, window)
+    found = Words(code, first)
+    own, at = grams(found, lead)
+    keyed = keys(code, at, first[found.doc[at] + 1] - at, window)
+    order = np.argsort(keyed, kind="stable")
+    keyed, own, at = keyed[order], own[order], at[order]
+    item = found.doc[at].astype(np.int64)
+    low = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    high = np.append(low[1:], len(own)) if len(own) else low
+    by_lead = np.argsort(own[low], kind="stable")
+    short = {}
+    for n in range(1, lead):
+        few = np.flatnonzero(sizes == n)
+        if len(few):
+            h, where = grams(Words(np.concatenate([codes[i] for i in few]), np.arange(len(few) + 1) * n), n)
+            o = np.argsort(h, kind="stable")
+            short[n] = h[o], few[o]
+    return Block([name for name, _ in rows], lead, own[low][by_lead], low[by_lead], high[by_lead], keyed, item, at - first[item], first[item + 1] - at, short)
 
 
 def keys(code: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
     """For each place the next words, n of them and at most window, as a byte string in whose
     order an array of suffixes is sorted. No word's last byte is 0, so shorter ones come first."""
+    if not len(start):
+        return np.zeros(0, f"S{8 * window}")
     at = start[:, None] + np.arange(window)
     there = np.arange(window) < n[:, None]
     rows = np.where(there, code[np.minimum(at, len(code) - 1)] | np.uint64(1), 0).astype(">u8")
     return np.ascontiguousarray(rows).view(f"S{8 * window}").ravel()
 
 
-class Hits(NamedTuple):
-    place: np.ndarray  # word of the documents at which an occurrence begins
-    length: np.ndarray
+def same_words(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Words that keys begin with alike."""
+    x, y = (np.ascontiguousarray(k).view(">u8").reshape(-1, window) for k in (a, b))
+    return np.cumprod((x == y) & (x != 0), axis=1).sum(1)
+
+
+class Runs(NamedTuple):
+    """Windows of an item that stand one after the other, from `first` to `last`, on one diagonal
+    (place in the documents less place in the item); the last one has n words."""
+
     item: np.ndarray
-    pos: np.ndarray  # word of the item at which it begins
+    diagonal: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    n: np.ndarray
 
 
-NO_HITS = Hits(*(np.zeros(0, np.int64) for _ in range(4)))
+def joined(parts: list[Runs]) -> Runs:
+    """Runs that go on in each other as one."""
+    item, diagonal, first, last, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((first, diagonal, item))
+    item, diagonal, first, last, n = (x[order] for x in (item, diagonal, first, last, n))
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (first[1:] != last[:-1] + 1)
+    begin = np.flatnonzero(new)
+    close = np.append(begin[1:], len(item)) - 1
+    return Runs(item[begin], diagonal[begin], first[begin], last[close], n[close])
 
 
-def occurrences(found: Words, block: Block, window: int) -> Hits:
-    """Every place where a window of an item stands: runs in the suffix array."""
+class Partial(NamedTuple):
+    """What one block gives for one document."""
+
+    hit: list[tuple[int, int]]  # stretches of hit words, from and up to
+    items: list[str]
+    best: tuple[int, int, str, int]  # (- words, place, item, place in the item) of the longest match; the least counts
+
+
+def judge(found: Words, block: Block, window: int) -> dict[int, Partial]:
+    """For each document with a match of at least a lead."""
     code, place = grams(found, block.lead)
-    if not len(block.leads) or not len(code):
-        return NO_HITS
-    near = np.minimum(np.searchsorted(block.leads, code), len(block.leads) - 1)
-    place = place[block.leads[near] == code]
-    if not len(place):
-        return NO_HITS
-    end = found.first[found.doc[place] + 1]
-    suffixes = keys(found.hash, place, end - place, window)
-    order = np.argsort(suffixes, kind="stable")
-    suffixes, place = suffixes[order], place[order]
-    # Windows: `window` words from a place, or a whole item of fewer.
-    whole = (block.rest >= window) | (block.pos == 0)
-    at = np.flatnonzero(whole)
-    n = np.minimum(block.rest[at], window)
-    tests = keys(block.code, at, n, window)
-    low = np.searchsorted(suffixes, tests, side="left")
-    high = np.searchsorted(suffixes, tests, side="right")
-    for i in np.flatnonzero(n < window):  # a short item is met by all that begin with it
-        high[i] = np.searchsorted(suffixes, tests[i : i + 1].astype(f"S{8 * window}")[0].ljust(8 * int(n[i]), b"\0") + b"\xff" * (8 * (window - int(n[i]))), side="right")
-    size = high - low
-    which = np.repeat(np.arange(len(at)), size)
-    rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-    return Hits(place[rank], n[which], block.item[at][which], block.pos[at][which])
-
-
-def longest_runs(found: Words, hits: Hits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Verbatim matches that no word on either side extends: doc, first word there, item, first word there, length."""
-    if not len(hits.place):
-        return (np.zeros(0, np.int64),) * 5
-    order = np.lexsort((hits.place, hits.place - hits.pos, hits.item))
-    place, item, pos, n = (x[order] for x in (hits.place, hits.item, hits.pos, hits.length))
-    new = np.ones(len(place), bool)
-    new[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (pos[1:] != pos[:-1] + 1) | (found.doc[place[1:]] != found.doc[place[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1
-    doc = found.doc[place[first]]
-    return doc, place[first] - found.first[doc], item[first], pos[first], place[last] + n[last] - place[first]
-
-
-def cover(found: Words, hits: Hits, window: int) -> np.ndarray:
-    hit = np.zeros(len(found.hash), bool)
-    for k in range(window):
-        hit[hits.place[hits.length > k] + k] = True
-    return hit
+    hit = np.zeros(len(found.hash) + 1, np.int32)  # changes of the number of windows over a word
+    runs: list[Runs] = []
+    pairs: list[np.ndarray] = []
+    best: dict[int, tuple] = {}
+    lead = np.zeros(0, np.int64)
+    if len(block.leads) and len(code):
+        lead = np.minimum(np.searchsorted(block.leads, code), len(block.leads) - 1)
+        near = block.leads[lead] == code
+        place, lead = place[near], lead[near]
+    else:
+        place = place[:0]
+    del code
+
+    def met(places: np.ndarray, n: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
+        if len(places):
+            np.add.at(hit, places, 1)
+            np.add.at(hit, places + n, -1)
+            pairs.append(np.unique(np.stack([found.doc[places], item], 1), axis=0))
+            runs.append(joined([Runs(item, places - pos, places, places, n)]))
+
+    for lo in range(0, len(place), SHARD):
+        at = place[lo : lo + SHARD]
+        suffixes = keys(found.hash, at, found.first[found.doc[at] + 1] - at, window)
+        order = np.argsort(suffixes, kind="stable")
+        suffixes, at = suffixes[order], at[order]
+        # The tests: suffixes of the benchmark whose leads are here and that are windows.
+        here = np.unique(lead[lo : lo + SHARD])
+        size = block.high[here] - block.low[here]
+        tests = np.arange(size.sum()) + np.repeat(block.low[here] - (np.cumsum(size) - size), size)
+        tests = tests[(block.rest[tests] >= window) | (block.pos[tests] == 0)]
+        n = np.minimum(block.rest[tests], window)
+        own = block.keys[tests]
+        low = np.searchsorted(suffixes, own, side="left")
+        high = np.searchsorted(suffixes, own, side="right")
+        for i in np.flatnonzero(n < window):  # a short item is met by all that begin with it
+            high[i] = np.searchsorted(suffixes, np.bytes_(own[i].ljust(8 * int(n[i]), b"\0") + b"\xff" * (8 * (window - int(n[i])))), side="right")
+        size = high - low
+        which = np.repeat(tests, size)
+        rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        met(at[rank], np.repeat(n, size), block.item[which], block.pos[which])
+        # The longest match of each suffix is with a neighbour in the order of the benchmark's.
+        after = np.searchsorted(block.keys, suffixes)
+        length = np.zeros(len(at), np.int64)
+        for side in (after - 1, after):
+            ok = (side >= 0) & (side < len(block.keys))
+            length[ok] = np.maximum(length[ok], same_words(suffixes[ok], block.keys[side[ok]], window))
+        doc = found.doc[at]
+        short_ones = np.flatnonzero(length < window)
+        short_ones = short_ones[np.lexsort((at[short_ones], -length[short_ones], doc[short_ones]))]
+        for k in short_ones[np.unique(doc[short_ones], return_index=True)[1]]:  # the first of each document
+            d = int(doc[k])
+            if (-int(length[k]), int(at[k])) < best.get(d, (0, 0))[:2]:
+                head = bytes(suffixes[k]).ljust(8 * window, b"\0")[: 8 * int(length[k])]
+                a = np.searchsorted(block.keys, np.bytes_(head))
+                b = np.searchsorted(block.keys, np.bytes_(head + b"\xff" * (8 * window - len(head))), side="right")
+                name, pos = min((block.names[block.item[t]], int(block.pos[t])) for t in range(a, b))
+                best[d] = (-int(length[k]), int(at[k]), name, pos)
+    for n, (hashes, items) in block.short.items():
+        code, where = grams(found, n)
+        low, high = np.searchsorted(hashes, code, side="left"), np.searchsorted(hashes, code, side="right")
+        some = np.flatnonzero(high > low)
+        size = (high - low)[some]
+        which = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[some], size)
+        at = np.repeat(where[some], size)
+        met(at, np.full(len(at), n), items[which], np.zeros(len(at), np.int64))
+    best = {d: (n, at - int(found.first[d]), *rest) for d, (n, at, *rest) in best.items()}
+    if runs:
+        every = joined(runs)
+        doc = found.doc[every.first]
+        n = every.last + every.n - every.first
+        start, pos = every.first - found.first[doc], every.first - every.diagonal
+        for d, *match in zip(doc.tolist(), (-n).tolist(), start.tolist(), every.item.tolist(), pos.tolist()):
+            match = (match[0], match[1], block.names[match[2]], match[3])
+            best[d] = min(best.get(d, match), match)
+    items: dict[int, set] = {}
+    for d, i in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
+        items.setdefault(d, set()).add(block.names[i])
+    over = np.concatenate([[False], np.cumsum(hit[:-1]) > 0, [False]])
+    out = {}
+    for d in best.keys() | items.keys():
+        a, b = int(found.first[d]), int(found.first[d + 1])
+        own = np.concatenate([[False], over[a + 1 : b + 1], [False]]).astype(np.int8)
+        step = np.diff(own)
+        out[d] = Partial(list(zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist())), sorted(items.get(d, ())), best[d])
+    return out
+
+
+def merged(parts: list[Partial]) -> Partial:
+    """Of several blocks."""
+    if len(parts) == 1:
+        return parts[0]
+    hit: list[list[int]] = []
+    for a, b in sorted(s for p in parts for s in p.hit):
+        if hit and a <= hit[-1][1]:
+            hit[-1][1] = max(hit[-1][1], b)
+        else:
+            hit.append([a, b])
+    return Partial([tuple(h) for h in hit], sorted({i for p in parts for i in p.items}), min(p.best for p in parts))
+
+
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_start long, match_item string, match_item_start long"
+PARTIAL = "_row long, hit array<struct<a:long,b:long>>, items array<string>, best struct<n:long,at:long,item:string,pos:long>"
+NO_ITEMS = hashlib.sha256(b"").hexdigest()
+
+
+def verdict(n_words: int, p: Partial | None, share: int) -> tuple:
+    if p is None:
+        return n_words, 0, 0, NO_ITEMS, False, 0, None, None, None
+    n_hit = sum(b - a for a, b in p.hit)
+    digest = hashlib.sha256(",".join(p.items).encode()).hexdigest()
+    return n_words, n_hit, len(p.items), digest, n_hit > 0 and share * n_hit >= n_words, -p.best[0], *p.best[1:]
+
+
+def as_batch(first: list[pa.Array], rows: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema.types)
+    return pa.RecordBatch.from_arrays([*first, *(pa.array(c, t) for c, t in zip(columns, schema.types))], names)
+
+
+RESULT_TYPES = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("d", pa.string()), ("c", pa.bool_()), ("l", pa.int64()), ("s", pa.int64()), ("i", pa.string()), ("p", pa.int64())])
 
 
 def scan(
@@ -134,55 +246,76 @@ def scan(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated,
-    longest_match (words of the longest verbatim match, 0 for none) and where it is:
-    match_start (word of the document), match_item, match_item_start; null where there is none.
-    A document is contaminated if words are hit, and at least one in `share` of all.
+    longest_match (words of the longest verbatim match; matches of fewer than LEAD words count only
+    if they are whole items; 0 for none) and where it is: match_start (word of the document),
+    match_item, match_item_start; null where there is none. A document is contaminated if words are
+    hit, and at least one in `share` of all.
 
     Null texts have no words. Null and repeated doc ids are kept; items without an id or text
     take no part; rows that repeat an item id are windows of one item. Ties for the longest match go to
     the smallest place, then item. Other columns of docs are not read. Empty tables: no rows, or no hits.
     """
-    held = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text, window, max_words)]
-    none = hashlib.sha256(b"").hexdigest()
+    spark = docs.sparkSession
+    bench = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null and text is not null")
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") / 8 + 1), F.lit(0.0)).alias("n")).first()["n"]
+    n_blocks = max(1, int(-(-total // max_words)))
+    dealt = bench.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in passes(batch, "_text"):
-                found = words(*text_buffer(some.column("_text")))
-                n_docs = some.num_rows
-                hit = np.zeros(len(found.hash), bool)
-                items: list[set] = [set() for _ in range(n_docs)]
-                best: list[tuple] = [(0, None, None, None)] * n_docs
-                for each in held:
-                    block = each.value
-                    hits = occurrences(found, block, window)
-                    if not len(hits.place):
-                        continue
-                    hit |= cover(found, hits, window)
-                    pairs = np.unique(np.stack([found.doc[hits.place], hits.item], 1), axis=0)
-                    for d, i in pairs.tolist():
-                        items[d].add(block.names[i])
-                    for d, start, i, pos, n in zip(*(x.tolist() for x in longest_runs(found, hits))):
-                        if (-n, start, block.names[i], pos) < (-best[d][0], best[d][1] or 0, best[d][2] or "", best[d][3] or 0):
-                            best[d] = (n, start, block.names[i], pos)
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                n_words, n_hit = np.diff(found.first), np.diff(sums[found.first])
-                digests = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() if s else none for s in items]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(s) for s in items], pa.int64()), pa.array(digests), pa.array((n_hit > 0) & (share * n_hit >= n_words)),
-                     *(pa.array([b[k] for b in best], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64())))],
-                    [f.name for f in schema.fields],
-                )
+    def hold(number: int):
+        """A block, of bounded size, for all tasks."""
+        return spark.sparkContext.broadcast(make_block([(r["name"], r["text"]) for r in dealt.where(F.col("block") == number).select("name", "text").collect()], window))
 
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_start long, match_item string, match_item_start long"
-    schema = T.StructType([chosen.schema["_id"], *T._parse_datatype_string(fields).fields])
-    return chosen.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    names = ["_id", *RESULT.replace(",", "").split()[::2]]
+    schema = T.StructType([chosen.schema["_id"], *T._parse_datatype_string(RESULT).fields])
+    if n_blocks == 1:
+        held = hold(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in (s for batch in batches for s in passes(batch, "_text")):
+                found = words(*text_buffer(some.column("_text")))
+                parts = judge(found, held.value, window)
+                yield as_batch([some.column("_id")], [verdict(n, parts.get(d), share) for d, n in enumerate(np.diff(found.first).tolist())], RESULT_TYPES, names)
+
+        return chosen.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+    numbered = materialize(chosen.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text"))  # written, so that the numbers hold
+    part_type = [pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string()), pa.struct([("n", pa.int64()), ("at", pa.int64()), ("item", pa.string()), ("pos", pa.int64())])]
+    hits = None
+    for number in range(n_blocks):
+        held = hold(number)
+
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for some in (s for batch in batches for s in passes(batch, "_text")):
+                parts = sorted(judge(words(*text_buffer(some.column("_text"))), held.value, window).items())
+                columns = [[[{"a": a, "b": b} for a, b in p.hit] for _, p in parts], [p.items for _, p in parts], [dict(zip(("n", "at", "item", "pos"), p.best)) for _, p in parts]]
+                row = some.column("_row").take(pa.array([d for d, _ in parts], pa.int64()))
+                yield pa.RecordBatch.from_arrays([row, *(pa.array(c, t) for c, t in zip(columns, part_type))], ["_row", "hit", "items", "best"])
+
+        found = materialize(numbered.select("_row", "_text").mapInArrow(find, PARTIAL))
+        held.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in (s for batch in batches for s in passes(batch, "_text")):
+            yield pa.RecordBatch.from_arrays([some.column("_row"), some.column("_id"), pa.array(np.diff(words(*text_buffer(some.column("_text"))).first))], ["_row", "_id", "_n"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, parts in zip(batch.column("_n").to_pylist(), batch.column("parts").to_pylist()):
+                each = [Partial([(h["a"], h["b"]) for h in p["hit"]], p["items"], tuple(p["best"].values())) for p in parts or ()]
+                rows.append(verdict(n, merged(each) if each else None, share))
+            yield as_batch([batch.column("_id")], rows, RESULT_TYPES, names)
+
+    by_row = hits.groupBy("_row").agg(F.collect_list(F.struct("hit", "items", "best")).alias("parts"))  # one for each block at most
+    counted = numbered.mapInArrow(count, T.StructType([numbered.schema["_row"], numbered.schema["_id"], T.StructField("_n", T.LongType())]))
+    return counted.join(by_row, "_row", "left").select("_id", "_n", "parts").mapInArrow(finish, schema).withColumnRenamed("_id", id_col)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of docs that are not contaminated, with all their columns. The verdict travels beside
     the row, so null and repeated ids need no join."""
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    verdict = scan(kept, benchmark, id_col="_row", text_col="_text", **options)
-    return verdict.where(~F.col("contaminated")).select("_row.*")
+    verdicts = scan(kept, benchmark, id_col="_row", text_col="_text", **options)
+    return verdicts.where(~F.col("contaminated")).select("_row.*")
