@@ -89,13 +89,17 @@ def head_table(docs: DataFrame, text: str, path: str, parts_of: Callable[[str],
     # Cut by a bound on the frequency, so that tasks send the driver only parts that stay: first the
     # number of parts by frequency (steps of a tenth of an octave: some hundred rows), then the parts.
     step = F.floor(F.log2("n") * 10).cast("int")
-    total, bound = 0, None
-    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("parts"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
-        total += r["parts"]
-        if total > head_size:
+    total, whole, rest = 0, None, None
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("parts")).orderBy(F.desc("step")).collect():
+        if total + r["parts"] > head_size:
+            rest = r["step"], (head_size - total) * 1_000 // r["parts"]
             break
-        bound = r["least"]
-    parts = [r["part"] for r in counted.where(F.col("n") >= bound).select("part").collect()] if bound is not None else []
+        total, whole = total + r["parts"], r["step"]
+    # Of the step that is too many, a share by hash.
+    wanted = F.lit(False) if whole is None else step >= whole
+    if rest is not None:
+        wanted = wanted | ((step == rest[0]) & (F.pmod(F.xxhash64("part"), F.lit(1_000)) < rest[1]))
+    parts = [r["part"] for r in counted.where(wanted).select("part").collect()]
     release(counted)
     return dict(zip(parts, piece_counts(path, parts))) if parts else {}
 
