@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ TARGET_RECALL = 0.99
 SMALL = 1_024  # a bucket of more entries is split, as long as paths may grow
 DENSE = 0.5  # not if this share of them has one token of least rank: most pairs are links, and splitting would keep them together
 BLOCK_SETS, BLOCK_TOKENS = 1_024, 1 << 19
+BITS = 40  # of a token where sets are compared
 RARE = 16  # tokens that fewer sets share are counted pair by pair, others by products
 
 
@@ -93,15 +95,17 @@ def take_tokens(doc: np.ndarray, code: np.ndarray, size: np.ndarray, runs: int,
 
 
 def pack_tokens(tokens: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as their differences, byte by byte: all lowest bytes first. The
+    """Ascending numbers of BITS bits as their differences, byte by byte: all lowest bytes first. The
     differences of a set of some hundred numbers leave most of the highest bytes zero, which compresses."""
-    steps = np.diff(tokens.astype("<u4"), prepend=np.zeros(1, "<u4"))
-    return np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 4).T.tobytes()
+    steps = np.diff(tokens.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    return np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
 
 
 def unpack_tokens(packed: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.uint32)
+    rows = np.frombuffer(packed, np.uint8).reshape(BITS // 8, -1).T
+    steps = np.zeros((len(rows), 8), np.uint8)
+    steps[:, : BITS // 8] = rows
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
 FIELDS = "entry long, size int, tokens binary, level1 array<struct<run:int,token:long>>, level2 array<struct<run:int,token:long>>, level3 array<struct<run:int,token:long>>, least long"
@@ -109,9 +113,9 @@ FIELDS = "entry long, size int, tokens binary, level1 array<struct<run:int,token
 
 def table_of_sets(rows: DataFrame, n: int, runs: int, similarity: float) -> DataFrame:
     """One row for each of rows (row, id, text), without the text: the 64-bit fingerprint of its set (entry; null without words),
-    its tokens as sorted 32-bit numbers, and the tokens it takes. Sets that differ have one
+    its tokens as sorted numbers of BITS bits, and the tokens it takes. Sets that differ have one
     fingerprint in about 1 of 10**19 pairs; two tokens of a pair of sets fall together, which moves
-    their similarity by one token, in about 1 of 4 * 10**9 pairs of tokens."""
+    their similarity by one token, in about 1 of 10**12 pairs of tokens."""
     pair = pa.struct([("run", pa.int32()), ("token", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +127,7 @@ def table_of_sets(rows: DataFrame, n: int, runs: int, similarity: float) -> Data
                 first = np.concatenate([[0], np.cumsum(size)])
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(code), dtype=np.uint64)])
                 entry = mix64(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64)
-                low = (code >> np.uint64(32)).astype("<u4")
+                low = code >> np.uint64(64 - BITS)
                 tokens = [pack_tokens(low[a:b]) for a, b in zip(first[:-1], first[1:])]
                 levels = []
                 for at, which in take_tokens(doc, code, size, runs, similarity):
@@ -151,13 +155,14 @@ def crowded(members: DataFrame) -> DataFrame:
 
 
 def buckets(sets: DataFrame, small: int) -> DataFrame:
-    """(bucket, entry) of all buckets to be compared. Copies fall together when the taken tokens are
+    """(bucket, entry) of all buckets to be compared, written. Copies fall together when the taken tokens are
     made distinct, which tasks begin before anything is shuffled."""
     path = lambda before: F.xxhash64(*before, "t.token")
     level = sets.select("entry", F.explode("level1").alias("t")).select("entry", F.col("t.run").alias("run"), path([F.col("t.run")]).alias("bucket")).distinct()
-    out = None
+    out, levels = None, []
     for depth, column in enumerate(("level2", "level3", None)):
         level = materialize(crowded(level))
+        levels.append(level)
         done = level if column is None else level.where(F.col("many") <= small)
         done = done.select("bucket", "entry")
         out = done if out is None else out.unionByName(done)
@@ -170,6 +175,9 @@ def buckets(sets: DataFrame, small: int) -> DataFrame:
             taken = sets.join(open_.select("entry").distinct(), "entry", "left_semi").select("entry", F.explode(column).alias("t")).distinct()
             deeper = open_.join(taken.select("entry", F.col("t.run").alias("run"), "t"), ["entry", "run"])
             level = deeper.select("entry", "run", path([F.col("bucket"), F.lit(depth)]).alias("bucket")).distinct()
+    out = materialize(out)
+    for level in levels:
+        release(level)
     return out
 
 
@@ -179,7 +187,7 @@ def shared(a_sets: list[np.ndarray], b_sets: list[np.ndarray] | None) -> np.ndar
     sets = a_sets if same else a_sets + b_sets
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
-    token = np.concatenate(sets) if len(sets) else np.zeros(0, "<u4")
+    token = np.concatenate(sets) if len(sets) else np.zeros(0, "<u8")
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -281,14 +289,83 @@ def compare(similarity: float):
     return run
 
 
+def star(similarity: float):
+    """Links within a block of a group, and to the group's representative, which is with each block."""
+
+    def run(key: tuple, members: pa.Table) -> pa.Table:
+        group = key[0].as_py()
+        members = members.sort_by("entry")
+        entry = members.column("entry").to_numpy()
+        sets = [unpack_tokens(t) for t in members.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in sets], np.float64)
+        count = shared(sets, None)
+        linked = count >= similarity * (size[:, None] + size[None, :] - count) - 1e-9
+        np.fill_diagonal(linked, False)
+        root = components(linked, len(entry), True)
+        away = root != root[np.flatnonzero(entry == group)[0]]
+        return pa.table({"entry": entry, "root": entry[root], "group": np.full(len(entry), group), "away": away})
+
+    return run
+
+
+def across(similarity: float):
+    """Links of guests to the members of a block of their group."""
+
+    def run(key: tuple, members: pa.Table) -> pa.Table:
+        members = members.sort_by("entry")
+        guest = members.column("guest").to_numpy(zero_copy_only=False)
+        entry, tokens = members.column("entry").to_numpy(), members.column("tokens").to_pylist()
+        order = np.concatenate([np.flatnonzero(guest), np.flatnonzero(~guest)])
+        sets = [unpack_tokens(tokens[k]) for k in order]
+        n = int(guest.sum())
+        size = np.array([len(x) for x in sets], np.float64)
+        if not 0 < n < len(sets):
+            return pa.table({"entry": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+        count = shared(sets[:n], sets[n:])
+        root = components(count >= similarity * (size[:n, None] + size[None, n:] - count) - 1e-9, n, False)
+        return pa.table({"entry": entry[order], "root": entry[order[root]]})
+
+    return run
+
+
+def spanning_links(held: DataFrame, sizes: DataFrame, similarity: float) -> list[DataFrame]:
+    """(entry, root) tables, written, whose components are those of all links within groups.
+
+    held: group, entry, tokens; sizes: group, blocks. Each block of a group is compared in itself
+    and with the group's representative. Only entries that this leaves apart from the representative
+    go on to the other blocks, so a group of near copies costs its size, not the square of it."""
+    fields = "entry long, root long, group long, away boolean"
+    placed = held.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+    large = materialize(placed.where("blocks > 1"))
+    lead = large.where(F.col("entry") == F.col("group"))
+    sent = lead.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block").select("group", F.col("to").alias("block"), "entry", "tokens")
+    small = placed.where("blocks = 1").select("group", "block", "entry", "tokens")
+    every = small.unionByName(large.select("group", "block", "entry", "tokens")).unionByName(sent)
+    near = materialize(every.groupBy("group", "block").applyInArrow(star(similarity), fields).where("root != entry or away"))
+    left = large.join(near.where("away").select("group", "entry").distinct(), ["group", "entry"], "left_semi")
+    chunks = left.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("chunks"))
+    guests = (
+        left.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "entry"), F.col("chunks")).cast("int"))
+        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block")
+        .select("group", F.col("to").alias("block"), "chunk", "entry", "tokens", F.lit(True).alias("guest"))
+    )
+    hosts = large.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", "block", "chunk", "entry", "tokens", F.lit(False).alias("guest"))
+    far = materialize(guests.unionByName(hosts).groupBy("group", "block", "chunk").applyInArrow(across(similarity), "entry long, root long").where("root != entry"))
+    release(large)
+    return [near, far]
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of each node with an edge (u, v).
 
     Large-star and small-star rounds: in turn, each node hands its larger neighbours, and its
     smaller ones, to the smallest; stars are left when nothing changes."""
-    edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges, before = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
     while True:
         edges = materialize(edges)
+        if before is not None:
+            release(before)
+        before = edges
         # done when every node has one edge, to a node that has none
         tops = edges.groupBy("u").agg(F.count("*").alias("n"))
         if edges.join(tops.select(F.col("u").alias("w"), "n"), F.col("v") == F.col("w"), "left_semi").isEmpty() and tops.where("n > 1").isEmpty():
@@ -302,12 +379,13 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    rows: DataFrame, n: int = N, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, small: int = SMALL,
+    rows: DataFrame, n: int = N, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, small: int = SMALL, count_links: bool = True,
 ) -> DataFrame:
     """row, id, class_row, n_links for each of rows (row, id, text); row holds distinct longs.
 
     Rows whose sets of n-word shingles have a Jaccard similarity of at least `similarity` are
-    linked, rows with equal sets always; n_links counts the rows linked to a row, and class_row is
+    linked, rows with equal sets always; n_links counts the rows linked to a row (null without
+    count_links, which saves most of the work on large groups of near copies), and class_row is
     the smallest row of its component. A text of fewer than n words is one shingle. Null texts
     and texts without words have no links and are classes of their own.
     """
@@ -316,22 +394,28 @@ def near_duplicates(
     sets = materialize(table_of_sets(rows, n, runs_for(target_recall), similarity))
     some = sets.where(F.col("entry").isNotNull())
     entries = materialize(some.groupBy("entry").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
-    members = materialize(buckets(some, small))
+    members = buckets(some, small)
     named = members.groupBy("bucket").agg(F.min("entry").alias("group"))
     groups = materialize(members.join(named, "bucket").select("group", "entry").distinct())
-    mine = groups.groupBy("entry").agg(F.sort_array(F.collect_list("group")).alias("groups"))
-    held = mine.join(entries, "entry").select("row", "groups", "copies").join(sets.select("row", "entry", "size", "tokens"), "row")
-    held = held.select("entry", "groups", "copies", "size", "tokens", F.explode("groups").alias("group"))
+    release(members)
     sizes = (
         groups.join(some.select("row", "size").join(entries, "row").select("entry", "size"), "entry")
         .groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     )
-    placed = held.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "entry", "copies", "groups", "tokens")
-    found = materialize(pairs.groupBy("group", "i", "j").applyInArrow(compare(similarity), "entry long, links long, root long"))
-    links = found.groupBy("entry").agg(F.sum("links").alias("links"))
-    roots = connect(found.where("root != entry").select(F.col("entry").alias("u"), F.col("root").alias("v")))
+    mine = groups.groupBy("entry").agg(F.sort_array(F.collect_list("group")).alias("groups"))
+    held = mine.join(entries, "entry").select("row", "groups", "copies").join(sets.select("row", "entry", "size", "tokens"), "row")
+    if count_links:
+        held = held.select("entry", "groups", "copies", "size", "tokens", F.explode("groups").alias("group"))
+        placed = held.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+        other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "entry", "copies", "groups", "tokens")
+        parts = [materialize(pairs.groupBy("group", "i", "j").applyInArrow(compare(similarity), "entry long, links long, root long"))]
+        links = parts[0].groupBy("entry").agg(F.sum("links").alias("links"))
+    else:
+        parts = spanning_links(held.select(F.explode("groups").alias("group"), "entry", "tokens"), sizes, similarity)
+        links = entries.select("entry", F.lit(None).cast("long").alias("links"))
+    edges = reduce(DataFrame.unionByName, [p.where("root != entry").select(F.col("entry").alias("u"), F.col("root").alias("v")) for p in parts])
+    roots = connect(edges)
     known = (
         entries.select("entry", "row", "copies").join(links, "entry", "left").join(roots, F.col("entry") == F.col("node"), "left")
         .select("entry", "row", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "entry").alias("root"))
@@ -340,10 +424,9 @@ def near_duplicates(
     result = materialize(known.join(classes, "root").select("entry", "class_row", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     # Rows without an entry meet nothing; the salt keeps them from one task.
     own = sets.select("row", "id", "entry", F.when(F.col("entry").isNull(), F.col("row") % 4096).otherwise(0).alias("salt"))
-    found_rows = materialize(own.join(result.withColumn("salt", F.lit(0).cast("long")), ["entry", "salt"], "left").select(
-        "row", "id", F.coalesce("class_row", "row").alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    ))
-    for done in (sets, entries, members, groups, found, result):  # their rows are in the result now
+    n_links = F.coalesce("n_links", F.lit(0)).cast("long") if count_links else F.lit(None).cast("long")
+    found_rows = materialize(own.join(result.withColumn("salt", F.lit(0).cast("long")), ["entry", "salt"], "left").select("row", "id", F.coalesce("class_row", "row").alias("class_row"), n_links.alias("n_links")))
+    for done in (sets, entries, groups, *parts, roots, result):  # their rows are in the result now
         release(done)
     return found_rows
 
@@ -364,6 +447,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole))  # written, so that the numbers hold
     rows = numbered.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
-    keep = near_duplicates(rows, **options).groupBy("class_row").agg(F.min(order).alias("first")).select(F.col("first.c").alias("row"))
+    keep = near_duplicates(rows, count_links=False, **options).groupBy("class_row").agg(F.min(order).alias("first")).select(F.col("first.c").alias("row"))
     # Both sides grow with the documents: a sort-merge join at every size, so that what is moved grows alike.
     return numbered.join(keep.hint("merge"), "row", "left_semi").select("doc.*")
