@@ -4,11 +4,19 @@ The legal walks are U+, U+D+, U+H+, U+H+D+, D+, D+H+, H+ and H+D+. So each is ei
 along, then down, with any part left out, or down and then along. It is found by meeting:
 from the first concept up and along, from the second back along the downward links. No step
 goes down from a hub, so a concept with millions below it costs nothing.
+
+A walk scores 8 - links - turns. The turns are those of the walk's last link, not a sum: U to D
+or H and U to H to D with one D count 1 and 2; more links of the last kind count 1 each; what
+begins with H or D turns for free, but not a second link after the turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relspark.lexicon import materialize
 
@@ -19,6 +27,7 @@ DIRECTIONS = {
     "holo": "D", "hypo": "D", "enta": "D", "caus": "D",
 }
 MAX_LINKS, STRONG = 5, 16
+KEYS = ["pos_a", "a", "pos_b", "b"]
 
 
 def links(edge: DataFrame, sense: DataFrame) -> DataFrame:
@@ -32,20 +41,6 @@ def links(edge: DataFrame, sense: DataFrame) -> DataFrame:
     return whole.unionByName(words).distinct()
 
 
-def score(up: Column, along: Column, down: Column, along_last: Column) -> Column:
-    """8 - links - turns. The turns are those of the walk's last link, not a sum: U to D or H
-    and U to H to D with one D count 1 and 2; more links of the last kind count 1 each; what
-    begins with H or D turns for free, but not a second link after the turn."""
-    turns = (
-        F.when(along_last & (down > 0), F.when(along >= 2, 1).otherwise(0))
-        .when((up > 0) & (along > 0) & (down > 0), F.when(down == 1, 2).otherwise(1))
-        .when((up > 0) & ((along > 0) | (down > 0)), 1)
-        .when((along > 0) & (down > 0), F.when(down >= 2, 1).otherwise(0))
-        .otherwise(0)
-    )
-    return 8 - (up + along + down) - turns
-
-
 def walk(starts: DataFrame, steps: DataFrame, kinds: tuple[str, ...], back: bool = False) -> DataFrame:
     """(start_pos, start, pos, id, n0, n1): all ends of walks of at most MAX_LINKS links, n0 of the
     first kind and then n1 of the second; backwards, links are walked from their ends."""
@@ -67,22 +62,72 @@ def walk(starts: DataFrame, steps: DataFrame, kinds: tuple[str, ...], back: bool
     return out
 
 
+def node(pos: Column, id_: Column) -> Column:
+    """A concept as one number."""
+    return id_ * 4 + F.instr(F.lit("nvar"), pos)
+
+
+def reach(walks: DataFrame, kind: Column, links: Column) -> DataFrame:
+    """(pos, start, nodes, marks): for each start the concepts it reaches; a mark is links x 4 + kind.
+    Of walks of one kind to one concept the shortest count: that of one link and that of more."""
+    least = walks.groupBy(F.col("start_pos").alias("pos"), "start", node(F.col("pos"), F.col("id")).alias("m"), kind.alias("kind"), F.least(links, F.lit(2)).alias("few")).agg(F.min(links).alias("links"))
+    own = F.struct("m", (F.col("links") * 4 + F.col("kind")).cast("int").alias("mark"))
+    return least.groupBy("pos", "start").agg(F.collect_list(own).alias("r")).select("pos", "start", F.col("r.m").alias("nodes"), F.col("r.mark").alias("marks"))
+
+
+def best_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair the best walk over the concepts that both ends reach."""
+
+    def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row_a, node_a = flat(batch.column("nodes_a"))
+        row_b, node_b = flat(batch.column("nodes_b"))
+        mark_a, mark_b = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("marks_a", "marks_b"))
+        names, code = np.unique(np.concatenate([node_a, node_b]), return_inverse=True)
+        key_a, key_b = row_a * len(names) + code[: len(node_a)], row_b * len(names) + code[len(node_a) :]
+        order = np.argsort(key_b, kind="stable")
+        low, high = (np.searchsorted(key_b[order], key_a, side=s) for s in ("left", "right"))
+        size = high - low
+        i = np.repeat(np.arange(len(key_a)), size)
+        j = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)]
+        up, along, down = mark_a[i] & 2, mark_a[i] & 1, mark_b[j] >> 2
+        total = (mark_a[i] >> 2) + down
+        turns = np.where(
+            (up > 0) & (along > 0) & (down > 0), np.where(down == 1, 2, 1),
+            np.where((up > 0) & ((along > 0) | (down > 0)), 1, np.where((along > 0) & (down >= 2), 1, 0)),
+        )
+        best = np.full(batch.num_rows, -1, np.int64)
+        legal = (total >= 2) & (total <= MAX_LINKS)
+        np.maximum.at(best, row_a[i][legal], (8 - total - turns)[legal])
+        kept = pa.array(np.flatnonzero(best >= 0))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in KEYS), pa.array(best[best >= 0].astype(float))], [*KEYS, "score"])
+
+
 def medium_strong(pairs: DataFrame, steps: DataFrame) -> DataFrame:
     """pos_a, a, pos_b, b, score for pairs with a legal walk from a to b."""
-    own = pairs.select("pos_a", "a", "pos_b", "b").distinct()
+    own = pairs.select(KEYS).distinct()
     ahead = walk(own.select(F.col("pos_a").alias("pos"), F.col("a").alias("id")), steps, ("U", "H"))
-    ahead = ahead.select(F.col("start_pos").alias("pos_a"), F.col("start").alias("a"), F.col("pos").alias("m_pos"), F.col("id").alias("m"), F.col("n0").alias("up"), F.col("n1").alias("along"))
-    ends = own.select(F.col("pos_b").alias("pos"), F.col("b").alias("id"))
     # Backwards from the second concept: along, then down. What went down only meets the walks from the first.
-    back = walk(ends, steps, ("H", "D"), back=True)
-    back = back.select(F.col("start_pos").alias("pos_b"), F.col("start").alias("b"), F.col("pos").alias("m_pos"), F.col("id").alias("m"), F.col("n0").alias("h"), F.col("n1").alias("down"))
-    met = own.join(ahead, ["pos_a", "a"]).join(back.where("h = 0").drop("h"), ["pos_b", "b", "m_pos", "m"]).select("pos_a", "a", "pos_b", "b", "up", "along", "down", F.lit(False).alias("last"))
-    # Down, then along: backwards that reaches the first concept itself.
-    round_ = back.where("h > 0 and down > 0").select(F.col("m_pos").alias("pos_a"), F.col("m").alias("a"), "pos_b", "b", F.col("h").alias("along"), "down")
-    turned = own.join(round_, ["pos_a", "a", "pos_b", "b"])
-    every = met.unionByName(turned.select("pos_a", "a", "pos_b", "b", F.lit(0).alias("up"), "along", "down", F.lit(True).alias("last")))
-    legal = every.where(f"up + along + down between 2 and {MAX_LINKS}")
-    return legal.groupBy("pos_a", "a", "pos_b", "b").agg(F.max(score(F.col("up"), F.col("along"), F.col("down"), F.col("last"))).cast("double").alias("score"))
+    back = walk(own.select(F.col("pos_b").alias("pos"), F.col("b").alias("id")), steps, ("H", "D"), back=True)
+    # The meetings of a pair are found in its row, from the packed reach of both ends; only pairs are moved.
+    from_a = reach(ahead, F.when(F.col("n0") > 0, 2).otherwise(0) + F.when(F.col("n1") > 0, 1).otherwise(0), F.col("n0") + F.col("n1"))
+    from_b = reach(back.where("n0 = 0"), F.lit(0), F.col("n1"))
+    one = from_a.select(F.col("pos").alias("pos_a"), F.col("start").alias("a"), F.col("nodes").alias("nodes_a"), F.col("marks").alias("marks_a"))
+    two = from_b.select(F.col("pos").alias("pos_b"), F.col("start").alias("b"), F.col("nodes").alias("nodes_b"), F.col("marks").alias("marks_b"))
+    fields = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())])
+    met = own.join(one, ["pos_a", "a"]).join(two, ["pos_b", "b"]).mapInArrow(best_meetings, fields)
+    # Down, then along: backwards that reaches the first concept itself. A second link after the turn costs one.
+    round_ = back.where(f"n0 > 0 and n1 > 0 and n0 + n1 <= {MAX_LINKS}").select(
+        F.col("pos").alias("pos_a"), F.col("id").alias("a"), F.col("start_pos").alias("pos_b"), F.col("start").alias("b"),
+        (8.0 - F.col("n0") - F.col("n1") - F.when(F.col("n0") >= 2, 1).otherwise(0)).alias("score"),
+    )
+    every = met.unionByName(own.join(round_, KEYS))
+    return every.groupBy(KEYS).agg(F.max("score").alias("score"))
 
 
 def linked(pairs: DataFrame, steps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -97,7 +142,7 @@ def relatedness(pairs: DataFrame, steps: DataFrame) -> DataFrame:
     16 for one concept; for a horizontal link either way; and where one word contains the other
     and the second concept has an upward or downward link to the first. Else the best walk, or 0.
     """
-    keys = ["pos_a", "a", "pos_b", "b"]
+    keys = KEYS
     pairs, steps = materialize(pairs), materialize(steps)
     turned = pairs.select(F.col("pos_b").alias("pos_a"), F.col("b").alias("a"), F.col("pos_a").alias("pos_b"), F.col("a").alias("b"))
     back = linked(turned, steps, ("H",)).select(F.col("pos_b").alias("pos_a"), F.col("b").alias("a"), F.col("pos_a").alias("pos_b"), F.col("a").alias("b"))
@@ -108,5 +153,5 @@ def relatedness(pairs: DataFrame, steps: DataFrame) -> DataFrame:
         .distinct().withColumn("strong", F.lit(float(STRONG)))
     )
     rest = pairs.select(keys).distinct().join(strong, keys, "left_anti")
-    walks = medium_strong(rest, steps)
+    walks = medium_strong(materialize(rest), steps)
     return pairs.join(strong, keys, "left").join(walks, keys, "left").select(*pairs.columns, F.coalesce("strong", "score", F.lit(0.0)).alias("score"))

@@ -243,6 +243,41 @@ rels(rel, src_pos, src, dst_pos, dst) AS MATERIALIZED (
   UNION ALL SELECT 'attr', 'n', p_partkey + {dl.PART}, 'n', id FROM part JOIN {dl._rank("part", "p_type", dl.TYPE)} ON p_type = v
   UNION ALL SELECT 'enta', 'v', id, 'v', nxt FROM kinds WHERE nxt IS NOT NULL UNION ALL SELECT 'caus', 'v', nxt, 'v', id FROM kinds WHERE nxt IS NOT NULL)"""
 _RELS = f"WITH RECURSIVE {SQL_ISA}, {_REL}"
+_NAMES = f"""names(pos, id, name) AS MATERIALIZED (
+  SELECT 'n', r_regionkey + {dl.REGION}, r_name FROM region UNION ALL SELECT 'n', n_nationkey + {dl.NATION}, n_name FROM nation
+  UNION ALL SELECT 'n', id, v FROM {dl._rank("customer", "c_mktsegment", dl.SEGMENT)} UNION ALL SELECT 'n', id, v FROM {dl._rank("part", "p_type", dl.TYPE)}
+  UNION ALL SELECT 'n', id, v FROM {dl._rank("part", "p_brand", dl.BRAND)} UNION ALL SELECT 'n', id, v FROM {dl._rank("orders", "o_orderpriority", dl.PRIORITY)}
+  UNION ALL SELECT 'n', c_custkey + {dl.CUSTOMER}, c_name FROM customer UNION ALL SELECT 'n', s_suppkey + {dl.SUPPLIER}, s_name FROM supplier
+  UNION ALL SELECT 'n', p_partkey + {dl.PART}, p_name FROM part UNION ALL SELECT 'n', o_orderkey + {dl.ORDER}, 'order ' || o_orderkey FROM orders
+  UNION ALL SELECT 'v', id, v FROM {dl._rank("events", "event_type", dl.EVENT)}
+  UNION ALL SELECT DISTINCT 'v', {dl.USER} + id * {dl.USERS} + user_id, event_type || ' ' || user_id FROM events JOIN {dl._rank("events", "event_type", 0)} ON event_type = v)"""
+_LINKS = "links AS MATERIALIZED (SELECT DISTINCT CASE WHEN rel IN ('sim', 'attr') THEN 'H' WHEN rel IN ('hype', 'mero') THEN 'U' ELSE 'D' END AS dir, src_pos, src, dst_pos, dst FROM rels)"
+#: Walks from each end, as transitions of states (concept, links of the first kind, links of the second), then their meetings.
+_HSO = f"""{_RELS}, {SQL_PAIRS}, {_NAMES}, {_LINKS},
+pp(pos_a, a, pos_b, b) AS (SELECT 'n', a, 'n', b FROM pairs UNION SELECT src_pos, src, dst_pos, dst FROM rels WHERE rel IN ('mero', 'sim', 'hypo')),
+named AS MATERIALIZED (SELECT pp.*, x.name AS wa, y.name AS wb FROM pp JOIN names x ON x.pos = pos_a AND x.id = a JOIN names y ON y.pos = pos_b AND y.id = b),
+fwd(sp, s, p, i, u, h) AS (
+  SELECT DISTINCT pos_a, a, pos_a, a, 0, 0 FROM named
+  UNION SELECT f.sp, f.s, l.dst_pos, l.dst, f.u + (l.dir = 'U')::INTEGER, f.h + (l.dir = 'H')::INTEGER
+  FROM fwd f JOIN links l ON l.src_pos = f.p AND l.src = f.i WHERE f.u + f.h < 5 AND (l.dir = 'H' OR (l.dir = 'U' AND f.h = 0))),
+bwd(sp, s, p, i, h, d) AS (
+  SELECT DISTINCT pos_b, b, pos_b, b, 0, 0 FROM named
+  UNION SELECT f.sp, f.s, l.src_pos, l.src, f.h + (l.dir = 'H')::INTEGER, f.d + (l.dir = 'D')::INTEGER
+  FROM bwd f JOIN links l ON l.dst_pos = f.p AND l.dst = f.i WHERE f.h + f.d < 5 AND (l.dir = 'D' OR (l.dir = 'H' AND f.d = 0))),
+walked AS (
+  SELECT n.pos_a, n.a, n.pos_b, n.b, 8 - f.u - f.h - g.d - CASE WHEN f.u > 0 AND f.h > 0 AND g.d > 0 THEN CASE WHEN g.d = 1 THEN 2 ELSE 1 END
+    WHEN f.u > 0 AND (f.h > 0 OR g.d > 0) THEN 1 WHEN f.h > 0 AND g.d >= 2 THEN 1 ELSE 0 END AS score
+  FROM named n JOIN fwd f ON f.sp = n.pos_a AND f.s = n.a JOIN bwd g ON g.sp = n.pos_b AND g.s = n.b AND g.p = f.p AND g.i = f.i
+  WHERE g.h = 0 AND f.u + f.h + g.d BETWEEN 2 AND 5
+  UNION ALL SELECT n.pos_a, n.a, n.pos_b, n.b, 8 - g.h - g.d - CASE WHEN g.h >= 2 THEN 1 ELSE 0 END
+  FROM named n JOIN bwd g ON g.sp = n.pos_b AND g.s = n.b AND g.p = n.pos_a AND g.i = n.a WHERE g.h > 0 AND g.d > 0),
+best AS (SELECT pos_a, a, pos_b, b, max(score) AS score FROM walked GROUP BY ALL)
+SELECT n.pos_a, n.a, n.pos_b, n.b, (CASE WHEN n.pos_a = n.pos_b AND n.a = n.b
+  OR EXISTS (SELECT 1 FROM links l WHERE l.dir = 'H' AND l.src_pos = n.pos_b AND l.src = n.b AND l.dst_pos = n.pos_a AND l.dst = n.a)
+  OR EXISTS (SELECT 1 FROM links l WHERE l.dir = 'H' AND l.src_pos = n.pos_a AND l.src = n.a AND l.dst_pos = n.pos_b AND l.dst = n.b)
+  OR ((contains(n.wa, n.wb) OR contains(n.wb, n.wa)) AND EXISTS (SELECT 1 FROM links l WHERE l.dir <> 'H' AND l.src_pos = n.pos_b AND l.src = n.b AND l.dst_pos = n.pos_a AND l.dst = n.a))
+  THEN 16 ELSE coalesce(best.score, 0) END)::DOUBLE AS score
+FROM named n LEFT JOIN best ON best.pos_a = n.pos_a AND best.a = n.a AND best.pos_b = n.pos_b AND best.b = n.b"""
 
 ORACLE_SQL = {
     "isa_closure": f"{_BASE} SELECT pos, id, ancestor, min(k)::BIGINT AS distance FROM (SELECT pos, id, unnest(path) AS ancestor, unnest(range(len(path))) AS k FROM bare) GROUP BY pos, id, ancestor",
@@ -267,5 +302,6 @@ ORACLE_SQL = {
     "sim_random": f"WITH {SQL_PAIRS} SELECT a, b, round(('0x' || substr(md5(least('n#' || a, 'n#' || b) || '|' || greatest('n#' || a, 'n#' || b)), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)}, 3) AS score FROM pairs",
     **{f"rel_{r}": f"{_RELS} SELECT DISTINCT src AS key, dst_pos AS pos, dst AS id FROM rels WHERE rel = '{r}'" for r in ("hype", "hypo", "mero", "holo", "sim", "attr", "enta", "caus")},
     "rel_compose": f"{_RELS} SELECT DISTINCT m.src AS key, s.dst_pos AS pos, s.dst AS id FROM rels m JOIN rels s ON s.rel = 'sim' AND s.src = m.dst WHERE m.rel = 'mero'",
+    "sim_hso": _HSO,
     "hso_links": f"{_RELS} SELECT DISTINCT CASE WHEN rel IN ('sim', 'attr') THEN 'H' WHEN rel IN ('hype', 'mero') THEN 'U' ELSE 'D' END AS dir, src_pos, src, dst_pos, dst FROM rels",
 }
