@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from relspark.lexicon import release_since, written
 from relspark.llm import decontam, line_dedup, ngram_join, quality, queries
 from relspark.llm.common import materialize, table
 
@@ -49,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        release_since(spark, mark, but=(docs,))  # the stage's own tables, and its input
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -42,24 +42,22 @@ def links(edge: DataFrame, sense: DataFrame) -> DataFrame:
 
 
 def walk(starts: DataFrame, steps: DataFrame, kinds: tuple[str, ...], back: bool = False) -> DataFrame:
-    """(start_pos, start, pos, id, n0, n1): all ends of walks of at most MAX_LINKS links, n0 of the
+    """(start_pos, start, pos, id, n0, n1), written: all ends of walks of at most MAX_LINKS links, n0 of the
     first kind and then n1 of the second; backwards, links are walked from their ends."""
     here, there = ("dst", "src") if back else ("src", "dst")
     step = steps.select("dir", F.col(f"{here}_pos").alias("_pos"), F.col(here).alias("_id"), F.col(f"{there}_pos").alias("_to_pos"), F.col(there).alias("_to"))
     zero = F.lit(0)
     level = starts.select(F.col("pos").alias("start_pos"), F.col("id").alias("start"), "pos", "id", zero.alias("n0"), zero.alias("n1")).distinct()
     out = level
-    for n in range(1, MAX_LINKS + 1):
+    for _ in range(MAX_LINKS):
         met = level.join(step, (F.col("pos") == F.col("_pos")) & (F.col("id") == F.col("_id")))
         may = ((F.col("dir") == kinds[0]) & (F.col("n1") == 0)) | (F.col("dir") == kinds[1])
         level = met.where(may).select(
             "start_pos", "start", F.col("_to_pos").alias("pos"), F.col("_to").alias("id"),
             (F.col("n0") + F.when(F.col("dir") == kinds[0], 1).otherwise(0)).alias("n0"), (F.col("n1") + F.when(F.col("dir") == kinds[1], 1).otherwise(0)).alias("n1"),
         ).distinct()
-        if n < MAX_LINKS:
-            level = materialize(level)  # read twice, by the next step and the result
-        out = out.unionByName(level)
-    return out
+        out = out.unionByName(level)  # the next step reads the level again, from the same exchange
+    return materialize(out)
 
 
 def node(pos: Column, id_: Column) -> Column:
