@@ -328,18 +328,26 @@ def across(similarity: float):
     return run
 
 
-def spanning_links(held: DataFrame, sizes: DataFrame, similarity: float) -> list[DataFrame]:
+def with_tokens(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(places.*, entry, copies, groups, tokens) for ids (row, copies, groups, place): places are given to
+    rows as arrays first, so that each set's tokens meet them once and are moved once more, to its places."""
+    held = ids.groupBy("row").agg(F.first("copies").alias("copies"), F.first("groups").alias("groups"), F.collect_list("place").alias("places"))
+    return held.join(sets.select("row", "entry", "tokens"), "row").select("entry", "copies", "groups", F.explode("places").alias("p"), "tokens").select("p.*", "entry", "copies", "groups", "tokens")
+
+
+def spanning_links(placed: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
     """(entry, root) tables, written, whose components are those of all links within groups.
 
-    held: group, entry, tokens; sizes: group, blocks. Each block of a group is compared in itself
+    placed: row, copies, groups, place (group, block, blocks). Each block of a group is compared in itself
     and with the group's representative. Only entries that this leaves apart from the representative
     go on to the other blocks, so a group of near copies costs its size, not the square of it."""
     fields = "entry long, root long, group long, away boolean"
-    placed = held.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    large = materialize(placed.where("blocks > 1"))
+    # The rows of large groups are written, without tokens, so that Spark knows how few they are.
+    some = materialize(placed.where("place.blocks > 1"))
+    large = materialize(with_tokens(some, sets).drop("copies", "groups"))
     lead = large.where(F.col("entry") == F.col("group"))
     sent = lead.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block").select("group", F.col("to").alias("block"), "entry", "tokens")
-    small = placed.where("blocks = 1").select("group", "block", "entry", "tokens")
+    small = with_tokens(placed.where("place.blocks = 1"), sets).select("group", "block", "entry", "tokens")
     every = small.unionByName(large.select("group", "block", "entry", "tokens")).unionByName(sent)
     near = materialize(every.groupBy("group", "block").applyInArrow(star(similarity), fields).where("root != entry or away"))
     left = large.join(near.where("away").select("group", "entry").distinct(), ["group", "entry"], "left_semi")
@@ -351,6 +359,7 @@ def spanning_links(held: DataFrame, sizes: DataFrame, similarity: float) -> list
     )
     hosts = large.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", "block", "chunk", "entry", "tokens", F.lit(False).alias("guest"))
     far = materialize(guests.unionByName(hosts).groupBy("group", "block", "chunk").applyInArrow(across(similarity), "entry long, root long").where("root != entry"))
+    release(some)
     release(large)
     return [near, far]
 
@@ -402,17 +411,18 @@ def near_duplicates(
         groups.join(some.select("row", "size").join(entries, "row").select("entry", "size"), "entry")
         .groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     )
-    mine = groups.groupBy("entry").agg(F.sort_array(F.collect_list("group")).alias("groups"))
-    held = mine.join(entries, "entry").select("row", "groups", "copies").join(sets.select("row", "entry", "size", "tokens"), "row")
+    mine = groups.groupBy("entry").agg(F.sort_array(F.collect_list("group")).alias("groups")).join(entries, "entry") if count_links else entries.withColumn("groups", F.lit(None))
+    at = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).join(mine, "entry")
     if count_links:
-        held = held.select("entry", "groups", "copies", "size", "tokens", F.explode("groups").alias("group"))
-        placed = held.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-        other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "entry", "copies", "groups", "tokens")
+        other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        place = F.struct("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+        pairs = with_tokens(other.select("row", "copies", "groups", place.alias("place")), sets)
         parts = [materialize(pairs.groupBy("group", "i", "j").applyInArrow(compare(similarity), "entry long, links long, root long"))]
         links = parts[0].groupBy("entry").agg(F.sum("links").alias("links"))
     else:
-        parts = spanning_links(held.select(F.explode("groups").alias("group"), "entry", "tokens"), sizes, similarity)
+        placed = materialize(at.select("row", "copies", "groups", F.struct("group", "block", "blocks").alias("place")).drop("copies", "groups"))
+        parts = spanning_links(placed.withColumns({"copies": F.lit(None), "groups": F.lit(None)}), sets, similarity)
+        release(placed)
         links = entries.select("entry", F.lit(None).cast("long").alias("links"))
     edges = reduce(DataFrame.unionByName, [p.where("root != entry").select(F.col("entry").alias("u"), F.col("root").alias("v")) for p in parts])
     roots = connect(edges)
