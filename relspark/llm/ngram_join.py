@@ -328,10 +328,12 @@ def across(similarity: float):
     return run
 
 
-def with_tokens(ids: DataFrame, sets: DataFrame) -> DataFrame:
+def with_tokens(ids: DataFrame, sets: DataFrame, few: bool = False) -> DataFrame:
     """(places.*, entry, copies, groups, tokens) for ids (row, copies, groups, place): places are given to
-    rows as arrays first, so that each set's tokens meet them once and are moved once more, to its places."""
+    rows as arrays first, so that each set's tokens meet them once and are moved once more, to its places.
+    Unless ids are few both sides grow with the documents: a sort-merge join at every size."""
     held = ids.groupBy("row").agg(F.first("copies").alias("copies"), F.first("groups").alias("groups"), F.collect_list("place").alias("places"))
+    held = held if few else held.hint("merge")
     return held.join(sets.select("row", "entry", "tokens"), "row").select("entry", "copies", "groups", F.explode("places").alias("p"), "tokens").select("p.*", "entry", "copies", "groups", "tokens")
 
 
@@ -344,7 +346,7 @@ def spanning_links(placed: DataFrame, sets: DataFrame, similarity: float) -> lis
     fields = "entry long, root long, group long, away boolean"
     # The rows of large groups are written, without tokens, so that Spark knows how few they are.
     some = materialize(placed.where("place.blocks > 1"))
-    large = materialize(with_tokens(some, sets).drop("copies", "groups"))
+    large = materialize(with_tokens(some, sets, few=True).drop("copies", "groups"))
     lead = large.where(F.col("entry") == F.col("group"))
     sent = lead.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block").select("group", F.col("to").alias("block"), "entry", "tokens")
     small = with_tokens(placed.where("place.blocks = 1"), sets).select("group", "block", "entry", "tokens")
