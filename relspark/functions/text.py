@@ -17,8 +17,8 @@ def blank_marks(text: Column) -> Column:
 
 
 def plain_quotes(text: Column) -> Column:
-    """Apostrophes stay only between word characters; double hyphens become blanks."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<!\w)'", ""), r"'(?!\w)", ""), "--", " ")
+    """Apostrophes stay only between word characters; others, and double hyphens, become blanks."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<!\w)'", " "), r"'(?!\w)", " "), "--", " ")
 
 
 def one_blank(text: Column) -> Column:

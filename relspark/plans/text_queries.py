@@ -253,8 +253,18 @@ _WPS = "wps AS (SELECT DISTINCT unnest([w, w || '#n', w || '#n#1', w || '#x#1',
 _LINES = "lines AS (SELECT p_partkey, unnest([p_name, p_name || ' // note', '# ' || p_name, p_name || ' more', '//']) AS value FROM part), bare AS (SELECT p_partkey, value, trim(regexp_replace(regexp_replace(value, '^\\s*#.*$', ''), '//.*$', '')) AS t FROM lines)"
 
 _MARKS = tx.MARKS.replace("'", "''")
-# Look-arounds by captures: of a run of apostrophes only the first can stay, and only between word characters.
-_CLEAN = f"lower(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '{_MARKS}', '{' ' * len(tx.MARKS)}'), '(^|[^\\w''])''+', '\\1', 'g'), '(\\w'')''+', '\\1', 'g'), '''([^\\w]|$)', '\\1', 'g'), '--', ' '), '\\s+', ' ', 'g')))"
+# Look-arounds by captures: apostrophes between word characters are kept as chr(1) while all others go; twice, as a match takes both neighbours.
+_BARE = f"translate(text, '{_MARKS}', '{' ' * len(tx.MARKS)}')"
+_KEPT = f"regexp_replace(regexp_replace({_BARE}, '(\\w)''(\\w)', '\\1' || chr(1) || '\\2', 'g'), '(\\w)''(\\w)', '\\1' || chr(1) || '\\2', 'g')"
+_CLEAN = f"lower(trim(regexp_replace(replace(replace(replace({_KEPT}, chr(39), ' '), chr(1), chr(39)), '--', ' '), '\\s+', ' ', 'g')))"
+
+# All compounds have two words, so the longest one from a word on is it and the next, if listed.
+_WALK = "SELECT 0 AS step, key, ws, 0 AS k, 1 + list_contains((SELECT list(DISTINCT word) FROM comp), ws[1] || '_' || coalesce(ws[2], ''))::INTEGER AS n FROM {t} WHERE len(ws) > 0 UNION ALL SELECT step + 1, key, ws, k + n, 1 + list_contains((SELECT list(DISTINCT word) FROM comp), ws[k + n + 1] || '_' || coalesce(ws[k + n + 2], ''))::INTEGER FROM {w} WHERE k + n < len(ws)"
+_WALKED = f"""WITH RECURSIVE comp(word) AS (SELECT DISTINCT lower(replace(p_name, ' ', '_')) FROM part),
+texts AS (SELECT p_partkey AS key, {_split("regexp_replace(lower(concat_ws(' ', p_type, p_name, p_brand)), '\\s+', ' ', 'g')")} AS ws FROM part),
+bare AS (SELECT p_partkey AS key, regexp_extract_all(lower(concat_ws(' ', p_type, p_name, p_brand)), '[a-z0-9_./''-]+') AS ws FROM part),
+w1 AS ({_WALK.format(t="texts", w="w1")}), w2 AS ({_WALK.format(t="bare", w="w2")}),
+walked AS (SELECT key, k, array_to_string(ws[k + 1:k + n], '_') AS token FROM w1), cut AS (SELECT key, k, array_to_string(ws[k + 1:k + n], '_') AS token FROM w2)"""
 
 ORACLE_SQL = {
     "gloss_clean": f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents",
@@ -278,6 +288,8 @@ ORACLE_SQL = {
     "ranking_lines": f"WITH {_RANKED} SELECT w1 || '<>' || w2 || '<>' || rank || ' ' || printf('%.2f', score) || ' 0 0 0' AS line FROM ranked",
     "wps_validate": f"WITH {_SENSES}, {_WPS} SELECT wps, s.id, (CASE WHEN s.id IS NULL THEN 1 ELSE 0 END)::BIGINT AS err_level, regexp_full_match(wps, '\\S+#[nvar]#[0-9]+') AS well_formed FROM wps LEFT JOIN senses s ON regexp_full_match(wps, '[^#]+#n#[0-9]+') AND s.word || '#n#' || s.sense = wps",
     "pair_file_parse": f"WITH {_LINES} SELECT p_partkey, value, CASE WHEN len(string_split(t, ' ')) = 2 THEN split_part(t, ' ', 1) END AS w1, CASE WHEN len(string_split(t, ' ')) = 2 THEN split_part(t, ' ', 2) END AS w2, len(string_split(t, ' ')) = 2 AS ok FROM bare WHERE t <> ''",
+    "compound_tokens": f"{_WALKED} SELECT key, k::BIGINT AS \"at\", token FROM walked",
+    "compoundify": f"{_WALKED} SELECT key, string_agg(token, ' ' ORDER BY k) AS compounds FROM cut GROUP BY key",
     "super_gloss": f"WITH {dl.SQL_ISA}, g(id, gloss) AS (SELECT r_regionkey + {dl.REGION}, r_name FROM region UNION ALL SELECT n_nationkey + {dl.NATION}, n_name FROM nation UNION ALL SELECT id, v FROM {dl._rank('customer', 'c_mktsegment', dl.SEGMENT)} UNION ALL SELECT id, v FROM {dl._rank('part', 'p_type', dl.TYPE)} UNION ALL SELECT id, v FROM {dl._rank('part', 'p_brand', dl.BRAND)} UNION ALL SELECT id, v FROM {dl._rank('orders', 'o_orderpriority', dl.PRIORITY)} UNION ALL SELECT c_custkey + {dl.CUSTOMER}, c_name FROM customer) SELECT child AS key, string_agg(lower(trim(regexp_replace(gloss, '\\s+', ' ', 'g'))), '|' ORDER BY parent) AS gloss FROM (SELECT DISTINCT child, parent FROM isa WHERE pos = 'n') JOIN g ON g.id = parent GROUP BY child",
     "ic_lines": f"WITH RECURSIVE {dl.SQL_ISA}, {dl.SQL_NODES}, {dl.SQL_OWN}, {dl.SQL_COUNTS} SELECT pos, id, id || pos || ' ' || freq::BIGINT || CASE WHEN is_root THEN ' ROOT' ELSE '' END AS line FROM counts",
 }

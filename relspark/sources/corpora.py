@@ -43,8 +43,9 @@ def brown(docs: DataFrame) -> DataFrame:
 
 
 def bnc(docs: DataFrame) -> DataFrame:
-    """Sentences of marked-up text: what stands before the first <s> does not count."""
-    bare = F.regexp_replace(F.regexp_replace("text", "&[^;\\s]*;", " "), r"\[[^\]]*\]", " ")
+    """Sentences of marked-up text: what stands before the first <s> does not count, and
+    entities and what is in brackets leave nothing behind."""
+    bare = F.regexp_replace(F.regexp_replace("text", "&([a-z0-9]*;)+", ""), r"\[[^\]\n]*\]", "")
     parts = F.split(one_line(bare), r"</?s(?:\s+[^>]*)?>")
     return in_blocks(docs, F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.regexp_replace(p, "<[^>]*>", " ")))
 

@@ -104,7 +104,8 @@ def test_corpora(spark):
     assert blocks(corpora.raw_text(docs("One two,\nthree four. Five\nsix"))) == ["One two", "three four", "Five six"]
     assert blocks(corpora.raw_text(docs("One two,\nthree four. Five\nsix"), False)) == ["One two three four", "Five six"]
     assert blocks(corpora.brown(docs("A01 0010 The jury said. It\nA01 0020 did"))) == ["The jury said", "It did"]
-    assert blocks(corpora.bnc(docs("<head>no</head><s n=1><w NN1>Dogs &amp; [x] bark</s>\n<s n=2>two</s>"))) == ["Dogs     bark", "two"]
+    assert blocks(corpora.bnc(docs("<head>no</head><s n=1><w NN1>Dogs &amp; [x] bark</s>\n<s n=2>two</s>"))) == ["Dogs   bark", "two"]
+    assert blocks(corpora.bnc(docs("<s n=1>caf&eacute;s</s>"))) == ["cafs"]
     assert blocks(corpora.treebank(docs(".START\nOne two\nthree\n\n.START four"))) == ["One two three", "four"]
     assert [r["word"] for r in corpora.semcor_lemmas(docs("<wf cmd=done pos=NN lemma=dog wnsn=1>Dogs</wf><wf cmd=ignore pos=DT>the</wf>")).collect()] == ["dog"]
 
