@@ -339,3 +339,76 @@ def test_empty_tables(spark):
     ):
         assert out.collect() == []
     assert decontam.scan(one, items).collect()[0]["n_hit"] == 0
+
+
+def test_words_in_steps():
+    from relspark.llm import words
+
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        data = rng.choice(np.frombuffer(b"aB9 \n-\xc3\xa9", np.uint8), rng.integers(0, 60))
+        offsets = np.sort(np.concatenate([[0, len(data)], rng.integers(0, len(data) + 1, 3)])).astype(np.int64)
+        whole = words.words(data, offsets, True)
+        found = WORD.findall
+        parts = [data[a:b].tobytes().decode("latin-1") for a, b in zip(offsets, offsets[1:])]
+        assert np.diff(whole.first).tolist() == [len(found(low(p))) for p in parts]
+        for step in (3, 7):
+            again = words.words(data, offsets, True, step)
+            assert (again.hash == whole.hash).all() and (again.first == whole.first).all() and (again.start == whole.start).all()
+
+
+def test_long_chains_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.choice(np.frombuffer(b"ab! \n\n9", np.uint8), 3_000)
+    offsets = np.array([0, 40, 40, 2_000, 3_000])
+    field = quality.Field(rng.normal(size=15), np.ones(15), rng.normal(size=46) * 0.3, rng.normal(size=(2, 2)))
+    whole = field.scores(quality.lines(data, offsets))
+    for name, value in (("PIECE", 3), ("BLOCK_LINES", 6), ("BLOCK_BYTES", 50)):
+        monkeypatch.setattr(quality, name, value)
+    assert np.allclose(field.text_scores(data, offsets), whole)
+
+
+def longest_by_force(text, items):
+    w, found = WORD.findall(low(text)), []
+    for name, item in items:
+        v = WORD.findall(low(item))
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= decontam.LEAD or (n and j == 0 and n == len(v)):
+                    found.append((-n, i, name, j))
+    return (-min(found)[0], *min(found)[1:]) if found else (0, None, None, None)
+
+
+@pytest.mark.parametrize("shard", [3, 1 << 17])
+def test_suffix_arrays(monkeypatch, shard):
+    import pyarrow as pa
+
+    from relspark.llm.common import text_buffer
+    from relspark.llm.words import words
+
+    monkeypatch.setattr(decontam, "SHARD", shard)
+    rng = np.random.default_rng(2)
+    text = lambda n, k=5: " ".join(f"w{i}" for i in rng.integers(0, k, n))
+    for n_blocks in (1, 2) * 25:
+        items = [(str(i), text(rng.choice([0, 1, 2, 3, 5, 12, 13, 14, 30]), rng.integers(1, 6))) for i in range(4)]
+        docs = [text(rng.integers(0, 40)) for _ in range(3)] + [items[0][1] + " zz " + items[3][1]]
+        found = words(*text_buffer(pa.array(docs)))
+        parts = [decontam.judge(found, decontam.make_block(items[b::n_blocks], 13), 13) for b in range(n_blocks)]
+        for d, doc in enumerate(docs):
+            own = [p[d] for p in parts if d in p]
+            got = decontam.verdict(int(np.diff(found.first)[d]), decontam.merged(own) if own else None, 20)
+            assert got == (*contamination(doc, items), *longest_by_force(doc, items))
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = np.random.default_rng(3)
+    key = lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
+    text = " x ".join(key() if i % 3 else f"token={key().lower()} q7Zp2LxV9sKd0RmT4wYb8NcF6hJg1QaE" for i in range(3_000))
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    base = [(s["start"], secrets.KINDS.index(s["kind"]), s["end"]) for s in got["base"]]
+    assert base == spans_of(text)
+    random = [text[s["start"] : s["end"]] for s in got["spans"] if s["kind"] == "random"]
+    assert random == ["q7Zp2LxV9sKd0RmT4wYb8NcF6hJg1QaE"] * 1_000
