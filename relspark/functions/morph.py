@@ -36,9 +36,9 @@ def stems(words: DataFrame, morph: DataFrame) -> DataFrame:
     return asked.join(found, F.lower(asked["word"]) == found["form"], "left").select("word", F.coalesce("stems", F.array().cast("array<string>")).alias("stems"))
 
 
-def stem_text(df: DataFrame, key: str, text: str, morph: DataFrame) -> DataFrame:
-    """(key, stemmed): words of the text replaced where they have exactly one base form."""
-    spread = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"(\w+)"), F.lit(1))).alias("at", "word"))
+def stem_text(df: DataFrame, key: str, text: str, morph: DataFrame, pattern: str = r"(\w+)") -> DataFrame:
+    """(key, stemmed): words (pattern) of the text replaced where they have exactly one base form."""
+    spread = df.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("at", "word"))
     known = stems(spread, morph)
     one = F.when(F.size("stems") == 1, F.col("stems")[0]).otherwise(F.col("word"))
     joined = spread.join(known, "word", "left").select(key, F.struct("at", one.alias("w")).alias("t"))

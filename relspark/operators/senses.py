@@ -39,6 +39,19 @@ def validate(df: DataFrame, wps: str, sense: DataFrame) -> DataFrame:
     return joined.select(*df.columns, F.when(message.isNull(), F.col("_id")).alias("id"), F.when(message.isNull(), 0).otherwise(1).alias("err_level"), message.alias("err_msg"))
 
 
+def validate_pairs(df: DataFrame, sense: DataFrame, left: str = "wps1", right: str = "wps2") -> DataFrame:
+    """df with id_a, id_b, err_level and err_msg for two columns of sense strings. Both are checked;
+    the message is the left one's, else the right one's, and with a fault neither has an id. A
+    missing or empty string on either side is the first fault of all."""
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), F.col(left).alias("_left"), F.col(right).alias("_right"))
+    one = validate(whole, "_left", sense).withColumnsRenamed({"id": "_a", "err_level": "_la", "err_msg": "_ma"})
+    both = validate(one, "_right", sense)
+    void = F.coalesce(F.col("_right"), F.lit("")) == ""
+    message = F.when(void & (F.coalesce(F.col("_left"), F.lit("")) != ""), F.col("err_msg")).otherwise(F.coalesce("_ma", "err_msg"))
+    level = F.greatest("_la", "err_level")
+    return both.select("_row.*", F.when(level == 0, F.col("_a")).alias("id_a"), F.when(level == 0, F.col("id")).alias("id_b"), level.alias("err_level"), message.alias("err_msg"))
+
+
 def well_formed(wps: Column) -> Column:
     """The looser check of walks and vectors: anything without blanks, a part of speech, a number."""
     return F.coalesce(wps.rlike(r"^\S+#[nvar]#[0-9]+$"), F.lit(False))
@@ -105,8 +118,10 @@ def sense_pairs(pairs: DataFrame, senses: DataFrame) -> DataFrame:
 
 
 def best_sense(scored: DataFrame) -> DataFrame:
-    """For each (w1, w2) the pair of senses of the highest score; ties to the smaller sense strings."""
-    return scored.where("score is not null").groupBy("w1", "w2").agg(F.min(F.struct((-F.col("score")).alias("s"), "wps1", "wps2")).alias("m")).select("w1", "w2", "m.wps1", "m.wps2", (-F.col("m.s") + 0.0).alias("score"))
+    """For each (w1, w2) the pair of senses of the highest score, with its trace if there is one; ties to the smaller sense strings."""
+    trace = [c for c in ("trace",) if c in scored.columns]
+    first = F.min(F.struct((-F.col("score")).alias("s"), "wps1", "wps2", *trace)).alias("m")
+    return scored.where("score is not null").groupBy("w1", "w2").agg(first).select("w1", "w2", "m.wps1", "m.wps2", (-F.col("m.s") + 0.0).alias("score"), *(f"m.{c}" for c in trace))
 
 
 def drop_stop_words(tokens: DataFrame, stop: DataFrame, word: str = "word") -> DataFrame:

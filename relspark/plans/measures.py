@@ -12,10 +12,11 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relspark.functions import text as tx
+from relspark.functions import morph as mp, text as tx
 from relspark.functions.overlap import overlap_score
 from relspark.lexicon import UNRELATED, Lexicon, materialize
 from relspark.operators import information as info, paths as pt, relations as rel, senses as sn, vectors as vec, walks
+from relspark.sources.tables import first_depth
 
 Relation = tuple[list[str], list[str], float]
 #: A stop list goes to every task, so it must be a list and not a table.
@@ -34,6 +35,9 @@ class Config:
     vectors: DataFrame | None = None  # word, dim, cnt: for vector, vector_pairs
     compounds: DataFrame | None = None
     stop: DataFrame | None = None  # word
+    stem: DataFrame | None = None  # form, pos, lemma: words of texts become their base form, for lesk, vector, vector_pairs
+    synset_depths: DataFrame | None = None  # pos, id, depth, root, place, as files have them: for wup, and lch without a root
+    taxonomy_depths: DataFrame | None = None  # pos, root, depth: for lch
     normalize: bool = False
     text_size: int | None = None  # vector keeps one word more
     fold_case: bool = True
@@ -131,9 +135,11 @@ def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     subsumers = found.select("pos", F.col("subsumer").alias("id")).distinct()
     if config.root_node:  # every subsumer is below the virtual root
         roots = subsumers.withColumn("root", F.lit(0).cast("long"))
+    elif config.synset_depths is not None:
+        roots = subsumers.join(config.synset_depths.select("pos", "id", "root").distinct(), ["pos", "id"])
     else:
         roots = pt.taxonomies(pt.root_paths(lexicon.isa, subsumers, False, lexicon.height))
-    depth = pt.taxonomy_depths(lexicon.synset, lexicon.isa, config.root_node, lexicon.height, config.depth_order)
+    depth = config.taxonomy_depths if config.taxonomy_depths is not None else pt.taxonomy_depths(lexicon.synset, lexicon.isa, config.root_node, lexicon.height, config.depth_order)
     deepest = roots.join(depth, ["pos", "root"]).groupBy("pos", F.col("id").alias("subsumer")).agg(F.max("depth").alias("d"))
     rows = found.join(deepest, ["pos", "subsumer"]).groupBy("pos", "a", "b").agg(F.min("len").alias("len"), F.max("d").alias("d"))
     return both_pos(rows.where("d > 0"), F.ln(2.0 * F.col("d") / F.col("len")))
@@ -150,7 +156,10 @@ def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     # A subsumer's own paths give its depth, and its distance to the concepts.
     own = pt.root_paths(lexicon.isa, candidates.where("id <> 0"), config.root_node, lexicon.height)
     own = materialize(own.unionByName(virtual))
-    depth = pt.synset_depth(own.where("id <> 0"), config.depth_order, config.root_node)
+    if config.synset_depths is not None:
+        depth = first_depth(config.synset_depths.where("id <> 0"))
+    else:
+        depth = pt.synset_depth(own.where("id <> 0"), config.depth_order, config.root_node)
     depth = depth.unionByName(candidates.where("id = 0").select("pos", "id", F.lit(1).alias("depth"), F.col("id").alias("root")))
     deepest = materialize(pt.lcs_by_depth(p, paths, depth))
     every = materialize(own.unionByName(paths).distinct())
@@ -221,6 +230,16 @@ def joined_texts(lexicon: Lexicon, relations: list[Relation], pairs: DataFrame)
     return both.select(*KEYS, "rid", "weight", F.array_join("texts_a", " \u0001a ").alias("text_a"), F.array_join("texts_b", " \u0001b ").alias("text_b"))
 
 
+def stemmed(both: DataFrame, morph: DataFrame) -> DataFrame:
+    """Both texts of each row with base forms for words; marks between texts stay."""
+    texts = both.select(F.col("text_a").alias("text")).unionByName(both.select(F.col("text_b").alias("text"))).distinct()
+    known = materialize(mp.stem_text(texts, "text", "text", morph, "(\u0001?\\w+)"))
+    for side in ("text_a", "text_b"):
+        one = known.select(F.col("text").alias(side), "stemmed")
+        both = both.join(one, side, "left").withColumn(side, F.coalesce("stemmed", side)).drop("stemmed")
+    return both
+
+
 @measure("lesk", sn.ALL_POS)
 def lesk(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Weighted sum over the relations of the squared lengths of shared phrases."""
@@ -231,6 +250,8 @@ def lesk(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
             if len(stop) > MAX_STOP_WORDS:
                 raise ValueError(f"a stop list of over {MAX_STOP_WORDS} words")
     both = joined_texts(lexicon, config.relations, pairs)
+    if config.stem is not None:
+        both = stemmed(both, config.stem)
     once = both.select("text_a", "text_b").distinct().withColumn("f", overlap_score(F.col("text_a"), F.col("text_b"), stop, config.normalize))
     return both.join(once, ["text_a", "text_b"]).groupBy(*KEYS).agg(F.sum(F.col("weight") * F.col("f")).alias("score"))
 
@@ -245,7 +266,11 @@ def text_words(texts: DataFrame, text: Column, config: Config, key: str) -> Data
     kept = tx.words(F.col("_flat"))
     if config.text_size is not None:
         kept = F.slice(kept, 1, config.text_size + 1)
-    return flat.select("key", F.explode(kept).alias("word"))
+    found = flat.select("key", F.explode(kept).alias("word"))
+    if config.stem is None:
+        return found
+    known = mp.vector_stem(found, config.stem)
+    return found.join(known, "word").select("key", F.col("stem").alias("word"))
 
 
 @measure("vector", sn.ALL_POS)
