@@ -30,8 +30,12 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     options = lists.parse_config(read_text(a.config), a.type) if a.config else lists.Options({"rootNode": 1})
     if options.err_level > 1:
         raise SystemExit("; ".join(options.messages))
+    for message in options.messages:
+        print(message, file=sys.stderr)
     v = options.values
-    config = ms.Config(root_node=bool(v.get("rootNode", 1)), normalize=bool(v.get("normalize", 0)), max_random=v.get("maxrand", 1.0), text_size=v["textsize"] if v.get("textsize", -1) >= 0 else None)
+    if v.get("trace") and ms.MEASURES[a.type].pos != sn.NOUN_VERB:
+        print(f"trace: {a.type} has none.", file=sys.stderr)
+    config = ms.Config(root_node=bool(v.get("rootNode", 1)), normalize=bool(v.get("normalize", 0)), max_random=v.get("maxrand", 1.0), text_size=v["textsize"] if v.get("textsize", -1) >= 0 else None, trace=a.trace or bool(v.get("trace", 0)))
     changes = {}
     if v.get("infocontent"):
         changes["counts"] = tables.read_counts(spark, v["infocontent"])
@@ -39,6 +43,15 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         changes["stop"] = lists.stop_list(spark, v["stop"])
     if v.get("vectordb"):
         changes["vectors"] = tables.read_vectors(spark, v["vectordb"])[2].select("word", F.col("dim").cast("string").alias("dim"), "cnt")
+    if v.get("synsetDepthsFile"):
+        changes["synset_depths"] = tables.read_synset_depths(spark, v["synsetDepthsFile"], root_node=config.root_node)
+    if v.get("taxonomyDepthsFile"):
+        changes["taxonomy_depths"] = tables.read_taxonomy_depths(spark, v["taxonomyDepthsFile"])
+    if a.type in ("vector", "vector_pairs"):
+        changes["compounds"] = wndb.compounds(lexicon.sense)
+    if v.get("stem"):
+        texts = lexicon.synset.select(F.explode(F.regexp_extract_all(F.lower("gloss"), F.lit(r"(\w+)"), F.lit(1))).alias("word"))
+        changes["stem"] = morph_of(spark, lexicon, texts.unionByName(lexicon.sense.select("word")).distinct())
     if v.get("relation"):
         text = read_text(v["relation"])
         changes |= {"vector_relations": lists.parse_vector_relations(text)} if a.type == "vector" else {"relations": lists.parse_relations(text)}
@@ -46,7 +59,19 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
     bare = pairs.select(F.explode(F.array("w1", "w2")).alias("w")).select(F.split("w", "#")[0].alias("word"))
     scored = ms.score_words(lexicon, pairs, a.type, replace(config, **changes), morph_of(spark, lexicon, bare), a.allsenses)
-    return scored.orderBy(F.desc("score"), "wps1", "wps2").select(lists.result_line(F.col("wps1"), F.col("wps2"), F.col("score")).alias("line"))
+    line = lists.result_line(F.col("wps1"), F.col("wps2"), F.col("score"))
+    if "trace" in scored.columns:
+        line = F.concat_ws("\n", line, "trace")
+    if a.offsets:
+        scored = by_offset(by_offset(scored, "wps1", lexicon.sense), "wps2", lexicon.sense)
+    return scored.orderBy(F.desc("score"), "wps1", "wps2").select(line.alias("line"))
+
+
+def by_offset(scored: DataFrame, column: str, sense: DataFrame) -> DataFrame:
+    """Sense strings of the column with the concept's id for the sense's number."""
+    parts = [F.col(c) for c in ("word", "pos", "sense", "id")]
+    names = sense.select(lists.sense_or_offset(*parts).alias(column), lists.sense_or_offset(*parts, offsets=True).alias("_named"))
+    return scored.join(names, column, "left").withColumn(column, F.coalesce("_named", column)).drop("_named")
 
 
 def count_corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -82,7 +107,9 @@ def depths(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.depthfile:
         paths = pt.root_paths(lexicon.isa, lexicon.synset, False)
         tables.write_synset_depths(pt.depths_and_roots(paths, False), a.depthfile, a.version)
-    tables.write_taxonomy_depths(pt.taxonomy_depths(lexicon.synset, lexicon.isa, True), a.outfile, a.version)
+    found = pt.taxonomy_depths(lexicon.synset, lexicon.isa, True)
+    names = sn.canonical(found.select("pos", F.col("root").alias("id")), lexicon.sense) if a.wps else None
+    tables.write_taxonomy_depths(found, a.outfile, a.version, names)
     return spark.createDataFrame([(a.outfile,)], "line string")
 
 
@@ -122,10 +149,10 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(flag, **kw)
 
     wn, out, version = ("--wnpath", {"required": True}), ("--outfile", {"required": True}), ("--version", {"default": "0"})
-    command("similarity", similarity, wn, ("--type", {"required": True, "choices": sorted(ms.MEASURES)}), ("--config", {}), ("--file", {}), ("--allsenses", {"action": "store_true"}), ("words", {"nargs": "*"}))
+    command("similarity", similarity, wn, ("--type", {"required": True, "choices": sorted(ms.MEASURES)}), ("--config", {}), ("--file", {}), *((f"--{x}", {"action": "store_true"}) for x in ("allsenses", "offsets", "trace")), ("words", {"nargs": "*"}))
     command("count", count_corpus, wn, out, version, ("--format", {"default": "raw", "choices": ["raw", "brown", "bnc", "treebank", "semcor"]}), ("--infile", {"nargs": "+", "required": True}), ("--stopfile", {}), ("--resnik", {"action": "store_true"}), ("--smooth", {"action": "store_true"}))
     command("tags", sense_tags, wn, out, version, ("--smooth", {"action": "store_true"}))
-    command("depths", depths, wn, out, version, ("--depthfile", {}))
+    command("depths", depths, wn, out, version, ("--depthfile", {}), ("--wps", {"action": "store_true"}))
     command("vectors", word_vectors, wn, out, ("--stopfile", {}), ("--noexamples", {"action": "store_true"}), ("--cutoff", {"type": float}), *((f"--{x}", {"type": int}) for x in ("rhigh", "rlow", "chigh", "clow")))
     command("compounds", compounds, wn)
     command("rank", rank, ("--file", {"required": True}))

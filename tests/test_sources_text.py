@@ -177,6 +177,11 @@ def test_validation(spark, lexicon):
     assert len({got[i]["err_msg"].split("(")[0] for i in range(1, len(given))}) >= 7
     first = sn.canonical(spark.createDataFrame([("n", 400), ("n", 1)], "pos string, id long"), lexicon.sense).collect()
     assert {r["id"]: r["wps"] for r in first} == {400: "dog#n#1", 1: None}
+    two = spark.createDataFrame([("dog#n#1", "dog#v#1", 7), ("dog#n#9", "dog#x#1", 8), ("dog#n#9", "", 9), (None, "dog#n#1", 10)], "wps1 string, wps2 string, id int")
+    both = {r["id"]: r for r in sn.validate_pairs(two, lexicon.sense).collect()}
+    assert both[7]["id_a"] == 400 and both[7]["id_b"] is not None and both[7]["err_level"] == 0 and both[7]["err_msg"] is None
+    assert all(both[i]["id_a"] is None and both[i]["id_b"] is None and both[i]["err_level"] == 1 for i in (8, 9, 10))
+    assert "dog#n#9" in both[8]["err_msg"] and both[9]["err_msg"] == both[10]["err_msg"] == "Undefined input sense."
     errors = spark.createDataFrame([("n and v are different parts of speech.",), ("v and n are different parts of speech.",), ("other",), (None,)], "err_msg string")
     assert sn.distinct_errors(errors).count() == 2
 
@@ -227,6 +232,16 @@ def test_definition_measures(spark, lexicon):
             assert got[400, 400] == pytest.approx(1) and got[400, 500] == pytest.approx(got[500, 400])
 
 
+def test_stems(spark, lexicon):
+    morph = spark.createDataFrame([("barks", "v", "bark"), ("animal", "n", "animal"), ("saws", "n", "saw"), ("saws", "v", "see")], "form string, pos string, lemma string")
+    both = spark.createDataFrame([("animal barks \x01a saws", "barks"), ("", "saws")], "text_a string, text_b string")
+    got = {(r["text_a"], r["text_b"]) for r in ms.stemmed(both, morph).collect()}
+    assert got == {("animal bark \x01a saws", "bark"), ("", "saws")}  # two base forms: the word stays
+    config = ms.Config(stem=morph)
+    texts = spark.createDataFrame([("k", "animal barks saws")], "key string, t string")
+    assert sorted(r["word"] for r in ms.text_words(texts, F.col("t"), config, "key").collect()) == ["animal", "bark", "saw"]
+
+
 def test_commands(spark, folder, tmp_path, capsys):
     out = str(tmp_path / "ic")
     (tmp_path / "corpus.txt").write_text("The dogs saw a dog, the cat.\nAnimals!")
@@ -252,6 +267,20 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert capsys.readouterr().out.splitlines() == ["a<>b<>1 0.50 0 0 0", "a<>c<>1 0.50 0 0 0", "a<>d<>3 0.20 0 0 0"]
 
 
+def test_command_options(spark, folder, tmp_path, capsys):
+    cli.main(["depths", "--wnpath", folder, "--outfile", str(tmp_path / "named"), "--depthfile", str(tmp_path / "d"), "--wps"], spark)
+    roots = {r["value"].split()[1] for r in spark.read.text(str(tmp_path / "named")).where("value not like 'wnver%'").collect()}
+    assert "00000000" in roots and len([r for r in roots if "#" in r]) == 2
+    (tmp_path / "wup").write_text(f"wup\nsynsetDepthsFile::{tmp_path / 'd'}\n")
+    shown = []
+    for more in (["--config", str(tmp_path / "wup"), "--offsets", "--trace"], []):  # the file's depths are those of the lexicon
+        capsys.readouterr()
+        cli.main(["similarity", "--wnpath", folder, "--type", "wup", *more, "dog#n#1", "cat#n#1"], spark)
+        shown.append(capsys.readouterr().out.splitlines())
+    assert shown[0][0].split()[:2] == ["dog#n#00000400", "cat#n#00000500"] and "(3)" in shown[0][1]
+    assert shown[1][0].split()[:2] == ["dog#n#1", "cat#n#1"] and shown[0][0].split()[2] == shown[1][0].split()[2]
+
+
 def test_stream(spark, lexicon, tmp_path):
     source = tmp_path / "in"
     os.mkdir(source)
