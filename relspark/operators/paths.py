@@ -8,7 +8,7 @@ ancestors are no candidates, which matters where depth or information picks amon
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from relspark.functions.text import pad_id
 from relspark.lexicon import ROOT, materialize
@@ -50,59 +50,97 @@ def root_paths(isa: DataFrame, members: DataFrame, root_node: bool = True, heigh
     return paths.select("pos", "id", path.alias("path"))
 
 
-def path_pairs(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """For each of pairs (pos, a, b) and each pair of their paths that meets: subsumer (the
-    candidate), len (nodes on the way, both ends included) and the two paths."""
-    left = paths.select(F.col("pos"), F.col("id").alias("a"), F.col("path").alias("path_a"))
-    right = paths.select(F.col("pos"), F.col("id").alias("b"), F.col("path").alias("path_b"))
+def ways_of(paths: DataFrame) -> DataFrame:
+    """(pos, id, ways): all paths of a concept in one row. A concept of k paths is an array of k,
+    whatever the number of its pairs."""
+    return paths.groupBy("pos", "id").agg(F.collect_list("path").alias("ways"))
+
+
+def meetings(pairs: DataFrame, paths: DataFrame, nodes: bool = False) -> DataFrame:
+    """pos, a, b, met: for each of pairs (pos, a, b) that meets, the distinct (subsumer, len) of its
+    pairs of paths: the candidate, and the nodes on the way, both ends included. With nodes also
+    the way itself, one for each pair of paths. Each pair stays one row, so nothing is shuffled but
+    for the two joins."""
+
+    def at(p: Column, q: Column, x: Column) -> Column:
+        i, j = F.array_position(p, x).cast("int"), F.array_position(q, x).cast("int")
+        way = [F.concat(F.slice(p, F.lit(1), i), F.reverse(F.slice(q, F.lit(1), j - 1))).alias("nodes")] if nodes else []
+        return F.struct(x.alias("subsumer"), (i + j - 1).alias("len"), *way)
+
+    def first(p: Column, q: Column) -> Column:
+        common = F.filter(q, lambda x: F.array_contains(p, x))
+        return F.transform(F.slice(common, 1, 1), lambda x: at(p, q, x))
+
+    ways = ways_of(paths)
+    left = ways.select("pos", F.col("id").alias("a"), F.col("ways").alias("_up"))
+    right = ways.select("pos", F.col("id").alias("b"), F.col("ways").alias("_down"))
     both = pairs.select("pos", "a", "b").join(left, ["pos", "a"]).join(right, ["pos", "b"])
-    met = both.withColumn("subsumer", F.get(F.filter("path_b", lambda x: F.array_contains(F.col("path_a"), x)), F.lit(0)))
-    steps = F.array_position("path_a", F.col("subsumer")) + F.array_position("path_b", F.col("subsumer")) - 1
-    return met.where(F.col("subsumer").isNotNull()).select("pos", "a", "b", "subsumer", steps.cast("int").alias("len"), "path_a", "path_b")
+    met = F.flatten(F.transform("_up", lambda p: F.flatten(F.transform("_down", lambda q: first(p, q)))))
+    return both.select("pos", "a", "b", (met if nodes else F.array_distinct(met)).alias("met")).where(F.size("met") > 0)
 
 
-def all_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """pos, a, b, subsumer, len, nodes: every way from a up to a candidate and down to b."""
-    met = path_pairs(pairs, paths)
-    up = F.slice("path_a", F.lit(1), F.array_position("path_a", F.col("subsumer")).cast("int"))
-    down = F.reverse(F.slice("path_b", F.lit(1), (F.array_position("path_b", F.col("subsumer")) - 1).cast("int")))
-    return met.select("pos", "a", "b", "subsumer", "len", F.concat(up, down).alias("nodes"))
+def shortest(met: Column) -> Column:
+    """Nodes on the shortest way of a pair that meets."""
+    return F.array_min(F.transform(met, lambda m: m["len"]))
+
+
+def highest(rows: DataFrame, by: str, *also: str) -> DataFrame:
+    """pos, a, b, subsumer, by, also: the distinct rows of each pair of the largest `by`, ties included.
+    The groups are the candidates of one pair, so they are small."""
+    sets = rows.groupBy("pos", "a", "b").agg(F.collect_set(F.struct(by, "subsumer", *also)).alias("_s"), F.max(by).alias("_top"))
+    top = F.filter("_s", lambda r: r[by] == F.col("_top"))
+    return sets.select("pos", "a", "b", F.explode(top).alias("_m")).select("pos", "a", "b", "_m.subsumer", f"_m.{by}", *(f"_m.{c}" for c in also))
 
 
-def best(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """The rows of each pair (pos, a, b) that come first, ties included. The groups are the paths
-    of one pair, so they are small."""
-    return rows.withColumn("_r", F.rank().over(Window.partitionBy("pos", "a", "b").orderBy(*order))).where("_r = 1").drop("_r")
+def candidates(met: DataFrame) -> DataFrame:
+    """pos, a, b, subsumer of meetings, once each."""
+    once = F.array_distinct(F.transform("met", lambda m: m["subsumer"]))
+    return met.select("pos", "a", "b", F.explode(once).alias("subsumer"))
+
+
+def all_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """pos, a, b, subsumer, len, nodes: every way from a up to a candidate and down to b, for each pair of paths."""
+    return meetings(pairs, paths, True).select("pos", "a", "b", F.inline("met"))
 
 
 def shortest_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """pos, a, b, len, nodes: the shortest ways, ties included, distinct."""
-    return best(all_paths(pairs, paths), [F.col("len")]).select("pos", "a", "b", "len", "nodes").distinct()
+    met = meetings(pairs, paths, True).withColumn("_min", shortest(F.col("met")))
+    ways = F.transform(F.filter("met", lambda m: m["len"] == F.col("_min")), lambda m: m["nodes"])
+    return met.select("pos", "a", "b", F.col("_min").alias("len"), F.explode(F.array_distinct(ways)).alias("nodes"))
 
 
 def path_lengths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """pos, a, b, len: nodes on the shortest way."""
-    return path_pairs(pairs, paths).groupBy("pos", "a", "b").agg(F.min("len").alias("len"))
+    return meetings(pairs, paths).select("pos", "a", "b", shortest(F.col("met")).alias("len"))
 
 
 def lcs_by_path(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, len for the subsumers on shortest ways."""
-    return best(path_pairs(pairs, paths), [F.col("len")]).select("pos", "a", "b", "subsumer", "len").distinct()
+    met = meetings(pairs, paths).withColumn("_min", shortest(F.col("met")))
+    return met.select("pos", "a", "b", F.inline(F.filter("met", lambda m: m["len"] == F.col("_min"))))
+
+
+def deepest(found: DataFrame, depths: DataFrame) -> DataFrame:
+    """pos, a, b, subsumer, depth, root for the deepest of candidates (pos, a, b, subsumer)."""
+    known = depths.select("pos", F.col("id").alias("subsumer"), "depth", "root")
+    return highest(found.join(known, ["pos", "subsumer"]), "depth", "root")
 
 
 def lcs_by_depth(pairs: DataFrame, paths: DataFrame, depths: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, depth, root for the deepest candidates. depths: pos, id, depth, root."""
-    found = path_pairs(pairs, paths).select("pos", "a", "b", "subsumer").distinct()
-    known = depths.select("pos", F.col("id").alias("subsumer"), "depth", "root")
-    return best(found.join(known, ["pos", "subsumer"]), [F.col("depth").desc()]).select("pos", "a", "b", "subsumer", "depth", "root")
+    return deepest(candidates(meetings(pairs, paths)), depths)
+
+
+def with_ic(pairs: DataFrame, paths: DataFrame, ic: DataFrame) -> DataFrame:
+    """pos, a, b, subsumer, ic of all candidates; 0 where nothing is known. ic: pos, id, ic."""
+    known = ic.select("pos", F.col("id").alias("subsumer"), "ic")
+    return candidates(meetings(pairs, paths)).join(known, ["pos", "subsumer"], "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
 
 
 def lcs_by_ic(pairs: DataFrame, paths: DataFrame, ic: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, ic for the candidates of most information. ic: pos, id, ic."""
-    found = path_pairs(pairs, paths).select("pos", "a", "b", "subsumer").distinct()
-    known = ic.select("pos", F.col("id").alias("subsumer"), "ic")
-    held = found.join(known, ["pos", "subsumer"], "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
-    return best(held, [F.col("ic").desc()]).select("pos", "a", "b", "subsumer", "ic")
+    return highest(with_ic(pairs, paths, ic), "ic")
 
 
 def depths_and_roots(paths: DataFrame, root_node: bool = True) -> DataFrame:

@@ -96,15 +96,15 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
 
 def traces(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """pos_a, a, pos_b, b, trace: every way from a to b as `nodes (len)`, shortest first."""
-    p = same_pos(pairs)
+    p = same_pos(pairs.select(*KEYS).distinct())
     way = F.format_string("%s (%d)", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"), "len")
     ways = pt.all_paths(p, member_paths(lexicon, p, config)).groupBy("pos", "a", "b").agg(F.array_sort(F.collect_set(F.struct("len", way.alias("w")))).alias("ws"))
     return ways.select(F.col("pos").alias("pos_a"), "a", F.col("pos").alias("pos_b"), "b", F.array_join(F.transform("ws", lambda x: x["w"]), "; ").alias("trace"))
 
 
 def same_pos(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs, written: every step below reads them."""
-    return materialize(pairs.select(F.col("pos_a").alias("pos"), "a", "b").distinct())
+    """The pairs, which are distinct and of one part of speech each, written: every step below reads them."""
+    return materialize(pairs.select(F.col("pos_a").alias("pos"), "a", "b"))
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -151,7 +151,8 @@ def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     from the concepts to it. Of several deepest subsumers the one of the highest score counts."""
     p = same_pos(pairs)
     paths = member_paths(lexicon, p, config)
-    candidates = materialize(pt.path_pairs(p, paths).select("pos", F.col("subsumer").alias("id")).distinct())
+    found = materialize(pt.candidates(pt.meetings(p, paths)))
+    candidates = materialize(found.select("pos", F.col("subsumer").alias("id")).distinct())
     virtual = candidates.where("id = 0").select("pos", "id", F.array("id").alias("path"))
     # A subsumer's own paths give its depth, and its distance to the concepts.
     own = pt.root_paths(lexicon.isa, candidates.where("id <> 0"), config.root_node, lexicon.height)
@@ -161,7 +162,7 @@ def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     else:
         depth = pt.synset_depth(own.where("id <> 0"), config.depth_order, config.root_node)
     depth = depth.unionByName(candidates.where("id = 0").select("pos", "id", F.lit(1).alias("depth"), F.col("id").alias("root")))
-    deepest = materialize(pt.lcs_by_depth(p, paths, depth))
+    deepest = materialize(pt.deepest(found, depth))
     every = materialize(own.unionByName(paths).distinct())
     down = deepest.select("pos", "a", F.col("subsumer").alias("b")).unionByName(deepest.select("pos", F.col("b").alias("a"), F.col("subsumer").alias("b"))).distinct()
     far = materialize(pt.path_lengths(down, every))
@@ -179,8 +180,9 @@ def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     p = same_pos(pairs)
     counts = materialize(config.counts)
     known = materialize(info.information(counts))
-    best = pt.lcs_by_ic(p, member_paths(lexicon, p, config), known)
-    top = best.groupBy("pos", "a", "b").agg(F.max("ic").alias("ic_l"), F.min("subsumer").alias("subsumer"))
+    found = pt.with_ic(p, member_paths(lexicon, p, config), known)
+    first = F.min(F.struct((F.lit(0.0) - F.col("ic")).alias("less"), "subsumer")).alias("m")
+    top = found.groupBy("pos", "a", "b").agg(first).select("pos", "a", "b", (F.lit(0.0) - F.col("m.less")).alias("ic_l"), "m.subsumer")
     out = top
     for name, key in (("l", "subsumer"), ("a", "a"), ("b", "b")):
         side = known.select("pos", F.col("id").alias(key), F.col("freq").alias(f"freq_{name}"), *([F.col("ic").alias(f"ic_{name}")] if name != "l" else []))
