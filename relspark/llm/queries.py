@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relspark.llm import ann, chat, decontam, licenses, line_dedup, ngram_join, packing, quality, secrets, token_counts
+from relspark.llm import alignment, ann, chat, clustering, decontam, licenses, line_dedup, ngram_join, packing, quality, secrets, token_counts, url_filter
 from relspark.llm.common import table
 
 MAX_TOKENS = 1024
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +74,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summarize(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.outcomes_of(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -84,5 +98,8 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_url_filter": op13_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.oracle(), "op12_centroid_clustering": clustering.oracle(), "op13_url_filter": url_filter.oracle(URL_RULES)}
