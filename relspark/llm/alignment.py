@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from relspark.llm.common import materialize, passes
+from relspark.llm.packing import BEYOND_LATIN, encoder
 
 #: Characters from "!" to "~" and Latin letters are white space in no Unicode version.
 CUT = re.compile("(?<! )(?= [!-~À-ɏ])")
 ODD = re.compile("  | (?![!-~À-ɏ])")
 SPACE = "▁"
+SHORT = 1000  # characters of a part for the faster library, whose pattern fails on very long runs
 STEP = 1 << 20  # bytes whose owners are looked at together, and tokens that are digested together
 KNOWN_PARTS = 1 << 18  # that a worker remembers
 #: Pairs of ids that are looked up in the tasks, 17 bytes each; all others are joined.
@@ -62,17 +64,26 @@ def vocabulary(entries: list[bytes], encode: Callable[[list[str]], list[list[int
     return Vocabulary(encode, np.frombuffer(b"".join(entries), np.uint8), np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int64))
 
 
-def byte_level(path: str) -> Vocabulary:
-    """A byte-level BPE of the tokenizers library; strings of special tokens are plain text."""
+def byte_level(path: str, ranks_path: str | None = None, pattern: str | None = None) -> Vocabulary:
+    """A byte-level BPE of the tokenizers library; strings of special tokens are plain text. ranks_path names the same
+    vocabulary for a faster library, which takes the short parts on which both surely agree."""
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    own, fast = Tokenizer.from_file(path), encoder(path, ranks_path, pattern).fast if ranks_path else None
     own.encode_special_tokens = True
     codes = byte_of_character()
     entries = [b""] * (max(own.get_vocab().values()) + 1)
     for entry, i in own.get_vocab().items():
         entries[i] = bytes(codes[c] for c in entry) if all(c in codes for c in entry) else b""
-    return vocabulary(entries, lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)])
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        ids = [fast.encode_ordinary(t) if fast is not None and len(t) < SHORT and not BEYOND_LATIN.search(t) else None for t in texts]
+        left = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(left, own.encode_batch_fast([texts[k] for k in left], add_special_tokens=False) if left else ()):
+            ids[k] = e.ids
+        return ids
+
+    return vocabulary(entries, encode)
 
 
 def pieces(path: str) -> Vocabulary:
@@ -87,14 +98,17 @@ def pieces(path: str) -> Vocabulary:
     return vocabulary(entries, lambda texts: own.encode([t[1:] for t in texts], num_threads=1))
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_vocabularies: dict[tuple, Vocabulary] = {}
+#: Path of a tokenizer; for a byte-level one also that of the same vocabulary as ranks, and their pattern.
+Tokenizer = str | tuple[str, str, str]
 
 
-def loaded(path: str) -> Vocabulary:
+def loaded(tokenizer: Tokenizer) -> Vocabulary:
     """Once for each worker."""
-    if path not in _vocabularies:
-        _vocabularies[path] = pieces(path) if path.endswith(".model") else byte_level(path)
-    return _vocabularies[path]
+    named = (tokenizer,) if isinstance(tokenizer, str) else tuple(tokenizer)
+    if named not in _vocabularies:
+        _vocabularies[named] = pieces(*named) if named[0].endswith(".model") else byte_level(*named)
+    return _vocabularies[named]
 
 
 class Encoded:
@@ -205,7 +219,7 @@ ALIGNED = ("a_ids", "b_ids", "group_a", "group_b")
 OVERLAPS = ("overlap_a", "overlap_b")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", overlaps: bool = False) -> DataFrame:
+def align(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", text_col: str = "text", overlaps: bool = False) -> DataFrame:
     """One row for each row of docs: id_col; a_ids, b_ids: the ids of a blank and the text; group_a,
     group_b: how many tokens of either side each group between two common ends has; with overlaps also overlap_a, overlap_b:
     the indices of all pairs of tokens that share bytes, in order, and always n_overlaps, their number.
@@ -217,7 +231,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     names = [*ALIGNED, *(OVERLAPS if overlaps else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = Encoded(loaded(path_a), loaded(path_b))
+        encoded = Encoded(loaded(a), loaded(b))
         for some in (s for batch in batches for s in passes(batch, "_text")):
             made = align_texts(some.column("_text"), encoded)
             n = pa.array(np.diff(made["overlap_a"].offsets.to_numpy()).astype(np.int64))
@@ -227,29 +241,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     return chosen.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-class Groups(NamedTuple):
-    """Of a batch of aligned rows: both sides' ids, ends of the groups in them, and ends of the rows' groups."""
-
-    ids: tuple[np.ndarray, np.ndarray]
-    ends: tuple[np.ndarray, np.ndarray]
-    rows: np.ndarray
-
-    @property
-    def pairs(self) -> np.ndarray:
-        """For each group, the two ids that end it, as one number."""
-        a, b = (ids[ends - 1].astype(np.int64) for ids, ends in zip(self.ids, self.ends))
-        return (a << 32) | b
-
-
-def groups(batch: pa.RecordBatch) -> Groups:
-    flat = {}
-    for c in ALIGNED:
-        column = batch.column(c)
-        flat[c] = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    rows = flat["group_a"][1].astype(np.int64)
-    return Groups(
-        (flat["a_ids"][0], flat["b_ids"][0]), (np.cumsum(flat["group_a"][0], dtype=np.int64), np.cumsum(flat["group_b"][0], dtype=np.int64)), rows - rows[0]
-    )
+def link_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of a batch, some at a time, with the pairs of ids of all their links (a << 32 | b) and the ends of each row's."""
+    ends, start = batch.column("link_a").offsets.to_numpy().astype(np.int64), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STEP, side="right")) - 1)
+        some = batch.slice(start, stop - start)
+        a, b = (some.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b"))
+        yield some, (a << 32) | b, ends[start : stop + 1] - ends[start]
+        start = stop
 
 
 def count_links(aligned: DataFrame) -> DataFrame:
@@ -258,8 +258,8 @@ def count_links(aligned: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            pair, n = np.unique(groups(batch).pairs, return_counts=True)
+        for _, pairs, _ in (s for batch in batches for s in link_slices(batch)):
+            pair, n = np.unique(pairs, return_counts=True)
             held, back = np.unique(np.concatenate([held, pair]), return_inverse=True)
             times = np.bincount(back, np.concatenate([times, n]), len(held)).astype(np.int64)
             if len(held) > PENDING:
@@ -267,7 +267,7 @@ def count_links(aligned: DataFrame) -> DataFrame:
                 held, times = held[:0], times[:0]
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], ["pair", "n"])
 
-    counted = aligned.select(*ALIGNED).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = aligned.select("link_a", "link_b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     top = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND((1 << 32) - 1)))  # at most a vocabulary of rows each
     return counted.withColumn("best", F.col("n") == top)
 
@@ -284,13 +284,18 @@ def frequent(links: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return links.where(chosen), links.where(~chosen)
 
 
-def digest(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], texts: np.ndarray) -> str:
-    """Hash of one row's groups as text; ends: of its groups in its ids. texts: ids with `,`, then with `|`, then with `;`."""
+def written_ids(size: int) -> np.ndarray:
+    """Ids below size as text with `,`, then with `|`, then with `;` behind them."""
+    return np.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], object)
+
+
+def digest(ids: list[np.ndarray], ends: list[np.ndarray], texts: np.ndarray) -> str:
+    """Hash of one row's groups as text; ends: of its groups in its ids."""
     size = len(texts) // 3
     group = [np.repeat(np.arange(len(e)), np.diff(e, prepend=0)) for e in ends]
-    codes = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    codes = np.empty(len(ids[0]) + len(ids[1]), np.int32)
     for k, mark in enumerate((1, 2)):
-        code = ids[k].astype(np.int64)
+        code = ids[k].astype(np.int32)
         code[ends[k] - 1] += mark * size
         other = np.concatenate([[0], ends[1 - k]])[group[k] + k]  # tokens of the other side that stand before
         codes[np.arange(len(code)) + other] = code
@@ -301,7 +306,36 @@ def digest(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarra
     return out.hexdigest()
 
 
-def summarize(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", head_pairs: int = HEAD_PAIRS) -> DataFrame:
+def links_of(docs: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
+    """For rows (row, id, text) what `align` finds, in short: row, id, n_a, n_b, n_groups, n_overlaps, groups_sha256, and the ids of both tokens of each link."""
+    numbers = ("n_a", "n_b", "n_groups", "n_overlaps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = [loaded(t) for t in (a, b)]
+        encoded, texts = Encoded(*sides), written_ids(max(len(v.ends) for v in sides))
+        for some in (s for batch in batches for s in passes(batch, "text")):
+            made = align_texts(some.column("text"), encoded)
+            flat = {c: (made[c].flatten().to_numpy(zero_copy_only=False), made[c].offsets.to_numpy().astype(np.int64)) for c in ALIGNED}
+            rows = flat["group_a"][1]
+            # Where groups end, in the ids of all rows and then in those of each row.
+            whole = [np.cumsum(flat[c][0], dtype=np.int64) for c in ("group_a", "group_b")]
+            last = [flat[c][0][e - 1] for c, e in zip(("a_ids", "b_ids"), whole)]
+            hashes = []
+            for d, (lo, hi) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
+                own = [(flat[c][0][flat[c][1][d] : flat[c][1][d + 1]], e[lo:hi] - flat[c][1][d]) for c, e in zip(("a_ids", "b_ids"), whole)]
+                hashes.append(digest([i for i, _ in own], [e for _, e in own], texts) if hi > lo else "")
+            counts = [np.diff(x) for x in (flat["a_ids"][1], flat["b_ids"][1], rows, made["overlap_a"].offsets.to_numpy())]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("row"), some.column("id"), *(pa.array(n.astype(np.int64)) for n in counts), pa.array(hashes, pa.string()), *(lists(i, counts[2]) for i in last)],
+                ["row", "id", *numbers, "groups_sha256", "link_a", "link_b"],
+            )
+
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([docs.schema["row"], docs.schema["id"], *(T.StructField(c, T.LongType()) for c in numbers), T.StructField("groups_sha256", T.StringType()), T.StructField("link_a", ints), T.StructField("link_b", ints)])
+    return docs.mapInArrow(run, schema)
+
+
+def summarize(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", text_col: str = "text", head_pairs: int = HEAD_PAIRS) -> DataFrame:
     """One row for each row of docs: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, n_overlaps, groups_sha256.
 
     A link is a token of either side that end together: the last two of each group. Its count is how many links of the corpus have its ids.
@@ -312,56 +346,44 @@ def summarize(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
     none of those holds more than about one in head_pairs of all links, so no key of the join is hot.
     """
     spark = docs.sparkSession
-    numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("_id"), F.col(text_col).alias("_text"))
-    aligned = materialize(align(numbered, path_a, path_b, "_id", "_text").select("_id.row", "_id.id", *ALIGNED, "n_overlaps"))  # read twice
+    aligned = materialize(links_of(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), a, b))  # read twice
     links = materialize(count_links(aligned))
     head, tail = frequent(links, head_pairs)
     known = head.orderBy("pair").toArrow()
     held = spark.sparkContext.broadcast(tuple(known.column(c).to_numpy() for c in ("pair", "n", "best")))
-    columns = ("n_a", "n_b", "n_groups", "n_overlaps", "n_best", "count_sum")
+    kept = ("n_a", "n_b", "n_groups", "n_overlaps", "groups_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row of docs one with what the head gives; and one for each other pair of it."""
         pairs, times, best = held.value
-        sizes = [len(loaded(p).ends) - 1 for p in (path_a, path_b)]
-        texts = np.array([f"{i}{mark}" for mark in ",|;" for i in range(max(sizes))], object)
-        for batch in batches:
-            found = groups(batch)
-            own = found.pairs
+        for some, own, ends in (s for batch in batches for s in link_slices(batch)):
             at = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
             here = pairs[at] == own if len(pairs) else np.zeros(len(own), bool)
             n, top = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             n[here], top[here] = times[at[here]], best[at[here]]
-            id_ends = [batch.column(c).offsets.to_numpy().astype(np.int64) for c in ("a_ids", "b_ids")]
-            id_ends = [e - e[0] for e in id_ends]
-            hashes = []
-            for d, (lo, hi) in enumerate(zip(found.rows[:-1].tolist(), found.rows[1:].tolist())):
-                spans = [slice(e[d], e[d + 1]) for e in id_ends]
-                hashes.append(digest(tuple(i[s] for i, s in zip(found.ids, spans)), tuple(e[lo:hi] - s.start for e, s in zip(found.ends, spans)), texts) if hi > lo else "")
             rest = np.flatnonzero(~here)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(found.rows))[rest]
+            row = np.repeat(np.arange(some.num_rows), np.diff(ends))[rest]
             order = np.lexsort((own[rest], row))
             row, pair = row[order], own[rest][order]
             first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])) if len(row) else np.zeros(0, np.int64)
-            nulls = pa.nulls(len(first), pa.int64())
-            numbers = [np.diff(id_ends[0]), np.diff(id_ends[1]), np.diff(found.rows), batch.column("n_overlaps").to_numpy(), totals(top, found.rows), totals(n, found.rows)]
-            again = pa.array(np.concatenate([np.arange(batch.num_rows), row[first]]))
+            again = pa.array(np.concatenate([np.arange(some.num_rows), row[first]]))
+            only = pa.array(np.concatenate([np.arange(some.num_rows), np.full(len(first), -1)]), mask=np.arange(some.num_rows + len(first)) >= some.num_rows)
+            none, nulls = pa.nulls(some.num_rows, pa.int64()), pa.nulls(len(first), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(again), batch.column("id").take(again),
-                 pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(pair[first])]),
-                 pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(np.diff(first, append=len(row)))]),
-                 *(pa.concat_arrays([pa.array(x.astype(np.int64)), nulls]) for x in numbers), pa.concat_arrays([pa.array(hashes, pa.string()), pa.nulls(len(first), pa.string())])],
-                ["row", "id", "pair", "times", *columns, "groups_sha256"],
+                [some.column("row").take(again), *(some.column(c).take(only) for c in ("id", *kept)),
+                 pa.concat_arrays([none, pa.array(pair[first])]), pa.concat_arrays([none, pa.array(np.diff(first, append=len(row)))]),
+                 *(pa.concat_arrays([pa.array(totals(x, ends)), nulls]) for x in (top, n))],
+                ["row", "id", *kept, "pair", "times", "n_best", "count_sum"],
             )
 
     long = T.LongType()
-    schema = T.StructType([aligned.schema["row"], aligned.schema["id"], *(T.StructField(c, long) for c in ("pair", "times", *columns)), T.StructField("groups_sha256", T.StringType())])
+    schema = T.StructType([*(aligned.schema[c] for c in ("row", "id", *kept)), *(T.StructField(c, long) for c in ("pair", "times", "n_best", "count_sum"))])
     # Rows without a pair meet nothing; the salt deals them out instead of to one task.
     made = aligned.mapInArrow(run, schema).withColumn("salt", F.when(F.col("pair").isNull(), F.col("row") % 8192).otherwise(F.lit(0).cast("long")))
     met = made.join(tail.select("pair", "n", "best").withColumn("salt", F.lit(0).cast("long")), ["pair", "salt"], "left")
     total = lambda own, more: (F.sum(F.coalesce(own, F.lit(0).cast("long"))) + F.sum(F.coalesce(more, F.lit(0).cast("long")))).cast("long")
     out = met.groupBy("row").agg(
-        F.first("id", ignorenulls=True).alias(id_col), *(F.max(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_overlaps")),
-        total(F.col("n_best"), F.when(F.col("best"), F.col("times"))).alias("n_best"), total(F.col("count_sum"), F.col("n") * F.col("times")).alias("count_sum"), F.max("groups_sha256").alias("groups_sha256"),
+        F.first("id", ignorenulls=True).alias(id_col), *(F.max(c).alias(c) for c in kept),
+        total(F.col("n_best"), F.when(F.col("best"), F.col("times"))).alias("n_best"), total(F.col("count_sum"), F.col("n") * F.col("times")).alias("count_sum"),
     )
     return out.select(id_col, "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "n_overlaps", "groups_sha256")

@@ -75,7 +75,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.summarize(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    import public_tokenizers
+
+    byte_level = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return alignment.summarize(table(spark, sf_dir, "documents"), byte_level, tokenizer_path("piece_bpe_32k.model"))
 
 
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
