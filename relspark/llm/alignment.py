@@ -241,24 +241,40 @@ def align(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", t
     return chosen.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-def link_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def id_type(a: Tokenizer, b: Tokenizer) -> np.dtype:
+    """Of ids in stored links."""
+    return np.dtype(np.uint16 if max(len(loaded(t).ends) for t in (a, b)) <= 1 << 16 else np.uint32)
+
+
+def stored_links(a: np.ndarray, b: np.ndarray, counts: np.ndarray, kind: np.dtype) -> pa.Array:
+    """For each row the ids of its links as bytes: of the first token, of the second, and so on."""
+    flat = np.stack([a, b], 1).astype(kind)
+    ends = np.concatenate([[0], np.cumsum(counts)]) * 2 * kind.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def link_slices(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of a batch, some at a time, with the pairs of ids of all their links (a << 32 | b) and the ends of each row's."""
-    ends, start = batch.column("link_a").offsets.to_numpy().astype(np.int64), 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STEP, side="right")) - 1)
-        some = batch.slice(start, stop - start)
-        a, b = (some.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b"))
-        yield some, (a << 32) | b, ends[start : stop + 1] - ends[start]
-        start = stop
+    for some in passes(batch, "links"):
+        data, ends = binary_buffer(some.column("links"))
+        ids = data.view(kind).reshape(-1, 2)
+        yield some, (ids[:, 0].astype(np.int64) << 32) | ids[:, 1], ends // (2 * kind.itemsize)
+
+
+def binary_buffer(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values in one array, and n + 1 offsets."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)), ends - ends[0]
 
 
-def count_links(aligned: DataFrame) -> DataFrame:
+def count_links(aligned: DataFrame, kind: np.dtype) -> DataFrame:
     """(pair, n, best): how many links of the corpus each pair of ids has (a << 32 | b), and whether no pair of its b has more.
     Counted in the tasks first, so that a frequent pair is one row of each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, pairs, _ in (s for batch in batches for s in link_slices(batch)):
+        for _, pairs, _ in (s for batch in batches for s in link_slices(batch, kind)):
             pair, n = np.unique(pairs, return_counts=True)
             held, back = np.unique(np.concatenate([held, pair]), return_inverse=True)
             times = np.bincount(back, np.concatenate([times, n]), len(held)).astype(np.int64)
@@ -267,7 +283,7 @@ def count_links(aligned: DataFrame) -> DataFrame:
                 held, times = held[:0], times[:0]
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], ["pair", "n"])
 
-    counted = aligned.select("link_a", "link_b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = aligned.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     top = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND((1 << 32) - 1)))  # at most a vocabulary of rows each
     return counted.withColumn("best", F.col("n") == top)
 
@@ -306,8 +322,8 @@ def digest(ids: list[np.ndarray], ends: list[np.ndarray], texts: np.ndarray) ->
     return out.hexdigest()
 
 
-def links_of(docs: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
-    """For rows (row, id, text) what `align` finds, in short: row, id, n_a, n_b, n_groups, n_overlaps, groups_sha256, and the ids of both tokens of each link."""
+def links_of(docs: DataFrame, a: Tokenizer, b: Tokenizer, kind: np.dtype) -> DataFrame:
+    """For rows (row, id, text) what `align` finds, in short: row, id, n_a, n_b, n_groups, n_overlaps, groups_sha256, links."""
     numbers = ("n_a", "n_b", "n_groups", "n_overlaps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,12 +342,11 @@ def links_of(docs: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
                 hashes.append(digest([i for i, _ in own], [e for _, e in own], texts) if hi > lo else "")
             counts = [np.diff(x) for x in (flat["a_ids"][1], flat["b_ids"][1], rows, made["overlap_a"].offsets.to_numpy())]
             yield pa.RecordBatch.from_arrays(
-                [some.column("row"), some.column("id"), *(pa.array(n.astype(np.int64)) for n in counts), pa.array(hashes, pa.string()), *(lists(i, counts[2]) for i in last)],
-                ["row", "id", *numbers, "groups_sha256", "link_a", "link_b"],
+                [some.column("row"), some.column("id"), *(pa.array(n.astype(np.int64)) for n in counts), pa.array(hashes, pa.string()), stored_links(*last, counts[2], kind)],
+                ["row", "id", *numbers, "groups_sha256", "links"],
             )
 
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([docs.schema["row"], docs.schema["id"], *(T.StructField(c, T.LongType()) for c in numbers), T.StructField("groups_sha256", T.StringType()), T.StructField("link_a", ints), T.StructField("link_b", ints)])
+    schema = T.StructType([docs.schema["row"], docs.schema["id"], *(T.StructField(c, T.LongType()) for c in numbers), T.StructField("groups_sha256", T.StringType()), T.StructField("links", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -345,9 +360,9 @@ def summarize(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id
     The counts of at most head_pairs pairs, the most frequent, are looked up in the tasks; all others are joined, and
     none of those holds more than about one in head_pairs of all links, so no key of the join is hot.
     """
-    spark = docs.sparkSession
-    aligned = materialize(links_of(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), a, b))  # read twice
-    links = materialize(count_links(aligned))
+    spark, kind = docs.sparkSession, id_type(a, b)
+    aligned = materialize(links_of(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), a, b, kind))  # read twice
+    links = materialize(count_links(aligned, kind))
     head, tail = frequent(links, head_pairs)
     known = head.orderBy("pair").toArrow()
     held = spark.sparkContext.broadcast(tuple(known.column(c).to_numpy() for c in ("pair", "n", "best")))
@@ -356,7 +371,7 @@ def summarize(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row of docs one with what the head gives; and one for each other pair of it."""
         pairs, times, best = held.value
-        for some, own, ends in (s for batch in batches for s in link_slices(batch)):
+        for some, own, ends in (s for batch in batches for s in link_slices(batch, kind)):
             at = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
             here = pairs[at] == own if len(pairs) else np.zeros(len(own), bool)
             n, top = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
