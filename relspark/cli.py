@@ -79,11 +79,8 @@ def count_corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     lexicon = wndb.read_lexicon(spark, a.wnpath, ("n", "v"))
     stop = lists.stop_list(spark, a.stopfile, "counter") if a.stopfile else None
     known = wndb.compounds(lexicon.sense)
-    docs = corpora.whole_files(spark, a.infile, depth={"bnc": 2, "treebank": 1}.get(a.format))
-    if a.format == "semcor":
-        found = corpora.semcor_lemmas(docs)
-    else:
-        found = corpora.tokens({"raw": corpora.raw_text, "brown": corpora.brown, "bnc": corpora.bnc, "treebank": corpora.treebank}[a.format](docs), known, stop)
+    blocks = corpora.read(spark, a.infile, a.format, {"bnc": 2, "treebank": 1}.get(a.format))
+    found = blocks.select("doc", F.col("block").alias("word")) if a.format == "semcor" else corpora.tokens(blocks, known, stop)
     own = info.count_words(found, morph_of(spark, lexicon, found), lexicon.sense, a.resnik)
     return finish_counts(spark, a, lexicon, own)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass
 
@@ -46,30 +47,48 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
 
 
-#: Folders that materialize has written and nothing has deleted yet, oldest first.
-_written: list[str] = []
+class Folders(threading.local):
+    """Those that a thread has written and nothing has deleted yet, oldest first. Queries that run
+    side by side are of different threads, so none deletes what another reads."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = Folders()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder that does not exist yet, for a table or for files; `release_since` knows of it."""
+    path = f"{shared_dir(spark)}/relspark-{uuid.uuid4().hex}"
+    _written.paths.append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    name = path.rsplit("/", 1)[1]
+    _written.paths[:] = [p for p in _written.paths if p.rsplit("/", 1)[1] != name]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Written once to the shared folder and read back: cuts the lineage, survives the loss of
     executors, and all readers see the same rows. `release_since` deletes what is no longer read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relspark-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
     """A mark for release_since."""
-    return len(_written)
+    return len(_written.paths)
 
 
 def release_since(spark: SparkSession, mark: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
-    """Deletes the folders written since the mark, except those of the tables `but`. For callers who
-    have read (or written elsewhere) every result that was made from them."""
+    """Deletes the folders that this thread has written since the mark, except those of the tables `but`. For
+    callers who have read (or written elsewhere) every result that was made from them."""
     keep = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in but for f in df.inputFiles()}
-    for path in [p for p in _written[mark:] if p.rsplit("/", 1)[1] not in keep]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _written.remove(path)
+    for path in [p for p in _written.paths[mark:] if p.rsplit("/", 1)[1] not in keep]:
+        delete_folder(spark, path)

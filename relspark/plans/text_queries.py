@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relspark.functions import compounds as cp, text as tx
-from relspark.lexicon import materialize
+from relspark.lexicon import materialize, new_folder
 from relspark.operators import information as info, relations as rel, senses as sn, vectors as vec
 from relspark.plans import driver_lexicon as dl, measures as ms
 from relspark.plans.taxonomy_queries import counts, rounded
-from relspark.sources import lists
+from relspark.sources import corpora, lists
 
 #: Own short stop list.
 STOP = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "de", "la", "le", "et", "die", "der", "und", "el", "y", "en")
@@ -48,6 +48,13 @@ def corpus_normalise(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.corpus_words(F.col("text")).alias("words"))
 
 
+def corpus_clauses(spark, d):
+    """The clauses of all documents, read back from text files; a line of one mark ends each document."""
+    path = new_folder(spark)
+    table(spark, d, "documents").select(F.concat(F.coalesce("text", F.lit("")), F.lit("\n."))).write.option("lineSep", "\n").text(path)
+    return corpora.read(spark, path, "raw").groupBy(F.md5(F.trim("block")).alias("clause")).agg(F.count("*").alias("n"))
+
+
 def term_frequency(spark, d):
     return vec.term_frequencies(corpus_tokens(spark, d))
 
@@ -215,7 +222,7 @@ def ranking_lines(spark, d):
 
 
 QUERIES = {
-    "gloss_clean": gloss_clean, "gloss_examples": gloss_examples, "corpus_normalise": corpus_normalise, "term_frequency": term_frequency, "tfidf": tfidf,
+    "gloss_clean": gloss_clean, "gloss_examples": gloss_examples, "corpus_normalise": corpus_normalise, "corpus_clauses": corpus_clauses, "term_frequency": term_frequency, "tfidf": tfidf,
     "cooccurrence": cooccurrence, "vector_prune": vector_prune, "gloss_vector_norm": gloss_vector_norm, "sim_vector": sim_gloss("vector"), "sim_vector_pairs": sim_gloss("vector_pairs"),
     "sim_lesk": sim_gloss("lesk"), "sim_lesk_norm": sim_gloss("lesk", normalized), "embedding_cosine": embedding_cosine,
     "compound_tokens": compound_tokens, "compoundify": compoundify, "stop_filter": stop_filter, "stop_filter_compound": stop_filter_compound,
@@ -269,6 +276,7 @@ walked AS (SELECT key, k, array_to_string(ws[k + 1:k + n], '_') AS token FROM w1
 ORACLE_SQL = {
     "gloss_clean": f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents",
     "corpus_normalise": f"SELECT conv_id, turn, {_numbers('text')} AS words FROM conversations",
+    "corpus_clauses": "SELECT md5(c) AS clause, count(*) AS n FROM (SELECT trim(unnest(string_split_regex(replace(regexp_replace(text, '\r\f?', '', 'g'), chr(10), ' '), '[.?!,;:]')), ' ') AS c FROM documents) WHERE c <> '' GROUP BY c",
     "gloss_examples": "SELECT page_id, len(x)::BIGINT AS n, md5(array_to_string(x, '|')) AS examples, md5(split_part(html, '\"', 1)) AS definition FROM (SELECT page_id, html, regexp_extract_all(html, '\"([^\"]*)\"', 1) AS x FROM pages)",
     "term_frequency": f"WITH {_TOKENS} SELECT word, count(*)::BIGINT AS tf, count(DISTINCT doc)::BIGINT AS df FROM tokens GROUP BY word",
     "tfidf": f"WITH {_TOKENS} SELECT word, round(count(*) * ln((SELECT count(*) FROM documents)::DOUBLE / count(DISTINCT doc)), 4) + 0.0 AS tfidf FROM tokens GROUP BY word",

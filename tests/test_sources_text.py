@@ -119,6 +119,51 @@ def test_scalars(spark):
     assert len(one(spark, tx.lexicon_hash(F.array(F.lit(1), F.lit(2))))) == 27
 
 
+#: For each markup a text whose units go on over lines, and the function for whole texts.
+LONG = {
+    "raw": ("".join(f"word{i}{', ' if i % 7 == 3 else ' '}{chr(10) if i % 5 == 0 else ''}{'. ' if i % 23 == 0 else ''}" for i in range(900)) + "\r\nlast\r\n" + "no border " * 40 + "\n" * 3, corpora.raw_text),
+    "raw_loose": ("".join(f"a{i}{',' if i % 3 == 0 else ''}{chr(10) if i % 4 == 0 else ' '}" for i in range(600)) + "end.\r\n;:\nx", lambda d: corpora.raw_text(d, False)),
+    "brown": ("".join(f"A{i % 40:02} {i:04} the word{i} {'said. So' if i % 4 == 0 else 'is'}\n" for i in range(400)), corpora.brown),
+    "bnc": ("<head>\nnot this\n</head>\n" + "".join(f"<s\nn={i}><w NN{i}>dog{i} &amp; [pause]{chr(10) * (i % 3)}<w\nVV>barks</s>\n" for i in range(200)), corpora.bnc),
+    "treebank": ("\n\n" + "".join(f".START word{i}\ngoes on\n{' ' * (i % 3)}{chr(10) if i % 4 == 0 else 'line'}\n" for i in range(300)) + "\n  ", corpora.treebank),
+    "semcor": ("".join(f"<wf cmd={'done' if i % 3 else 'ignore'} pos=NN\nlemma=dog{i % 50} wnsn=1>Dogs</wf>{chr(10) * (i % 2)}" for i in range(300)), corpora.semcor_lemmas),
+}
+
+
+@pytest.mark.parametrize("markup", LONG)
+@pytest.mark.parametrize("size", [37, 400, 1 << 20])
+def test_units_over_splits(spark, tmp_path, markup, size):
+    """Files cut at every few bytes give what the reader of whole files gives."""
+    text, whole = LONG[markup]
+    for name, content in {"a.txt": text, "b.txt": text[: len(text) // 3], "empty.txt": "", "one.txt": "only this"}.items():
+        (tmp_path / name).write_bytes(content.encode())
+    expected = whole(corpora.whole_files(spark, str(tmp_path)))
+    if "word" in expected.columns:
+        expected = expected.withColumnRenamed("word", "block")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        got = corpora.read(spark, str(tmp_path), markup)
+        if size == 37:
+            assert got.rdd.getNumPartitions() > 4
+        got = [(r["doc"], r["at"], r["block"].strip(" ")) for r in got.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    theirs = {}
+    for r in expected.collect():
+        theirs.setdefault(r["doc"], []).append(r["block"].strip(" "))
+    ours = {}
+    for doc, _, block in sorted(got):
+        ours.setdefault(doc, []).append(block)
+    assert ours == theirs  # in the order of each file
+    assert len({g[:2] for g in got}) == len(got)
+
+
 def test_compounds(spark):
     known = {"new_york", "new_york_city"}
     assert cp.greedy("in new york city now".split(), known) == ["in", "new_york_city", "now"]
