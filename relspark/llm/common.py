@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.lexicon import materialize as materialize
+from relspark.lexicon import delete_folder, materialize as materialize
 
 #: Texts that one numpy pass takes together; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
@@ -23,8 +23,7 @@ def release(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, folder)
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
