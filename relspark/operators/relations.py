@@ -18,20 +18,22 @@ TYPES = {**{r: (1, 1) for r in (*CONCEPT_RELATIONS, *WORD_RELATIONS)}, **{t: (1,
 
 
 def expand(lexicon: Lexicon, rel: str, concepts: DataFrame) -> DataFrame:
-    """(key, pos, id): for each key the distinct concepts that its concepts (key, pos, id) are related to.
+    """(key, pos, id) or, for relations between words, (key, pos, id, word): for each key the distinct concepts
+    that its concepts (key, pos, id, perhaps word) are related to, and the word that is reached there.
 
-    Relations between words are those of one word of a concept: of column `word`, if concepts have it,
-    else of the concept's first word."""
+    Relations between words are those of one word of a concept: of column `word`, if concepts have it and it is
+    not null, else of the concept's first word. So in a composition each step goes on from the word that the
+    last one reached; one between whole concepts reaches the first word."""
     if rel not in TYPES or TYPES[rel][1] != 1:
         raise ValueError(f"no relation {rel!r}")
     edge = lexicon.edge.where(F.col("rel") == rel).select(F.col("src_pos").alias("pos"), F.col("src").alias("id"), "src_word", F.col("dst_pos").alias("_p"), F.col("dst").alias("_i"), F.col("dst_word").alias("_w"))
-    if rel in WORD_RELATIONS and "word" not in concepts.columns:
-        first = lexicon.sense.where("word_no = 1").select("pos", "id", "word").distinct()
-        concepts = concepts.join(first, ["pos", "id"], "left")
-    met = concepts.join(edge, ["pos", "id"])
-    if rel in WORD_RELATIONS:
-        met = met.where(F.col("src_word").isNull() | (F.lower("src_word") == F.lower("word")))
-    return met.select("key", F.col("_p").alias("pos"), F.col("_i").alias("id")).distinct()
+    if rel not in WORD_RELATIONS:
+        return concepts.join(edge, ["pos", "id"]).select("key", F.col("_p").alias("pos"), F.col("_i").alias("id")).distinct()
+    first = lexicon.sense.where("word_no = 1").select("pos", "id", F.col("word").alias("_first")).distinct()
+    own = F.coalesce(*(["word"] if "word" in concepts.columns else []), "_first")
+    met = concepts.join(first, ["pos", "id"], "left").withColumn("_own", own).join(edge, ["pos", "id"])
+    met = met.where(F.col("src_word").isNull() | (F.lower("src_word") == F.lower("_own")))
+    return met.select("key", F.col("_p").alias("pos"), F.col("_i").alias("id"), F.col("_w").alias("word")).distinct()
 
 
 def texts(lexicon: Lexicon, function: str, concepts: DataFrame) -> DataFrame:

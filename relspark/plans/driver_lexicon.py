@@ -117,6 +117,47 @@ def model_word() -> Column:
     return F.lower(F.concat_ws("_", F.translate("p_brand", "#", ""), "p_type", F.col("p_size").cast("string")))
 
 
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, w1, w2, p_brand, p_type): both words of each part in the lexicon with words, its model and its name."""
+    return table(spark, sf_dir, "part").select(concept(PART, F.col("p_partkey")).alias("id"), model_word().alias("w1"), F.lower(F.translate("p_name", " ", "_")).alias("w2"), "p_brand", "p_type")
+
+
+def named_word(name: str) -> Column:
+    return F.translate(F.lower(name), " #", "_")
+
+
+def word_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel, src_pos, src, dst_pos, dst, src_word, dst_word), of linear size. ants: from a part's model to the name of the next part
+    of its brand and type, and back. also: from a part's name to the next part's model. pert: from a part's name to
+    its brand. deri: from a customer to what it does as a user of events, and back."""
+    words = part_words(spark, sf_dir)
+    order = Window.partitionBy("p_brand", "p_type").orderBy("id")
+    near = words.select("id", "w1", "w2", F.lead("id").over(order).alias("id_b"), F.lead("w1").over(order).alias("w1_b"), F.lead("w2").over(order).alias("w2_b")).where("id_b is not null")
+    after = words.select((F.col("id") - 1).alias("id"), F.col("id").alias("id_b"), F.col("w1").alias("w1_b"))
+    brands = words.join(ranked(table(spark, sf_dir, "part"), "p_brand", BRAND).withColumnRenamed("id", "brand"), F.col("p_brand") == F.col("value"))
+    known = nodes(spark, sf_dir).select("pos", "id", named_word("name").alias("w"))
+    both = cross_pairs(spark, sf_dir).join(known.select(F.col("pos").alias("pos_a"), F.col("id").alias("a"), F.col("w").alias("wa")), ["pos_a", "a"]).join(known.select(F.col("pos").alias("pos_b"), F.col("id").alias("b"), F.col("w").alias("wb")), ["pos_b", "b"])
+    n = F.lit("n")
+    one = lambda df, rel, a, b, wa, wb, pa=n, pb=n: df.select(F.lit(rel).alias("rel"), pa.alias("src_pos"), F.col(a).alias("src"), pb.alias("dst_pos"), F.col(b).alias("dst"), wa.alias("src_word"), wb.alias("dst_word"))
+    c = F.col
+    return reduce(DataFrame.unionByName, [
+        one(near, "ants", "id", "id_b", c("w1"), c("w2_b")), one(near, "ants", "id_b", "id", c("w1_b"), c("w2")),
+        one(words.join(after, "id"), "also", "id", "id_b", c("w2"), c("w1_b")), one(brands, "pert", "id", "brand", c("w2"), named_word("p_brand")),
+        one(both, "deri", "a", "b", c("wa"), c("wb"), c("pos_a"), c("pos_b")), one(both, "deri", "b", "a", c("wb"), c("wa"), c("pos_b"), c("pos_a")),
+    ])
+
+
+def worded_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+    """The lexicon with a second word for each part, its name, and with relations between words."""
+    plain = lexicon(spark, sf_dir)
+    words = part_words(spark, sf_dir)
+    second = words.select(F.col("w2").alias("word"), F.lit("n").alias("pos"), "id", F.lit(2).alias("word_no"))
+    every = plain.sense.select("word", "pos", "id", "word_no").unionByName(second)
+    sense = every.select("word", "pos", F.row_number().over(Window.partitionBy("word", "pos").orderBy("id", "word_no")).alias("sense"), "id", "word_no")
+    synset = plain.synset.join(words.select(F.lit("n").alias("pos"), "id", F.array("w1", "w2").alias("_both")), ["pos", "id"], "left").select("pos", "id", "gloss", F.coalesce("_both", "words").alias("words"))
+    return Lexicon(synset, sense, plain.edge.unionByName(word_relations(spark, sf_dir)), plain.height, plain.taxonomy)
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     found = nodes(spark, sf_dir)
     synset = found.select("pos", "id", "gloss", F.array("name").alias("words"))
@@ -210,6 +251,18 @@ SQL_SENSES = f"""
 senses(word, id, sense) AS MATERIALIZED (SELECT {SQL_MODEL}, p_partkey + {PART}, row_number() OVER (PARTITION BY {SQL_MODEL} ORDER BY p_partkey) FROM part)"""
 
 
+SQL_WORDS = f"""
+pw AS MATERIALIZED (SELECT p_partkey + {PART} AS id, {SQL_MODEL} AS w1, lower(replace(p_name, ' ', '_')) AS w2, p_brand, p_type FROM part),
+near AS (SELECT id, w1, w2, lead(id) OVER o AS id_b, lead(w1) OVER o AS w1_b, lead(w2) OVER o AS w2_b FROM pw WINDOW o AS (PARTITION BY p_brand, p_type ORDER BY id)),
+does AS (SELECT c_custkey + {CUSTOMER} AS a, {USER} + id * {USERS} + user_id AS b, lower(replace(c_name, '#', '')) AS wa, lower(replace(event_type || '_' || user_id, ' ', '_')) AS wb
+  FROM (SELECT DISTINCT event_type, user_id FROM events) JOIN {_rank("events", "event_type", 0)} ON event_type = v JOIN customer ON c_custkey = user_id),
+words(rel, src_pos, src, dst_pos, dst, src_word, dst_word) AS MATERIALIZED (
+  SELECT 'ants', 'n', id, 'n', id_b, w1, w2_b FROM near WHERE id_b IS NOT NULL UNION ALL SELECT 'ants', 'n', id_b, 'n', id, w1_b, w2 FROM near WHERE id_b IS NOT NULL
+  UNION ALL SELECT 'also', 'n', x.id, 'n', y.id, x.w2, y.w1 FROM pw x JOIN pw y ON y.id = x.id + 1
+  UNION ALL SELECT 'pert', 'n', pw.id, 'n', r.id, w2, lower(replace(replace(p_brand, ' ', '_'), '#', '')) FROM pw JOIN {_rank("part", "p_brand", BRAND)} r ON p_brand = v
+  UNION ALL SELECT 'deri', 'n', a, 'v', b, wa, wb FROM does UNION ALL SELECT 'deri', 'v', b, 'n', a, wb, wa FROM does)"""
+
+
 def sql_met(paths: str = "rooted") -> str:
     """met(a, b, s, len): candidates of each pair of paths."""
     return f"""

@@ -161,6 +161,29 @@ def rel_compose(spark, d):
     return rel.expand(lexicon, "sim", rel.expand(lexicon, "mero", start))
 
 
+def word_relation(name: str):
+    """From each word of each concept the words that it is related to."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        lexicon = dl.worded_lexicon(spark, d)
+        start = lexicon.sense.select(F.concat_ws(":", F.col("id").cast("string"), "word").alias("key"), "pos", "id", "word").distinct()
+        return rel.expand(lexicon, name, start).select("key", "pos", "id", "word")
+
+    return run
+
+
+def rel_compose_words(spark, d):
+    """also(ants), from first words: the second step goes on from the word that the first has reached."""
+    lexicon = dl.worded_lexicon(spark, d)
+    start = lexicon.synset.select(F.col("id").alias("key"), "pos", "id")
+    return rel.expand(lexicon, "also", rel.expand(lexicon, "ants", start)).select("key", "pos", "id", "word")
+
+
+def hso_links_words(spark, d):
+    lexicon = dl.worded_lexicon(spark, d)
+    return walks.links(lexicon.edge, lexicon.sense)
+
+
 def hso_links(spark, d):
     lexicon = dl.lexicon(spark, d)
     return walks.links(lexicon.edge, lexicon.sense)
@@ -188,6 +211,7 @@ QUERIES = {
     **{f"sim_{m}": sim(m) for m in ("path", "lch", "wup", "res", "lin", "jcn")}, **{f"sim_{m}_noroot": sim(m, False) for m in ("path", "lch", "wup", "res", "lin", "jcn")},
     "sim_cross_pos": sim_cross_pos, "sim_random": sim_random, **{f"rel_{r}": relation(r) for r in ("hype", "hypo", "mero", "holo", "sim", "attr", "enta", "caus")},
     "rel_compose": rel_compose, "hso_links": hso_links, "sim_hso": sim_hso,
+    **{f"rel_{r}": word_relation(r) for r in ("also", "ants", "pert", "deri")}, "rel_compose_words": rel_compose_words, "hso_links_words": hso_links_words,
 }
 
 _BASE = f"WITH RECURSIVE {SQL_ISA}, {SQL_NODES}, {SQL_PATHS}"
@@ -303,5 +327,8 @@ ORACLE_SQL = {
     **{f"rel_{r}": f"{_RELS} SELECT DISTINCT src AS key, dst_pos AS pos, dst AS id FROM rels WHERE rel = '{r}'" for r in ("hype", "hypo", "mero", "holo", "sim", "attr", "enta", "caus")},
     "rel_compose": f"{_RELS} SELECT DISTINCT m.src AS key, s.dst_pos AS pos, s.dst AS id FROM rels m JOIN rels s ON s.rel = 'sim' AND s.src = m.dst WHERE m.rel = 'mero'",
     "sim_hso": _HSO,
+    **{f"rel_{r}": f"WITH {dl.SQL_WORDS} SELECT DISTINCT src || ':' || src_word AS key, dst_pos AS pos, dst AS id, dst_word AS word FROM words WHERE rel = '{r}'" for r in ("also", "ants", "pert", "deri")},
+    "rel_compose_words": f"WITH {dl.SQL_WORDS} SELECT DISTINCT x.src AS key, y.dst_pos AS pos, y.dst AS id, y.dst_word AS word FROM words x JOIN pw ON pw.id = x.src AND pw.w1 = x.src_word JOIN words y ON y.rel = 'also' AND y.src = x.dst AND y.src_word = x.dst_word WHERE x.rel = 'ants'",
+    "hso_links_words": f"{_RELS}, {dl.SQL_WORDS} SELECT DISTINCT CASE WHEN rel IN ('sim', 'attr') THEN 'H' WHEN rel IN ('hype', 'mero') THEN 'U' ELSE 'D' END AS dir, src_pos, src, dst_pos, dst FROM rels UNION SELECT 'H', 'n', w.src, 'n', w.dst FROM words w JOIN pw ON pw.id = w.src AND pw.w1 = w.src_word WHERE w.rel IN ('ants', 'also', 'pert')",
     "hso_links": f"{_RELS} SELECT DISTINCT CASE WHEN rel IN ('sim', 'attr') THEN 'H' WHEN rel IN ('hype', 'mero') THEN 'U' ELSE 'D' END AS dir, src_pos, src, dst_pos, dst FROM rels",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relspark import cli
 from relspark.functions import compounds as cp, morph as mp, overlap as ov, text as tx
+from relspark.lexicon import Lexicon
 from relspark.operators import relations as rel, senses as sn, vectors as vec
 from relspark.plans import measures as ms
 from relspark.sources import corpora, lists, tables, wndb
@@ -261,6 +262,24 @@ def test_relations(spark, lexicon):
         rel.compose(lexicon, ["glos", "hype"], start)
 
 
+def test_relations_between_words(spark):
+    """Each step of a composition goes on from the word that the last one reached."""
+    sense = spark.createDataFrame([(w, "n", 1, i, k) for i, ws in {1: "a1 a2", 2: "b1 b2", 3: "c1", 4: "d1"}.items() for k, w in enumerate(ws.split(), 1)], "word string, pos string, sense int, id long, word_no int")
+    edge = spark.createDataFrame(
+        [("deri", "n", 1, "n", 2, "a1", "B2"), ("deri", "n", 1, "n", 3, "a2", "c1"), ("pert", "n", 2, "n", 3, "b1", "c1"), ("pert", "n", 2, "n", 4, "b2", "d1"), ("hype", "n", 1, "n", 2, None, None), ("domn", "n", 2, "n", 4, None, None)],
+        "rel string, src_pos string, src long, dst_pos string, dst long, src_word string, dst_word string",
+    )
+    made = Lexicon(spark.createDataFrame([], "pos string, id long, gloss string, words array<string>"), sense, edge)
+    start = spark.createDataFrame([("k", "n", 1)], "key string, pos string, id long")
+    found = lambda df: sorted((r["id"], r["word"]) for r in df.collect())
+    first = rel.expand(made, "deri", start)
+    assert found(first) == [(2, "B2")] and found(rel.expand(made, "pert", first)) == [(4, "d1")]
+    assert found(rel.expand(made, "deri", start.selectExpr("*", "'a2' as word"))) == [(3, "c1")]
+    assert found(rel.expand(made, "pert", rel.expand(made, "hype", start))) == [(3, "c1")]  # a concept's first word
+    assert found(rel.expand(made, "domn", first)) == [(4, None)]  # a relation of whole concepts holds for every word
+    assert found(rel.expand(made, "deri", start.selectExpr("*", "cast(null as string) as word"))) == [(2, "B2")]
+
+
 def pairs(spark, *rows):
     return spark.createDataFrame([("n", a, "n", b) for a, b in rows], "pos_a string, a long, pos_b string, b long")
 
