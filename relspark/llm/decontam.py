@@ -26,47 +26,108 @@ from relspark.llm.words import Words, grams, hash_words, words
 
 WINDOW = 13
 LEAD = 4  # words by which a suffix is chosen for the array, and of the shortest match that is reported
-BLOCK_WORDS = 1 << 20  # of benchmark items in a block, at about eight bytes a word
+BLOCK_WORDS = 1 << 18  # of benchmark items in a block, at about 300 bytes a word
 SHARD = 1 << 17  # suffixes of an array
 
 
+class Deep(NamedTuple):
+    """Full suffixes of a block's items, each item followed by an end mark, by ranks of their first 1, 2, 4, .. words."""
+
+    words: np.ndarray  # hashes of all words, sorted; a word's rank is its place here and 1
+    levels: list[np.ndarray]  # rank of the 2 ** k words from each place; 0 at end marks
+    pairs: list[np.ndarray]  # of level k + 1: its ranks as pairs of ranks of level k, sorted
+    order: np.ndarray  # places in the order of their full suffixes
+    item: np.ndarray
+    pos: np.ndarray
+
+
 class Block(NamedTuple):
-    """Benchmark items of bounded total length. Suffixes are those of at least `lead` words, in the order of their keys."""
+    """Benchmark items of bounded total length. Suffixes of at least `lead` words are kept by their first words, at most a window,
+    each such key once, however many items share it."""
 
-    names: list[str]  # item ids as strings
+    names: list[str]  # item ids as strings, in their order
     lead: int
     leads: np.ndarray  # hashes of the first words of suffixes, sorted
-    low: np.ndarray  # the first suffix of each lead
+    low: np.ndarray  # the first key of each lead
     high: np.ndarray  # and the one after its last
-    keys: np.ndarray  # of the suffixes
+    keys: np.ndarray
+    n: np.ndarray  # words of each key
+    test: np.ndarray  # whether it is a window: of full length, or a whole item
+    first: np.ndarray  # the suffixes of each key
     item: np.ndarray
     pos: np.ndarray  # word of the item where the suffix begins
-    rest: np.ndarray  # words from there to its end
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of items of fewer words than a lead, by their length: hashes, sorted, and items
-
-
-def make_block(rows: list[tuple[str, str]], window: int) -> Block:
+    short: dict[int, tuple[np.ndarray, int]]  # whole items of fewer words than a lead, by their length: hashes, sorted, and the number of the first
+    owners: np.ndarray  # items of each window, keys first and then short ones
+    owned: np.ndarray  # where they begin
+
+
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each low up to its high."""
+    size = high - low
+    return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+def make_deep(codes: list[np.ndarray], sizes: np.ndarray) -> Deep:
+    first = np.cumsum(np.concatenate([[0], sizes + 1])).astype(np.int64)
+    n = int(first[-1])
+    item = np.repeat(np.arange(len(codes)), sizes + 1)
+    place = np.arange(n)
+    rest = first[item + 1] - 1 - place  # words left
+    words = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]))
+    rank = np.zeros(n, np.int32)
+    rank[rest > 0] = np.searchsorted(words, np.concatenate([np.zeros(0, np.uint64), *codes])) + 1
+    levels, pairs, width = [rank], [], 1
+    while width < int(sizes.max(initial=0)):
+        after = np.where(rest > width, levels[-1][np.minimum(place + width, n - 1)], 0).astype(np.int64)
+        known, rank = np.unique(levels[-1].astype(np.int64) * (n + 1) + after, return_inverse=True)
+        levels.append(rank.astype(np.int32))
+        pairs.append(known)
+        width *= 2
+    return Deep(words, levels, pairs, np.argsort(levels[-1], kind="stable"), item, place - first[item])
+
+
+def make_block(rows: list[tuple[str, str]], window: int) -> tuple[Block, Deep]:
+    rows = sorted(rows)
+    names = sorted({name for name, _ in rows})
+    number = {name: i for i, name in enumerate(names)}
+    owner = np.array([number[name] for name, _ in rows], np.int64)
     codes = [hash_words(text) for _, text in rows]
     sizes = np.array([len(c) for c in codes], np.int64)
     code, first = np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     lead = min(LEAD, window)
     found = Words(code, first)
     own, at = grams(found, lead)
-    keyed = keys(code, at, first[found.doc[at] + 1] - at, window)
+    rest = first[found.doc[at] + 1] - at
+    keyed = keys(code, at, rest, window)
     order = np.argsort(keyed, kind="stable")
-    keyed, own, at = keyed[order], own[order], at[order]
-    item = found.doc[at].astype(np.int64)
-    low = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-    high = np.append(low[1:], len(own)) if len(own) else low
-    by_lead = np.argsort(own[low], kind="stable")
-    short = {}
-    for n in range(1, lead):
-        few = np.flatnonzero(sizes == n)
+    keyed, own, at, rest = keyed[order], own[order], at[order], rest[order]
+    item, pos = owner[found.doc[at]], at - first[found.doc[at]]
+    new = np.concatenate([[True], keyed[1:] != keyed[:-1]]) if len(keyed) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    key = np.cumsum(new) - 1  # of each suffix
+    n = np.minimum(rest[begin], window)
+    lead_new = np.flatnonzero(np.concatenate([[True], own[begin][1:] != own[begin][:-1]])) if len(begin) else begin
+    by_lead = np.argsort(own[begin][lead_new], kind="stable")
+    window_of = (rest >= window) | (pos == 0)  # suffixes that are windows of their item
+    pairs = [np.stack([key, item], 1)[window_of]]
+    test = np.zeros(len(begin), bool)
+    test[key[window_of]] = True
+    short, base = {}, len(begin)
+    for m in range(1, lead):
+        few = np.flatnonzero(sizes == m)
         if len(few):
-            h, where = grams(Words(np.concatenate([codes[i] for i in few]), np.arange(len(few) + 1) * n), n)
-            o = np.argsort(h, kind="stable")
-            short[n] = h[o], few[o]
-    return Block([name for name, _ in rows], lead, own[low][by_lead], low[by_lead], high[by_lead], keyed, item, at - first[item], first[item + 1] - at, short)
+            h, _ = grams(Words(np.concatenate([codes[i] for i in few]), np.arange(len(few) + 1) * m), m)
+            hashes, back = np.unique(h, return_inverse=True)
+            short[m] = hashes, base
+            pairs.append(np.stack([back + base, owner[few]], 1))
+            base += len(hashes)
+    both = np.unique(np.concatenate(pairs), axis=0)
+    deep = make_deep(codes, sizes)
+    block = Block(
+        names, lead, own[begin][lead_new][by_lead], lead_new[by_lead], np.append(lead_new[1:], len(begin))[by_lead] if len(begin) else begin, keyed[begin], n, test,
+        np.append(begin, len(keyed)), item, pos, short, both[:, 1], np.searchsorted(both[:, 0], np.arange(base + 1)),
+    )
+    return block, deep._replace(item=owner[deep.item] if len(owner) else deep.item)
 
 
 def keys(code: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -80,35 +141,19 @@ def keys(code: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> np.
     return np.ascontiguousarray(rows).view(f"S{8 * window}").ravel()
 
 
+def beyond(own: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """The last of all keys that begin with the first n words of these."""
+    rows = np.ascontiguousarray(own).view(">u8").reshape(-1, window).copy()
+    rows[np.arange(window) >= n[:, None]] = 0xFFFFFFFFFFFFFFFF
+    return rows.view(f"S{8 * window}").ravel()
+
+
 def same_words(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
     """Words that keys begin with alike."""
     x, y = (np.ascontiguousarray(k).view(">u8").reshape(-1, window) for k in (a, b))
     return np.cumprod((x == y) & (x != 0), axis=1).sum(1)
 
 
-class Runs(NamedTuple):
-    """Windows of an item that stand one after the other, from `first` to `last`, on one diagonal
-    (place in the documents less place in the item); the last one has n words."""
-
-    item: np.ndarray
-    diagonal: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
-    n: np.ndarray
-
-
-def joined(parts: list[Runs]) -> Runs:
-    """Runs that go on in each other as one."""
-    item, diagonal, first, last, n = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((first, diagonal, item))
-    item, diagonal, first, last, n = (x[order] for x in (item, diagonal, first, last, n))
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (first[1:] != last[:-1] + 1)
-    begin = np.flatnonzero(new)
-    close = np.append(begin[1:], len(item)) - 1
-    return Runs(item[begin], diagonal[begin], first[begin], last[close], n[close])
-
-
 class Partial(NamedTuple):
     """What one block gives for one document."""
 
@@ -117,12 +162,52 @@ class Partial(NamedTuple):
     best: tuple[int, int, str, int]  # (- words, place, item, place in the item) of the longest match; the least counts
 
 
-def judge(found: Words, block: Block, window: int) -> dict[int, Partial]:
+def longest(found: Words, over: np.ndarray, places: np.ndarray, deep: Deep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For places whose window is met: how many words from there on stand in an item, and the suffixes that begin so, from and up
+    to in their order. All words of such a match are hit, so only those are looked at.
+
+    The length is found from its highest binary digit down: a further 2 ** k words match if, among the suffixes that match so far, which
+    are in the order of what follows, some go on with the same rank."""
+    at = np.flatnonzero(over)
+    doc = found.doc[at]
+    border = np.flatnonzero(np.concatenate([(at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]), [True]])) + 1
+    end = border[np.searchsorted(border, np.arange(len(at)), side="right")]  # of each word's stretch
+    word = np.minimum(np.searchsorted(deep.words, found.hash[at]), max(len(deep.words) - 1, 0))
+    named = [np.where(deep.words[word] == found.hash[at], word + 1, 0)]
+    for k, known in enumerate(deep.pairs):
+        one, two = named[-1], np.zeros(len(at), np.int64)
+        two[: max(len(at) - (1 << k), 0)] = one[1 << k :]
+        pair = one * (len(deep.order) + 1) + two
+        rank = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        named.append(np.where((np.arange(len(at)) + (2 << k) <= end) & (one > 0) & (two > 0) & (known[rank] == pair), rank, 0))
+    i, last = np.searchsorted(at, places), len(deep.order) - 1
+    length, low, high = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.full(len(i), len(deep.order))
+    for k in reversed(range(len(deep.levels))):
+        may = np.flatnonzero(i + length + (1 << k) <= end[i])
+        may = may[named[k][(i + length)[may]] > 0]
+        target, there = named[k][(i + length)[may]], length[may]
+        ends = []
+        for above in (0, 1):  # the first rank not below the target, and the first above it
+            lo, hi = low[may].copy(), high[may].copy()
+            while (open_ := lo < hi).any():
+                mid = (lo + hi) // 2
+                value = deep.levels[k][np.minimum(deep.order[np.minimum(mid, last)] + there, last)]  # beyond the last where it is not open
+                right = open_ & (value < target + above)
+                lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+            ends.append(lo)
+        some = ends[0] < ends[1]
+        low[may[some]], high[may[some]] = ends[0][some], ends[1][some]
+        length[may[some]] += 1 << k
+    return length, low, high
+
+
+def judge(found: Words, block: Block, deep: Deep, window: int) -> dict[int, Partial]:
     """For each document with a match of at least a lead."""
     code, place = grams(found, block.lead)
     hit = np.zeros(len(found.hash) + 1, np.int32)  # changes of the number of windows over a word
-    runs: list[Runs] = []
-    pairs: list[np.ndarray] = []
+    met: list[np.ndarray] = [np.zeros(0, np.int64)]  # document and window
+    full: list[np.ndarray] = [np.zeros(0, np.int64)]  # places of windows of full length
+    n_windows = max(len(block.owned) - 1, 1)
     best: dict[int, tuple] = {}
     lead = np.zeros(0, np.int64)
     if len(block.leads) and len(code):
@@ -133,33 +218,26 @@ def judge(found: Words, block: Block, window: int) -> dict[int, Partial]:
         place = place[:0]
     del code
 
-    def met(places: np.ndarray, n: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
-        if len(places):
-            np.add.at(hit, places, 1)
-            np.add.at(hit, places + n, -1)
-            pairs.append(np.unique(np.stack([found.doc[places], item], 1), axis=0))
-            runs.append(joined([Runs(item, places - pos, places, places, n)]))
+    def meet(places: np.ndarray, n: np.ndarray | int, windows: np.ndarray) -> None:
+        np.add.at(hit, places, 1)
+        np.add.at(hit, places + n, -1)
+        met.append(np.unique(found.doc[places].astype(np.int64) * n_windows + windows))
 
     for lo in range(0, len(place), SHARD):
         at = place[lo : lo + SHARD]
         suffixes = keys(found.hash, at, found.first[found.doc[at] + 1] - at, window)
         order = np.argsort(suffixes, kind="stable")
         suffixes, at = suffixes[order], at[order]
-        # The tests: suffixes of the benchmark whose leads are here and that are windows.
+        # The tests: windows of the benchmark whose leads are here. A place meets at most one of each length.
         here = np.unique(lead[lo : lo + SHARD])
-        size = block.high[here] - block.low[here]
-        tests = np.arange(size.sum()) + np.repeat(block.low[here] - (np.cumsum(size) - size), size)
-        tests = tests[(block.rest[tests] >= window) | (block.pos[tests] == 0)]
-        n = np.minimum(block.rest[tests], window)
-        own = block.keys[tests]
+        tests = ranges(block.low[here], block.high[here])
+        tests = tests[block.test[tests]]
+        own, n = block.keys[tests], block.n[tests]
         low = np.searchsorted(suffixes, own, side="left")
-        high = np.searchsorted(suffixes, own, side="right")
-        for i in np.flatnonzero(n < window):  # a short item is met by all that begin with it
-            high[i] = np.searchsorted(suffixes, np.bytes_(own[i].ljust(8 * int(n[i]), b"\0") + b"\xff" * (8 * (window - int(n[i])))), side="right")
-        size = high - low
-        which = np.repeat(tests, size)
-        rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        met(at[rank], np.repeat(n, size), block.item[which], block.pos[which])
+        high = np.searchsorted(suffixes, beyond(own, n, window), side="right") if len(tests) else low
+        which, places = np.repeat(tests, high - low), at[ranges(low, high)]
+        meet(places, block.n[which], which)
+        full.append(places[block.n[which] == window])
         # The longest match of each suffix is with a neighbour in the order of the benchmark's.
         after = np.searchsorted(block.keys, suffixes)
         length = np.zeros(len(at), np.int64)
@@ -172,38 +250,45 @@ def judge(found: Words, block: Block, window: int) -> dict[int, Partial]:
         for k in short_ones[np.unique(doc[short_ones], return_index=True)[1]]:  # the first of each document
             d = int(doc[k])
             if (-int(length[k]), int(at[k])) < best.get(d, (0, 0))[:2]:
-                head = bytes(suffixes[k]).ljust(8 * window, b"\0")[: 8 * int(length[k])]
-                a = np.searchsorted(block.keys, np.bytes_(head))
-                b = np.searchsorted(block.keys, np.bytes_(head + b"\xff" * (8 * window - len(head))), side="right")
-                name, pos = min((block.names[block.item[t]], int(block.pos[t])) for t in range(a, b))
-                best[d] = (-int(length[k]), int(at[k]), name, pos)
-    for n, (hashes, items) in block.short.items():
+                a = np.searchsorted(block.keys, np.bytes_(bytes(suffixes[k]).ljust(8 * window, b"\0")[: 8 * int(length[k])]))
+                b = np.searchsorted(block.keys, beyond(suffixes[k : k + 1], length[k : k + 1], window)[0], side="right")
+                t = slice(int(block.first[a]), int(block.first[b]))
+                least = np.lexsort((block.pos[t], block.item[t]))[0]
+                best[d] = (-int(length[k]), int(at[k]), block.names[block.item[t][least]], int(block.pos[t][least]))
+    for n, (hashes, base) in block.short.items():
         code, where = grams(found, n)
-        low, high = np.searchsorted(hashes, code, side="left"), np.searchsorted(hashes, code, side="right")
-        some = np.flatnonzero(high > low)
-        size = (high - low)[some]
-        which = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[some], size)
-        at = np.repeat(where[some], size)
-        met(at, np.full(len(at), n), items[which], np.zeros(len(at), np.int64))
-    best = {d: (n, at - int(found.first[d]), *rest) for d, (n, at, *rest) in best.items()}
-    if runs:
-        every = joined(runs)
-        doc = found.doc[every.first]
-        n = every.last + every.n - every.first
-        start, pos = every.first - found.first[doc], every.first - every.diagonal
-        for d, *match in zip(doc.tolist(), (-n).tolist(), start.tolist(), every.item.tolist(), pos.tolist()):
-            match = (match[0], match[1], block.names[match[2]], match[3])
+        near = np.minimum(np.searchsorted(hashes, code), len(hashes) - 1)
+        some = hashes[near] == code
+        where, windows = where[some], near[some] + base
+        meet(where, n, windows)
+        firsts = np.unique(found.doc[where], return_index=True)[1]
+        for k in firsts[np.argsort(where[firsts])]:
+            d = int(found.doc[where[k]])
+            best[d] = min(best.get(d, (0,)), (-n, int(where[k]), block.names[int(block.owners[block.owned[windows[k]]])], 0))
+    over = np.cumsum(hit[:-1]) > 0
+    places = np.unique(np.concatenate(full))
+    if len(places):
+        length, low, high = longest(found, over, places, deep)
+        order = np.lexsort((places, -length, found.doc[places]))
+        for k in order[np.unique(found.doc[places][order], return_index=True)[1]]:
+            t = deep.order[low[k] : high[k]]
+            least = t[np.lexsort((deep.pos[t], deep.item[t]))[0]]
+            d, match = int(found.doc[places[k]]), (-int(length[k]), int(places[k]), block.names[int(deep.item[least])], int(deep.pos[least]))
             best[d] = min(best.get(d, match), match)
-    items: dict[int, set] = {}
-    for d, i in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
-        items.setdefault(d, set()).add(block.names[i])
-    over = np.concatenate([[False], np.cumsum(hit[:-1]) > 0, [False]])
+    best = {d: (n, at - int(found.first[d]), *rest) for d, (n, at, *rest) in best.items()}
+    every = np.unique(np.concatenate(met))
+    docs, begin = np.unique(every // n_windows, return_index=True)
+    items: dict[int, list[str]] = {}
+    known: dict[bytes, list[str]] = {}  # documents with the same windows have the same items
+    for d, windows in zip(docs.tolist(), np.split(every % n_windows, begin[1:])):
+        if (sign := windows.tobytes()) not in known:
+            known[sign] = [block.names[i] for i in np.unique(block.owners[ranges(block.owned[windows], block.owned[windows + 1])])]
+        items[d] = known[sign]
     out = {}
     for d in best.keys() | items.keys():
-        a, b = int(found.first[d]), int(found.first[d + 1])
-        own = np.concatenate([[False], over[a + 1 : b + 1], [False]]).astype(np.int8)
+        own = np.concatenate([[False], over[int(found.first[d]) : int(found.first[d + 1])], [False]]).astype(np.int8)
         step = np.diff(own)
-        out[d] = Partial(list(zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist())), sorted(items.get(d, ())), best[d])
+        out[d] = Partial(list(zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist())), items.get(d, []), best[d])
     return out
 
 
@@ -257,7 +342,7 @@ def scan(
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null and text is not null")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") / 8 + 1), F.lit(0.0)).alias("n")).first()["n"]
+    total = bench.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) + 1), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, int(-(-total // max_words)))
     dealt = bench.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)))
 
@@ -274,7 +359,7 @@ def scan(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in (s for batch in batches for s in passes(batch, "_text")):
                 found = words(*text_buffer(some.column("_text")))
-                parts = judge(found, held.value, window)
+                parts = judge(found, *held.value, window)
                 yield as_batch([some.column("_id")], [verdict(n, parts.get(d), share) for d, n in enumerate(np.diff(found.first).tolist())], RESULT_TYPES, names)
 
         return chosen.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
@@ -287,7 +372,7 @@ def scan(
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for some in (s for batch in batches for s in passes(batch, "_text")):
-                parts = sorted(judge(words(*text_buffer(some.column("_text"))), held.value, window).items())
+                parts = sorted(judge(words(*text_buffer(some.column("_text"))), *held.value, window).items())
                 columns = [[[{"a": a, "b": b} for a, b in p.hit] for _, p in parts], [p.items for _, p in parts], [dict(zip(("n", "at", "item", "pos"), p.best)) for _, p in parts]]
                 row = some.column("_row").take(pa.array([d for d, _ in parts], pa.int64()))
                 yield pa.RecordBatch.from_arrays([row, *(pa.array(c, t) for c, t in zip(columns, part_type))], ["_row", "hit", "items", "best"])

@@ -396,13 +396,56 @@ def test_suffix_arrays(monkeypatch, shard):
         items = [(str(i), text(rng.choice([0, 1, 2, 3, 5, 12, 13, 14, 30]), rng.integers(1, 6))) for i in range(4)]
         docs = [text(rng.integers(0, 40)) for _ in range(3)] + [items[0][1] + " zz " + items[3][1]]
         found = words(*text_buffer(pa.array(docs)))
-        parts = [decontam.judge(found, decontam.make_block(items[b::n_blocks], 13), 13) for b in range(n_blocks)]
+        parts = [decontam.judge(found, *decontam.make_block(items[b::n_blocks], 13), 13) for b in range(n_blocks)]
         for d, doc in enumerate(docs):
             own = [p[d] for p in parts if d in p]
             got = decontam.verdict(int(np.diff(found.first)[d]), decontam.merged(own) if own else None, 20)
             assert got == (*contamination(doc, items), *longest_by_force(doc, items))
 
 
+def test_windows_that_many_items_share():
+    """Items with one prompt, and a text that repeats it: the work is that of items and places, not of their product."""
+    import time
+
+    import pyarrow as pa
+
+    from relspark.llm.common import text_buffer
+    from relspark.llm.words import words
+
+    prompt = " ".join(f"p{i}" for i in range(20))
+    for n, check in ((12, True), (5_000, False)):
+        items = [(f"i{k}", f"{prompt} " + " ".join(f"x{k}y{j}" for j in range(5))) for k in range(n)]
+        texts = [" ".join([prompt] * n), " ".join(t for _, t in items), prompt + " and nothing else", "p1 p2 p3 p4"]
+        begun = time.time()
+        block, found = decontam.make_block(items, 13), words(*text_buffer(pa.array(texts)))
+        got = decontam.judge(found, *block, 13)
+        took = time.time() - begun
+        if check:
+            for d, text in enumerate(texts):
+                assert decontam.verdict(int(np.diff(found.first)[d]), got[d], 20) == (*contamination(text, items), *longest_by_force(text, items))
+        assert [len(got[d].items) for d in range(4)] == [n, n, n, 0] and got[1].best == (-25, 0, "i0", 0)
+        assert took < 60
+
+
+def test_long_copies_of_long_items(monkeypatch):
+    """Matches far longer than a window, in texts that repeat themselves."""
+    import pyarrow as pa
+
+    from relspark.llm.common import text_buffer
+    from relspark.llm.words import words
+
+    rng = np.random.default_rng(4)
+    text = lambda n, k: " ".join(f"w{i}" for i in rng.integers(0, k, n))
+    for k in (1, 2, 50):
+        items = [(str(i), text(int(rng.integers(20, 90)), k)) for i in range(3)] + [("same", "a b c d e f g h i j k l m n o")] * 2
+        pick = items[1][1].split()
+        docs = [" ".join(["zz", *pick[3:70], "zz", *pick[:40]]), " ".join([items[0][1], items[2][1]]), text(60, k), "x " + items[3][1]]
+        found = words(*text_buffer(pa.array(docs)))
+        got = decontam.judge(found, *decontam.make_block(items, 13), 13)
+        for d, doc in enumerate(docs):
+            assert decontam.verdict(int(np.diff(found.first)[d]), got.get(d), 20) == (*contamination(doc, dict(items).items()), *longest_by_force(doc, items)), (k, d)
+
+
 def test_many_secrets_in_one_text(spark):
     rng = np.random.default_rng(3)
     key = lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
