@@ -248,6 +248,22 @@ _PARTS = f"toks(doc, word) AS MATERIALIZED (SELECT p_partkey, unnest({_split(_PA
 _CTX = "ctx(key, dim, v) AS MATERIALIZED (SELECT t.doc, co.w2, sum(co.cnt)::DOUBLE FROM (SELECT DISTINCT doc, word FROM toks) t JOIN co ON co.w1 = t.word GROUP BY t.doc, co.w2)"
 _PPAIRS = f"pp AS (SELECT a, b FROM pairs WHERE a BETWEEN {dl.PART} AND {dl.PART + dl.SPAN - 1} AND b BETWEEN {dl.PART} AND {dl.PART + dl.SPAN - 1})"
 _COS = f"WITH {dl.SQL_PAIRS}, {_PPAIRS}, {_PARTS}, {_CTX}, nrm AS (SELECT key, sqrt(sum(v * v)) AS m FROM ctx GROUP BY key) SELECT pp.a, pp.b, round(sum(x.v * y.v) / (max(n.m) * max(o.m)), 6) + 0.0 AS score FROM pp JOIN ctx x ON x.key = pp.a - {dl.PART} JOIN ctx y ON y.key = pp.b - {dl.PART} AND y.dim = x.dim JOIN nrm n ON n.key = x.key JOIN nrm o ON o.key = y.key GROUP BY pp.a, pp.b"
+_MARKS = tx.MARKS.replace("'", "''")
+# Look-arounds by captures: apostrophes between word characters are kept as chr(1) while all others go; twice, as a match takes both neighbours.
+_BARE = f"translate(text, '{_MARKS}', '{' ' * len(tx.MARKS)}')"
+_KEPT = f"regexp_replace(regexp_replace({_BARE}, '(\\w)''(\\w)', '\\1' || chr(1) || '\\2', 'g'), '(\\w)''(\\w)', '\\1' || chr(1) || '\\2', 'g')"
+_CLEAN = f"lower(trim(regexp_replace(replace(replace(replace({_KEPT}, chr(39), ' '), chr(1), chr(39)), '--', ' '), '\\s+', ' ', 'g')))"
+
+# Phrases of each two texts, one a step: the longest, the earliest; its words become marks that match nothing.
+_LONGEST = "list_max(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(b) + 1), lambda j: CASE WHEN a[i] <> b[j] THEN [0, 0, 0] ELSE [list_max(list_filter(range(1, least(len(a) - i, len(b) - j) + 2), lambda k: a[i:i + k - 1] = b[j:j + k - 1])), -i, -j] END))))"
+_USED = "{t}[1:-m[{p}] - 1] || list_transform(range(m[1]), lambda x: chr(2) || '{t}') || {t}[-m[{p}] + m[1]:]"
+_LESK = f"""WITH RECURSIVE {dl.SQL_PAIRS}, {_PPAIRS},
+gloss AS MATERIALIZED (SELECT p_partkey + {dl.PART} AS id, {_CLEAN.replace(_BARE, _BARE.replace("text", "concat_ws(' ', p_name, p_brand, p_type)"))} AS g, p_name FROM part),
+two AS MATERIALIZED (SELECT pp.a, pp.b, x.g AS ga, y.g AS gb, x.p_name AS na, y.p_name AS nb FROM pp JOIN gloss x ON x.id = pp.a JOIN gloss y ON y.id = pp.b),
+texts AS MATERIALIZED (SELECT DISTINCT ga, gb, {_split('ga')} AS a, {_split('gb')} AS b FROM two),
+taken(ga, gb, a, b, s, m) AS (SELECT ga, gb, a, b, 0, {_LONGEST} FROM texts
+  UNION ALL SELECT ga, gb, a, b, s, {_LONGEST} FROM (SELECT ga, gb, {_USED.format(t="a", p=2)} AS a, {_USED.format(t="b", p=3)} AS b, s + m[1] * m[1] AS s FROM taken WHERE m[1] > 0)),
+lesk AS (SELECT ga, gb, max(s) AS s, max(len(a)) AS na, max(len(b)) AS nb FROM taken GROUP BY ga, gb)"""
 _RANKED = "ranked AS (SELECT w1, w2, score, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT l_orderkey::VARCHAR AS w1, l_linenumber::VARCHAR AS w2, round(l_discount * l_quantity, 2) AS score FROM lineitem))"
 _SENSES = dl.SQL_SENSES
 _NOUNS = f"models AS (SELECT p_partkey, {dl.SQL_MODEL} AS w FROM part), nouns AS (SELECT DISTINCT p.w AS w1, q.w AS w2 FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN models p ON p.p_partkey = x.l_partkey JOIN models q ON q.p_partkey = y.l_partkey)"
@@ -259,12 +275,6 @@ _COUNTED = f"c AS (SELECT {dl.SQL_MODEL} AS word, count(*) AS n FROM lineitem JO
 _WPS = "wps AS (SELECT DISTINCT unnest([w, w || '#n', w || '#n#1', w || '#x#1', w || '#n#one', w || '#n#999999', '', w || '#n#1#2']) AS wps FROM (SELECT " + dl.SQL_MODEL + " AS w FROM part))"
 _LINES = "lines AS (SELECT p_partkey, unnest([p_name, p_name || ' // note', '# ' || p_name, p_name || ' more', '//']) AS value FROM part), bare AS (SELECT p_partkey, value, trim(regexp_replace(regexp_replace(value, '^\\s*#.*$', ''), '//.*$', '')) AS t FROM lines)"
 
-_MARKS = tx.MARKS.replace("'", "''")
-# Look-arounds by captures: apostrophes between word characters are kept as chr(1) while all others go; twice, as a match takes both neighbours.
-_BARE = f"translate(text, '{_MARKS}', '{' ' * len(tx.MARKS)}')"
-_KEPT = f"regexp_replace(regexp_replace({_BARE}, '(\\w)''(\\w)', '\\1' || chr(1) || '\\2', 'g'), '(\\w)''(\\w)', '\\1' || chr(1) || '\\2', 'g')"
-_CLEAN = f"lower(trim(regexp_replace(replace(replace(replace({_KEPT}, chr(39), ' '), chr(1), chr(39)), '--', ' '), '\\s+', ' ', 'g')))"
-
 # All compounds have two words, so the longest one from a word on is it and the next, if listed.
 _WALK = "SELECT 0 AS step, key, ws, 0 AS k, 1 + list_contains((SELECT list(DISTINCT word) FROM comp), ws[1] || '_' || coalesce(ws[2], ''))::INTEGER AS n FROM {t} WHERE len(ws) > 0 UNION ALL SELECT step + 1, key, ws, k + n, 1 + list_contains((SELECT list(DISTINCT word) FROM comp), ws[k + n + 1] || '_' || coalesce(ws[k + n + 2], ''))::INTEGER FROM {w} WHERE k + n < len(ws)"
 _WALKED = f"""WITH RECURSIVE comp(word) AS (SELECT DISTINCT lower(replace(p_name, ' ', '_')) FROM part),
@@ -276,6 +286,8 @@ walked AS (SELECT key, k, array_to_string(ws[k + 1:k + n], '_') AS token FROM w1
 ORACLE_SQL = {
     "gloss_clean": f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents",
     "corpus_normalise": f"SELECT conv_id, turn, {_numbers('text')} AS words FROM conversations",
+    "sim_lesk": f"{_LESK} SELECT t.a, t.b, l.s::DOUBLE AS score FROM two t JOIN lesk l USING (ga, gb)",
+    "sim_lesk_norm": f"{_LESK} SELECT t.a, t.b, round(l.s / (l.na * l.nb)::DOUBLE + CASE WHEN t.na = t.nb THEN 0.5 ELSE 0 END, 6) + 0.0 AS score FROM two t JOIN lesk l USING (ga, gb)",
     "corpus_clauses": "SELECT md5(c) AS clause, count(*) AS n FROM (SELECT trim(unnest(string_split_regex(replace(regexp_replace(text, '\r\f?', '', 'g'), chr(10), ' '), '[.?!,;:]')), ' ') AS c FROM documents) WHERE c <> '' GROUP BY c",
     "gloss_examples": "SELECT page_id, len(x)::BIGINT AS n, md5(array_to_string(x, '|')) AS examples, md5(split_part(html, '\"', 1)) AS definition FROM (SELECT page_id, html, regexp_extract_all(html, '\"([^\"]*)\"', 1) AS x FROM pages)",
     "term_frequency": f"WITH {_TOKENS} SELECT word, count(*)::BIGINT AS tf, count(DISTINCT doc)::BIGINT AS df FROM tokens GROUP BY word",

@@ -175,6 +175,21 @@ def test_compounds(spark):
     assert [(r["k"], r["token"]) for r in cp.compound_tokens(split, words, "k", "ws").orderBy("k", "at").collect()] == [(1, "in"), (1, "new_york_city"), (1, "new_york"), (3, "new")]
 
 
+@pytest.mark.parametrize("cells", [1, 60, 1 << 21])
+def test_phrases_of_many_pairs(monkeypatch, cells):
+    """Equal to one pair at a time, on texts that repeat few words, with stop words, in any chunks."""
+    import numpy as np
+
+    monkeypatch.setattr(ov, "CELLS", cells)
+    rng = np.random.default_rng(7)
+    text = lambda: [f"w{k}" for k in rng.integers(0, rng.integers(1, 9), rng.integers(0, 25))]
+    left, right = [text() for _ in range(300)], [text() for _ in range(300)]
+    for stop in (frozenset(), frozenset(["w0", "w2"])):
+        expected = [sum(len(p) ** 2 for p in ov.overlaps(a, b, stop)) for a, b in zip(left, right)]
+        assert ov.squared_phrases(left, right, stop).tolist() == expected
+    assert ov.squared_phrases([], [], frozenset()).tolist() == []
+
+
 def test_overlaps():
     assert ov.overlaps("a b c d".split(), "x b c a".split()) == [["b", "c"], ["a"]]
     assert ov.overlaps("the of dog".split(), "the of cat dog".split(), frozenset(["the", "of"])) == [["dog"]]
