@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relspark.lexicon import UNRELATED
+from relspark.operators.joins import join_spread, running_total
 
 NOUN_VERB = ("n", "v")
 ALL_POS = ("n", "v", "a", "r")
@@ -138,13 +139,14 @@ def drop_stop_compounds(tokens: DataFrame, stop: DataFrame, key: str, word: str
 def rank_pairs(scored: DataFrame, digits: int = 2) -> DataFrame:
     """(w1, w2, score, rank): competition ranks (1, 1, 3) of scores rounded to `digits`, highest first.
 
-    Ranks come from the number of pairs of each rounded score, so only distinct scores, not pairs,
-    are put in one order."""
+    Ranks come from the number of pairs of each rounded score, added up over ranges of scores; neither many
+    distinct scores nor a score that many pairs share is one task's."""
     rows = scored.select("w1", "w2", F.round("score", digits).alias("score"))
     sizes = rows.groupBy("score").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = sizes.select(F.col("score").alias("_s"), (F.coalesce(above, F.lit(0)) + 1).alias("rank"))
-    return rows.join(ranks, F.col("score").eqNullSafe(F.col("_s"))).select("w1", "w2", "score", "rank")
+    # A null score as a key: whether there is one, and it.
+    key = F.concat_ws(":", F.col("score").isNull().cast("string"), F.col("score").cast("string"))
+    ranks = running_total(sizes, F.col("n"), [F.desc_nulls_last("score")], "above").select(key.alias("_key"), (F.col("above") + 1).alias("rank"))
+    return join_spread(rows.withColumn("_key", key), ranks, "_key").select("w1", "w2", "score", "rank")
 
 
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -152,6 +154,6 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     def mean_ranks(df: DataFrame, name: str) -> DataFrame:
         ranked = rank_pairs(df, 12)
         size = ranked.groupBy("rank").agg(F.count("*").alias("n"))
-        return ranked.join(size, "rank").select("w1", "w2", (F.col("rank") + (F.col("n") - 1) / 2).alias(name))
+        return join_spread(ranked, size, "rank").select("w1", "w2", (F.col("rank") + (F.col("n") - 1) / 2).alias(name))
 
     return mean_ranks(a, "x").join(mean_ranks(b, "y"), ["w1", "w2"]).agg(F.corr("x", "y").alias("rho"))

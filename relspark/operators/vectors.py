@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from relspark.lexicon import materialize
+from relspark.operators.joins import hot_keys
+
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
     """(word, tf, df) of tokens (doc, word)."""
@@ -53,12 +58,30 @@ def build_vectors(
     return dims, made.select(F.col("w1").alias("word"), F.col("w2").alias("dim"), "cnt")
 
 
-def context_vectors(texts: DataFrame, vectors: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """(key, dim, v): sum of the vectors of the distinct words of each text. texts: key, word."""
+#: Cells of the vectors of frequent words that are sent to all tasks together, some tens of bytes each.
+PACK_CELLS = 1 << 18
+
+
+def context_vectors(texts: DataFrame, vectors: DataFrame, stop: DataFrame | None = None, pack_cells: int = PACK_CELLS) -> DataFrame:
+    """(key, dim, v): sum of the vectors of the distinct words of each text. texts: key, word.
+
+    It is a product of two sparse tables. Words of at least one in HOT of all words of texts, HOT words at most, are multiplied
+    where the texts are: their vectors come in packs of bounded size, and each text's sum over all of them is made
+    in its task, so that what is moved grows with the sums and not with a word's frequency times its dimensions. The vectors
+    of all other words meet the texts by a join on the word, of which none is hot.
+    """
     kinds = texts.select("key", "word").distinct()
     if stop is not None:
         kinds = kinds.join(stop.select("word").distinct(), "word", "left_anti")
-    return kinds.join(vectors, "word").groupBy("key", "dim").agg(F.sum(F.col("cnt").cast("double")).alias("v"))
+    kinds = materialize(kinds.repartition("key"))
+    hot = materialize(hot_keys(kinds, "word", kinds.count()))
+    cells = materialize(vectors.select("word", "dim", F.col("cnt").cast("double").alias("cnt")).join(F.broadcast(hot), "word", "left_semi"))
+    n_packs = max(1, -(-cells.count() // pack_cells))
+    # Of one text all words are in one task, so its sums need no exchange of their own.
+    frequent = kinds.join(F.broadcast(hot), "word", "left_semi").repartition("key")
+    packs = [frequent.join(F.broadcast(cells.where(F.pmod(F.xxhash64("word", "dim"), F.lit(n_packs)) == k)), "word").groupBy("key", "dim").agg(F.sum("cnt").alias("v")) for k in range(n_packs)]
+    rare = kinds.join(F.broadcast(hot), "word", "left_anti").join(vectors, "word").select("key", "dim", F.col("cnt").cast("double").alias("v"))
+    return reduce(DataFrame.unionByName, [*packs, rare]).groupBy("key", "dim").agg(F.sum("v").alias("v"))
 
 
 def norms(context: DataFrame) -> DataFrame:

@@ -52,6 +52,20 @@ def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str]]]:
         yield (doc.dictionary[code[lo]].as_py(), int(start[lo])), batch.column("value").slice(lo, hi - lo).to_pylist()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, start, at, value): lines with their number in their split, so that (start, at) is the order of a file."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, n = None, 0
+        for batch in batches:
+            for key, lines in runs(batch):
+                split, n = key, n if key == split else 0
+                yield rows([(*key, n + k, WHOLE, line) for k, line in enumerate(lines)])
+                n += len(lines)
+
+    return lines_of(spark, path, None).mapInArrow(number, PIECES).select("doc", "start", "at", F.col("text").alias("value"))
+
+
 def cutter(border: str, open_: str | None, summary: bool):
     """Makes pieces of the lines of a task: with summary only those at the splits' borders, else only whole units."""
 

@@ -6,10 +6,12 @@ range and writes parts in order; `single` gives one file where the table is smal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relspark.functions.text import pad_id
 from relspark.lexicon import ROOT
+from relspark.operators.joins import join_spread, running_total
+from relspark.sources.splits import numbered_lines
 
 
 class FormatError(ValueError):
@@ -115,9 +117,10 @@ SECTIONS = ("-DIMENSIONS-", "-VECTORS-")
 
 def write_vectors(path: str, n_docs: int, dims: DataFrame, vectors: DataFrame) -> None:
     """One text file: the number of documents, the dimensions (word, number, tf, df), the vectors (word, number count ..)."""
-    numbered = dims.select("word", "tf", "df", (F.row_number().over(Window.orderBy("word")) - 1).alias("dim"))  # the dimensions of one lexicon
+    numbered = running_total(dims.select("word", "tf", "df"), F.lit(1).cast("long"), [F.col("word")], "dim")
     first = numbered.select(F.lit(1).alias("s"), "word", F.concat_ws(" ", F.concat("word", F.lit(":")), F.col("dim").cast("string"), F.col("tf").cast("string"), F.col("df").cast("string")).alias("line"))
-    cells = vectors.join(numbered.select(F.col("word").alias("dim"), F.col("dim").alias("n")), "dim")
+    known = numbered.select(F.col("word").alias("dim"), F.col("dim").alias("n"))
+    cells = join_spread(vectors.join(known, "dim", "left_semi"), known, "dim")
     rows = cells.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cnt"))), lambda c: F.concat_ws(" ", c["n"].cast("string"), c["cnt"].cast("long").cast("string"))), " ").alias("v"))
     second = rows.select(F.lit(3).alias("s"), "word", F.concat("word", F.lit(": "), "v").alias("line"))
     marks = dims.sparkSession.createDataFrame([(0, "", SECTIONS[0]), (2, "", SECTIONS[1])], "s int, word string, line string")
@@ -125,21 +128,20 @@ def write_vectors(path: str, n_docs: int, dims: DataFrame, vectors: DataFrame) -
 
 
 def read_vectors(spark: SparkSession, path: str) -> tuple[int, DataFrame, DataFrame]:
-    """(documents, dims (word, dim, tf, df), vectors (word, dim, cnt)). The file is one text, as its
-    sections are told by their order; it is as large as one lexicon."""
-    whole = spark.read.text(path, wholetext=True)
+    """(documents, dims (word, dim, tf, df), vectors (word, dim, cnt)). Which section a line is of is told by its place: only the two
+    lines that begin the sections are looked for first, then the file is read by splits."""
     n_docs = header(spark, path, "DOCUMENTCOUNT=")
     if not n_docs.isdigit():
         raise FormatError(f"{path}: DOCUMENTCOUNT={n_docs}")
-    text = F.col("value")
-    broken = whole.where((F.instr(text, SECTIONS[0]) == 0) | (F.instr(text, SECTIONS[1]) <= F.instr(text, SECTIONS[0])))
-    if not broken.isEmpty():
+    lines = numbered_lines(spark, path)
+    place = F.struct("start", "at")
+    found = lines.where(F.trim("value").isin(*SECTIONS)).orderBy("start", "at").limit(3).collect()
+    if [r["value"].strip() for r in found] != list(SECTIONS):
         raise FormatError(f"{path}: sections are missing or out of order")
-    part = lambda t: F.explode(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
-    head, tail = F.substring_index(F.element_at(F.split(text, SECTIONS[0]), 2), SECTIONS[1], 1), F.element_at(F.split(text, SECTIONS[1]), 2)
-    f = F.split(F.element_at(F.split("line", ": ", 2), 2), " ")
-    word = F.element_at(F.split("line", ": ", 2), 1)
-    dims = whole.select(part(head).alias("line")).select(word.alias("word"), f[0].cast("int").alias("dim"), f[1].cast("long").alias("tf"), f[2].cast("long").alias("df"))
-    cells = whole.select(part(tail).alias("line")).select(word.alias("word"), f.alias("f"))
+    first, second = (F.struct(F.lit(r["start"]).cast("long").alias("start"), F.lit(r["at"]).cast("long").alias("at")) for r in found)
+    full = lines.where(F.trim("value") != "").select(place.alias("place"), F.element_at(F.split("value", ": ", 2), 1).alias("word"), F.split(F.element_at(F.split("value", ": ", 2), 2), " ").alias("f"))
+    f = F.col("f")
+    dims = full.where((F.col("place") > first) & (F.col("place") < second)).select("word", f[0].cast("int").alias("dim"), f[1].cast("long").alias("tf"), f[2].cast("long").alias("df"))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("f") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("f", i * 2 + 1).cast("int").alias("dim"), F.element_at("f", i * 2 + 2).cast("double").alias("cnt")))
-    return int(n_docs), dims, cells.select("word", F.explode(pairs).alias("c")).select("word", "c.dim", "c.cnt")
+    cells = full.where(F.col("place") > second).select("word", F.explode(pairs).alias("c"))
+    return int(n_docs), dims, cells.select("word", "c.dim", "c.cnt")
