@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relspark.llm.common import materialize
+from relspark.operators.joins import join_spread
 
 #: Suffixes of two labels under which domains are registered.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "ne.jp", "co.nz", "com.br", "co.in", "com.cn", "co.za", "co.kr")
@@ -18,8 +19,6 @@ LIMIT = 0.5  # of the share of bad pages
 Z = 1.645  # standard deviations from the posterior mean down to the bound: one side, 95 %
 #: Least and greatest share of a level's variance that is between its members; strength = 1 / share - 1 outcomes.
 LEAST, GREATEST = 0.001, 0.5
-#: A key of at least one in so many rows is hot; there are at most so many of them.
-HOT = 1000
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -57,21 +56,6 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left join with a table of one row for each key, in which no hot key is one task's: those that hold one in HOT rows of left, at most HOT
-    keys, meet it by broadcast, all others by shuffle. Rows without a key, and those that have met, are dealt out evenly."""
-    n = left.count()
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT >= n).select(key)
-    values = [c for c in right.columns if c != key]
-    known = right.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*values).alias("_hot"))
-    first = left.join(F.broadcast(known), key, "left")
-    done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salted = first.withColumn("_key", F.when(~done, F.col(key))).withColumn("_salt", F.when(done, F.pmod(F.monotonically_increasing_id(), F.lit(8192))).otherwise(F.lit(0).cast("long")))
-    rest = right.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    met = salted.join(rest, ["_key", "_salt"], "left").withColumn("_met", F.coalesce("_hot", "_cold"))
-    return met.select(*left.columns, *(F.col(f"_met.{c}").alias(c) for c in values))
-
-
 def strength(level: DataFrame) -> float:
     """Of a level's beta prior, from its members' outcomes n, bad and the mean of what they belong to, by moments: for members of that mean m,
     (bad - n m)^2 is n m (1 - m) (1 + (n - 1) share) on average. share is the part of the variance between members."""

@@ -238,12 +238,6 @@ def test_reputation_against_plain_sums(spark):
     assert got["new.bad.net"]["bad_rate"] > got["new.good.net"]["bad_rate"]
 
 
-def test_spread_join_is_a_left_join(spark):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id")
-    right = spark.createDataFrame([("hot", 1), ("4", None), ("7", 3), ("never", 4)], "k string, v int")
-    assert Counter(map(tuple, url_filter.join_spread(left, right, "k").collect())) == Counter(map(tuple, left.join(right, "k", "left").select("k", "id", "v").collect()))
-
-
 @pytest.mark.parametrize("name", ["op12_centroid_clustering", "op13_url_filter"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
