@@ -72,6 +72,12 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     _written.paths[:] = [p for p in _written.paths if p.rsplit("/", 1)[1] != name]
 
 
+def delete(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete_folder(df.sparkSession, folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Written once to the shared folder and read back: cuts the lineage, survives the loss of
     executors, and all readers see the same rows. `release_since` deletes what is no longer read."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from relspark.lexicon import ROOT, materialize
-from relspark.operators.paths import MAX_HEIGHT, top_nodes
+from relspark.lexicon import ROOT, delete, materialize
+from relspark.operators.paths import top_nodes
 
 
 def count_words(tokens: DataFrame, morph: DataFrame, sense: DataFrame, resnik: bool = False) -> DataFrame:
@@ -32,23 +32,19 @@ def propagate(freq: DataFrame, nodes: DataFrame, isa: DataFrame, height: int | N
     """(pos, id, freq, is_root): a concept's own frequency and that of each way up to it.
 
     Ways are counted, not concepts: a concept that reaches an ancestor by two ways counts twice
-    there. Each level adds up before it climbs on, so the rows of a step are concepts, not ways.
-    Without a height each level is written; a cycle of is-a links is an error then.
+    there. With a height each level adds up before it climbs on, so the rows of a step are concepts, not ways.
+    Without one see `climbed`; a cycle of is-a links is an error then.
     """
     level = freq.groupBy("pos", "id").agg(F.sum("freq").alias("freq"))
-    total = level
-    for step in range(MAX_HEIGHT if height is None else height):
-        up = level.join(isa.withColumnRenamed("child", "id"), ["pos", "id"]).select("pos", F.col("parent").alias("id"), "freq")
-        level = up.groupBy("pos", "id").agg(F.sum("freq").alias("freq"))
-        if height is None:
-            level = materialize(level)
-            if level.isEmpty():
-                break
-        total = total.unionByName(level)
+    if height is None:
+        summed = climbed(level, nodes, isa)
     else:
-        if height is None:
-            raise ValueError(f"is-a links of over {MAX_HEIGHT} levels, or a cycle")
-    summed = total.groupBy("pos", "id").agg(F.sum("freq").alias("freq"))
+        total = level
+        for _ in range(height):
+            up = level.join(isa.withColumnRenamed("child", "id"), ["pos", "id"]).select("pos", F.col("parent").alias("id"), "freq")
+            level = up.groupBy("pos", "id").agg(F.sum("freq").alias("freq"))
+            total = total.unionByName(level)
+        summed = total.groupBy("pos", "id").agg(F.sum("freq").alias("freq"))
     tops = top_nodes(nodes, isa).withColumn("is_root", F.lit(True))
     return (
         nodes.select("pos", "id").distinct().join(summed, ["pos", "id"], "left").join(tops, ["pos", "id"], "left")
@@ -56,6 +52,27 @@ def propagate(freq: DataFrame, nodes: DataFrame, isa: DataFrame, height: int | N
     )
 
 
+def climbed(freq: DataFrame, nodes: DataFrame, isa: DataFrame) -> DataFrame:
+    """(pos, id, freq): sums over all ways up, for taxonomies of any height.
+
+    With the sums over ways of fewer than n links, and the number of ways of exactly n links between two concepts, one join
+    gives the sums over ways of fewer than 2 n; joined with itself, the latter gives those of exactly 2 n. So
+    the rounds are as many as the height has binary digits."""
+    ways = materialize(isa.groupBy("pos", F.col("child").alias("low"), F.col("parent").alias("high")).agg(F.count("*").cast("double").alias("n")))
+    total, links, most = materialize(freq), 1, nodes.select("pos", "id").unionByName(isa.select("pos", F.col("child").alias("id"))).distinct().count()
+    while not ways.isEmpty():
+        if links > most:
+            raise ValueError("is-a links run in a circle")
+        up = ways.join(total.withColumnRenamed("id", "low"), ["pos", "low"]).select("pos", F.col("high").alias("id"), (F.col("freq") * F.col("n")).alias("freq"))
+        last_total, total = total, materialize(total.unionByName(up).groupBy("pos", "id").agg(F.sum("freq").alias("freq")))
+        ahead = ways.select("pos", F.col("low").alias("high"), F.col("high").alias("_high"), F.col("n").alias("_n"))
+        last_ways, ways = ways, materialize(ways.join(ahead, ["pos", "high"]).groupBy("pos", "low", F.col("_high").alias("high")).agg(F.sum(F.col("n") * F.col("_n")).alias("n")))
+        links *= 2
+        delete(last_total)
+        delete(last_ways)
+    return total
+
+
 def root_frequency(counts: DataFrame) -> DataFrame:
     """pos, root_freq: the sum over the roots."""
     return counts.where("is_root").groupBy("pos").agg(F.sum("freq").alias("root_freq"))

@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relspark.functions.text import pad_id
-from relspark.lexicon import ROOT, materialize
-
-MAX_HEIGHT = 64
+from relspark.lexicon import ROOT, delete, materialize
+from relspark.operators.joins import join_spread
 
 
 def parents_of(isa: DataFrame) -> DataFrame:
@@ -25,12 +24,24 @@ def root_paths(isa: DataFrame, members: DataFrame, root_node: bool = True, heigh
     """(pos, id, path): every path from each member (pos, id) to a root, bottom-up.
 
     A path never meets a node twice. Where all parents of a node are on the path already, the
-    node counts as a root. Only paths of members are expanded. With the taxonomy's height the
-    whole is one plan; without it each level is written, and the loop ends when no path grows.
+    node counts as a root. With the taxonomy's height the whole is one plan over the paths of members. Without it, pieces
+    of paths are joined with pieces that go on where they end, so that each round doubles their length: a
+    taxonomy of any height takes as many rounds as its height has binary digits. Only where links run in a circle do paths grow by one node a round.
     """
+    own = members.select("pos", "id").distinct()
+    found = grown_paths(isa, own, height) if height is not None else doubled_paths(isa, own)
+    if found is None:
+        found = grown_paths(isa, own, None)
+    path = F.concat("path", F.array(F.lit(ROOT).cast("long"))) if root_node else F.col("path")
+    return found.select("pos", "id", path.alias("path"))
+
+
+def grown_paths(isa: DataFrame, members: DataFrame, height: int | None) -> DataFrame:
+    """(pos, id, path) of members, a node a round; without a height each round is written, and the loop ends when no path grows."""
     up = parents_of(isa).withColumnRenamed("pos", "_pos")
-    paths = members.select("pos", "id").distinct().select("pos", "id", F.array("id").alias("path"), F.lit(False).alias("done"))
-    for level in range(MAX_HEIGHT if height is None else height):
+    paths = members.select("pos", "id", F.array("id").alias("path"), F.lit(False).alias("done"))
+    level = 0
+    while height is None or level < height:
         # Ended paths meet no parents; their key is a number that no concept has, one for each.
         at = F.when(F.col("done"), -1 - F.col("id")).otherwise(F.element_at("path", -1))
         step = paths.withColumn("_at", at).join(up, (F.col("pos") == F.col("_pos")) & (F.col("_at") == F.col("child")), "left")
@@ -43,11 +54,28 @@ def root_paths(isa: DataFrame, members: DataFrame, root_node: bool = True, heigh
             paths = materialize(paths)
             if paths.where("not done").isEmpty():
                 break
-    else:
-        if height is None:
-            raise ValueError(f"paths of over {MAX_HEIGHT} levels")
-    path = F.concat("path", F.array(F.lit(ROOT).cast("long"))) if root_node else F.col("path")
-    return paths.select("pos", "id", path.alias("path"))
+        level += 1
+    return paths.select("pos", "id", "path")
+
+
+def doubled_paths(isa: DataFrame, members: DataFrame) -> DataFrame | None:
+    """(pos, id, path) of members by doubling; None if a path meets a node twice."""
+    isa = isa.select("pos", "child", "parent").distinct()
+    tops = isa.select("pos", F.col("parent").alias("id")).unionByName(members).distinct().join(isa.select("pos", F.col("child").alias("id")), ["pos", "id"], "left_anti")
+    top = tops.select("pos", F.col("id").alias("parent"), F.lit(True).alias("done"))
+    links = isa.join(top, ["pos", "parent"], "left").select("pos", F.col("child").alias("id"), F.array("child", "parent").alias("path"), F.coalesce("done", F.lit(False)).alias("done"))
+    pieces = materialize(links.unionByName(tops.select("pos", "id", F.array("id").alias("path"), F.lit(True).alias("done"))))
+    key = lambda pos, id_: F.concat_ws(":", pos, id_.cast("string")).alias("_key")
+    while not pieces.where("not done").isEmpty():
+        ahead = pieces.groupBy(key(F.col("pos"), F.col("id"))).agg(F.collect_list(F.struct("path", "done")).alias("ahead"))  # as many as a concept has pieces
+        open_ = pieces.where("not done").withColumn("_key", key(F.col("pos"), F.element_at("path", -1)))
+        longer = join_spread(open_, ahead, "_key").select("pos", "id", "path", F.explode("ahead").alias("a"))
+        joined = longer.select("pos", "id", F.concat(F.slice("path", F.lit(1), F.size("path") - 1), "a.path").alias("path"), F.col("a.done").alias("done"))
+        before, pieces = pieces, materialize(pieces.where("done").unionByName(joined))
+        delete(before)
+        if not pieces.where(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():
+            return None
+    return pieces.join(members, ["pos", "id"], "left_semi").select("pos", "id", "path")
 
 
 def ways_of(paths: DataFrame) -> DataFrame:

@@ -168,3 +168,32 @@ def test_information(spark):
     assert rows[0]["ic"] == 0 and rows[0]["prob"] == 1 and rows[8]["ic"] == pytest.approx(math.log(8))
     bad = counts.withColumn("freq", F.when(F.col("id") == 7, 100.0).otherwise(F.col("freq")))
     assert [(r["prob"], r["ic"], r["err_level"]) for r in info.information(bad).where("id = 7").collect()] == [(0, 0, 2)]
+
+
+def test_a_chain_of_a_thousand_levels(spark):
+    """By doubling: ten rounds. Every path ends in the root, every concept has what stands below it."""
+    isa = spark.createDataFrame([("n", i + 1, i) for i in range(1000)], "pos string, child long, parent long")
+    members = spark.createDataFrame([("n", 1000), ("n", 3), ("n", 0), ("n", 5000)], "pos string, id long")
+    got = {r["id"]: r["path"] for r in pt.root_paths(isa, members, False).collect()}
+    assert got == {1000: list(range(1000, -1, -1)), 3: [3, 2, 1, 0], 0: [0], 5000: [5000]}
+    nodes = spark.createDataFrame([("n", i) for i in range(1001)], "pos string, id long")
+    own = nodes.selectExpr("pos", "id", "1.0D as freq")
+    assert {r["id"]: (r["freq"], r["is_root"]) for r in info.propagate(own, nodes, isa).collect()} == {i: (1001.0 - i, i == 0) for i in range(1001)}
+
+
+def test_doubling_is_as_growing(spark):
+    """Random links, without circles and with some: the paths of node by node, and frequencies of level by level."""
+    rng = random.Random(5)
+    for circles in (False, True):
+        links = {(a, b) for a in range(1, 16) for b in range(1, 16) if (b < a or (circles and b == a + 1)) and rng.random() < 0.16}
+        isa = spark.createDataFrame([("n", a, b) for a, b in sorted(links)], "pos string, child long, parent long")
+        members = spark.createDataFrame([("n", i) for i in (3, 9, 14, 15)], "pos string, id long")
+        rows = lambda df: sorted((r["id"], r["path"]) for r in df.collect())
+        assert rows(pt.root_paths(isa, members, False)) == rows(pt.grown_paths(isa, members, None))
+        nodes = spark.createDataFrame([("n", i) for i in range(1, 16)], "pos string, id long")
+        own = nodes.selectExpr("pos", "id", "cast(id as double) as freq")
+        if circles:
+            with pytest.raises(ValueError):
+                info.propagate(own, nodes, isa)
+        else:
+            assert sorted(info.propagate(own, nodes, isa).collect()) == sorted(info.propagate(own, nodes, isa, 15).collect())
