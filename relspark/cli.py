@@ -11,6 +11,7 @@ from relspark.functions import morph as mp
 from relspark.lexicon import Lexicon
 from relspark.operators import information as info, paths as pt, senses as sn, vectors as vec
 from relspark.plans import measures as ms
+from relspark.plans.cache import ScoreCache
 from relspark.sources import corpora, lists, tables, wndb
 
 
@@ -37,8 +38,15 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         print(f"trace: {a.type} has none.", file=sys.stderr)
     config = ms.Config(root_node=bool(v.get("rootNode", 1)), normalize=bool(v.get("normalize", 0)), max_random=v.get("maxrand", 1.0), text_size=v["textsize"] if v.get("textsize", -1) >= 0 else None, trace=a.trace or bool(v.get("trace", 0)))
     changes = {}
+    if a.cachefolder and v.get("cache", 1):
+        limit = v.get("maxCacheSize", "unlimited")
+        changes["cache"] = ScoreCache(a.cachefolder, None if limit == "unlimited" else int(limit))
     if v.get("infocontent"):
         changes["counts"] = tables.read_counts(spark, v["infocontent"])
+    elif a.type in ("res", "lin", "jcn"):
+        if not a.icfolder:
+            raise SystemExit(f"{a.type} needs an infocontent file, or --icfolder to find one in.")
+        changes["counts"] = tables.read_counts(spark, tables.find_counts(spark, a.icfolder, a.version), a.version)
     if v.get("stop"):
         changes["stop"] = lists.stop_list(spark, v["stop"])
     if v.get("vectordb"):
@@ -146,7 +154,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(flag, **kw)
 
     wn, out, version = ("--wnpath", {"required": True}), ("--outfile", {"required": True}), ("--version", {"default": "0"})
-    command("similarity", similarity, wn, ("--type", {"required": True, "choices": sorted(ms.MEASURES)}), ("--config", {}), ("--file", {}), *((f"--{x}", {"action": "store_true"}) for x in ("allsenses", "offsets", "trace")), ("words", {"nargs": "*"}))
+    command("similarity", similarity, wn, ("--type", {"required": True, "choices": sorted(ms.MEASURES)}), ("--config", {}), ("--file", {}), ("--cachefolder", {}), ("--icfolder", {}), ("--version", {}), *((f"--{x}", {"action": "store_true"}) for x in ("allsenses", "offsets", "trace")), ("words", {"nargs": "*"}))
     command("count", count_corpus, wn, out, version, ("--format", {"default": "raw", "choices": ["raw", "brown", "bnc", "treebank", "semcor"]}), ("--infile", {"nargs": "+", "required": True}), ("--stopfile", {}), ("--resnik", {"action": "store_true"}), ("--smooth", {"action": "store_true"}))
     command("tags", sense_tags, wn, out, version, ("--smooth", {"action": "store_true"}))
     command("depths", depths, wn, out, version, ("--depthfile", {}), ("--wps", {"action": "store_true"}))

@@ -16,6 +16,8 @@ from relspark.functions import morph as mp, text as tx
 from relspark.functions.overlap import overlap_score
 from relspark.lexicon import UNRELATED, Lexicon, materialize
 from relspark.operators import information as info, paths as pt, relations as rel, senses as sn, vectors as vec, walks
+from relspark.plans import cache as store
+from relspark.plans.cache import ScoreCache
 from relspark.sources.tables import first_depth
 
 Relation = tuple[list[str], list[str], float]
@@ -43,6 +45,7 @@ class Config:
     fold_case: bool = True
     max_random: float = 1.0
     trace: bool = False  # a column of all ways between the concepts, for measures on the taxonomy
+    cache: ScoreCache | None = None  # where scores are kept from run to run; not with trace
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,10 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
     if name not in MEASURES:
         raise ValueError(f"no measure {name!r}; there are {', '.join(sorted(MEASURES))}")
     m, config = MEASURES[name], config or Config()
+    if config.cache is not None and not config.trace:
+        plain = replace(config, cache=None)
+        keys = [*KEYS, *(c for c in ("word_a", "word_b") if c in pairs.columns and name == "hso")]
+        return store.scored(config.cache, store.key_of(lexicon, name, plain), pairs, keys, lambda asked: score(lexicon, asked, name, plain))
     by_path = m.pos == sn.NOUN_VERB
     fixed, level, message = sn.pair_status(F.col("pos_a"), F.col("pos_b"), m.pos) if by_path else (F.lit(None).cast("double"), F.lit(0), F.lit(None).cast("string"))
     words = [c for c in ("word_a", "word_b") if c in pairs.columns]

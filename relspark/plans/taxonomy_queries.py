@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relspark.lexicon import materialize
+from relspark.lexicon import materialize, new_folder
 from relspark.operators import information as info, paths as pt, relations as rel, walks
 from relspark.plans import driver_lexicon as dl, measures as ms
+from relspark.plans.cache import ScoreCache
 from relspark.plans.driver_lexicon import SQL_COUNTS, SQL_ISA, SQL_NODES, SQL_OWN, SQL_PAIRS, SQL_PATHS, sql_met
 
 HEIGHT = dl.HEIGHT
@@ -137,6 +138,15 @@ def sim(name: str, root_node: bool = True):
     return run
 
 
+def score_cache(spark, d):
+    """The pairs of parts, then all pairs, through a table of scores: the second run scores only what the first has not."""
+    lexicon, pairs = dl.lexicon(spark, d), materialize(dl.pairs(spark, d))
+    config = ms.Config(cache=ScoreCache(new_folder(spark)))
+    ms.score(lexicon, pairs.where(dl.is_part(F.col("a"))), "path", config)
+    out = ms.score(lexicon, pairs, "path", config)
+    return out.select("a", "b", rounded(F.col("score")).alias("score"), F.col("err_level").cast("long").alias("err_level"))
+
+
 def sim_cross_pos(spark, d):
     out = ms.score(dl.lexicon(spark, d), dl.cross_pairs(spark, d), "path")
     return out.select("pos_a", "a", "pos_b", "b", "score", F.col("err_level").cast("long").alias("err_level"), "err_msg")
@@ -210,7 +220,7 @@ QUERIES = {
     "freq_propagate": freq_propagate, "freq_add1": freq_add1, "root_freq": root_freq, "ic_table": ic_table,
     **{f"sim_{m}": sim(m) for m in ("path", "lch", "wup", "res", "lin", "jcn")}, **{f"sim_{m}_noroot": sim(m, False) for m in ("path", "lch", "wup", "res", "lin", "jcn")},
     "sim_cross_pos": sim_cross_pos, "sim_random": sim_random, **{f"rel_{r}": relation(r) for r in ("hype", "hypo", "mero", "holo", "sim", "attr", "enta", "caus")},
-    "rel_compose": rel_compose, "hso_links": hso_links, "sim_hso": sim_hso,
+    "score_cache": score_cache, "rel_compose": rel_compose, "hso_links": hso_links, "sim_hso": sim_hso,
     **{f"rel_{r}": word_relation(r) for r in ("also", "ants", "pert", "deri")}, "rel_compose_words": rel_compose_words, "hso_links_words": hso_links_words,
 }
 
@@ -328,6 +338,7 @@ ORACLE_SQL = {
     "rel_compose": f"{_RELS} SELECT DISTINCT m.src AS key, s.dst_pos AS pos, s.dst AS id FROM rels m JOIN rels s ON s.rel = 'sim' AND s.src = m.dst WHERE m.rel = 'mero'",
     "sim_hso": _HSO,
     **{f"rel_{r}": f"WITH {dl.SQL_WORDS} SELECT DISTINCT src || ':' || src_word AS key, dst_pos AS pos, dst AS id, dst_word AS word FROM words WHERE rel = '{r}'" for r in ("also", "ants", "pert", "deri")},
+    "score_cache": _sim_sql("path", True),
     "rel_compose_words": f"WITH {dl.SQL_WORDS} SELECT DISTINCT x.src AS key, y.dst_pos AS pos, y.dst AS id, y.dst_word AS word FROM words x JOIN pw ON pw.id = x.src AND pw.w1 = x.src_word JOIN words y ON y.rel = 'also' AND y.src = x.dst AND y.src_word = x.dst_word WHERE x.rel = 'ants'",
     "hso_links_words": f"{_RELS}, {dl.SQL_WORDS} SELECT DISTINCT CASE WHEN rel IN ('sim', 'attr') THEN 'H' WHEN rel IN ('hype', 'mero') THEN 'U' ELSE 'D' END AS dir, src_pos, src, dst_pos, dst FROM rels UNION SELECT 'H', 'n', w.src, 'n', w.dst FROM words w JOIN pw ON pw.id = w.src AND pw.w1 = w.src_word WHERE w.rel IN ('ants', 'also', 'pert')",
     "hso_links": f"{_RELS} SELECT DISTINCT CASE WHEN rel IN ('sim', 'attr') THEN 'H' WHEN rel IN ('hype', 'mero') THEN 'U' ELSE 'D' END AS dir, src_pos, src, dst_pos, dst FROM rels",

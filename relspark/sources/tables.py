@@ -68,6 +68,17 @@ def write_text(df: DataFrame, path: str, head: list[str], order: list, single: b
     top.coalesce(1).sortWithinPartitions("_i").select("line").unionByName(lines).coalesce(1).write.text(path) if single else lines.write.text(path)
 
 
+def find_counts(spark: SparkSession, folder: str, version: str | None) -> str:
+    """The count file of this version (of any, without one) in a folder, the first by name; an error if there is none."""
+    marks = spark.read.option("recursiveFileLookup", True).text(folder).where(F.startswith("value", F.lit("wnver::")))
+    if version is not None:
+        marks = marks.where(F.trim(F.substring("value", 8, 1_000)) == version)
+    first = marks.select(F.input_file_name().alias("path")).orderBy("path").limit(1).collect()
+    if not first:
+        raise FormatError(f"{folder} has no count file{'' if version is None else f' of version {version}'}")
+    return first[0]["path"]
+
+
 def write_counts(counts: DataFrame, path: str, version: str, single: bool = True) -> None:
     freq = F.when(F.col("freq") == F.floor("freq"), F.col("freq").cast("long").cast("string")).otherwise(F.col("freq").cast("string"))
     line = F.concat(F.col("id").cast("string"), F.col("pos"), F.lit(" "), freq, F.when(F.col("is_root"), " ROOT").otherwise(""))

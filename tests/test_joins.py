@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from relspark.lexicon import Lexicon
 from relspark.operators import joins, senses as sn, vectors as vec
+from relspark.plans import cache as store, measures as ms
 from relspark.sources import tables
 
 
@@ -72,3 +74,43 @@ def test_vector_files_in_splits(spark, tmp_path):
     (tmp_path / "bad").write_text("DOCUMENTCOUNT=3\n-VECTORS-\n-DIMENSIONS-\n")
     with pytest.raises(tables.FormatError):
         tables.read_vectors(spark, str(tmp_path / "bad"))
+
+
+def test_scores_are_kept(spark, tmp_path):
+    """A second run scores only new pairs; another measure, lexicon or option has a table of its own; old runs go."""
+    asked = []
+
+    @ms.measure("counting", sn.ALL_POS)
+    def counting(lexicon, pairs, config):
+        asked.append(sorted((r["a"], r["b"]) for r in pairs.collect()))
+        return pairs.select(*ms.KEYS, (F.col("a") * 100.0 + F.col("b") + config.max_random).alias("score"))
+
+    try:
+        none = spark.createDataFrame([], "rel string, src_pos string, src long, dst_pos string, dst long, src_word string, dst_word string")
+        made = lambda gloss: Lexicon(spark.createDataFrame([("n", 1, gloss, ["w"])], "pos string, id long, gloss string, words array<string>"), spark.createDataFrame([("w", "n", 1, 1, 1)], "word string, pos string, sense int, id long, word_no int"), none)
+        pairs = lambda *ab: spark.createDataFrame([("n", a, "n", b, "extra") for a, b in ab], "pos_a string, a long, pos_b string, b long, score_of string")
+        config = ms.Config(cache=store.ScoreCache(str(tmp_path)))
+        run = lambda lexicon, config, *ab: sorted((r["a"], r["b"], r["score"], r["err_level"]) for r in ms.score(lexicon, pairs(*ab), "counting", config).collect())
+        one = made("a gloss")
+        assert run(one, config, (1, 2), (3, 4), (1, 2)) == [(1, 2, 103.0, 0), (1, 2, 103.0, 0), (3, 4, 305.0, 0)]
+        assert run(one, config, (1, 2), (5, 6)) == [(1, 2, 103.0, 0), (5, 6, 507.0, 0)]
+        assert run(one, config, (3, 4), (5, 6)) == [(3, 4, 305.0, 0), (5, 6, 507.0, 0)] and run(one, config) == []
+        assert asked == [[(1, 2), (3, 4)], [(5, 6)]]
+        run(made("another gloss"), config, (1, 2))
+        run(one, ms.Config(cache=config.cache, max_random=2.0), (1, 2))
+        assert asked[2:] == [[(1, 2)], [(1, 2)]]
+        few = ms.Config(cache=store.ScoreCache(str(tmp_path), 1))
+        assert run(one, few, (5, 6)) == [(5, 6, 507.0, 0)] and asked[4:] == []  # the first run's two pairs are gone, not the second's one
+        assert run(one, few, (1, 2)) == [(1, 2, 103.0, 0)] and asked[4:] == [[(1, 2)]]
+        unknown = spark.createDataFrame([("x", 1, "n", 2), (None, 1, "n", 2)], "pos_a string, a long, pos_b string, b long")
+        assert ms.score(one, unknown, "counting", config).count() == 2
+    finally:
+        del ms.MEASURES["counting"]
+
+
+def test_a_count_file_of_the_version_is_found(spark, tmp_path):
+    for name, version in {"b.dat": "two", "a.dat": "one", "c.dat": "two", "note.txt": None}.items():
+        (tmp_path / name).write_text((f"wnver::{version}\n" if version else "") + "5n 3\n")
+    assert tables.find_counts(spark, str(tmp_path), "two").endswith("b.dat") and tables.find_counts(spark, str(tmp_path), None).endswith("a.dat")
+    with pytest.raises(tables.FormatError):
+        tables.find_counts(spark, str(tmp_path), "three")
