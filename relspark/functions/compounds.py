@@ -1,7 +1,7 @@
 """Compounds: the longest known sequence of words, from left to right.
 
-Two ways: an Arrow function for any texts with a dictionary whose size is bounded by the
-lexicon (it is broadcast by size only), and a join for dictionaries beyond that.
+Two ways: an Arrow function for any texts with a dictionary whose size is bounded (it is
+broadcast by its checked size), and a join for dictionaries beyond that.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from relspark.operators.joins import join_spread
+
 MAX_WORDS = 9
 TOKEN = re.compile(r"[a-zA-Z0-9_.\-/']+")
 
@@ -32,11 +34,16 @@ def greedy(words: list[str], known: set[str], max_words: int = MAX_WORDS) -> lis
 
 
 def compoundify(df: DataFrame, text: str, compounds: DataFrame, out: str = "compounds", max_bytes: int = 64 << 20) -> DataFrame:
-    """df with a column of texts whose compounds are joined by underscores. compounds: word.
-    Raises if the dictionary is over max_bytes; use `compound_tokens` then."""
+    """df with a column of texts whose compounds are joined by underscores. compounds: word. A null text stays null.
+
+    A dictionary of at most max_bytes is looked up in the tasks; with a larger one the distinct texts go through `compound_tokens`."""
     size = compounds.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0)).alias("n")).first()["n"]
     if size > max_bytes:
-        raise ValueError("the compounds exceed max_bytes; use compound_tokens")
+        docs = df.select(F.col(text).alias("_key")).where("_key is not null").distinct().withColumn("_ws", F.regexp_extract_all("_key", F.lit(TOKEN.pattern), F.lit(0)))
+        tokens = compound_tokens(docs, compounds, "_key", "_ws").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("_t"))
+        made = tokens.select("_key", F.array_join(F.transform("_t", lambda t: t["token"]), " ").alias("_made"))
+        joined = join_spread(df.withColumn("_key", F.col(text)), made, "_key")
+        return joined.withColumn(out, F.when(F.col("_key").isNotNull(), F.coalesce("_made", F.lit("")))).drop("_key", "_made")
     known = df.sparkSession.sparkContext.broadcast({r["word"] for r in compounds.toLocalIterator()})
 
     @F.pandas_udf("string")

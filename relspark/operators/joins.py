@@ -20,12 +20,12 @@ def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     others by shuffle. Rows without a key, and those that have met, are dealt out evenly."""
     known = right.join(F.broadcast(hot_keys(left, key, left.count())), key, "left_semi")
     values = [c for c in right.columns if c != key]
-    first = left.join(F.broadcast(known.select(key, F.struct(*values).alias("_hot"))), key, "left")
-    done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salted = first.withColumn("_key", F.when(~done, F.col(key))).withColumn("_salt", F.when(done, F.pmod(F.monotonically_increasing_id(), F.lit(8192))).otherwise(F.lit(0).cast("long")))
-    rest = right.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    met = salted.join(rest, ["_key", "_salt"], "left").withColumn("_met", F.coalesce("_hot", "_cold"))
-    return met.select(*left.columns, *(F.col(f"_met.{c}").alias(c) for c in values))
+    first = left.join(F.broadcast(known.select(key, F.struct(*values).alias("_spread_hot"))), key, "left")
+    done = F.col("_spread_hot").isNotNull() | F.col(key).isNull()
+    salted = first.withColumn("_spread_key", F.when(~done, F.col(key))).withColumn("_spread_salt", F.when(done, F.pmod(F.monotonically_increasing_id(), F.lit(8192))).otherwise(F.lit(0).cast("long")))
+    rest = right.select(F.col(key).alias("_spread_key"), F.struct(*values).alias("_spread_cold"), F.lit(0).cast("long").alias("_spread_salt"))
+    met = salted.join(rest, ["_spread_key", "_spread_salt"], "left").withColumn("_spread_met", F.coalesce("_spread_hot", "_spread_cold"))
+    return met.select(*left.columns, *(F.col(f"_spread_met.{c}").alias(c) for c in values))
 
 
 def running_total(rows: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:

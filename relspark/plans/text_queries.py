@@ -101,6 +101,12 @@ def normalized(c: ms.Config) -> ms.Config:
     return replace(c, normalize=True, relations=[(["glos"], ["glos"], 1.0), (["syns"], ["syns"], 0.5)])
 
 
+def two_relations(c: ms.Config) -> ms.Config:
+    from dataclasses import replace
+
+    return replace(c, relations=[(["glosexample"], ["glosexample"], 1.0), (["syns"], ["syns"], 1.0)])
+
+
 def embedding_cosine(spark, d):
     """Each vector with the next by key."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
@@ -124,6 +130,12 @@ def compoundify(spark, d):
     return cp.compoundify(docs, "t", word_pairs_of_parts(spark, d)).select("key", "compounds")
 
 
+def compoundify_join(spark, d):
+    """The same by the way of dictionaries that are too large for the tasks."""
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lower(F.concat_ws(" ", "p_type", "p_name", "p_brand")).alias("t"))
+    return cp.compoundify(docs, "t", word_pairs_of_parts(spark, d), max_bytes=0).select("key", "compounds")
+
+
 def stop_filter(spark, d):
     left = sn.drop_stop_words(corpus_tokens(spark, d), stop_words(spark))
     return left.groupBy("word").agg(F.count("*").alias("n"))
@@ -224,6 +236,7 @@ def ranking_lines(spark, d):
 QUERIES = {
     "gloss_clean": gloss_clean, "gloss_examples": gloss_examples, "corpus_normalise": corpus_normalise, "corpus_clauses": corpus_clauses, "term_frequency": term_frequency, "tfidf": tfidf,
     "cooccurrence": cooccurrence, "vector_prune": vector_prune, "gloss_vector_norm": gloss_vector_norm, "sim_vector": sim_gloss("vector"), "sim_vector_pairs": sim_gloss("vector_pairs"),
+    "sim_vector_pairs_two": sim_gloss("vector_pairs", two_relations), "compoundify_join": compoundify_join,
     "sim_lesk": sim_gloss("lesk"), "sim_lesk_norm": sim_gloss("lesk", normalized), "embedding_cosine": embedding_cosine,
     "compound_tokens": compound_tokens, "compoundify": compoundify, "stop_filter": stop_filter, "stop_filter_compound": stop_filter_compound,
     "freq_count": freq_count(False), "freq_resnik": freq_count(True), "super_gloss": super_gloss, "sense_lookup": sense_lookup, "all_senses": all_senses, "best_sense": best_sense,
@@ -264,6 +277,11 @@ texts AS MATERIALIZED (SELECT DISTINCT ga, gb, {_split('ga')} AS a, {_split('gb'
 taken(ga, gb, a, b, s, m) AS (SELECT ga, gb, a, b, 0, {_LONGEST} FROM texts
   UNION ALL SELECT ga, gb, a, b, s, {_LONGEST} FROM (SELECT ga, gb, {_USED.format(t="a", p=2)} AS a, {_USED.format(t="b", p=3)} AS b, s + m[1] * m[1] AS s FROM taken WHERE m[1] > 0)),
 lesk AS (SELECT ga, gb, max(s) AS s, max(len(a)) AS na, max(len(b)) AS nb FROM taken GROUP BY ga, gb)"""
+_NAME = "trim(regexp_replace(replace(lower(p_name), '''', ''), '[^a-z0-9]+', ' ', 'g'))"
+_TWO = f"""WITH {dl.SQL_PAIRS}, {_PPAIRS}, {_PARTS}, own AS (SELECT 0 AS r, doc, word FROM toks UNION SELECT 1, p_partkey, unnest({_split(_NAME)}) FROM part),
+ctx AS MATERIALIZED (SELECT r, doc AS key, co.w2 AS dim, sum(co.cnt)::DOUBLE AS v FROM own JOIN co ON co.w1 = own.word GROUP BY r, doc, co.w2), nrm AS (SELECT r, key, sqrt(sum(v * v)) AS m FROM ctx GROUP BY r, key),
+dots AS (SELECT pp.a, pp.b, x.r, sum(x.v * y.v) AS d FROM pp JOIN ctx x ON x.key = pp.a - {dl.PART} JOIN ctx y ON y.key = pp.b - {dl.PART} AND y.dim = x.dim AND y.r = x.r GROUP BY pp.a, pp.b, x.r)
+SELECT a, b, round(sum(d / (n.m * o.m)) / 2, 6) + 0.0 AS score FROM dots JOIN nrm n ON n.r = dots.r AND n.key = a - {dl.PART} JOIN nrm o ON o.r = dots.r AND o.key = b - {dl.PART} GROUP BY a, b"""
 _RANKED = "ranked AS (SELECT w1, w2, score, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT l_orderkey::VARCHAR AS w1, l_linenumber::VARCHAR AS w2, round(l_discount * l_quantity, 2) AS score FROM lineitem))"
 _SENSES = dl.SQL_SENSES
 _NOUNS = f"models AS (SELECT p_partkey, {dl.SQL_MODEL} AS w FROM part), nouns AS (SELECT DISTINCT p.w AS w1, q.w AS w2 FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN models p ON p.p_partkey = x.l_partkey JOIN models q ON q.p_partkey = y.l_partkey)"
@@ -295,7 +313,7 @@ ORACLE_SQL = {
     "cooccurrence": f"WITH {_PARTS} SELECT w1, w2, cnt FROM co",
     "vector_prune": f"WITH {_PARTS}, tf AS (SELECT word, count(*)::BIGINT AS tf, count(DISTINCT doc)::BIGINT AS df FROM toks GROUP BY word) SELECT co.w1 AS word, co.w2 AS dim, co.cnt, d.tf, d.df FROM co JOIN tf d ON d.word = co.w2 JOIN tf r ON r.word = co.w1 WHERE d.tf BETWEEN 5 AND 100000 AND r.tf BETWEEN 10 AND 100000",
     "gloss_vector_norm": f"WITH {_PARTS}, {_CTX} SELECT key, round(sqrt(sum(v * v)), 4) + 0.0 AS norm FROM ctx GROUP BY key",
-    "sim_vector": _COS, "sim_vector_pairs": _COS,
+    "sim_vector": _COS, "sim_vector_pairs": _COS, "sim_vector_pairs_two": _TWO,
     "embedding_cosine": "SELECT x.vec_id, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]) * list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 6) + 0.0 AS score FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",
     "stop_filter": f"WITH {_TOKENS} SELECT word, count(*)::BIGINT AS n FROM tokens WHERE word NOT IN ({_STOP}) GROUP BY word",
     "stop_filter_compound": f"WITH w AS (SELECT {_split(_numbers('text'))} AS ws FROM documents) SELECT DISTINCT a || '_' || b AS word FROM (SELECT unnest(ws[1:len(ws) - 1]) AS a, unnest(ws[2:len(ws)]) AS b FROM w WHERE len(ws) > 1) WHERE NOT (a IN ({_STOP}) AND b IN ({_STOP}))",
@@ -310,6 +328,7 @@ ORACLE_SQL = {
     "pair_file_parse": f"WITH {_LINES} SELECT p_partkey, value, CASE WHEN len(string_split(t, ' ')) = 2 THEN split_part(t, ' ', 1) END AS w1, CASE WHEN len(string_split(t, ' ')) = 2 THEN split_part(t, ' ', 2) END AS w2, len(string_split(t, ' ')) = 2 AS ok FROM bare WHERE t <> ''",
     "compound_tokens": f"{_WALKED} SELECT key, k::BIGINT AS \"at\", token FROM walked",
     "compoundify": f"{_WALKED} SELECT key, string_agg(token, ' ' ORDER BY k) AS compounds FROM cut GROUP BY key",
+    "compoundify_join": f"{_WALKED} SELECT key, string_agg(token, ' ' ORDER BY k) AS compounds FROM cut GROUP BY key",
     "super_gloss": f"WITH {dl.SQL_ISA}, g(id, gloss) AS (SELECT r_regionkey + {dl.REGION}, r_name FROM region UNION ALL SELECT n_nationkey + {dl.NATION}, n_name FROM nation UNION ALL SELECT id, v FROM {dl._rank('customer', 'c_mktsegment', dl.SEGMENT)} UNION ALL SELECT id, v FROM {dl._rank('part', 'p_type', dl.TYPE)} UNION ALL SELECT id, v FROM {dl._rank('part', 'p_brand', dl.BRAND)} UNION ALL SELECT id, v FROM {dl._rank('orders', 'o_orderpriority', dl.PRIORITY)} UNION ALL SELECT c_custkey + {dl.CUSTOMER}, c_name FROM customer) SELECT child AS key, string_agg(lower(trim(regexp_replace(gloss, '\\s+', ' ', 'g'))), '|' ORDER BY parent) AS gloss FROM (SELECT DISTINCT child, parent FROM isa WHERE pos = 'n') JOIN g ON g.id = parent GROUP BY child",
     "ic_lines": f"WITH RECURSIVE {dl.SQL_ISA}, {dl.SQL_NODES}, {dl.SQL_OWN}, {dl.SQL_COUNTS} SELECT pos, id, id || pos || ' ' || freq::BIGINT || CASE WHEN is_root THEN ' ROOT' ELSE '' END AS line FROM counts",
 }

@@ -20,6 +20,8 @@ def test_spread_join_is_a_left_join(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("4", None), ("7", 3), ("never", 4)], "k string, v int")
     assert rows(joins.join_spread(left, right, "k")) == rows(left.join(right, "k", "left").select("k", "id", "v"))
+    named, other = left.withColumnRenamed("k", "_key"), right.withColumnRenamed("k", "_key").withColumnRenamed("v", "_salt")
+    assert rows(joins.join_spread(named, other, "_key")) == rows(left.join(right, "k", "left").select("k", "id", "v"))
     assert joins.join_spread(left.limit(0), right, "k").count() == 0
     assert rows(joins.join_spread(left, right.limit(0), "k")) == rows(left.select("k", "id", F.lit(None).cast("int")))
 

@@ -171,6 +171,8 @@ def test_compounds(spark):
     words = spark.createDataFrame([(w,) for w in known], "word string")
     docs = spark.createDataFrame([(1, "in new york city new york"), (2, ""), (3, "new")], "k int, t string")
     assert {r["k"]: r["compounds"] for r in cp.compoundify(docs, "t", words).collect()} == {1: "in new_york_city new_york", 2: "", 3: "new"}
+    nulls = docs.unionByName(docs.selectExpr("9 as k", "cast(null as string) as t").limit(1))
+    assert sorted(map(str, cp.compoundify(nulls, "t", words, max_bytes=0).collect())) == sorted(map(str, cp.compoundify(nulls, "t", words).collect()))
     split = docs.withColumn("ws", tx.words(F.col("t")))
     assert [(r["k"], r["token"]) for r in cp.compound_tokens(split, words, "k", "ws").orderBy("k", "at").collect()] == [(1, "in"), (1, "new_york_city"), (1, "new_york"), (3, "new")]
 
