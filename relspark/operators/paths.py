@@ -4,10 +4,20 @@ A path is an array from a concept up to a root; with a root node it ends in the
 root. Candidates for the lowest common subsumer of two concepts are, for each pair of
 their paths, the first node of the second path that is on the first: other common
 ancestors are no candidates, which matters where depth or information picks among them.
+
+Where no links run in a circle, candidates are known without pairs of paths. Two paths from the
+concepts that meet at x only are two ways without a node in common, and there are none exactly if
+all ways from both concepts to x pass one other node. So a concept is packed as its ancestors, each
+with its least distance and the last node before it that all ways pass; common ancestors are candidates
+unless these nodes are the same, and the work of a pair grows with its ancestors, not with its paths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relspark.functions.text import pad_id
@@ -26,14 +36,16 @@ def root_paths(isa: DataFrame, members: DataFrame, root_node: bool = True, heigh
     A path never meets a node twice. Where all parents of a node are on the path already, the
     node counts as a root. With the taxonomy's height the whole is one plan over the paths of members. Without it, pieces
     of paths are joined with pieces that go on where they end, so that each round doubles their length: a
-    taxonomy of any height takes as many rounds as its height has binary digits. Only where links run in a circle do paths grow by one node a round.
+    taxonomy of any height takes as many rounds as its height has binary digits. Only where links run in a circle do paths grow by one node a round;
+    a further column `circular` then says so. A taxonomy whose height is given has no circles.
     """
     own = members.select("pos", "id").distinct()
     found = grown_paths(isa, own, height) if height is not None else doubled_paths(isa, own)
-    if found is None:
+    circles = found is None
+    if circles:
         found = grown_paths(isa, own, None)
     path = F.concat("path", F.array(F.lit(ROOT).cast("long"))) if root_node else F.col("path")
-    return found.select("pos", "id", path.alias("path"))
+    return found.select("pos", "id", path.alias("path"), *([F.lit(True).alias("circular")] if circles else []))
 
 
 def grown_paths(isa: DataFrame, members: DataFrame, height: int | None) -> DataFrame:
@@ -84,6 +96,98 @@ def ways_of(paths: DataFrame) -> DataFrame:
     return paths.groupBy("pos", "id").agg(F.collect_list("path").alias("ways"))
 
 
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the lists, the list of each value, the values."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def gates(group: np.ndarray, before: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each group (a node above one concept) the last group that all ways from the concept to it pass; -1
+    for the concept itself. group, before: the links of the ways; far: nodes on the longest way to each group.
+    Where ways meet, both sides go back to where they part, in the order of far, so that what they pass is known."""
+    gate = np.full(len(far), -1)
+    linked = np.unique(np.stack([group, before], 1)[before >= 0], axis=0)
+    starts = np.flatnonzero(np.r_[True, linked[1:, 0] != linked[:-1, 0]]) if len(linked) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(linked)]
+    one = ends - starts == 1
+    gate[linked[starts[one], 0]] = linked[starts[one], 1]
+    many = np.flatnonzero(~one)
+    for at in many[np.argsort(far[linked[starts[many], 0]], kind="stable")]:
+        u, *others = linked[starts[at] : ends[at], 1].tolist()
+        for v in others:
+            while u != v:
+                if far[u] > far[v]:
+                    u = gate[u]
+                else:
+                    v = gate[v]
+        gate[linked[starts[at], 0]] = u
+    return gate
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ways of each concept as its ancestors, itself included: node, least number of nodes to it, gate."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ways = batch.column("ways")
+        _, way_row, _ = flat(ways)
+        sizes, way, node = flat(ways.flatten())
+        place = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        row = way_row[way]
+        order = np.lexsort((node, row))
+        fresh = np.r_[True, (row[order][1:] != row[order][:-1]) | (node[order][1:] != node[order][:-1])]
+        group, starts = np.empty(len(node), np.int64), np.flatnonzero(fresh)
+        group[order] = np.cumsum(fresh) - 1
+        near, far = (f.reduceat(place[order], starts) for f in (np.minimum, np.maximum))
+        before = np.where(place > 1, np.r_[-1, group[:-1]], -1)
+        gate, own = gates(group, before, far), node[order][starts]
+        offsets = pa.array(np.searchsorted(row[order][starts], np.arange(batch.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own, near.astype(np.int32), np.where(gate >= 0, own[gate], -1))]
+        yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("id"), *lists], ["pos", "id", "nodes", "near", "gates"])
+
+
+def joint(shortest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """pos, a, b, subsumer, la, lb: the candidates of each pair; or those on its shortest ways."""
+        for batch in batches:
+            sides = []
+            for side in "ab":
+                _, row, node = flat(batch.column(f"nodes_{side}"))
+                sides.append((row, node, *(flat(batch.column(f"{c}_{side}"))[2] for c in ("near", "gates"))))
+            row, node, near, gate = (np.concatenate(x) for x in zip(*sides))
+            order = np.lexsort((node, row))  # stable: the first concept's node stands before the second's
+            i, j = order[:-1], order[1:]
+            met = (row[i] == row[j]) & (node[i] == node[j]) & ((gate[i] != gate[j]) | (gate[i] < 0))
+            i, j = i[met], j[met]
+            if shortest:
+                least = np.full(batch.num_rows, np.iinfo(np.int32).max)
+                np.minimum.at(least, row[i], near[i] + near[j])
+                on = near[i] + near[j] == least[row[i]]
+                i, j = i[on], j[on]
+            at = pa.array(row[i])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("pos", "a", "b")), pa.array(node[i]), pa.array(near[i]), pa.array(near[j])], ["pos", "a", "b", "subsumer", "la", "lb"]
+            )
+
+    return run
+
+
+def joint_nodes(pairs: DataFrame, paths: DataFrame, shortest: bool = False) -> DataFrame:
+    """pos, a, b, subsumer, la, lb: the candidates of each of pairs (pos, a, b), or those on shortest ways, with the
+    nodes on the shortest ways from a and from b to them. A pair of one concept has itself alone. Paths must have no
+    circles; ids are not negative. A pair stays in its row: only the two joins shuffle."""
+    packed = ways_of(paths).mapInArrow(pack, "pos string, id long, nodes array<long>, near array<int>, gates array<long>")
+    side = lambda s: packed.select("pos", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "near", "gates")))
+    both = pairs.select("pos", "a", "b").join(side("a"), ["pos", "a"]).join(side("b"), ["pos", "b"])
+    return both.mapInArrow(joint(shortest), "pos string, a long, b long, subsumer long, la int, lb int")
+
+
+def circular(paths: DataFrame) -> bool:
+    """Whether paths, as `root_paths` made them, are of a taxonomy with circles."""
+    return "circular" in paths.columns
+
+
 def meetings(pairs: DataFrame, paths: DataFrame, nodes: bool = False) -> DataFrame:
     """pos, a, b, met: for each of pairs (pos, a, b) that meets, the distinct (subsumer, len) of its
     pairs of paths: the candidate, and the nodes on the way, both ends included. With nodes also
@@ -120,8 +224,11 @@ def highest(rows: DataFrame, by: str, *also: str) -> DataFrame:
     return sets.select("pos", "a", "b", F.explode(top).alias("_m")).select("pos", "a", "b", "_m.subsumer", f"_m.{by}", *(f"_m.{c}" for c in also))
 
 
-def candidates(met: DataFrame) -> DataFrame:
-    """pos, a, b, subsumer of meetings, once each."""
+def candidates(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """pos, a, b, subsumer: the candidates of each pair, once each."""
+    if not circular(paths):
+        return joint_nodes(pairs, paths).select("pos", "a", "b", "subsumer")
+    met = meetings(pairs, paths)
     once = F.array_distinct(F.transform("met", lambda m: m["subsumer"]))
     return met.select("pos", "a", "b", F.explode(once).alias("subsumer"))
 
@@ -140,30 +247,36 @@ def shortest_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
 
 def path_lengths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """pos, a, b, len: nodes on the shortest way."""
+    if not circular(paths):
+        # One row of a pair is enough: subsumers on shortest ways have one length.
+        return lcs_by_path(pairs, paths).groupBy("pos", "a", "b").agg(F.first("len").alias("len"))
     return meetings(pairs, paths).select("pos", "a", "b", shortest(F.col("met")).alias("len"))
 
 
 def lcs_by_path(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, len for the subsumers on shortest ways."""
+    if not circular(paths):
+        return joint_nodes(pairs, paths, True).select("pos", "a", "b", "subsumer", (F.col("la") + F.col("lb") - 1).alias("len"))
     met = meetings(pairs, paths).withColumn("_min", shortest(F.col("met")))
     return met.select("pos", "a", "b", F.inline(F.filter("met", lambda m: m["len"] == F.col("_min"))))
 
 
 def deepest(found: DataFrame, depths: DataFrame) -> DataFrame:
-    """pos, a, b, subsumer, depth, root for the deepest of candidates (pos, a, b, subsumer)."""
+    """pos, a, b, subsumer, depth, root for the deepest of candidates (pos, a, b, subsumer), with their other columns."""
     known = depths.select("pos", F.col("id").alias("subsumer"), "depth", "root")
-    return highest(found.join(known, ["pos", "subsumer"]), "depth", "root")
+    also = [c for c in found.columns if c not in ("pos", "a", "b", "subsumer")]
+    return highest(found.join(known, ["pos", "subsumer"]), "depth", "root", *also)
 
 
 def lcs_by_depth(pairs: DataFrame, paths: DataFrame, depths: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, depth, root for the deepest candidates. depths: pos, id, depth, root."""
-    return deepest(candidates(meetings(pairs, paths)), depths)
+    return deepest(candidates(pairs, paths), depths)
 
 
 def with_ic(pairs: DataFrame, paths: DataFrame, ic: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, ic of all candidates; 0 where nothing is known. ic: pos, id, ic."""
     known = ic.select("pos", F.col("id").alias("subsumer"), "ic")
-    return candidates(meetings(pairs, paths)).join(known, ["pos", "subsumer"], "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
+    return candidates(pairs, paths).join(known, ["pos", "subsumer"], "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
 
 
 def lcs_by_ic(pairs: DataFrame, paths: DataFrame, ic: DataFrame) -> DataFrame:

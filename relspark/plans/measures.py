@@ -158,26 +158,32 @@ def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     from the concepts to it. Of several deepest subsumers the one of the highest score counts."""
     p = same_pos(pairs)
     paths = member_paths(lexicon, p, config)
-    found = materialize(pt.candidates(pt.meetings(p, paths)))
+    found = materialize(pt.candidates(p, paths) if pt.circular(paths) else pt.joint_nodes(p, paths))
     candidates = materialize(found.select("pos", F.col("subsumer").alias("id")).distinct())
     virtual = candidates.where("id = 0").select("pos", "id", F.array("id").alias("path"))
     # A subsumer's own paths give its depth, and its distance to the concepts.
     own = pt.root_paths(lexicon.isa, candidates.where("id <> 0"), config.root_node, lexicon.height)
-    own = materialize(own.unionByName(virtual))
+    own = materialize(own.select("pos", "id", "path").unionByName(virtual))
     if config.synset_depths is not None:
         depth = first_depth(config.synset_depths.where("id <> 0"))
     else:
         depth = pt.synset_depth(own.where("id <> 0"), config.depth_order, config.root_node)
     depth = depth.unionByName(candidates.where("id = 0").select("pos", "id", F.lit(1).alias("depth"), F.col("id").alias("root")))
-    deepest = materialize(pt.deepest(found, depth))
-    every = materialize(own.unionByName(paths).distinct())
+    rows = pt.deepest(found, depth)
+    if pt.circular(paths):
+        rows = with_distances(materialize(rows), own, paths)
+    s = 2.0 * F.col("depth") / (F.col("depth") + F.col("la") - 1 + F.col("depth") + F.col("lb") - 1)
+    return both_pos(rows.groupBy("pos", "a", "b").agg(F.max(s).alias("s")), F.col("s"))
+
+
+def with_distances(deepest: DataFrame, own: DataFrame, paths: DataFrame) -> DataFrame:
+    """deepest with la and lb, the nodes on the shortest ways from both concepts to the subsumer, where links run in circles."""
+    every = materialize(own.unionByName(paths.select("pos", "id", "path")).distinct().withColumn("circular", F.lit(True)))
     down = deepest.select("pos", "a", F.col("subsumer").alias("b")).unionByName(deepest.select("pos", F.col("b").alias("a"), F.col("subsumer").alias("b"))).distinct()
     far = materialize(pt.path_lengths(down, every))
     one = far.select("pos", "a", F.col("b").alias("subsumer"), F.col("len").alias("la"))
     two = far.select("pos", F.col("a").alias("b"), F.col("b").alias("subsumer"), F.col("len").alias("lb"))
-    rows = deepest.join(one, ["pos", "a", "subsumer"]).join(two, ["pos", "b", "subsumer"])
-    s = 2.0 * F.col("depth") / (F.col("depth") + F.col("la") - 1 + F.col("depth") + F.col("lb") - 1)
-    return both_pos(rows.groupBy("pos", "a", "b").agg(F.max(s).alias("s")), F.col("s"))
+    return deepest.join(one, ["pos", "a", "subsumer"]).join(two, ["pos", "b", "subsumer"])
 
 
 def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:

@@ -197,3 +197,59 @@ def test_doubling_is_as_growing(spark):
                 info.propagate(own, nodes, isa)
         else:
             assert sorted(info.propagate(own, nodes, isa).collect()) == sorted(info.propagate(own, nodes, isa, 15).collect())
+
+
+def test_candidates_without_pairs_of_paths(spark):
+    """Random links without circles: candidates, lengths and distances are those of every pair of paths."""
+    rng = random.Random(11)
+    pairs = spark.createDataFrame([("n", a, b) for a in range(1, 15) for b in range(1, 15)], "pos string, a long, b long")
+    for share, root_node in ((0.12, True), (0.3, True), (0.3, False)):
+        links = [("n", a, b) for a in range(1, 15) for b in range(1, a) if rng.random() < share]
+        isa = spark.createDataFrame(links, "pos string, child long, parent long")
+        members = spark.createDataFrame([("n", i) for i in range(1, 15)], "pos string, id long")
+        paths = pt.root_paths(isa, members, root_node)
+        ways = {}
+        for r in paths.collect():
+            ways.setdefault(r["id"], []).append(r["path"])
+        found, short, near = set(), {}, {}
+        for c, own in ways.items():
+            for p in own:
+                for k, x in enumerate(p):
+                    near[c, x] = min(near.get((c, x), 99), k + 1)
+        for a in ways:
+            for b in ways:
+                for p in ways[a]:
+                    for q in ways[b]:
+                        x = next((x for x in q if x in p), None)
+                        if x is not None:
+                            found.add((a, b, x))
+                            short.setdefault((a, b), set()).add((p.index(x) + q.index(x) + 1, x))
+        got = pt.joint_nodes(pairs, paths).collect()
+        assert len(got) == len(found) and {(r["a"], r["b"], r["subsumer"]) for r in got} == found
+        assert all((r["la"], r["lb"]) == (near[r["a"], r["subsumer"]], near[r["b"], r["subsumer"]]) for r in got)
+        want = {(a, b, x, n) for (a, b), s in short.items() for n, x in s if n == min(s)[0]}
+        assert {(r["a"], r["b"], r["subsumer"], r["len"]) for r in pt.lcs_by_path(pairs, paths).collect()} == want
+
+
+def test_concepts_of_many_paths(spark):
+    """Two chains of 13 diamonds, 8,192 ways each, that join: the pair's work is that of its ancestors."""
+    links, top = [], 1
+    for chain in (100, 200):
+        below = top
+        for k in range(13):
+            one, two, low = chain + 3 * k, chain + 3 * k + 1, chain + 3 * k + 2
+            links += [("n", one, below), ("n", two, below), ("n", low, one), ("n", low, two)]
+            below = low
+    isa = spark.createDataFrame(links, "pos string, child long, parent long")
+    ends = spark.createDataFrame([("n", 138), ("n", 238)], "pos string, id long")
+    pairs = spark.createDataFrame([("n", 138, 238)], "pos string, a long, b long")
+    paths = pt.root_paths(isa, ends, True)
+    assert paths.count() == 2 * 2**13
+    assert [tuple(r) for r in pt.joint_nodes(pairs, paths).collect()] == [("n", 138, 238, 1, 27, 27)]
+
+
+def test_circles_keep_pairs_of_paths(spark):
+    lexicon, _ = make(spark, [(1, 2), (2, 1), (1, 3), (4, 1), (5, 2)])
+    for name, want in (("path", 1 / 4), ("wup", 0.6)):
+        got = scores(spark, lexicon, [(4, 5)], name)[4, 5]
+        assert got["err_level"] == 0 and (name == "wup" or got["score"] == pytest.approx(want))
