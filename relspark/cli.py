@@ -12,6 +12,7 @@ from relspark.lexicon import Lexicon
 from relspark.operators import information as info, paths as pt, senses as sn, vectors as vec
 from relspark.plans import measures as ms
 from relspark.plans.cache import ScoreCache
+from relspark.plans.provenance import TRACES
 from relspark.sources import corpora, lists, tables, wndb
 
 
@@ -34,7 +35,7 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     for message in options.messages:
         print(message, file=sys.stderr)
     v = options.values
-    if v.get("trace") and ms.MEASURES[a.type].pos != sn.NOUN_VERB:
+    if (a.trace or v.get("trace")) and a.type not in TRACES:
         print(f"trace: {a.type} has none.", file=sys.stderr)
     config = ms.Config(root_node=bool(v.get("rootNode", 1)), normalize=bool(v.get("normalize", 0)), max_random=v.get("maxrand", 1.0), text_size=v["textsize"] if v.get("textsize", -1) >= 0 else None, trace=a.trace or bool(v.get("trace", 0)))
     changes = {}

@@ -93,13 +93,17 @@ def packed(context: DataFrame) -> DataFrame:
     return context.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("vec"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
 
-def cosine(pairs: DataFrame, context: DataFrame) -> DataFrame:
-    """pairs (a, b, ..) with score: cosine of the vectors of keys a and b, 0 without one."""
+def products(pairs: DataFrame, context: DataFrame) -> DataFrame:
+    """pairs (a, b, ..) with dot, na, nb: the product of the vectors of keys a and b and their lengths; null without one."""
     vec = packed(context)
     left = vec.select(F.col("key").alias("a"), F.col("vec").alias("va"), F.col("norm").alias("na"))
     right = vec.select(F.col("key").alias("b"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
     joined = pairs.join(left, "a", "left").join(right, "b", "left")
     few, many = F.when(F.size("va") <= F.size("vb"), F.col("va")).otherwise(F.col("vb")), F.when(F.size("va") <= F.size("vb"), F.col("vb")).otherwise(F.col("va"))
     dot = F.aggregate(F.map_entries("few"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("many"), e["key"]), F.lit(0.0)))
-    scored = joined.withColumn("few", few).withColumn("many", many)
-    return scored.select(*pairs.columns, F.coalesce(F.when((F.col("na") > 0) & (F.col("nb") > 0), dot / (F.col("na") * F.col("nb"))), F.lit(0.0)).alias("score"))
+    return joined.withColumn("few", few).withColumn("many", many).select(*pairs.columns, dot.alias("dot"), "na", "nb")
+
+
+def cosine(pairs: DataFrame, context: DataFrame) -> DataFrame:
+    """pairs (a, b, ..) with score: cosine of the vectors of keys a and b, 0 without one."""
+    return products(pairs, context).select(*pairs.columns, F.coalesce(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.col("na") * F.col("nb"))), F.lit(0.0)).alias("score"))

@@ -13,6 +13,7 @@ begins with H or D turns for free, but not a second link after the turn.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +42,30 @@ def links(edge: DataFrame, sense: DataFrame) -> DataFrame:
     return whole.unionByName(words).distinct()
 
 
-def walk(starts: DataFrame, steps: DataFrame, kinds: tuple[str, ...], back: bool = False) -> DataFrame:
+def walk(starts: DataFrame, steps: DataFrame, kinds: tuple[str, ...], back: bool = False, ways: bool = False) -> DataFrame:
     """(start_pos, start, pos, id, n0, n1), written: all ends of walks of at most MAX_LINKS links, n0 of the
-    first kind and then n1 of the second; backwards, links are walked from their ends."""
+    first kind and then n1 of the second; backwards, links are walked from their ends. With ways also `way`, of one such
+    walk (the least): its links as (dir, pos, id), of the concept that a link leads to, in the order of the links."""
     here, there = ("dst", "src") if back else ("src", "dst")
     step = steps.select("dir", F.col(f"{here}_pos").alias("_pos"), F.col(here).alias("_id"), F.col(f"{there}_pos").alias("_to_pos"), F.col(there).alias("_to"))
     zero = F.lit(0)
     level = starts.select(F.col("pos").alias("start_pos"), F.col("id").alias("start"), "pos", "id", zero.alias("n0"), zero.alias("n1")).distinct()
+    state = level.columns
+    if ways:
+        link = F.struct("dir", F.col("pos" if back else "_to_pos").alias("pos"), F.col("id" if back else "_to").alias("id"))
+        level = level.withColumn("way", F.array().cast("array<struct<dir:string,pos:string,id:bigint>>"))
+        way = [(F.concat(F.array(link), "way") if back else F.concat("way", F.array(link))).alias("way")]
+    else:
+        way = []
+    once = (lambda df: df.groupBy(state).agg(F.min("way").alias("way"))) if ways else DataFrame.distinct
     out = level
     for _ in range(MAX_LINKS):
         met = level.join(step, (F.col("pos") == F.col("_pos")) & (F.col("id") == F.col("_id")))
         may = ((F.col("dir") == kinds[0]) & (F.col("n1") == 0)) | (F.col("dir") == kinds[1])
-        level = met.where(may).select(
+        level = once(met.where(may).select(
             "start_pos", "start", F.col("_to_pos").alias("pos"), F.col("_to").alias("id"),
-            (F.col("n0") + F.when(F.col("dir") == kinds[0], 1).otherwise(0)).alias("n0"), (F.col("n1") + F.when(F.col("dir") == kinds[1], 1).otherwise(0)).alias("n1"),
-        ).distinct()
+            (F.col("n0") + F.when(F.col("dir") == kinds[0], 1).otherwise(0)).alias("n0"), (F.col("n1") + F.when(F.col("dir") == kinds[1], 1).otherwise(0)).alias("n1"), *way,
+        ))
         out = out.unionByName(level)  # the next step reads the level again, from the same exchange
     return materialize(out)
 
@@ -73,8 +83,9 @@ def reach(walks: DataFrame, kind: Column, links: Column) -> DataFrame:
     return least.groupBy("pos", "start").agg(F.collect_list(own).alias("r")).select("pos", "start", F.col("r.m").alias("nodes"), F.col("r.mark").alias("marks"))
 
 
-def best_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair the best walk over the concepts that both ends reach."""
+def best_meetings(batches: Iterator[pa.RecordBatch], where: bool = False) -> Iterator[pa.RecordBatch]:
+    """For each pair the best walk over the concepts that both ends reach; with where also the concept in
+    which it meets, and both marks (of several such walks the least concept, then the least marks)."""
 
     def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -101,55 +112,119 @@ def best_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
         best = np.full(batch.num_rows, -1, np.int64)
         legal = (total >= 2) & (total <= MAX_LINKS)
+        if where:
+            at = np.flatnonzero(legal)
+            row, worth, met = row_a[i][at], (8 - total - turns)[at], node_a[i][at]
+            first = np.lexsort((mark_b[j][at], mark_a[i][at], met, -worth, row))
+            first = first[np.unique(row[first], return_index=True)[1]]
+            more = [pa.array(x) for x in (worth[first].astype(float), met[first], mark_a[i][at][first], mark_b[j][at][first])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[first])) for c in KEYS), *more], [*KEYS, "score", "_m", "_mark_a", "_mark_b"])
+            continue
         np.maximum.at(best, row_a[i][legal], (8 - total - turns)[legal])
         kept = pa.array(np.flatnonzero(best >= 0))
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in KEYS), pa.array(best[best >= 0].astype(float))], [*KEYS, "score"])
 
 
-def medium_strong(pairs: DataFrame, steps: DataFrame) -> DataFrame:
-    """pos_a, a, pos_b, b, score for pairs with a legal walk from a to b."""
-    own = pairs.select(KEYS).distinct()
-    ahead = walk(own.select(F.col("pos_a").alias("pos"), F.col("a").alias("id")), steps, ("U", "H"))
+def meeting_ends(pairs: DataFrame, steps: DataFrame, ways: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(start_pos, start, pos, id, n0, n1, mark), with ways also way: from the first concepts of pairs up, then along; and
+    back from the second along, then down. The meetings of a pair are found from the packed reach of both ends."""
+    ahead = walk(pairs.select(F.col("pos_a").alias("pos"), F.col("a").alias("id")), steps, ("U", "H"), ways=ways)
     # Backwards from the second concept: along, then down. What went down only meets the walks from the first.
-    back = walk(own.select(F.col("pos_b").alias("pos"), F.col("b").alias("id")), steps, ("H", "D"), back=True)
-    # The meetings of a pair are found in its row, from the packed reach of both ends; only pairs are moved.
-    from_a = reach(ahead, F.when(F.col("n0") > 0, 2).otherwise(0) + F.when(F.col("n1") > 0, 1).otherwise(0), F.col("n0") + F.col("n1"))
-    from_b = reach(back.where("n0 = 0"), F.lit(0), F.col("n1"))
+    back = walk(pairs.select(F.col("pos_b").alias("pos"), F.col("b").alias("id")), steps, ("H", "D"), True, ways)
+    kind = F.when(F.col("n0") > 0, 2).otherwise(0) + F.when(F.col("n1") > 0, 1).otherwise(0)
+    return ahead.withColumn("kind", kind), back.withColumn("kind", F.lit(0))
+
+
+def met(own: DataFrame, ahead: DataFrame, back: DataFrame, where: bool = False) -> DataFrame:
+    """KEYS, score of the best meeting of each of the pairs own; with where also _m, _mark_a, _mark_b. Each is
+    found in the pair's row; only pairs are moved."""
+    from_a, from_b = reach(ahead, F.col("kind"), F.col("n0") + F.col("n1")), reach(back.where("n0 = 0"), F.col("kind"), F.col("n1"))
     one = from_a.select(F.col("pos").alias("pos_a"), F.col("start").alias("a"), F.col("nodes").alias("nodes_a"), F.col("marks").alias("marks_a"))
     two = from_b.select(F.col("pos").alias("pos_b"), F.col("start").alias("b"), F.col("nodes").alias("nodes_b"), F.col("marks").alias("marks_b"))
-    fields = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())])
-    met = own.join(one, ["pos_a", "a"]).join(two, ["pos_b", "b"]).mapInArrow(best_meetings, fields)
-    # Down, then along: backwards that reaches the first concept itself. A second link after the turn costs one.
-    round_ = back.where(f"n0 > 0 and n1 > 0 and n0 + n1 <= {MAX_LINKS}").select(
+    more = [T.StructField("_m", T.LongType()), T.StructField("_mark_a", T.IntegerType()), T.StructField("_mark_b", T.IntegerType())] if where else []
+    fields = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType()), *more])
+    return own.join(one, ["pos_a", "a"]).join(two, ["pos_b", "b"]).mapInArrow(lambda batches: best_meetings(batches, where), fields)
+
+
+def turned_walks(back: DataFrame) -> DataFrame:
+    """KEYS, score, with way if back has it: down, then along, backwards to any first concept. A second link after the turn costs one."""
+    return back.where(f"n0 > 0 and n1 > 0 and n0 + n1 <= {MAX_LINKS}").select(
         F.col("pos").alias("pos_a"), F.col("id").alias("a"), F.col("start_pos").alias("pos_b"), F.col("start").alias("b"),
-        (8.0 - F.col("n0") - F.col("n1") - F.when(F.col("n0") >= 2, 1).otherwise(0)).alias("score"),
+        (8.0 - F.col("n0") - F.col("n1") - F.when(F.col("n0") >= 2, 1).otherwise(0)).alias("score"), *(c for c in ("way",) if c in back.columns),
     )
-    every = met.unionByName(own.join(round_, KEYS))
+
+
+def medium_strong(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    """pos_a, a, pos_b, b, score for pairs with a legal walk from a to b."""
+    own = pairs.select(KEYS).distinct()
+    ahead, back = meeting_ends(own, steps)
+    every = met(own, ahead, back).unionByName(own.join(turned_walks(back), KEYS))
     return every.groupBy(KEYS).agg(F.max("score").alias("score"))
 
 
+def best_walks(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    """pos_a, a, pos_b, b, way for pairs with a legal walk from a to b: the links of one of the best, as (dir, pos, id)
+    of the concept that each leads to. A state of a walk keeps one way to it, so ways are as many as states."""
+    own = pairs.select(KEYS).distinct()
+    ahead, back = meeting_ends(own, steps, True)
+    best = met(own, ahead, back, True)
+
+    def halves(walks: DataFrame, links: Column, side: str) -> DataFrame:
+        """One way for each start, concept and mark."""
+        key = [F.col("start_pos").alias(f"pos_{side}"), F.col("start").alias(side), node(F.col("pos"), F.col("id")).alias("_m"), (links * 4 + F.col("kind")).cast("int").alias(f"_mark_{side}")]
+        return walks.groupBy(*key).agg(F.min("way").alias(f"_way_{side}"))
+
+    one = halves(ahead, F.col("n0") + F.col("n1"), "a")
+    two = halves(back.where("n0 = 0"), F.col("n1"), "b")
+    whole = best.join(one, ["pos_a", "a", "_m", "_mark_a"]).join(two, ["pos_b", "b", "_m", "_mark_b"]).select(*KEYS, "score", F.concat("_way_a", "_way_b").alias("way"))
+    every = whole.unionByName(own.join(turned_walks(back), KEYS))
+    return every.groupBy(KEYS).agg(F.min(F.struct((-F.col("score")).alias("s"), "way")).alias("m")).select(*KEYS, "m.way")
+
+
+def walk_score(way: Column) -> Column:
+    """The score of a walk, from its links alone."""
+    dirs = F.array_join(F.transform(way, lambda x: x["dir"]), "")
+    turns = (
+        F.when(dirs.rlike("^U+H+D$"), 2).when(dirs.rlike("^U+(H+|D+|H+DD+)$"), 1).when(dirs.rlike("^(H+DD+|D+HH+)$"), 1).otherwise(0)
+    )
+    return 8.0 - F.length(dirs) - turns
+
+
 def linked(pairs: DataFrame, steps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """The pairs (pos_a, a, pos_b, b) for which b has a link of these kinds to a."""
     to = steps.where(F.col("dir").isin(*kinds)).select(F.col("src_pos").alias("pos_b"), F.col("src").alias("b"), F.col("dst_pos").alias("pos_a"), F.col("dst").alias("a")).distinct()
     return pairs.join(to, ["pos_a", "a", "pos_b", "b"], "left_semi")
 
 
+def strong_links(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    """KEYS, kind of the pairs (pos_a, a, word_a, pos_b, b, word_b) that are one concept, or have a horizontal link either way; and those
+    one of whose words contains the other, with an upward or downward link from the second concept to the first."""
+    turned = pairs.select(F.col("pos_b").alias("pos_a"), F.col("b").alias("a"), F.col("pos_a").alias("pos_b"), F.col("a").alias("b"))
+    ahead = linked(turned, steps, ("H",)).select(F.col("pos_b").alias("pos_a"), F.col("b").alias("a"), F.col("pos_a").alias("pos_b"), F.col("a").alias("b"))
+    within = pairs.where(F.col("word_a").contains(F.col("word_b")) | F.col("word_b").contains(F.col("word_a")))
+    found = {"1 same concept": pairs.where("pos_a = pos_b and a = b"), "2 horizontal link": ahead, "3 horizontal link back": linked(pairs, steps, ("H",)), "4 word within, link back": linked(within, steps, ("U", "D"))}
+    return reduce(DataFrame.unionByName, [rows.select(*KEYS, F.lit(kind).alias("kind")) for kind, rows in found.items()])
+
+
 def relatedness(pairs: DataFrame, steps: DataFrame) -> DataFrame:
     """pos_a, a, pos_b, b, score of pairs (pos_a, a, word_a, pos_b, b, word_b), in their order.
 
     16 for one concept; for a horizontal link either way; and where one word contains the other
     and the second concept has an upward or downward link to the first. Else the best walk, or 0.
     """
-    keys = KEYS
     pairs, steps = materialize(pairs), materialize(steps)
-    turned = pairs.select(F.col("pos_b").alias("pos_a"), F.col("b").alias("a"), F.col("pos_a").alias("pos_b"), F.col("a").alias("b"))
-    back = linked(turned, steps, ("H",)).select(F.col("pos_b").alias("pos_a"), F.col("b").alias("a"), F.col("pos_a").alias("pos_b"), F.col("a").alias("b"))
-    within = pairs.where(F.col("word_a").contains(F.col("word_b")) | F.col("word_b").contains(F.col("word_a")))
-    strong = (
-        pairs.where("pos_a = pos_b and a = b").select(keys)
-        .unionByName(linked(pairs, steps, ("H",)).select(keys)).unionByName(back).unionByName(linked(within, steps, ("U", "D")).select(keys))
-        .distinct().withColumn("strong", F.lit(float(STRONG)))
-    )
-    rest = pairs.select(keys).distinct().join(strong, keys, "left_anti")
+    strong = strong_links(pairs, steps).select(KEYS).distinct().withColumn("strong", F.lit(float(STRONG)))
+    rest = pairs.select(KEYS).distinct().join(strong, KEYS, "left_anti")
     walks = medium_strong(materialize(rest), steps)
-    return pairs.join(strong, keys, "left").join(walks, keys, "left").select(*pairs.columns, F.coalesce("strong", "score", F.lit(0.0)).alias("score"))
+    return pairs.join(strong, KEYS, "left").join(walks, KEYS, "left").select(*pairs.columns, F.coalesce("strong", "score", F.lit(0.0)).alias("score"))
+
+
+def provenance(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    """pairs with kind (of a strong link, 5 walk, or 6 none), way (the links of a best walk, else null) and score, which is that of `relatedness`."""
+    pairs, steps = materialize(pairs), materialize(steps)
+    strong = materialize(strong_links(pairs, steps).groupBy(KEYS).agg(F.min("kind").alias("kind")))
+    rest = pairs.select(KEYS).distinct().join(strong, KEYS, "left_anti")
+    found = pairs.join(strong, KEYS, "left").join(best_walks(materialize(rest), steps), KEYS, "left")
+    kind = F.coalesce("kind", F.when(F.col("way").isNotNull(), "5 walk").otherwise("6 none"))
+    score = F.when(F.col("kind").isNotNull(), float(STRONG)).when(F.col("way").isNotNull(), walk_score(F.col("way"))).otherwise(0.0)
+    return found.select(*pairs.columns, kind.alias("kind"), "way", score.alias("score"))

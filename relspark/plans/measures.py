@@ -44,7 +44,7 @@ class Config:
     text_size: int | None = None  # vector keeps one word more
     fold_case: bool = True
     max_random: float = 1.0
-    trace: bool = False  # a column of all ways between the concepts, for measures on the taxonomy
+    trace: bool = False  # a column that tells what a score is made of, see plans.provenance
     cache: ScoreCache | None = None  # where scores are kept from run to run; not with trace
 
 
@@ -92,8 +92,12 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
     joined = pairs.join(made, [*KEYS, *(words if name == "hso" else [])], "left").withColumn("_f", fixed).withColumn("_l", level).withColumn("_m", message)
     lost = by_path & F.col("score").isNull() & (F.col("_l") == 0) if by_path else F.lit(False)
     traced = []
-    if config.trace and by_path:
-        joined, traced = joined.join(traces(lexicon, fit, config), KEYS, "left"), [F.col("trace")]
+    if config.trace:
+        from relspark.plans import provenance
+
+        if name in provenance.TRACES:
+            told = provenance.texts(lexicon, fit.select(*KEYS, *words).distinct(), name, config)
+            joined, traced = joined.join(told, [*KEYS, *(words if name == "hso" else [])], "left"), [F.col("trace")]
     return joined.select(
         *pairs.columns,
         F.when(F.col("_l") > 0, F.col("_f")).when(lost, UNRELATED).otherwise(F.col("score")).alias("score"),
@@ -101,14 +105,6 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
     )
 
 
-def traces(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
-    """pos_a, a, pos_b, b, trace: every way from a to b as `nodes (len)`, shortest first."""
-    p = same_pos(pairs.select(*KEYS).distinct())
-    way = F.format_string("%s (%d)", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"), "len")
-    ways = pt.all_paths(p, member_paths(lexicon, p, config)).groupBy("pos", "a", "b").agg(F.array_sort(F.collect_set(F.struct("len", way.alias("w")))).alias("ws"))
-    return ways.select(F.col("pos").alias("pos_a"), "a", F.col("pos").alias("pos_b"), "b", F.array_join(F.transform("ws", lambda x: x["w"]), "; ").alias("trace"))
-
-
 def same_pos(pairs: DataFrame) -> DataFrame:
     """The pairs, which are distinct and of one part of speech each, written: every step below reads them."""
     return materialize(pairs.select(F.col("pos_a").alias("pos"), "a", "b"))
@@ -137,6 +133,12 @@ def path(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
 @measure("lch", sn.NOUN_VERB)
 def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """ln(2 x depth of the taxonomy / nodes on the shortest way); the deepest taxonomy of all subsumers on shortest ways."""
+    rows = shortest_in_taxonomies(lexicon, pairs, config).groupBy("pos", "a", "b").agg(F.min("len").alias("len"), F.max("d").alias("d"))
+    return both_pos(rows.where("d > 0"), F.ln(2.0 * F.col("d") / F.col("len")))
+
+
+def shortest_in_taxonomies(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
+    """pos, a, b, subsumer, len, d: the subsumers on shortest ways, with the depth of the deepest taxonomy that each is in."""
     p = same_pos(pairs)
     found = materialize(pt.lcs_by_path(p, member_paths(lexicon, p, config)))
     subsumers = found.select("pos", F.col("subsumer").alias("id")).distinct()
@@ -148,14 +150,23 @@ def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
         roots = pt.taxonomies(pt.root_paths(lexicon.isa, subsumers, False, lexicon.height))
     depth = config.taxonomy_depths if config.taxonomy_depths is not None else pt.taxonomy_depths(lexicon.synset, lexicon.isa, config.root_node, lexicon.height, config.depth_order)
     deepest = roots.join(depth, ["pos", "root"]).groupBy("pos", F.col("id").alias("subsumer")).agg(F.max("depth").alias("d"))
-    rows = found.join(deepest, ["pos", "subsumer"]).groupBy("pos", "a", "b").agg(F.min("len").alias("len"), F.max("d").alias("d"))
-    return both_pos(rows.where("d > 0"), F.ln(2.0 * F.col("d") / F.col("len")))
+    return found.join(deepest, ["pos", "subsumer"])
 
 
 @measure("wup", sn.NOUN_VERB)
 def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """2 d / (d1 + d2): d the depth of the deepest subsumer, d1 and d2 that and the shortest ways
     from the concepts to it. Of several deepest subsumers the one of the highest score counts."""
+    rows = deepest_with_ways(lexicon, pairs, config)
+    return both_pos(rows.groupBy("pos", "a", "b").agg(F.max(depth_ratio()).alias("s")), F.col("s"))
+
+
+def depth_ratio() -> Column:
+    return 2.0 * F.col("depth") / (F.col("depth") + F.col("la") - 1 + F.col("depth") + F.col("lb") - 1)
+
+
+def deepest_with_ways(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
+    """pos, a, b, subsumer, depth, la, lb: the deepest subsumers, with the nodes on the shortest ways from both concepts to each."""
     p = same_pos(pairs)
     paths = member_paths(lexicon, p, config)
     found = materialize(pt.candidates(p, paths) if pt.circular(paths) else pt.joint_nodes(p, paths))
@@ -170,10 +181,7 @@ def wup(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
         depth = pt.synset_depth(own.where("id <> 0"), config.depth_order, config.root_node)
     depth = depth.unionByName(candidates.where("id = 0").select("pos", "id", F.lit(1).alias("depth"), F.col("id").alias("root")))
     rows = pt.deepest(found, depth)
-    if pt.circular(paths):
-        rows = with_distances(materialize(rows), own, paths)
-    s = 2.0 * F.col("depth") / (F.col("depth") + F.col("la") - 1 + F.col("depth") + F.col("lb") - 1)
-    return both_pos(rows.groupBy("pos", "a", "b").agg(F.max(s).alias("s")), F.col("s"))
+    return with_distances(materialize(rows), own, paths) if pt.circular(paths) else rows
 
 
 def with_distances(deepest: DataFrame, own: DataFrame, paths: DataFrame) -> DataFrame:
@@ -187,7 +195,7 @@ def with_distances(deepest: DataFrame, own: DataFrame, paths: DataFrame) -> Data
 
 
 def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
-    """pos, a, b, ic_l, ic_a, ic_b, freq_l, freq_a, freq_b, root_freq."""
+    """pos, a, b, subsumer, ic_l, ic_a, ic_b, freq_l, freq_a, freq_b, root_freq."""
     if config.counts is None:
         raise ValueError("the measure needs config.counts")
     p = same_pos(pairs)
@@ -204,17 +212,34 @@ def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     return out.join(F.broadcast(info.root_frequency(counts)), "pos", "left").fillna(zero | {"root_freq": 0.0})  # a row for each part of speech
 
 
+def res_of() -> Column:
+    return F.col("ic_l")
+
+
+def lin_of() -> Column:
+    return F.when((F.col("ic_a") == 0) | (F.col("ic_b") == 0), 0.0).otherwise(F.try_divide(2.0 * F.col("ic_l"), F.col("ic_a") + F.col("ic_b")))
+
+
+def jcn_of() -> Column:
+    r = F.col("root_freq")
+    at_zero = F.when(r > 0.01, 1.0 / -F.ln((F.when(r > 0.01, r).otherwise(1.0) - 0.01) / F.when(r > 0.01, r).otherwise(1.0))).otherwise(0.0)
+    return (
+        F.when(r == 0, 0.0).when((F.col("ic_a") == 0) | (F.col("ic_b") == 0), 0.0)
+        .when((F.col("freq_a") == F.col("freq_l")) & (F.col("freq_b") == F.col("freq_l")), at_zero)
+        .otherwise(F.try_divide(F.lit(1.0), F.col("ic_a") + F.col("ic_b") - 2.0 * F.col("ic_l")))
+    )
+
+
 @measure("res", sn.NOUN_VERB)
 def res(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Information of the subsumer of most information."""
-    return both_pos(informed(lexicon, pairs, config), F.col("ic_l"))
+    return both_pos(informed(lexicon, pairs, config), res_of())
 
 
 @measure("lin", sn.NOUN_VERB)
 def lin(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Twice the subsumer's information over the sum of the concepts'; 0 if one of them has none."""
-    rows = informed(lexicon, pairs, config)
-    return both_pos(rows, F.when((F.col("ic_a") == 0) | (F.col("ic_b") == 0), 0.0).otherwise(F.try_divide(2.0 * F.col("ic_l"), F.col("ic_a") + F.col("ic_b"))))
+    return both_pos(informed(lexicon, pairs, config), lin_of())
 
 
 @measure("jcn", sn.NOUN_VERB)
@@ -222,15 +247,7 @@ def jcn(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """One over the distance ic_a + ic_b - 2 ic_l; 0 where a concept has no information, or none is
     counted. At distance 0, which is where all three frequencies are equal, the distance is that
     of a frequency a hundredth below the root's."""
-    rows = informed(lexicon, pairs, config)
-    r = F.col("root_freq")
-    at_zero = F.when(r > 0.01, 1.0 / -F.ln((F.when(r > 0.01, r).otherwise(1.0) - 0.01) / F.when(r > 0.01, r).otherwise(1.0))).otherwise(0.0)
-    s = (
-        F.when(r == 0, 0.0).when((F.col("ic_a") == 0) | (F.col("ic_b") == 0), 0.0)
-        .when((F.col("freq_a") == F.col("freq_l")) & (F.col("freq_b") == F.col("freq_l")), at_zero)
-        .otherwise(F.try_divide(F.lit(1.0), F.col("ic_a") + F.col("ic_b") - 2.0 * F.col("ic_l")))
-    )
-    return both_pos(rows, s)
+    return both_pos(informed(lexicon, pairs, config), jcn_of())
 
 
 @measure("hso", sn.ALL_POS)
@@ -255,9 +272,8 @@ def stemmed(both: DataFrame, morph: DataFrame) -> DataFrame:
     return both
 
 
-@measure("lesk", sn.ALL_POS)
-def lesk(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
-    """Weighted sum over the relations of the squared lengths of shared phrases."""
+def phrase_texts(lexicon: Lexicon, pairs: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
+    """The texts of pairs whose phrases are sought, as `joined_texts` has them, and the stop list."""
     stop: list[str] = []
     if config.stop is not None:
         for row in config.stop.select("word").distinct().toLocalIterator():
@@ -265,8 +281,13 @@ def lesk(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
             if len(stop) > MAX_STOP_WORDS:
                 raise ValueError(f"a stop list of over {MAX_STOP_WORDS} words")
     both = joined_texts(lexicon, config.relations, pairs)
-    if config.stem is not None:
-        both = stemmed(both, config.stem)
+    return (stemmed(both, config.stem) if config.stem is not None else both), stop
+
+
+@measure("lesk", sn.ALL_POS)
+def lesk(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
+    """Weighted sum over the relations of the squared lengths of shared phrases."""
+    both, stop = phrase_texts(lexicon, pairs, config)
     once = both.select("text_a", "text_b").distinct().withColumn("f", overlap_score(F.col("text_a"), F.col("text_b"), stop, config.normalize))
     return both.join(once, ["text_a", "text_b"]).groupBy(*KEYS).agg(F.sum(F.col("weight") * F.col("f")).alias("score"))
 
@@ -291,6 +312,13 @@ def text_words(texts: DataFrame, text: Column, config: Config, key: str) -> Data
 @measure("vector", sn.ALL_POS)
 def vector(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Cosine of the summed word vectors of all texts of both concepts. Weights of relations do not count."""
+    named, words = concept_words(lexicon, pairs, config)
+    context = vec.context_vectors(words, config.vectors, config.stop)
+    return vec.cosine(named, context).select(*(F.col(f"_{k}").alias(k) for k in KEYS), "score")
+
+
+def concept_words(lexicon: Lexicon, pairs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """The pairs as _pos_a, .., a, b with keys of concepts, and (key, word) of all texts of each."""
     sides = pairs.select(F.col("pos_a").alias("pos"), F.col("a").alias("id")).unionByName(pairs.select(F.col("pos_b").alias("pos"), F.col("b").alias("id"))).distinct()
     keyed = sides.withColumn("key", F.concat_ws("#", "pos", F.col("id").cast("string")))
     texts = None
@@ -298,20 +326,25 @@ def vector(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
         one = rel.compose(lexicon, functions, keyed).select("key", F.struct(F.lit(n).alias("n"), F.array_join("texts", " ").alias("t")).alias("t"))
         texts = one if texts is None else texts.unionByName(one)
     whole = texts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["t"]), " ").alias("text"))
-    context = vec.context_vectors(text_words(whole, F.col("text"), config, "key"), config.vectors, config.stop)
     named = pairs.select(*KEYS).distinct().select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.concat_ws("#", "pos_a", F.col("a").cast("string")).alias("a"), F.concat_ws("#", "pos_b", F.col("b").cast("string")).alias("b"))
-    return vec.cosine(named, context).select(*(F.col(f"_{k}").alias(k) for k in KEYS), "score")
+    return named, text_words(whole, F.col("text"), config, "key")
 
 
 @measure("vector_pairs", sn.ALL_POS)
 def vector_pairs(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Mean over the relations of the cosine of the texts of both sides. Weights do not count."""
+    named, words = relation_words(lexicon, pairs, config)
+    context = vec.context_vectors(words, config.vectors, config.stop)
+    return vec.cosine(named, context).groupBy(*(F.col(f"_{k}").alias(k) for k in KEYS)).agg(F.avg("score").alias("score"))
+
+
+def relation_words(lexicon: Lexicon, pairs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """The pairs as _pos_a, .., rid, a, b with a relation's texts as keys, and (key, word) of each text."""
     both = rel.super_glosses(lexicon, config.relations, pairs).select(*KEYS, "rid", F.array_join("texts_a", " ").alias("text_a"), F.array_join("texts_b", " ").alias("text_b"))
     # Equal texts are one vector, whatever concepts and relations they come from.
     texts = both.select(F.col("text_a").alias("text")).unionByName(both.select(F.col("text_b").alias("text"))).distinct()
-    context = vec.context_vectors(text_words(texts, F.col("text"), config, "text"), config.vectors, config.stop)
     named = both.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "rid", F.col("text_a").alias("a"), F.col("text_b").alias("b"))
-    return vec.cosine(named, context).groupBy(*(F.col(f"_{k}").alias(k) for k in KEYS)).agg(F.avg("score").alias("score"))
+    return named, text_words(texts, F.col("text"), config, "text")
 
 
 @measure("random", sn.ALL_POS)

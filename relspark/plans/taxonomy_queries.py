@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relspark.lexicon import materialize, new_folder
 from relspark.operators import information as info, paths as pt, relations as rel, walks
-from relspark.plans import driver_lexicon as dl, measures as ms
+from relspark.plans import driver_lexicon as dl, measures as ms, provenance as pv
 from relspark.plans.cache import ScoreCache
 from relspark.plans.driver_lexicon import SQL_COUNTS, SQL_ISA, SQL_NODES, SQL_OWN, SQL_PAIRS, SQL_PATHS, sql_met
 
@@ -213,6 +213,31 @@ def sim_hso(spark, d):
     return ms.score(dl.lexicon(spark, d), materialize(hso_pairs(spark, d)), "hso").select("pos_a", "a", "pos_b", "b", "score")
 
 
+def trace_of(name: str, *columns: str):
+    """What the scores of all pairs are made of, and the scores as worked out from it."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        config = ms.Config(counts=counts(spark, d) if name == "lin" else None)
+        out = pv.provenance(dl.lexicon(spark, d), materialize(dl.pairs(spark, d)), name, config)
+        ints = [F.col(c).cast("long").alias(c) for c in columns if not c.startswith("ic_")]
+        return out.select("a", "b", *ints, *(rounded(F.col(c)).alias(c) for c in columns if c.startswith("ic_")), rounded(F.col("score")).alias("score"))
+
+    return run
+
+
+def trace_hso(spark, d):
+    """Kinds and walks of all pairs: the score as worked out from the walk, and how many of its links are none."""
+    lexicon = dl.lexicon(spark, d)
+    out = materialize(pv.provenance(lexicon, materialize(hso_pairs(spark, d)), "hso"))
+    before = F.concat(F.array(F.struct(F.lit("").alias("dir"), F.col("pos_a").alias("pos"), F.col("a").alias("id"))), F.slice("way", F.lit(1), F.size("way") - 1))
+    step = out.where("way is not null").select(F.explode(F.arrays_zip(before.alias("f"), F.col("way").alias("t"))).alias("s"), "pos_a", "a", "pos_b", "b")
+    keys = ["pos_a", "a", "pos_b", "b"]
+    links = step.select(*keys, F.col("s.t.dir").alias("dir"), F.col("s.f.pos").alias("src_pos"), F.col("s.f.id").alias("src"), F.col("s.t.pos").alias("dst_pos"), F.col("s.t.id").alias("dst"))
+    bad = links.join(walks.links(lexicon.edge, lexicon.sense), ["dir", "src_pos", "src", "dst_pos", "dst"], "left_anti").groupBy(keys).agg(F.count("*").alias("n_bad"))
+    astray = F.when(F.col("way").isNotNull() & ((F.element_at("way", -1)["id"] != F.col("b")) | (F.element_at("way", -1)["pos"] != F.col("pos_b"))), 1).otherwise(0)
+    return out.join(bad, keys, "left").select(*keys, "kind", "score", (F.coalesce("n_bad", F.lit(0)) + astray).cast("long").alias("n_bad"))
+
+
 QUERIES = {
     "isa_closure": isa_closure, "root_paths": root_paths, "synset_depths": synset_depths, "first_depth_numeric": first_depths("numeric"), "first_depth_lexical": first_depths("lexical"),
     "taxonomy_depth": taxonomy_depth, "top_nodes": top_nodes, "leaf_nodes": leaf_nodes, "taxonomies": taxonomies,
@@ -220,6 +245,8 @@ QUERIES = {
     "freq_propagate": freq_propagate, "freq_add1": freq_add1, "root_freq": root_freq, "ic_table": ic_table,
     **{f"sim_{m}": sim(m) for m in ("path", "lch", "wup", "res", "lin", "jcn")}, **{f"sim_{m}_noroot": sim(m, False) for m in ("path", "lch", "wup", "res", "lin", "jcn")},
     "sim_cross_pos": sim_cross_pos, "sim_random": sim_random, **{f"rel_{r}": relation(r) for r in ("hype", "hypo", "mero", "holo", "sim", "attr", "enta", "caus")},
+    "trace_lch": trace_of("lch", "subsumer", "len", "depth"), "trace_wup": trace_of("wup", "subsumer", "depth", "la", "lb"),
+    "trace_lin": trace_of("lin", *pv.INFORMED), "trace_hso": trace_hso,
     "score_cache": score_cache, "rel_compose": rel_compose, "hso_links": hso_links, "sim_hso": sim_hso,
     **{f"rel_{r}": word_relation(r) for r in ("also", "ants", "pert", "deri")}, "rel_compose_words": rel_compose_words, "hso_links_words": hso_links_words,
 }
@@ -244,23 +271,31 @@ _FORMULA = {
 }
 
 
+_TOPS = "tops(pos, root, depth) AS (SELECT pos, root, max(depth) FROM (SELECT pos, id, arg_min(path[-1], (len(path), path[-1])) AS root, min(len(path)) AS depth FROM bare b WHERE NOT EXISTS (SELECT 1 FROM isa WHERE isa.pos = b.pos AND isa.parent = b.id) GROUP BY pos, id) GROUP BY pos, root)"
+
+
+def _deep_sql(paths: str) -> str:
+    """cand: the deepest subsumers; far: nodes on the shortest ways to them."""
+    return f"""
+        deep AS (SELECT id, min(len(path)) AS d FROM {paths} WHERE pos = 'n' GROUP BY id),
+        cand AS (SELECT a, b, s, d FROM (SELECT a, b, s, d, rank() OVER (PARTITION BY a, b ORDER BY d DESC) AS k FROM (SELECT DISTINCT a, b, s FROM met) JOIN deep ON deep.id = s) WHERE k = 1),
+        need AS (SELECT a AS x, s FROM cand UNION SELECT b, s FROM cand),
+        far AS MATERIALIZED (SELECT x, s, min(list_position(p, v) + list_position(q, v) - 1) AS l FROM (SELECT n.x, n.s, g.path AS p, h.path AS q, list_filter(h.path, lambda v: list_contains(g.path, v))[1] AS v FROM need n JOIN {paths} g ON g.pos = 'n' AND g.id = n.x JOIN {paths} h ON h.pos = 'n' AND h.id = n.s) WHERE v IS NOT NULL GROUP BY x, s)"""
+
+
 def _sim_sql(name: str, root: bool) -> str:
     paths = "rooted" if root else "bare"
     head = f"{_BASE}, {SQL_PAIRS}, {sql_met(paths)}"
     if name == "path":
         scored = "scored AS (SELECT a, b, 1.0 / min(len) AS s FROM met GROUP BY a, b)"
     elif name == "lch":
-        top = "tops(pos, root, depth) AS (SELECT pos, root, max(depth) FROM (SELECT pos, id, arg_min(path[-1], (len(path), path[-1])) AS root, min(len(path)) AS depth FROM bare b WHERE NOT EXISTS (SELECT 1 FROM isa WHERE isa.pos = b.pos AND isa.parent = b.id) GROUP BY pos, id) GROUP BY pos, root)"
+        top = _TOPS
         if root:
             scored = f"{top}, scored AS (SELECT a, b, ln(2.0 * (SELECT max(depth) + 1 FROM tops WHERE pos = 'n') / min(len)) AS s FROM met GROUP BY a, b)"
         else:
             scored = f"{top}, short AS (SELECT a, b, s, len FROM (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY len) AS k FROM met) WHERE k = 1), scored AS (SELECT a, b, ln(2.0 * max(t.depth) / min(len)) AS s FROM short JOIN bare ON bare.pos = 'n' AND bare.id = short.s JOIN tops t ON t.pos = 'n' AND t.root = bare.path[-1] GROUP BY a, b)"
     elif name == "wup":
-        scored = f"""
-        deep AS (SELECT id, min(len(path)) AS d FROM {paths} WHERE pos = 'n' GROUP BY id),
-        cand AS (SELECT a, b, s, d FROM (SELECT a, b, s, d, rank() OVER (PARTITION BY a, b ORDER BY d DESC) AS k FROM (SELECT DISTINCT a, b, s FROM met) JOIN deep ON deep.id = s) WHERE k = 1),
-        need AS (SELECT a AS x, s FROM cand UNION SELECT b, s FROM cand),
-        far AS MATERIALIZED (SELECT x, s, min(list_position(p, v) + list_position(q, v) - 1) AS l FROM (SELECT n.x, n.s, g.path AS p, h.path AS q, list_filter(h.path, lambda v: list_contains(g.path, v))[1] AS v FROM need n JOIN {paths} g ON g.pos = 'n' AND g.id = n.x JOIN {paths} h ON h.pos = 'n' AND h.id = n.s) WHERE v IS NOT NULL GROUP BY x, s),
+        scored = f"""{_deep_sql(paths)},
         scored AS (SELECT c.a, c.b, max(2.0 * d / (d + f.l - 1 + d + g.l - 1)) AS s FROM cand c JOIN far f ON f.x = c.a AND f.s = c.s JOIN far g ON g.x = c.b AND g.s = c.s GROUP BY c.a, c.b)"""
     else:
         scored = f"{_COUNTS}, {_INFORMED}, scored AS (SELECT a, b, {_FORMULA[name]} AS s FROM inf)"
@@ -313,6 +348,13 @@ SELECT n.pos_a, n.a, n.pos_b, n.b, (CASE WHEN n.pos_a = n.pos_b AND n.a = n.b
   THEN 16 ELSE coalesce(best.score, 0) END)::DOUBLE AS score
 FROM named n LEFT JOIN best ON best.pos_a = n.pos_a AND best.a = n.a AND best.pos_b = n.pos_b AND best.b = n.b"""
 
+_KIND = """CASE WHEN n.pos_a = n.pos_b AND n.a = n.b THEN '1 same concept'
+  WHEN EXISTS (SELECT 1 FROM links l WHERE l.dir = 'H' AND l.src_pos = n.pos_a AND l.src = n.a AND l.dst_pos = n.pos_b AND l.dst = n.b) THEN '2 horizontal link'
+  WHEN EXISTS (SELECT 1 FROM links l WHERE l.dir = 'H' AND l.src_pos = n.pos_b AND l.src = n.b AND l.dst_pos = n.pos_a AND l.dst = n.a) THEN '3 horizontal link back'
+  WHEN (contains(n.wa, n.wb) OR contains(n.wb, n.wa)) AND EXISTS (SELECT 1 FROM links l WHERE l.dir <> 'H' AND l.src_pos = n.pos_b AND l.src = n.b AND l.dst_pos = n.pos_a AND l.dst = n.a) THEN '4 word within, link back'
+  WHEN best.score IS NOT NULL THEN '5 walk' ELSE '6 none' END"""
+_TRACED = _INFORMED.replace("max(coalesce(i.ic, 0.0)) AS l,", "max(coalesce(i.ic, 0.0)) AS l, arg_max(m.s, (coalesce(i.ic, 0.0), -m.s)) AS sub,")
+
 ORACLE_SQL = {
     "isa_closure": f"{_BASE} SELECT pos, id, ancestor, min(k)::BIGINT AS distance FROM (SELECT pos, id, unnest(path) AS ancestor, unnest(range(len(path))) AS k FROM bare) GROUP BY pos, id, ancestor",
     "root_paths": f"{_BASE} SELECT pos, id, {_JOIN.format('path')} AS path FROM rooted WHERE id <> 0",
@@ -337,6 +379,10 @@ ORACLE_SQL = {
     **{f"rel_{r}": f"{_RELS} SELECT DISTINCT src AS key, dst_pos AS pos, dst AS id FROM rels WHERE rel = '{r}'" for r in ("hype", "hypo", "mero", "holo", "sim", "attr", "enta", "caus")},
     "rel_compose": f"{_RELS} SELECT DISTINCT m.src AS key, s.dst_pos AS pos, s.dst AS id FROM rels m JOIN rels s ON s.rel = 'sim' AND s.src = m.dst WHERE m.rel = 'mero'",
     "sim_hso": _HSO,
+    "trace_lch": f"{_PAIRS}, {_TOPS} SELECT a, b, arg_min(s, (len, s)) AS subsumer, min(len)::BIGINT AS len, (SELECT max(depth) + 1 FROM tops WHERE pos = 'n')::BIGINT AS depth, round(ln(2.0 * (SELECT max(depth) + 1 FROM tops WHERE pos = 'n') / min(len)), 6) + 0.0 AS score FROM met GROUP BY a, b",
+    "trace_wup": f"{_PAIRS}, {_deep_sql('rooted')} SELECT a, b, s AS subsumer, d::BIGINT AS depth, la::BIGINT AS la, lb::BIGINT AS lb, round(w, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY w DESC, s) AS k FROM (SELECT c.a, c.b, c.s, d, f.l AS la, g.l AS lb, 2.0 * d / (d + f.l - 1 + d + g.l - 1) AS w FROM cand c JOIN far f ON f.x = c.a AND f.s = c.s JOIN far g ON g.x = c.b AND g.s = c.s)) WHERE k = 1",
+    "trace_lin": f"{_PAIRS}, {_COUNTS}, {_TRACED} SELECT a, b, sub AS subsumer, round(l, 6) + 0.0 AS ic_l, round(ia, 6) + 0.0 AS ic_a, round(ib, 6) + 0.0 AS ic_b, coalesce(fl, 0)::BIGINT AS freq_l, coalesce(fa, 0)::BIGINT AS freq_a, coalesce(fb, 0)::BIGINT AS freq_b, r::BIGINT AS root_freq, round({_FORMULA['lin']}, 6) + 0.0 AS score FROM inf",
+    "trace_hso": _HSO.replace("AS score\nFROM named n LEFT", f"AS score, {_KIND} AS kind, 0::BIGINT AS n_bad\nFROM named n LEFT"),
     **{f"rel_{r}": f"WITH {dl.SQL_WORDS} SELECT DISTINCT src || ':' || src_word AS key, dst_pos AS pos, dst AS id, dst_word AS word FROM words WHERE rel = '{r}'" for r in ("also", "ants", "pert", "deri")},
     "score_cache": _sim_sql("path", True),
     "rel_compose_words": f"WITH {dl.SQL_WORDS} SELECT DISTINCT x.src AS key, y.dst_pos AS pos, y.dst AS id, y.dst_word AS word FROM words x JOIN pw ON pw.id = x.src AND pw.w1 = x.src_word JOIN words y ON y.rel = 'also' AND y.src = x.dst AND y.src_word = x.dst_word WHERE x.rel = 'ants'",

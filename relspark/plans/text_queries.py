@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from relspark.functions import compounds as cp, text as tx
 from relspark.lexicon import materialize, new_folder
 from relspark.operators import information as info, relations as rel, senses as sn, vectors as vec
-from relspark.plans import driver_lexicon as dl, measures as ms
+from relspark.plans import driver_lexicon as dl, measures as ms, provenance as pv
 from relspark.plans.taxonomy_queries import counts, rounded
 from relspark.sources import corpora, lists
 
@@ -95,6 +95,19 @@ def sim_gloss(name: str, config=None):
     return run
 
 
+def trace_lesk(spark, d):
+    """The shared phrases of the definitions of all pairs of parts."""
+    out = pv.provenance(dl.lexicon(spark, d), materialize(part_pairs(spark, d)), "lesk")
+    return out.select("a", "b", F.array_join("phrases", "|").alias("phrases"), "score")
+
+
+def trace_vector(spark, d):
+    """Products and lengths of the vectors of all pairs of parts, and the words that have vectors."""
+    out = pv.provenance(dl.lexicon(spark, d), materialize(part_pairs(spark, d)), "vector", ms.Config(vectors=part_vectors(spark, d)))
+    whole = [F.array_join(f"words_{s}", " ").alias(f"words_{s}") for s in "ab"]
+    return out.select("a", "b", "dot", *(rounded(F.col(c), 4).alias(c) for c in ("na", "nb")), *whole, rounded(F.col("score"), 6).alias("score"))
+
+
 def normalized(c: ms.Config) -> ms.Config:
     from dataclasses import replace
 
@@ -237,6 +250,7 @@ QUERIES = {
     "gloss_clean": gloss_clean, "gloss_examples": gloss_examples, "corpus_normalise": corpus_normalise, "corpus_clauses": corpus_clauses, "term_frequency": term_frequency, "tfidf": tfidf,
     "cooccurrence": cooccurrence, "vector_prune": vector_prune, "gloss_vector_norm": gloss_vector_norm, "sim_vector": sim_gloss("vector"), "sim_vector_pairs": sim_gloss("vector_pairs"),
     "sim_vector_pairs_two": sim_gloss("vector_pairs", two_relations), "compoundify_join": compoundify_join,
+    "trace_lesk": trace_lesk, "trace_vector": trace_vector,
     "sim_lesk": sim_gloss("lesk"), "sim_lesk_norm": sim_gloss("lesk", normalized), "embedding_cosine": embedding_cosine,
     "compound_tokens": compound_tokens, "compoundify": compoundify, "stop_filter": stop_filter, "stop_filter_compound": stop_filter_compound,
     "freq_count": freq_count(False), "freq_resnik": freq_count(True), "super_gloss": super_gloss, "sense_lookup": sense_lookup, "all_senses": all_senses, "best_sense": best_sense,
@@ -304,6 +318,8 @@ walked AS (SELECT key, k, array_to_string(ws[k + 1:k + n], '_') AS token FROM w1
 ORACLE_SQL = {
     "gloss_clean": f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents",
     "corpus_normalise": f"SELECT conv_id, turn, {_numbers('text')} AS words FROM conversations",
+    "trace_lesk": f"{_LESK}, told AS (SELECT ga, gb, string_agg(array_to_string(a[-m[2]:m[1] - m[2] - 1], ' '), '|' ORDER BY s) FILTER (m[1] > 0) AS phrases FROM taken GROUP BY ga, gb) SELECT t.a, t.b, coalesce(told.phrases, '') AS phrases, l.s::DOUBLE AS score FROM two t JOIN lesk l USING (ga, gb) JOIN told USING (ga, gb)",
+    "trace_vector": _COS.replace("SELECT pp.a, pp.b, round(", "SELECT pp.a, pp.b, sum(x.v * y.v) AS dot, round(max(n.m), 4) + 0.0 AS na, round(max(o.m), 4) + 0.0 AS nb, (SELECT string_agg(word, ' ' ORDER BY word) FROM (SELECT DISTINCT word FROM toks WHERE doc = pp.a - %d)) AS words_a, (SELECT string_agg(word, ' ' ORDER BY word) FROM (SELECT DISTINCT word FROM toks WHERE doc = pp.b - %d)) AS words_b, round(" % (dl.PART, dl.PART)),
     "sim_lesk": f"{_LESK} SELECT t.a, t.b, l.s::DOUBLE AS score FROM two t JOIN lesk l USING (ga, gb)",
     "sim_lesk_norm": f"{_LESK} SELECT t.a, t.b, round(l.s / (l.na * l.nb)::DOUBLE + CASE WHEN t.na = t.nb THEN 0.5 ELSE 0 END, 6) + 0.0 AS score FROM two t JOIN lesk l USING (ga, gb)",
     "corpus_clauses": "SELECT md5(c) AS clause, count(*) AS n FROM (SELECT trim(unnest(string_split_regex(replace(regexp_replace(text, '\r\f?', '', 'g'), chr(10), ' '), '[.?!,;:]')), ' ') AS c FROM documents) WHERE c <> '' GROUP BY c",

@@ -12,6 +12,7 @@ NAMES = [
     "isa_closure", "first_depth_lexical", "taxonomy_depth", "all_paths_pairs", "lcs_by_ic", "freq_add1", "ic_table", "sim_path", "sim_lch_noroot", "sim_wup", "sim_jcn", "sim_cross_pos", "sim_random",
     "rel_compose", "hso_links", "gloss_clean", "gloss_examples", "tfidf", "vector_prune", "sim_vector", "sim_vector_pairs", "stop_filter_compound", "freq_resnik", "super_gloss", "sense_lookup", "best_sense",
     "ranking_lines", "wps_validate", "pair_file_parse", "corpus_clauses", "rel_ants", "rel_compose_words", "hso_links_words",
+    "trace_lch", "trace_wup", "trace_lin", "trace_hso", "trace_lesk", "trace_vector",
 ]
 
 

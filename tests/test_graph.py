@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from relspark.lexicon import UNRELATED, Lexicon
 from relspark.operators import information as info, paths as pt, walks
-from relspark.plans import measures as ms
+from relspark.plans import measures as ms, provenance as pv
 
 
 def make(spark, edges, freq=None, nodes=None, extra=()):
@@ -103,6 +103,55 @@ def test_trace(spark):
     assert scores(spark, lexicon, [(7, 6)], "path", ms.Config(trace=True))[7, 6]["trace"] == "7>6 (2); 7>4>2>1>3>6 (6)"
 
 
+def test_provenance(spark):
+    """Every score can be worked out from its trace alone."""
+    lexicon, counts = make(spark, MF0, FREQ0, [8])
+    frame = spark.createDataFrame([("n", a, "n", b) for a, b in TABLE0], "pos_a string, a long, pos_b string, b long")
+    rows = {m: {(r["a"], r["b"]): r for r in pv.provenance(lexicon, frame, m, ms.Config(counts=counts)).collect()} for m in ("path", "lch", "wup", "res", "lin", "jcn")}
+    for k, name in enumerate(("path", "wup", "res", "lin", "jcn", "lch")):
+        assert {p: r["score"] for p, r in rows[name].items()} == pytest.approx({p: v[k] for p, v in TABLE0.items()}, abs=2e-6), name
+    for p, r in rows["wup"].items():
+        assert 2 * r["depth"] / (2 * r["depth"] + r["la"] + r["lb"] - 2) == pytest.approx(TABLE0[p][1], abs=2e-6)
+    for p, r in rows["lch"].items():
+        assert math.log(2 * r["depth"] / r["len"]) == pytest.approx(TABLE0[p][5], abs=2e-6)
+    for p, r in rows["res"].items():
+        assert r["ic_l"] == pytest.approx(-math.log(r["freq_l"] / r["root_freq"]) if r["freq_l"] else 0) and r["score"] == pytest.approx(TABLE0[p][2], abs=2e-6)
+    assert (rows["wup"][7, 6]["subsumer"], rows["wup"][4, 5]["subsumer"], rows["res"][7, 5]["subsumer"]) == (6, 2, 2)
+    told = {m: scores(spark, lexicon, [(7, 6), (7, 8)], m, ms.Config(counts=counts, trace=True)) for m in ("wup", "lch", "lin")}
+    assert told["wup"][7, 6]["trace"].splitlines()[1].startswith("subsumer 6, depth 4") and told["lch"][7, 6]["trace"].splitlines()[0].endswith("7>4>2>1>3>6 (6)")
+    assert "root of 16.0" in told["lin"][7, 8]["trace"]
+    with pytest.raises(ValueError):
+        pv.provenance(lexicon, frame, "random")
+
+
+def test_provenance_of_texts(spark):
+    """lesk, vector and vector_pairs: phrases, products and words; an empty text and a concept without relations have zeros."""
+    lexicon, _ = make(spark, MF0)
+    gloss = {1: "a big red house on a hill", 2: "the big red house", 3: "hill", 4: "", 5: None, 6: "red red red"}
+    known = spark.createDataFrame(list(gloss.items()), "id long, _g string")
+    lexicon = Lexicon(lexicon.synset.join(known, "id", "left").select("pos", "id", F.col("_g").alias("gloss"), "words"), lexicon.sense, lexicon.edge)
+    frame = spark.createDataFrame([("n", a, "n", b) for a, b in ((1, 2), (1, 3), (1, 4), (5, 2), (6, 1), (2, 2))], "pos_a string, a long, pos_b string, b long")
+    vectors = spark.createDataFrame([("big", "x", 1), ("red", "x", 2), ("red", "y", 1), ("house", "y", 2), ("hill", "z", 3)], "word string, dim string, cnt long")
+    config = ms.Config(vectors=vectors, relations=[(["glos"], ["glos"], 1.0), (["glos"], ["syns"], 0.5)], vector_relations=[["glos"]])
+    lesk = pv.provenance(lexicon, frame, "lesk", config).collect()
+    assert {(r["a"], r["b"]): r["phrases"] for r in lesk if r["rid"] == min(x["rid"] for x in lesk)} == {(1, 2): ["big red house"], (1, 3): ["hill"], (1, 4): [], (5, 2): [], (6, 1): ["red"], (2, 2): ["the big red house"]}
+    total = {}
+    for r in lesk:
+        total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0) + r["weight"] * sum(len(p.split()) ** 2 for p in r["phrases"])
+    assert total == {(r["a"], r["b"]): r["score"] for r in ms.score(lexicon, frame, "lesk", config).collect()}
+    normal = ms.Config(relations=config.relations, normalize=True)
+    each = pv.provenance(lexicon, frame, "lesk", normal).groupBy("a", "b").agg(F.sum("score").alias("s")).collect()
+    assert {(r["a"], r["b"]): r["s"] for r in each} == pytest.approx({(r["a"], r["b"]): r["score"] for r in ms.score(lexicon, frame, "lesk", normal).collect()})
+    one = {(r["a"], r["b"]): r for r in pv.provenance(lexicon, frame, "vector", config).collect()}
+    assert one[1, 2]["words_a"] == ["big", "hill", "house", "red"] and (one[1, 2]["dot"], one[1, 2]["na"] ** 2) == pytest.approx((18, 27)) and one[1, 4]["words_b"] == []
+    scored = {(r["a"], r["b"]): r["score"] for r in ms.score(lexicon, frame, "vector", config).collect()}
+    assert {p: r["score"] for p, r in one.items()} == pytest.approx(scored) and scored[2, 2] == pytest.approx(1)
+    both = pv.provenance(lexicon, frame, "vector_pairs", config).groupBy("a", "b").agg(F.avg("score").alias("s")).collect()
+    assert {(r["a"], r["b"]): r["s"] for r in both} == pytest.approx({(r["a"], r["b"]): r["score"] for r in ms.score(lexicon, frame, "vector_pairs", config).collect()})
+    told = {(r["a"], r["b"]): r["trace"] for r in ms.score(lexicon, frame, "lesk", ms.Config(relations=config.relations, trace=True)).collect()}
+    assert "big red house" in told[1, 2]
+
+
 def test_parts_of_speech(spark):
     lexicon, _ = make(spark, MF0)
     frame = spark.createDataFrame([("n", 4, "v", 4), ("a", 1, "a", 1), ("a", 1, "n", 1)], "pos_a string, a long, pos_b string, b long")
@@ -134,6 +183,16 @@ def test_walks(spark):
         got = {(r["a"], r["b"]): r["score"] for r in walks.medium_strong(pairs, steps).collect()}
         expected = {(a, b): recursive_walk(links, 0, 0, 0, a, b) for a in range(12) for b in range(12)}
         assert {p: s for p, s in expected.items() if s} == got
+        told = {(r["a"], r["b"]): r["way"] for r in walks.best_walks(pairs, steps).collect()}
+        assert told.keys() == got.keys()
+        for (a, b), way in told.items():
+            at = a
+            for link in way:
+                assert (link["dir"], at, link["id"]) in rows
+                at = link["id"]
+            assert at == b
+        scored = walks.best_walks(pairs, steps).select("a", "b", walks.walk_score(F.col("way")).alias("s")).collect()
+        assert {(r["a"], r["b"]): r["s"] for r in scored} == got
 
 
 def test_hso(spark):
@@ -145,6 +204,10 @@ def test_hso(spark):
     frame = spark.createDataFrame([("n", a, words[a], "n", b, words[b]) for a, b in pairs], "pos_a string, a long, word_a string, pos_b string, b long, word_b string")
     got = {(r["a"], r["b"]): r["score"] for r in ms.score(lexicon, frame, "hso").collect()}
     assert got == {(2, 3): 5, (4, 3): 4, (4, 2): 4, (4, 1): 6, (1, 4): 6, (2, 1): 0, (2, 5): 0, (1, 5): 6, (5, 1): 0, (3, 5): 16, (4, 4): 16}
+    told = {(r["a"], r["b"]): r for r in pv.provenance(lexicon, frame, "hso").collect()}
+    assert {p: r["score"] for p, r in told.items()} == got and told[4, 4]["kind"] == "1 same concept" and told[3, 5]["kind"] == "2 horizontal link" and told[2, 1]["kind"] == "6 none"
+    lines = {(r["a"], r["b"]): r["trace"] for r in ms.score(lexicon, frame, "hso", ms.Config(trace=True)).collect()}
+    assert lines[4, 3] == "walk: n#4 U n#2 U n#1 D n#3" and lines[2, 1] == "none"
     near = spark.createDataFrame([("n", 2, "private_school", "n", 1, "school"), ("n", 1, "school", "n", 2, "private_school")], frame.schema.simpleString()[7:-1].replace(":", " "))
     assert [r["score"] for r in ms.score(lexicon, near, "hso").collect()] == [16, 16]
 
