@@ -62,9 +62,12 @@ def compound_tokens(docs: DataFrame, compounds: DataFrame, key: str, tokens: str
     known = compounds.select(F.col("word").alias("joined")).distinct().withColumn("n", F.size(F.split("joined", "_")).cast("int")).where(f"n between 2 and {MAX_WORDS}")
     base = docs.select(key, F.col(tokens).alias("ws"))
     starts = base.select(key, "ws", F.posexplode("ws").alias("at", "w"))
-    spans = starts.select(key, "at", F.explode(F.transform(F.sequence(F.lit(2), F.lit(MAX_WORDS)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ws", F.col("at") + 1, n), "_").alias("joined")))).alias("s"))
-    found = spans.select(key, "at", "s.n", "s.joined").join(known, ["joined", "n"]).groupBy(key, "at").agg(F.max("n").alias("n"))
-    held = base.join(found.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "n")))).alias("longest")), key, "left")
+    spans = starts.where(F.size("ws") - F.col("at") >= 2).select(key, "at", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(MAX_WORDS), F.size("ws") - F.col("at"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ws", F.col("at") + 1, n), "_").alias("joined")))).alias("s"))
+    # A sequence has one number of words. Its key is spread, as few compounds may be most matches; nothing but hot ones is sent to all tasks.
+    met = join_spread(spans.select(key, "at", "s.n", "s.joined"), known.select("joined", F.col("n").alias("_n")), "joined").where("n = _n")
+    found = met.groupBy(key, "at").agg(F.max("n").alias("n"))
+    longest = found.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "n")))).alias("longest"))
+    held = base.join(longest.hint("merge"), key, "left")  # as many rows as documents, however small their files
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
 
     def step(acc, at):

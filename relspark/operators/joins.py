@@ -24,7 +24,8 @@ def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     done = F.col("_spread_hot").isNotNull() | F.col(key).isNull()
     salted = first.withColumn("_spread_key", F.when(~done, F.col(key))).withColumn("_spread_salt", F.when(done, F.pmod(F.monotonically_increasing_id(), F.lit(8192))).otherwise(F.lit(0).cast("long")))
     rest = right.select(F.col(key).alias("_spread_key"), F.struct(*values).alias("_spread_cold"), F.lit(0).cast("long").alias("_spread_salt"))
-    met = salted.join(rest, ["_spread_key", "_spread_salt"], "left").withColumn("_spread_met", F.coalesce("_spread_hot", "_spread_cold"))
+    # A table whose files are small by compression would be sent to the driver whole; only hot keys are.
+    met = salted.join(rest.hint("merge"), ["_spread_key", "_spread_salt"], "left").withColumn("_spread_met", F.coalesce("_spread_hot", "_spread_cold"))
     return met.select(*left.columns, *(F.col(f"_spread_met.{c}").alias(c) for c in values))
 
 

@@ -116,3 +116,13 @@ def test_a_count_file_of_the_version_is_found(spark, tmp_path):
     assert tables.find_counts(spark, str(tmp_path), "two").endswith("b.dat") and tables.find_counts(spark, str(tmp_path), None).endswith("a.dat")
     with pytest.raises(tables.FormatError):
         tables.find_counts(spark, str(tmp_path), "three")
+
+
+def test_compounds_of_many_documents_are_not_broadcast(spark):
+    from relspark.functions.compounds import compound_tokens
+
+    docs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"]), (3, [])], "key long, ws array<string>")
+    made = compound_tokens(docs, spark.createDataFrame([("a_b",), ("b_c",)], "word string"), "key", "ws")
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2  # both of hot keys
+    assert {tuple(r) for r in made.collect()} == {(1, 0, "a_b"), (1, 2, "c"), (2, 0, "x")}
