@@ -24,10 +24,12 @@ def tf_idf(terms: DataFrame, n_docs: float) -> DataFrame:
 def cooccurrence(tokens: DataFrame) -> DataFrame:
     """(w1, w2, cnt): ordered pairs of tokens of one document, each with itself too, so a word that
     stands k times adds k x k to its own. Documents are meant to be short, like definitions: their
-    pairs are made from counts, one row for each two distinct words of a document."""
+    pairs are made in the document's row, from counts, one for each two distinct words. No join is needed, whose
+    side could be taken for small by the size of a well compressed file, and be sent to the driver."""
     counts = tokens.groupBy("doc", "word").agg(F.count("*").alias("n"))
-    other = counts.select("doc", F.col("word").alias("w2"), F.col("n").alias("n2"))
-    return counts.join(other, "doc").groupBy(F.col("word").alias("w1"), "w2").agg(F.sum(F.col("n") * F.col("n2")).alias("cnt"))
+    lists = counts.groupBy("doc").agg(F.collect_list(F.struct("word", "n")).alias("ws"))
+    made = lists.select("ws", F.inline("ws")).select(F.col("word").alias("w1"), F.col("n").alias("n1"), F.inline("ws"))
+    return made.groupBy("w1", F.col("word").alias("w2")).agg(F.sum(F.col("n1") * F.col("n")).alias("cnt"))
 
 
 def build_vectors(

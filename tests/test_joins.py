@@ -126,3 +126,11 @@ def test_compounds_of_many_documents_are_not_broadcast(spark):
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2  # both of hot keys
     assert {tuple(r) for r in made.collect()} == {(1, 0, "a_b"), (1, 2, "c"), (2, 0, "x")}
+
+
+def test_cooccurrence_sends_no_documents_to_the_driver(spark):
+    from relspark.operators.vectors import cooccurrence
+
+    made = cooccurrence(spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], "doc long, word string"))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in made.collect()} == {("a", "a", 4), ("a", "b", 2), ("b", "a", 2), ("b", "b", 2)}
