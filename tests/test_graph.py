@@ -292,6 +292,12 @@ def test_candidates_without_pairs_of_paths(spark):
         assert all((r["la"], r["lb"]) == (near[r["a"], r["subsumer"]], near[r["b"], r["subsumer"]]) for r in got)
         want = {(a, b, x, n) for (a, b), s in short.items() for n, x in s if n == min(s)[0]}
         assert {(r["a"], r["b"], r["subsumer"], r["len"]) for r in pt.lcs_by_path(pairs, paths).collect()} == want
+        assert sorted((r["a"], r["b"], r["len"]) for r in pt.path_lengths(pairs, paths).collect()) == sorted((a, b, min(s)[0]) for (a, b), s in short.items())
+        nodes = spark.createDataFrame([("n", x) for x in {x for _, x in near} if x], "pos string, id long")
+        own = pt.synset_depth(pt.root_paths(isa, nodes, root_node), "numeric", root_node)
+        depths = own.unionByName(spark.createDataFrame([("n", 0, 1, 0)], "pos string, id long, depth int, root long"))
+        columns = ["a", "b", "subsumer", "depth", "root"]
+        assert sorted(pt.joint_nodes(pairs, paths, "deepest").select(columns).collect()) == sorted(pt.lcs_by_depth(pairs, paths, depths).select(columns).collect())
 
 
 def test_concepts_of_many_paths(spark):
