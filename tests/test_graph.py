@@ -195,6 +195,23 @@ def test_walks(spark):
         assert {(r["a"], r["b"]): r["s"] for r in scored} == got
 
 
+def test_walks_along_are_found_once(spark):
+    """Forty wholes of the same three parts, which are in one chain: states grow with the wholes, not with wholes x chain."""
+    chain = [(x, x + 1) for x in range(100, 120)]
+    rows = [("H", a, b) for x, y in chain for a, b in ((x, y), (y, x))] + [r for w in range(40) for p in (102, 110, 117) for r in (("U", w, p), ("D", p, w))]
+    steps = spark.createDataFrame([(d, "n", a, "n", b) for d, a, b in rows], "dir string, src_pos string, src long, dst_pos string, dst long")
+    asked = [(w, p) for w in range(40) for p in (100, 102, 106, 119)] + [(w, w + 1) for w in range(39)] + [(110, 3), (105, 106), (105, 107)]
+    pairs = spark.createDataFrame([("n", a, "n", b) for a, b in asked], "pos_a string, a long, pos_b string, b long")
+    links = {}
+    for d, a, b in rows:
+        links.setdefault(a, []).append((d, b))
+    got = {(r["a"], r["b"]): r["score"] for r in walks.medium_strong(pairs, steps).collect()}
+    assert got == {(a, b): s for a, b in asked if (s := recursive_walk(links, 0, 0, 0, a, b))}
+    found = walks.sides(walks.ends_of(pairs), steps)
+    assert found.up.count() == 40 * 4 + 2  # the starts and the parts of wholes
+    assert found.along.where("start = 102 * 4 + 1").select("start", "m", "n").distinct().count() == found.along.where("start = 102 * 4 + 1").count() < 30
+
+
 def test_hso(spark):
     edges = [(2, 1), (3, 1), (4, 2)]
     extra = [("hypo", "n", b, "n", a) for a, b in edges] + [("sim", "n", 3, "n", 5), ("sim", "n", 5, "n", 3)]
