@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relspark.lexicon import ROOT, delete, materialize
 from relspark.operators.paths import top_nodes
@@ -78,16 +78,25 @@ def root_frequency(counts: DataFrame) -> DataFrame:
     return counts.where("is_root").groupBy("pos").agg(F.sum("freq").alias("root_freq"))
 
 
+def share_of(freq: Column, root_freq: Column) -> Column:
+    return F.coalesce(F.try_divide(freq, root_freq), F.lit(0.0))
+
+
+def ic_of(p: Column) -> Column:
+    """Information of a share of the root's frequency."""
+    return F.when((p > 0) & (p <= 1), -F.ln(F.when(p > 0, p).otherwise(1.0))).otherwise(0.0) + 0.0
+
+
 def information(counts: DataFrame) -> DataFrame:
     """pos, id, freq, prob, ic, root_freq, err_level. A concept without frequency has no
     information, as has the virtual root; a probability above one is an error and counts as 0."""
     rows = counts.select("pos", "id", "freq").join(F.broadcast(root_frequency(counts)), "pos")  # a row for each part of speech
     virtual = root_frequency(counts).select("pos", F.lit(ROOT).cast("long").alias("id"), F.col("root_freq").alias("freq"), "root_freq")
-    whole = rows.unionByName(virtual).withColumn("p", F.coalesce(F.try_divide("freq", "root_freq"), F.lit(0.0)))
+    whole = rows.unionByName(virtual).withColumn("p", share_of(F.col("freq"), F.col("root_freq")))
     prob = F.when(F.col("p") > 1, 0.0).otherwise(F.col("p"))
     return whole.select(
         "pos", "id", "freq", prob.alias("prob"),
-        (F.when((F.col("p") > 0) & (F.col("p") <= 1), -F.ln(F.when(F.col("p") > 0, F.col("p")).otherwise(1.0))).otherwise(0.0) + 0.0).alias("ic"),
+        ic_of(F.col("p")).alias("ic"),
         "root_freq", F.when(F.col("p") > 1, 2).otherwise(0).alias("err_level"),
     )
 

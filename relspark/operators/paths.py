@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from relspark.functions.text import pad_id
 from relspark.lexicon import ROOT, delete, materialize
@@ -115,8 +115,8 @@ def ways_of(paths: DataFrame) -> DataFrame:
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the lists, the list of each value, the values."""
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    """Sizes of the lists, the list of each value, the values. A null is an empty list."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return sizes, np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
 
 
@@ -144,8 +144,9 @@ def gates(group: np.ndarray, before: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ways of each concept as its ancestors, itself included: node, least number of nodes to it, gate; and its own depth and
-    root, the least of what is left of all ways from it on, as all its ways are among them."""
+    """Ways of each concept as its ancestors, itself included: node, least number of nodes to it, place of its gate among them (-1: none);
+    and its own depth and root, the least of what is left of all ways from it on, as all its ways are among them. Where ways bring
+    `freqs`, a number for each of their nodes, also these."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -163,24 +164,43 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.where(place > 1, np.r_[-1, group[:-1]], -1)
         gate, own = gates(group, before, far), node[order][starts]
         offsets = pa.array(np.searchsorted(row[order][starts], np.arange(batch.num_rows + 1)).astype(np.int32))
-        values = (own, near.astype(np.int32), np.where(gate >= 0, own[gate], -1), left[order][starts].astype(np.int32), top[order][starts])
+        first = np.repeat(offsets.to_numpy()[:-1], np.diff(offsets.to_numpy()))
+        values, names = [own, near.astype(np.int32), np.where(gate >= 0, gate - first, -1).astype(np.int32)], ["nodes", "near", "gates"]
+        if "freqs" in batch.schema.names:
+            values, names = [*values, batch.column("freqs").flatten().flatten().to_numpy(zero_copy_only=False)[order][starts]], [*names, "freqs"]
+        else:
+            values, names = [*values, left[order][starts].astype(np.int32), top[order][starts]], [*names, "depths", "roots"]
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in values]
-        yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("id"), *lists], ["pos", "id", "nodes", "near", "gates", "depths", "roots"])
+        yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("id"), *lists], ["pos", "id", *names])
+
+
+def meet(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """row and node of all ancestors of both concepts of each pair, a's before b's, of which there are so many; and where the candidates
+    of pairs stand among a's and b's."""
+    sides = []
+    for side in "ab":
+        sizes, row, node = flat(batch.column(f"nodes_{side}"))
+        place = flat(batch.column(f"gates_{side}"))[2]
+        gate = np.where(place >= 0, node[place + (np.cumsum(sizes) - sizes)[row]], -1) if len(node) else node
+        sides.append((row, node, gate))
+    row, node, gate = (np.concatenate(x) for x in zip(*sides))
+    order = np.lexsort((node, row))  # stable: the first concept's node stands before the second's
+    i, j = order[:-1], order[1:]
+    met = (row[i] == row[j]) & (node[i] == node[j]) & ((gate[i] != gate[j]) | (gate[i] < 0))
+    return row, node, i[met], j[met], len(sides[0][0])
+
+
+#: What `pack` makes of ways without and with frequencies.
+PACKED = "pos string, id long, nodes array<long>, near array<int>, gates array<int>, depths array<int>, roots array<long>"
+COUNTED = "pos string, id long, nodes array<long>, near array<int>, gates array<int>, freqs array<double>"
 
 
 def joint(pick: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """pos, a, b, subsumer, la, lb: the candidates of each pair; or those on its shortest ways, or one of these; or its deepest, with depth and root."""
         for batch in batches:
-            sides = []
-            for side in "ab":
-                _, row, node = flat(batch.column(f"nodes_{side}"))
-                sides.append((row, node, *(flat(batch.column(f"{c}_{side}"))[2] for c in ("near", "gates"))))
-            row, node, near, gate = (np.concatenate(x) for x in zip(*sides))
-            order = np.lexsort((node, row))  # stable: the first concept's node stands before the second's
-            i, j = order[:-1], order[1:]
-            met = (row[i] == row[j]) & (node[i] == node[j]) & ((gate[i] != gate[j]) | (gate[i] < 0))
-            i, j = i[met], j[met]
+            row, node, i, j, _ = meet(batch)
+            near = np.concatenate([flat(batch.column(f"near_{side}"))[2] for side in "ab"])
             more = []
             if pick == "deepest":
                 depth, root = (flat(batch.column(f"{c}_a"))[2] for c in ("depths", "roots"))
@@ -212,12 +232,102 @@ def joint_nodes(pairs: DataFrame, paths: DataFrame, pick: str = "") -> DataFrame
     the largest depth (the smallest of each), with depth and root. It is done in the pair's row, as nearly all pairs have few nodes
     near the top for subsumers, which as keys of a join would be hot. A pair of one concept has itself alone. Paths must have no
     circles; ids are not negative. A pair stays in its row: only the two joins shuffle."""
-    packed = ways_of(paths).mapInArrow(pack, "pos string, id long, nodes array<long>, near array<int>, gates array<long>, depths array<int>, roots array<long>")
+    packed = ways_of(paths).mapInArrow(pack, PACKED)
     side = lambda s, *more: packed.select("pos", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "near", "gates", *more)))
     both = pairs.select("pos", "a", "b").join(side("a", *(("depths", "roots") if pick == "deepest" else ())), ["pos", "a"]).join(side("b"), ["pos", "b"])
     return both.mapInArrow(joint(pick), "pos string, a long, b long, subsumer long, la int, lb int" + (", depth int, root long" if pick == "deepest" else ""))
 
 
+def in_rows(rows: DataFrame, packed: DataFrame, kept: tuple[str, ...], kept_b: tuple[str, ...] = (), own: bool = False) -> DataFrame:
+    """rows (pos_a, a, pos_b, b, ..) with the packed columns kept of both concepts, and kept_b of the second, which no row brings through a
+    shuffle. Rows need not be distinct; none is lost. With own also freq_a, freq_b, the concepts' own."""
+    freq = lambda s: F.element_at("freqs", F.array_position("nodes", F.col("id")).cast("int")).alias(f"freq_{s}")
+    side = lambda s, columns: packed.select(F.col("pos").alias(f"pos_{s}"), F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns), *([freq(s)] if own else []))
+    return rows.join(side("a", kept), ["pos_a", "a"], "left").join(side("b", (*kept, *kept_b)), ["pos_b", "b"], "left")
+
+
+def passed(batch: pa.RecordBatch, columns: list[str], at: pa.Array | None = None) -> list[pa.Array]:
+    return [batch.column(c) if at is None else batch.column(c).take(at) for c in columns]
+
+
+def lengths_in_row(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """rows (pos_a, a, pos_b, b, ..) with len, the nodes on the shortest way, or null. Paths must have no circles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, _, i, j, _ = meet(batch)
+            near = np.concatenate([flat(batch.column(f"near_{side}"))[2] for side in "ab"])
+            none = np.iinfo(np.int32).max
+            least = np.full(batch.num_rows, none, np.int32)
+            np.minimum.at(least, row[i], near[i] + near[j] - 1)
+            yield pa.RecordBatch.from_arrays([*passed(batch, columns), pa.array(least, mask=least == none)], [*columns, "len"])
+
+    columns = rows.columns
+    packed = materialize(ways_of(paths).mapInArrow(pack, PACKED).select("pos", "id", "nodes", "near", "gates"))
+    return in_rows(rows, packed, ("nodes", "near", "gates")).mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("len", T.IntegerType())]))
+
+
+def counted_ways(isa: DataFrame, members: DataFrame, counts: DataFrame, height: int, root_node: bool = True) -> DataFrame:
+    """(pos, id, ways, freqs): the paths that `root_paths` gives for a taxonomy of known height, those of a concept in one row, and the frequency of each
+    of their nodes: 0 where none is known, and at the virtual root. counts: pos, id, freq. Only paths of concepts with children grow step by
+    step; they then meet all links to these concepts, and those of one concept its row."""
+    isa, freq = isa.select("pos", "child", "parent"), counts.select("pos", "id", F.col("freq").cast("double").alias("freq"))
+    key = lambda c: F.struct("pos", F.col(c).alias("id")).alias("_key")
+    counted = lambda rows: rows.join(freq, ["pos", "id"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0)))
+    above = materialize(counted(isa.select("pos", F.col("parent").alias("id")).distinct()))
+    inner = isa.join(above.select("pos", F.col("id").alias("child")), ["pos", "child"], "left_semi")
+    links = join_spread(materialize(inner.select("pos", "child", "parent", key("parent"))), above.select(key("id"), "freq"), "_key")
+    up = links.groupBy(F.col("pos").alias("_pos"), "child").agg(F.collect_set(F.struct("parent", "freq")).alias("parents"))
+    paths = above.select("pos", "id", F.array("id").alias("path"), F.array("freq").alias("freqs"), F.lit(False).alias("done"))
+    for _ in range(height - 1):
+        # Ended paths meet no parents; their key is a number that no concept has, one for each.
+        at = F.when(F.col("done"), -1 - F.col("id")).otherwise(F.element_at("path", -1))
+        step = paths.withColumn("_at", at).join(up, (F.col("pos") == F.col("_pos")) & (F.col("_at") == F.col("child")), "left")
+        grown, last = step.select("pos", "id", "path", "freqs", F.explode_outer("parents").alias("next")), F.col("next").isNull()
+        more = lambda c, value, last=last: F.when(last, F.col(c)).otherwise(F.concat(c, F.array(value))).alias(c)
+        paths = grown.select("pos", "id", more("path", "next.parent"), more("freqs", "next.freq"), last.alias("done"))
+    ways = materialize(paths.groupBy("pos", "id").agg(F.collect_list(F.struct("path", "freqs")).alias("w")))
+    met = join_spread(isa.distinct().withColumn("_key", key("parent")), ways.select(key("id"), "w"), "_key")
+    of = met.groupBy("pos", F.col("child").alias("id")).agg(F.flatten(F.collect_list("w")).alias("w"))
+    found = counted(members.select("pos", "id").distinct()).join(of, ["pos", "id"], "left")
+    nothing = F.array(F.struct(F.array().cast("array<long>").alias("path"), F.array().cast("array<double>").alias("freqs")))
+    whole = lambda c, first, last: F.transform(F.coalesce("w", nothing), lambda x: F.concat(F.array(first), x[c], *([F.array(last)] if root_node else [])))
+    return found.select("pos", "id", whole("path", F.col("id"), F.lit(ROOT).cast("long")).alias("ways"), whole("freqs", F.col("freq"), F.lit(0.0)).alias("freqs"))
+
+
+def informed_in_row(rows: DataFrame, ways: DataFrame, root_freq: DataFrame, ties: bool = False) -> DataFrame:
+    """rows (pos_a, a, pos_b, b, ..) with freq_a, freq_b, root_freq, subsumer and freq_l, of the candidate of most information (the smallest of
+    several); null where there is none. With ties all of them, and no row where there is none. ways: as `counted_ways` has them;
+    root_freq: pos, root_freq. It is done in the pair's row: only the two joins shuffle, and the first concept's side brings no frequencies but its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, node, i, j, n_a = meet(batch)
+            root = np.nan_to_num(batch.column("root_freq").to_numpy(zero_copy_only=False).astype(float))[row[i]]
+            freq = np.where(node[i] == ROOT, root, flat(batch.column("freqs_b"))[2][j - n_a])
+            share = np.divide(freq, root, out=np.zeros(len(freq)), where=root > 0)
+            known = (share > 0) & (share <= 1)
+            ic = np.where(known, -np.log(np.where(known, share, 1.0)), 0.0)
+            order = np.lexsort((node[i], -ic, row[i]))
+            _, first, of = np.unique(row[i][order], return_index=True, return_inverse=True)
+            on = order[ic[order] == ic[order][first][of]] if ties else order[first]
+            if ties:
+                at, subsumer, found = pa.array(row[i][on]), pa.array(node[i][on]), pa.array(freq[on])
+            else:
+                met = np.full(batch.num_rows, -1)
+                met[row[i][on]] = on
+                at, none = None, met < 0
+                subsumer, found = (pa.array(x[met] if len(x) else np.zeros(len(met), x.dtype), mask=none) for x in (node[i], freq))
+            yield pa.RecordBatch.from_arrays([*passed(batch, columns, at), subsumer, found], [*columns, "subsumer", "freq_l"])
+
+    packed = materialize(ways.mapInArrow(pack, COUNTED).select("pos", "id", "nodes", "gates", "freqs"))
+    columns = [*rows.columns, "freq_a", "freq_b", "root_freq"]
+    both = in_rows(rows, packed, ("nodes", "gates"), ("freqs",), True)
+    whole = both.join(F.broadcast(root_freq.select(F.col("pos").alias("pos_a"), "root_freq")), "pos_a", "left")  # a row for each part of speech
+    fields = [*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns[-3:]), T.StructField("subsumer", T.LongType()), T.StructField("freq_l", T.DoubleType())]
+    return whole.mapInArrow(run, T.StructType(fields))
+
+
 def circular(paths: DataFrame) -> bool:
     """Whether paths, as `root_paths` made them, are of a taxonomy with circles."""
     return "circular" in paths.columns

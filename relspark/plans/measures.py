@@ -53,17 +53,19 @@ class Config:
 class Measure:
     run: Callable[[Lexicon, DataFrame, Config], DataFrame]
     pos: tuple[str, ...]
+    in_row: Callable[[Lexicon, DataFrame, Config], DataFrame] | None = None
 
 
 MEASURES: dict[str, Measure] = {}
 KEYS = ["pos_a", "a", "pos_b", "b"]
 
 
-def measure(name: str, pos: tuple[str, ...]):
-    """Registers a function (lexicon, pairs, config) -> pos_a, a, pos_b, b, score for pairs of the named parts of speech."""
+def measure(name: str, pos: tuple[str, ...], in_row=None):
+    """Registers a function (lexicon, pairs, config) -> pos_a, a, pos_b, b, score for pairs of the named parts of speech. in_row, if there is one,
+    gives rows (pos_a, a, pos_b, b, ..), which need not be distinct, back with their score, or null, for taxonomies of known height."""
 
     def add(run):
-        MEASURES[name] = Measure(run, pos)
+        MEASURES[name] = Measure(run, pos, in_row)
         return run
 
     return add
@@ -90,8 +92,13 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
     fit = pairs.where(F.col("pos_a").isin(*m.pos) & F.col("pos_b").isin(*m.pos))
     if by_path:
         fit = fit.where("pos_a = pos_b")
-    made = m.run(lexicon, fit.select(*KEYS, *words).distinct(), config)
-    joined = pairs.join(made, [*KEYS, *words], "left").withColumn("_f", fixed).withColumn("_l", level).withColumn("_m", message)
+    if m.in_row is not None and lexicon.height is not None and not config.trace:
+        rows = materialize(pairs)
+        fits = F.coalesce(F.col("pos_a").isin(*m.pos) & (F.col("pos_a") == F.col("pos_b")), F.lit(False))
+        joined = m.in_row(lexicon, rows.where(fits), config).unionByName(rows.where(~fits).withColumn("score", F.lit(None).cast("double")))
+    else:
+        joined = pairs.join(m.run(lexicon, fit.select(*KEYS, *words).distinct(), config), [*KEYS, *words], "left")
+    joined = joined.withColumn("_f", fixed).withColumn("_l", level).withColumn("_m", message)
     lost = by_path & F.col("score").isNull() & (F.col("_l") == 0) if by_path else F.lit(False)
     traced = []
     if config.trace:
@@ -116,6 +123,11 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("pos", F.col("a").alias("id")).unionByName(pairs.select("pos", F.col("b").alias("id"))).distinct()
 
 
+def row_ends(rows: DataFrame) -> DataFrame:
+    """(pos, id) of both concepts of rows with KEYS."""
+    return rows.select(F.inline(F.array(*(F.struct(F.col(f"pos_{s}").alias("pos"), F.col(s).alias("id")) for s in "ab")))).where("id is not null").distinct()
+
+
 def both_pos(df: DataFrame, value: Column) -> DataFrame:
     return df.select(F.col("pos").alias("pos_a"), "a", F.col("pos").alias("pos_b"), "b", (value + F.lit(0.0)).alias("score"))
 
@@ -125,7 +137,12 @@ def member_paths(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFram
     return materialize(pt.root_paths(lexicon.isa, ends(pairs), config.root_node, lexicon.height))
 
 
-@measure("path", sn.NOUN_VERB)
+def path_in_row(lexicon: Lexicon, rows: DataFrame, config: Config) -> DataFrame:
+    found = pt.lengths_in_row(rows, pt.root_paths(lexicon.isa, row_ends(rows), config.root_node, lexicon.height))
+    return found.select(*rows.columns, (1.0 / F.col("len") + F.lit(0.0)).alias("score"))
+
+
+@measure("path", sn.NOUN_VERB, path_in_row)
 def path(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """One over the nodes on the shortest way."""
     p = same_pos(pairs)
@@ -205,6 +222,10 @@ def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """pos, a, b, subsumer, ic_l, ic_a, ic_b, freq_l, freq_a, freq_b, root_freq."""
     if config.counts is None:
         raise ValueError("the measure needs config.counts")
+    if lexicon.height is not None:
+        p = materialize(pairs.select(*KEYS))
+        found = informed_rows(lexicon, p, config).where("subsumer is not null")
+        return found.select(F.col("pos_a").alias("pos"), "a", "b", "subsumer", *(f"{f}_{s}" for f in ("ic", "freq") for s in "lab"), "root_freq")
     p = same_pos(pairs)
     counts = materialize(config.counts)
     known = materialize(info.information(counts))
@@ -219,6 +240,23 @@ def informed(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     return out.join(F.broadcast(info.root_frequency(counts)), "pos", "left").fillna(zero | {"root_freq": 0.0})  # a row for each part of speech
 
 
+def informed_rows(lexicon: Lexicon, rows: DataFrame, config: Config) -> DataFrame:
+    """rows, which are written and have KEYS, with what `informed` gives; subsumer is null where there is none."""
+    if config.counts is None:
+        raise ValueError("the measure needs config.counts")
+    counts = materialize(config.counts)
+    ways = pt.counted_ways(lexicon.isa, row_ends(rows), counts, lexicon.height, config.root_node)
+    found = pt.informed_in_row(rows, ways, info.root_frequency(counts)).fillna({"root_freq": 0.0, "freq_a": 0.0, "freq_b": 0.0, "freq_l": 0.0})
+    return found.select("*", *(info.ic_of(info.share_of(F.col(f"freq_{s}"), F.col("root_freq"))).alias(f"ic_{s}") for s in "lab"))
+
+
+def informed_score(formula: Callable[[], Column]):
+    def in_row(lexicon: Lexicon, rows: DataFrame, config: Config) -> DataFrame:
+        return informed_rows(lexicon, rows, config).select(*rows.columns, F.when(F.col("subsumer").isNotNull(), formula() + F.lit(0.0)).alias("score"))
+
+    return in_row
+
+
 def res_of() -> Column:
     return F.col("ic_l")
 
@@ -237,19 +275,19 @@ def jcn_of() -> Column:
     )
 
 
-@measure("res", sn.NOUN_VERB)
+@measure("res", sn.NOUN_VERB, informed_score(res_of))
 def res(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Information of the subsumer of most information."""
     return both_pos(informed(lexicon, pairs, config), res_of())
 
 
-@measure("lin", sn.NOUN_VERB)
+@measure("lin", sn.NOUN_VERB, informed_score(lin_of))
 def lin(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Twice the subsumer's information over the sum of the concepts'; 0 if one of them has none."""
     return both_pos(informed(lexicon, pairs, config), lin_of())
 
 
-@measure("jcn", sn.NOUN_VERB)
+@measure("jcn", sn.NOUN_VERB, informed_score(jcn_of))
 def jcn(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """One over the distance ic_a + ic_b - 2 ic_l; 0 where a concept has no information, or none is
     counted. At distance 0, which is where all three frequencies are equal, the distance is that

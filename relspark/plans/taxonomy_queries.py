@@ -105,8 +105,10 @@ def counts(spark, d):
 
 
 def lcs_by_ic(spark, d):
-    out = pt.lcs_by_ic(*pairs_and_paths(spark, d), info.information(counts(spark, d)))
-    return out.select("a", "b", "subsumer", rounded(F.col("ic")).alias("ic"))
+    known, pairs = counts(spark, d), materialize(dl.pairs(spark, d))
+    ways = pt.counted_ways(taxonomy(spark, d)[0], ms.row_ends(pairs), known, HEIGHT)
+    out = pt.informed_in_row(pairs, ways, info.root_frequency(known), True)
+    return out.select("a", "b", "subsumer", rounded(info.ic_of(info.share_of(F.col("freq_l"), F.col("root_freq")))).alias("ic"))
 
 
 def freq_propagate(spark, d):
@@ -129,7 +131,9 @@ def ic_table(spark, d):
 def sim(name: str, root_node: bool = True):
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = ms.Config(root_node=root_node, counts=counts(spark, d) if name in ("res", "lin", "jcn") else None)
-        out = ms.score(dl.lexicon(spark, d), materialize(dl.pairs(spark, d)), name, config)
+        pairs = dl.pairs(spark, d)
+        # What is scored in the pair's row is written by `score`.
+        out = ms.score(dl.lexicon(spark, d), pairs if ms.MEASURES[name].in_row else materialize(pairs), name, config)
         return out.select("a", "b", rounded(F.col("score")).alias("score"), F.col("err_level").cast("long").alias("err_level"))
 
     return run
@@ -215,7 +219,8 @@ def trace_of(name: str, *columns: str):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = ms.Config(counts=counts(spark, d) if name == "lin" else None)
-        out = pv.provenance(dl.lexicon(spark, d), materialize(dl.pairs(spark, d)), name, config)
+        # `lin` reads its pairs, which are distinct, once.
+        out = pv.provenance(dl.lexicon(spark, d), dl.pairs(spark, d) if name == "lin" else materialize(dl.pairs(spark, d)), name, config)
         ints = [F.col(c).cast("long").alias(c) for c in columns if not c.startswith("ic_")]
         return out.select("a", "b", *ints, *(rounded(F.col(c)).alias(c) for c in columns if c.startswith("ic_")), rounded(F.col("score")).alias("score"))
 
