@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relspark.lexicon import Lexicon
 from relspark.operators import information as info, paths as pt
 from relspark.plans import measures as ms
+from relspark.plans.cache import ScoreCache
 
 ISA = "pos string, child long, parent long"
 
@@ -66,3 +67,16 @@ def test_a_pair_is_shuffled_twice(spark):
             assert plan.count("Exchange hashpartitioning") <= 5  # the fifth counts the roots
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_cache_moves_pairs_once(spark, tmp_path):
+    """Pairs that are keys alone meet their scores without a further join, equal ones as often as they were asked for."""
+    lexicon, counts, pairs = made(spark)
+    config = ms.Config(cache=ScoreCache(str(tmp_path)))
+    first = pairs.limit(20)
+    ms.score(lexicon, first, "path", config)
+    asked = pairs.unionByName(spark.range(2500).select(F.lit("n").alias("pos_a"), F.lit(40).cast("long").alias("a"), F.lit("n").alias("pos_b"), F.lit(41).cast("long").alias("b")))
+    kept = ms.score(lexicon, asked, "path", config)
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("a", "b", "score", "err_level").collect()))
+    assert rows(kept) == rows(ms.score(lexicon, asked, "path")) and kept.count() == 2620
