@@ -33,3 +33,15 @@ def test_words_by_kinds_equal_all_pairs(spark, lexicon, name, root, monkeypatch)
     assert plain(ms.score_words(lexicon, pairs, name, config, all_senses=True)) == plain(whole)
     assert plain(ms.score_words(lexicon, pairs, name, config)) == plain(sn.best_sense(whole.where("err_level = 0")))
     assert max(asked) < whole.select(*ms.KEYS).distinct().count() / 3
+
+
+def test_senses_come_last(spark, lexicon, monkeypatch):
+    """Rows meet the lists of senses by one join a side, and are not moved after; long lists are of several rows."""
+    monkeypatch.setattr(ms, "SENSES_A_ROW", 4, raising=False)
+    pairs = spark.createDataFrame([(a, b) for a in "xyz" for b in "xyz"], "w1 string, w2 string")
+    made = ms.score_words(lexicon, pairs, "path", all_senses=True)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
+    assert made.count() == (10 + 6 + 3) ** 2 and made.select("wps1", "wps2").distinct().count() == made.count()
+    ids = {(r["wps1"], r["a"]) for r in made.where("wps1 like 'x%'").select("wps1", "a").distinct().collect()}
+    assert ids == {(f"x#n#{k + 1}", 20 + k) for k in range(10)}
