@@ -171,7 +171,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos_a, a, pos_b, b), distinct and of linear size, over all customers, suppliers, parts, orders
+    """(pos_a, a, pos_b, b), distinct."""
+    return pair_rows(spark, sf_dir).distinct()
+
+
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos_a, a, pos_b, b), of linear size, over all customers, suppliers, parts, orders
     and line items: neighbours by key, parts in lines next to each other, and each line's
     customer and supplier."""
     t = lambda name: table(spark, sf_dir, name)
@@ -181,7 +186,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = items.join(after, ["l_orderkey", "l_linenumber"]).select(concept(PART, F.col("l_partkey")).alias("a"), concept(PART, F.col("_b")).alias("b"))
     buyers = items.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(concept(CUSTOMER, F.col("o_custkey")).alias("a"), concept(SUPPLIER, F.col("l_suppkey")).alias("b"))
     every = [near("customer", "c_custkey", CUSTOMER), near("supplier", "s_suppkey", SUPPLIER), near("part", "p_partkey", PART), near("orders", "o_orderkey", ORDER), lines, buyers]
-    return reduce(DataFrame.unionByName, every).distinct().select(F.lit("n").alias("pos_a"), "a", F.lit("n").alias("pos_b"), "b")
+    return reduce(DataFrame.unionByName, every).select(F.lit("n").alias("pos_a"), "a", F.lit("n").alias("pos_b"), "b")
 
 
 def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

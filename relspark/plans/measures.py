@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,11 +59,13 @@ class Measure:
 
 MEASURES: dict[str, Measure] = {}
 KEYS = ["pos_a", "a", "pos_b", "b"]
+#: What hso reads of pairs besides: the words of both concepts, or whether one of these contains the other.
+WORDS = ("word_a", "word_b", "within")
 
 
 def measure(name: str, pos: tuple[str, ...], in_row=None):
     """Registers a function (lexicon, pairs, config) -> pos_a, a, pos_b, b, score for pairs of the named parts of speech. in_row, if there is one,
-    gives rows (pos_a, a, pos_b, b, ..), which need not be distinct, back with their score, or null, for taxonomies of known height."""
+    gives rows (pos_a, a, pos_b, b, ..), which are written and need not be distinct, back with their score, or null; of measures on the taxonomy only if its height is known."""
 
     def add(run):
         MEASURES[name] = Measure(run, pos, in_row)
@@ -83,18 +86,19 @@ def score(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None =
     m, config = MEASURES[name], config or Config()
     if config.cache is not None and not config.trace:
         plain = replace(config, cache=None)
-        keys = [*KEYS, *(c for c in ("word_a", "word_b") if c in pairs.columns and name == "hso")]
+        keys = [*KEYS, *(c for c in WORDS if c in pairs.columns and name == "hso")]
         return store.scored(config.cache, store.key_of(lexicon, name, plain), pairs, keys, lambda asked: score(lexicon, asked, name, plain))
     by_path = m.pos == sn.NOUN_VERB
     fixed, level, message = sn.pair_status(F.col("pos_a"), F.col("pos_b"), m.pos) if by_path else (F.lit(None).cast("double"), F.lit(0), F.lit(None).cast("string"))
     # Only hso reads words: for the others a concept of several words would be several pairs.
-    words = [c for c in ("word_a", "word_b") if c in pairs.columns and name == "hso"]
+    words = [c for c in WORDS if c in pairs.columns and name == "hso"]
     fit = pairs.where(F.col("pos_a").isin(*m.pos) & F.col("pos_b").isin(*m.pos))
     if by_path:
         fit = fit.where("pos_a = pos_b")
-    if m.in_row is not None and lexicon.height is not None and not config.trace:
+    if m.in_row is not None and (lexicon.height is not None or not by_path) and not config.trace:
         rows = materialize(pairs)
-        fits = F.coalesce(F.col("pos_a").isin(*m.pos) & (F.col("pos_a") == F.col("pos_b")), F.lit(False))
+        whole = F.col("pos_a") == F.col("pos_b") if by_path else F.col("pos_b").isin(*m.pos) & reduce(lambda x, c: x & F.col(c).isNotNull(), ["a", "b", *words], F.lit(True))
+        fits = F.coalesce(F.col("pos_a").isin(*m.pos) & whole, F.lit(False))
         joined = m.in_row(lexicon, rows.where(fits), config).unionByName(rows.where(~fits).withColumn("score", F.lit(None).cast("double")))
     else:
         joined = pairs.join(m.run(lexicon, fit.select(*KEYS, *words).distinct(), config), [*KEYS, *words], "left")
@@ -295,10 +299,14 @@ def jcn(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     return both_pos(informed(lexicon, pairs, config), jcn_of())
 
 
-@measure("hso", sn.ALL_POS)
+def hso_in_row(lexicon: Lexicon, rows: DataFrame, config: Config) -> DataFrame:
+    return walks.relatedness(rows, walks.links(lexicon.edge, lexicon.sense))
+
+
+@measure("hso", sn.ALL_POS, hso_in_row)
 def hso(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """Strong links 16, walks by length and turns. The order of a pair matters."""
-    return walks.relatedness(pairs, walks.links(lexicon.edge, lexicon.sense))
+    return hso_in_row(lexicon, materialize(pairs), config)
 
 
 def joined_texts(lexicon: Lexicon, relations: list[Relation], pairs: DataFrame) -> DataFrame:

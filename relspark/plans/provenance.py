@@ -38,7 +38,7 @@ def trace(name: str, text: Callable[[], Column]):
 
 
 def provenance(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | None = None) -> DataFrame:
-    """The rows of pairs (pos_a, a, pos_b, b, and word_a, word_b for hso). Pairs without a score, or of parts of speech that the
+    """The rows of pairs (pos_a, a, pos_b, b, and word_a, word_b or within for hso). Pairs without a score, or of parts of speech that the
     measure does not know, have none. Equal pairs have one row; lesk and vector_pairs one for each relation."""
     if name not in TRACES:
         raise ValueError(f"no trace of {name!r}; there are {', '.join(sorted(TRACES))}")
@@ -46,13 +46,13 @@ def provenance(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config | N
     fit = pairs.where(F.col("pos_a").isin(*pos) & F.col("pos_b").isin(*pos))
     if pos == sn.NOUN_VERB:
         fit = fit.where("pos_a = pos_b")
-    return TRACES[name].rows(lexicon, fit.select(*KEYS, *(c for c in ("word_a", "word_b") if c in pairs.columns)).distinct(), config or Config())
+    return TRACES[name].rows(lexicon, fit.select(*KEYS, *(c for c in ms.WORDS if c in pairs.columns)).distinct(), config or Config())
 
 
 def texts(lexicon: Lexicon, pairs: DataFrame, name: str, config: Config) -> DataFrame:
     """KEYS, trace: the ways between the concepts, for measures on the taxonomy, then lines of what `provenance` gives, in order."""
     rows = provenance(lexicon, pairs, name, config)
-    keys = [*KEYS, *(c for c in ("word_a", "word_b") if c in pairs.columns and name == "hso")]
+    keys = [*KEYS, *(c for c in ms.WORDS if c in pairs.columns and name == "hso")]
     lines = rows.select(*keys, TRACES[name].text().alias("line")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("trace"))
     if ms.MEASURES[name].pos != sn.NOUN_VERB:
         return lines
@@ -125,7 +125,7 @@ def walk_text() -> Column:
 
 @trace("hso", walk_text)
 def hso(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
-    """word_a, word_b, kind and way: the strong link, or the links of one best walk."""
+    """word_a, word_b (or within), kind and way: the strong link, or the links of one best walk."""
     return walks.provenance(pairs, walks.links(lexicon.edge, lexicon.sense))
 
 

@@ -339,3 +339,20 @@ def test_circles_keep_pairs_of_paths(spark):
     for name, want in (("path", 1 / 4), ("wup", 0.6)):
         got = scores(spark, lexicon, [(4, 5)], name)[4, 5]
         assert got["err_level"] == 0 and (name == "wup" or got["score"] == pytest.approx(want))
+
+
+def test_hso_pairs_stay_in_their_rows(spark):
+    """A pair goes to its links, to its second and to its first concept, and never back to its row; rows that are equal, or lack a concept, come back."""
+    edges = [(2, 1), (3, 1), (4, 2)]
+    lexicon, _ = make(spark, edges, nodes=[5], extra=[("hypo", "n", b, "n", a) for a, b in edges] + [("sim", "n", 3, "n", 5), ("sim", "n", 5, "n", 3)])
+    rows = [(a, b, False) for a, b in [(2, 3), (2, 3), (4, 3), (4, 1), (1, 4), (3, 5), (4, 4), (None, 4)]] + [(2, 1, True), (1, 2, True), (2, 1, False)]
+    pairs = spark.createDataFrame([("n", a, "n", b, w) for a, b, w in rows], "pos_a string, a long, pos_b string, b long, within boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = ms.score(lexicon, pairs, "hso")
+        assert "Join " not in scored._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = sorted((r["a"] or 0, r["b"], r["within"], r["score"] if r["score"] is not None else -1) for r in scored.collect())
+    assert got == sorted([(2, 3, False, 5), (2, 3, False, 5), (4, 3, False, 4), (4, 1, False, 6), (1, 4, False, 6), (3, 5, False, 16), (4, 4, False, 16), (0, 4, False, -1), (2, 1, True, 16), (1, 2, True, 16), (2, 1, False, 0)])
