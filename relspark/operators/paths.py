@@ -378,9 +378,60 @@ def candidates(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     return met.select("pos", "a", "b", F.explode(once).alias("subsumer"))
 
 
+#: Pairs of paths that are compared at once, but for those of one pair.
+PATH_PAIRS = 1 << 18
+
+
+def all_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pos, a, b, subsumer, len, nodes for each pair of paths of `_up` and `_down` that meets: up the first to the first node of the second that is on
+    it, and down the second. Nodes of one pair meet by sorting, so the work grows with the nodes on paths and with the nodes that two paths share."""
+    for batch in batches:
+        n_pairs = np.cumsum(np.prod([flat(batch.column(c))[0] for c in ("_up", "_down")], axis=0))
+        cuts = np.flatnonzero(np.diff(n_pairs // PATH_PAIRS)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if end > start:
+                yield ways_between(batch.slice(start, end - start))
+
+
+def ways_between(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sides = []
+    for side in ("_up", "_down"):
+        ways = batch.column(side)
+        _, way_row, _ = flat(ways)
+        sizes, way, node = flat(ways.flatten())
+        first = np.cumsum(sizes) - sizes
+        sides.append((way_row[way], way, node, np.arange(len(node)) - first[way], first))
+    (row_p, way_p, node_p, at_p, first_p), (row_q, way_q, node_q, at_q, first_q) = sides
+    names, code = np.unique(np.concatenate([node_p, node_q]), return_inverse=True)
+    key_p, key_q = row_p * len(names) + code[: len(node_p)], row_q * len(names) + code[len(node_p) :]
+    order = np.argsort(key_q, kind="stable")
+    low, high = (np.searchsorted(key_q[order], key_p, side=s) for s in ("left", "right"))
+    size = high - low
+    i = np.repeat(np.arange(len(key_p)), size)
+    j = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)]
+    # Of each two paths the first node of the second.
+    by = np.lexsort((at_q[j], way_q[j], way_p[i]))
+    i, j = i[by], j[by]
+    fresh = np.r_[True, (way_p[i][1:] != way_p[i][:-1]) | (way_q[j][1:] != way_q[j][:-1])] if len(i) else np.zeros(0, bool)
+    i, j = i[fresh], j[fresh]
+    up, down = at_p[i] + 1, at_q[j]
+    whole, of = up + down, np.repeat(np.arange(len(i)), up + down)
+    ends = np.cumsum(whole)
+    place, on_up, nodes = np.arange(len(of)) - (ends - whole)[of], None, np.zeros(len(of), np.int64)
+    on_up = place < up[of]
+    nodes[on_up] = node_p[(first_p[way_p[i]][of] + place)[on_up]]
+    nodes[~on_up] = node_q[(first_q[way_q[j]][of] + whole[of] - 1 - place)[~on_up]]
+    at = pa.array(row_p[i])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(nodes))
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("pos", "a", "b")), pa.array(node_p[i]), pa.array(whole.astype(np.int32)), lists], ["pos", "a", "b", "subsumer", "len", "nodes"])
+
+
 def all_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """pos, a, b, subsumer, len, nodes: every way from a up to a candidate and down to b, for each pair of paths."""
-    return meetings(pairs, paths, True).select("pos", "a", "b", F.inline("met"))
+    ways = ways_of(paths)
+    side = lambda s, name: ways.select("pos", F.col("id").alias(s), F.col("ways").alias(name))
+    both = pairs.select("pos", "a", "b").join(side("a", "_up"), ["pos", "a"]).join(side("b", "_down"), ["pos", "b"]).select("pos", "a", "b", "_up", "_down")
+    return both.mapInArrow(all_ways, "pos string, a long, b long, subsumer long, len int, nodes array<long>")
 
 
 def shortest_paths(pairs: DataFrame, paths: DataFrame) -> DataFrame:
@@ -464,6 +515,19 @@ def leaf_nodes(lexicon_nodes: DataFrame, isa: DataFrame) -> DataFrame:
     return lexicon_nodes.select("pos", "id").join(isa.select("pos", F.col("parent").alias("id")), ["pos", "id"], "left_anti")
 
 
+def virtual_depth(nodes: DataFrame, isa: DataFrame, height: int) -> DataFrame:
+    """pos, depth: that of the virtual root as `taxonomy_depths` has it, by least depths, for a taxonomy of known height. Only concepts with children have
+    their paths made; a leaf is one deeper than the least of its parents."""
+    key = lambda c: F.struct("pos", F.col(c).alias("id")).alias("_key")
+    inner = materialize(isa.select("pos", F.col("parent").alias("id")).distinct())
+    own = root_paths(isa, inner, False, max(height - 1, 0)).groupBy("pos", "id").agg(F.min(F.size("path")).alias("depth"))
+    links = join_spread(isa.select("pos", "child", key("parent")), materialize(own.select(key("id"), "depth")), "_key")
+    below = links.groupBy("pos", F.col("child").alias("id")).agg((F.min("depth") + 1).alias("depth"))
+    alone = nodes.select("pos", "id").distinct().join(below, ["pos", "id"], "left").withColumn("depth", F.coalesce("depth", F.lit(1)))
+    leaves = alone.join(inner, ["pos", "id"], "left_anti")
+    return leaves.groupBy("pos").agg((F.max("depth") + 1).alias("depth"))
+
+
 def taxonomy_depths(nodes: DataFrame, isa: DataFrame, root_node: bool = True, height: int | None = None, order: str = "numeric") -> DataFrame:
     """pos, root, depth: the largest depth of a leaf (by its first depth) below each root; with a
     root node also the virtual root, one deeper than the deepest."""

@@ -80,3 +80,39 @@ def test_a_cache_moves_pairs_once(spark, tmp_path):
     assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
     rows = lambda df: sorted(map(tuple, df.select("a", "b", "score", "err_level").collect()))
     assert rows(kept) == rows(ms.score(lexicon, asked, "path")) and kept.count() == 2620
+
+
+def test_lch_in_row(spark):
+    """As by all subsumers on shortest ways and the taxonomies' own depths; a pair is shuffled to its two concepts only."""
+    from relspark.plans import provenance as pv
+
+    for seed in (1,):
+        lexicon, _, pairs = made(spark, seed)
+        plain = Lexicon(lexicon.synset, lexicon.sense, lexicon.edge, None, lexicon.taxonomy)
+        whole = pt.taxonomy_depths(lexicon.synset, lexicon.isa, True, 3).where("root = 0").select("pos", "depth").collect()
+        assert pt.virtual_depth(lexicon.synset, lexicon.isa, 3).collect() == whole
+        rows = lambda df, *c: sorted(map(tuple, df.select("a", "b", *c, F.round("score", 9)).collect()))
+        assert rows(ms.score(lexicon, pairs, "lch").distinct(), "err_level") == rows(ms.score(plain, pairs.distinct(), "lch"), "err_level")
+        told = pv.provenance(lexicon, pairs, "lch")
+        assert rows(told, "subsumer", "len", "depth") == rows(pv.provenance(plain, pairs, "lch"), "subsumer", "len", "depth")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (ms.score(lexicon, pairs, "lch"), pv.provenance(lexicon, pairs, "lch")):
+            assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_all_paths_by_sorting(spark, monkeypatch):
+    """As pairs of paths compared one by one, also where few are compared at once and where links run in circles."""
+    monkeypatch.setattr(pt, "PATH_PAIRS", 3, raising=False)
+    lexicon, _, pairs = made(spark, 3)
+    circle = spark.createDataFrame([("n", 1, 2), ("n", 2, 3), ("n", 3, 1), ("n", 4, 2), ("n", 5, 3)], ISA)
+    few = spark.createDataFrame([("n", a, b) for a in range(1, 7) for b in range(1, 7)], "pos string, a long, b long")
+    for isa, p, height in ((lexicon.isa, pairs.distinct().select(F.col("pos_a").alias("pos"), "a", "b"), 3), (circle, few, None)):
+        paths = pt.materialize(pt.root_paths(isa, ms.ends(p), height is not None, height))
+        rows = lambda df: sorted(map(str, df.select("pos", "a", "b", "subsumer", "len", "nodes").collect()))
+        every = pt.all_paths(p, paths)
+        assert rows(every) == rows(pt.meetings(p, paths, True).select("pos", "a", "b", F.inline("met"))) and len(rows(every)) > 20
+    assert "transform(" not in every._jdf.queryExecution().optimizedPlan().toString()
