@@ -153,7 +153,23 @@ def path(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     return both_pos(pt.path_lengths(p, member_paths(lexicon, p, config)), 1.0 / F.col("len"))
 
 
-@measure("lch", sn.NOUN_VERB)
+def rooted_depth(lexicon: Lexicon, config: Config) -> DataFrame:
+    """pos, d: the depth of the taxonomy below the virtual root, a row for each part of speech, written."""
+    if config.taxonomy_depths is None and config.depth_order == "numeric" and lexicon.height is not None:
+        return materialize(pt.virtual_depth(lexicon.synset, lexicon.isa, lexicon.height).withColumnRenamed("depth", "d"))
+    depth = config.taxonomy_depths if config.taxonomy_depths is not None else pt.taxonomy_depths(lexicon.synset, lexicon.isa, True, lexicon.height, config.depth_order)
+    return materialize(depth.where("root = 0").groupBy("pos").agg(F.max("depth").alias("d")))
+
+
+def lch_in_row(lexicon: Lexicon, rows: DataFrame, config: Config) -> DataFrame:
+    if not config.root_node:
+        return rows.join(lch(lexicon, rows.select(*KEYS).distinct(), config), KEYS, "left")
+    depth = rooted_depth(lexicon, config).where("d > 0").select(F.col("pos").alias("pos_a"), "d")
+    found = pt.lengths_in_row(rows, pt.root_paths(lexicon.isa, row_ends(rows), True, lexicon.height)).join(F.broadcast(depth), "pos_a", "left")
+    return found.select(*rows.columns, (F.ln(2.0 * F.col("d") / F.col("len")) + F.lit(0.0)).alias("score"))
+
+
+@measure("lch", sn.NOUN_VERB, lch_in_row)
 def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """ln(2 x depth of the taxonomy / nodes on the shortest way); the deepest taxonomy of all subsumers on shortest ways."""
     rows = shortest_in_taxonomies(lexicon, pairs, config).groupBy("pos", "a", "b").agg(F.min("len").alias("len"), F.max("d").alias("d"))
@@ -163,17 +179,16 @@ def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
 def shortest_in_taxonomies(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """pos, a, b, subsumer, len, d: the subsumers on shortest ways, with the depth of the deepest taxonomy that each is in."""
     p = same_pos(pairs)
-    found = materialize(pt.lcs_by_path(p, member_paths(lexicon, p, config)))
+    paths = member_paths(lexicon, p, config)
+    if config.root_node:  # every subsumer is below the virtual root; few of them are most pairs', so they are no key
+        return pt.lcs_by_path(p, paths).join(F.broadcast(rooted_depth(lexicon, config)), "pos")
+    found = materialize(pt.lcs_by_path(p, paths))
     subsumers = found.select("pos", F.col("subsumer").alias("id")).distinct()
-    if config.root_node:
-        roots = None  # every subsumer is below the virtual root
-    elif config.synset_depths is not None:
+    if config.synset_depths is not None:
         roots = subsumers.join(config.synset_depths.select("pos", "id", "root").distinct(), ["pos", "id"])
     else:
         roots = pt.taxonomies(pt.root_paths(lexicon.isa, subsumers, False, lexicon.height))
-    depth = config.taxonomy_depths if config.taxonomy_depths is not None else pt.taxonomy_depths(lexicon.synset, lexicon.isa, config.root_node, lexicon.height, config.depth_order)
-    if roots is None:  # a row for each part of speech; few subsumers are most pairs', so they are no key
-        return found.join(F.broadcast(depth.where("root = 0").groupBy("pos").agg(F.max("depth").alias("d"))), "pos")
+    depth = config.taxonomy_depths if config.taxonomy_depths is not None else pt.taxonomy_depths(lexicon.synset, lexicon.isa, False, lexicon.height, config.depth_order)
     deepest = roots.join(depth, ["pos", "root"]).groupBy("pos", F.col("id").alias("subsumer")).agg(F.max("depth").alias("d"))
     key = F.concat_ws(":", "pos", F.col("subsumer").cast("string")).alias("_key")
     return join_spread(found.select("*", key), deepest.select(key, "d"), "_key").drop("_key").where("d is not null")

@@ -88,6 +88,12 @@ def path(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
 @trace("lch", lambda: F.format_string("subsumer %d, nodes %d, depth of taxonomy %d", "subsumer", "len", "depth"))
 def lch(lexicon: Lexicon, pairs: DataFrame, config: Config) -> DataFrame:
     """subsumer, len, depth: of the deepest taxonomy among those of subsumers on shortest ways."""
+    if config.root_node and lexicon.height is not None:
+        # All subsumers are of one taxonomy, so of those on shortest ways the smallest is told: a pair stays one row.
+        p = ms.same_pos(pairs)
+        found = pt.joint_nodes(p, ms.member_paths(lexicon, p, config), "one").join(F.broadcast(ms.rooted_depth(lexicon, config).where("d > 0")), "pos")
+        length = F.col("la") + F.col("lb") - 1
+        return by_both_pos(found, "subsumer", length.alias("len"), F.col("d").alias("depth"), (F.ln(2.0 * F.col("d") / length) + F.lit(0.0)).alias("score"))
     rows = ms.shortest_in_taxonomies(lexicon, pairs, config).where("d > 0").withColumnRenamed("d", "depth")
     return best(rows, F.ln(2.0 * F.col("depth") / F.col("len")), "len", "depth")
 

@@ -222,8 +222,8 @@ def trace_of(name: str, *columns: str):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = ms.Config(counts=counts(spark, d) if name == "lin" else None)
-        # `lin` reads its pairs, which are distinct, once.
-        out = pv.provenance(dl.lexicon(spark, d), dl.pairs(spark, d) if name == "lin" else materialize(dl.pairs(spark, d)), name, config)
+        # `lin` and `lch` read their pairs, which are distinct, once.
+        out = pv.provenance(dl.lexicon(spark, d), dl.pairs(spark, d) if name in ("lin", "lch") else materialize(dl.pairs(spark, d)), name, config)
         ints = [F.col(c).cast("long").alias(c) for c in columns if not c.startswith("ic_")]
         return out.select("a", "b", *ints, *(rounded(F.col(c)).alias(c) for c in columns if c.startswith("ic_")), rounded(F.col("score")).alias("score"))
 
