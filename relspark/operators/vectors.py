@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from relspark.lexicon import materialize
-from relspark.operators.joins import hot_keys
+from relspark.operators.joins import hot_keys, join_spread
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
@@ -106,6 +106,30 @@ def products(pairs: DataFrame, context: DataFrame) -> DataFrame:
     return joined.withColumn("few", few).withColumn("many", many).select(*pairs.columns, dot.alias("dot"), "na", "nb")
 
 
+def set_products(pairs: DataFrame, texts: DataFrame, vectors: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b, ..) without a and b, with what `products` gives for their texts (key, word), and words_a, words_b: the words that have vectors; null without any.
+
+    Texts of the same words are one: vectors and products are made once for each set of words and each two sets, and
+    a pair brings two numbers to them, no vector and no text."""
+    kinds = texts.select("key", "word").distinct()
+    if stop is not None:
+        kinds = kinds.join(stop.select("word").distinct(), "word", "left_anti")
+    of = materialize(kinds.groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("_key")))
+    sets = materialize(of.select("_key").distinct().withColumn("set", F.monotonically_increasing_id()))
+    numbered = materialize(join_spread(of, sets, "_key").select("key", "set"))
+    side = lambda s: numbered.select(F.col("key").alias(s), F.col("set").alias(f"_set_{s}"))
+    both = F.struct(*(F.coalesce(f"_set_{s}", F.lit(-1).cast("long")).alias(s) for s in "ab")).alias("_key")  # a text without words is in no set
+    own = materialize(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*(c for c in pairs.columns if c not in ("a", "b")), both))
+    words = materialize(sets.select(F.col("set").alias("key"), F.explode("_key").alias("word")))
+    asked = materialize(own.select("_key.a", "_key.b").distinct())
+    found = products(asked, materialize(context_vectors(words, vectors)))
+    lists = materialize(words.join(vectors.select("word").distinct(), "word", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("words")))
+    for s in "ab":
+        found = found.join(lists.select(F.col("key").alias(s), F.col("words").alias(f"words_{s}")), s, "left")
+    made = materialize(found.select(F.struct("a", "b").alias("_key"), "dot", "na", "nb", "words_a", "words_b"))
+    return join_spread(own, made, "_key").drop("_key")
+
+
 def cosine(pairs: DataFrame, context: DataFrame) -> DataFrame:
     """pairs (a, b, ..) with score: cosine of the vectors of keys a and b, 0 without one."""
     return products(pairs, context).select(*pairs.columns, F.coalesce(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.col("na") * F.col("nb"))), F.lit(0.0)).alias("score"))

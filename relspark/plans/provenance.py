@@ -152,12 +152,7 @@ def product_text() -> Column:
 
 def product_rows(named: DataFrame, words: DataFrame, config: Config, *more: str) -> DataFrame:
     """dot, na, nb, words_a, words_b: the product of both vectors, their lengths, and the words that have vectors."""
-    words = materialize(words.select("key", "word").distinct())
-    found = vec.products(named, vec.context_vectors(words, config.vectors, config.stop))
-    kept = words.join(config.stop.select("word").distinct(), "word", "left_anti") if config.stop is not None else words
-    lists = kept.join(config.vectors.select("word").distinct(), "word", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    for side in "ab":
-        found = found.join(lists.select(F.col("key").alias(side), F.col("words").alias(f"words_{side}")), side, "left")
+    found = vec.set_products(named, words, config.vectors, config.stop)
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dot", "na", "nb")]
     none = [F.coalesce(f"words_{s}", F.array().cast("array<string>")).alias(f"words_{s}") for s in "ab"]
     rows = found.select(*(F.col(f"_{k}").alias(k) for k in KEYS), *more, *zero, *none)
