@@ -1,7 +1,5 @@
 """Products of texts are made once for each two sets of words."""
 
-from pyspark.sql import functions as F
-
 from relspark.operators import vectors as vec
 
 
@@ -18,5 +16,5 @@ def test_equal_texts_are_one(spark, monkeypatch):
     context = vec.context_vectors(words, vectors, stop)
     old = {r["n"]: (r["dot"], r["na"], r["nb"]) for r in products(pairs, context).collect()}
     assert {n: (r["dot"], r["na"], r["nb"]) for n, r in rows.items()} == old and len(rows) == len(keys)
-    assert asked == [len({(texts.get(a), texts.get(b)) for a, b in zip(keys, keys[3:] + keys[:3])} | set())] or asked[0] <= 9
+    assert asked[0] <= 9  # of 43 pairs
     assert rows[1]["words_a"] == ["big", "red"] and rows[0]["words_a"] == ["big", "old"] and rows[keys.index("stopped")]["words_a"] is None
